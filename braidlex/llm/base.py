@@ -98,6 +98,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def columns_as(df: DataFrame, **types: str) -> DataFrame:
+    """The named columns with the named types; a column that has its type is taken as it is, so equal scans stay equal."""
+    have = dict(df.dtypes)
+    return df.select(*[name if have[name] == kind else df[name].cast(kind).alias(name) for name, kind in types.items()])
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
