@@ -5,26 +5,65 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import license_scan, simhash_dedup, substring_dedup
+from . import decontaminate, license_scan, media, mixing, sharding, simhash_dedup, substring_dedup, toxicity
 from .base import table
 
+#: Production targets: shares proportional to a dimension's tokens to these powers.
+MIX_POWERS = {"source": 0.3, "lang": 0.5, "topic": 0.7}
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.drop_repeats(table(spark, sf_dir, "documents"), window_words=20, with_text=False)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and test item that share a passage."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=20, similarity=0.8)
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4, seed=42)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX_POWERS)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_words", F.size("passages").alias("n_passages"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.from_media(media.to_media(table(spark, sf_dir, "documents")), with_tensor=False)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+_ALL = (
+    op1_substring_dedup,
+    op3_decontaminate,
+    op5_simhash_dedup,
+    op6_mixing,
+    op7_sharding,
+    op8_toxicity,
+    op9_media,
+    op10_license_scan,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op5_simhash_dedup, op10_license_scan)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": mixing.mix_sql(MIX_POWERS)}
