@@ -81,7 +81,7 @@ def from_media(media: DataFrame, with_tensor: bool = True) -> DataFrame:
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (digest(*row) for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True))
-        yield from _in_batches(rows, schema, lambda r: 400 + len(r[-1]) * with_tensor if r[2] is not None else 100)
+        yield from _in_batches(rows, schema, lambda r: 400 + (len(r[-1] or b"") if with_tensor else 0))
 
     kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(rows_of, kinds + ", rgb binary" * with_tensor)
