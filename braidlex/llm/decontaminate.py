@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,8 @@ MASKS = ("1101111", "100100010111", "110100110001")
 BLOCK_WORDS, CHUNK_WORDS, MIN_ITEM = 400_000, 600_000, 8
 #: Bits of the filter in front of the table of test hashes.
 FILTER_BITS = 23
-_HITS = "row long, doc_id long, item_id long, doc_start long, item_start long, n_words long, n_same long"
+_NAMES = ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_same"]
+_HITS = ", ".join(f"{name} long" for name in _NAMES)
 _WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -116,84 +118,100 @@ def _verified(doc_words: np.ndarray, doc_starts: np.ndarray, doc: np.ndarray, at
     return best >= np.ceil(length * similarity - 1e-9), at + offset[first], place + offset[first], length, best
 
 
-def _scan(tests_of, window: int, similarity: float):
+def _found(rows: list[tuple], tests: Tests, window: int, similarity: float) -> list[tuple]:
+    """For rows (number, word hashes): (number, item, doc_start, item_start, n_words, n_same) of each leak."""
+    starts = np.zeros(len(rows) + 1, np.int64)
+    np.cumsum([len(r[1]) for r in rows], out=starts[1:])
+    words = np.concatenate([r[1] for r in rows])
+    doc_of = np.repeat(np.arange(len(rows)), np.diff(starts))
+    found: dict[tuple, tuple] = {}
+    for m, mask in enumerate(MASKS):
+        h = masked(words, mask, m)
+        at = np.flatnonzero(tests.bits[h >> U64(64 - FILTER_BITS)])
+        at = at[at + len(mask) <= starts[doc_of[at] + 1]]
+        low, high = np.searchsorted(tests.keys, h[at], "left"), np.searchsorted(tests.keys, h[at], "right")
+        n = high - low
+        at = np.repeat(at, n)
+        place = tests.places[np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+        item = np.searchsorted(tests.starts, place, "right") - 1
+        for k in range(0, len(at), 20_000):
+            part = slice(k, k + 20_000)
+            doc = doc_of[at[part]]
+            leak, d, t, length, same = _verified(words, starts, doc, at[part], item[part], place[part], tests, window, similarity)
+            for i in np.flatnonzero(leak):
+                key = (int(doc[i]), int(item[part][i]))
+                value = (int(same[i]) / int(length[i]), -int(d[i]), -int(t[i]), int(length[i]), int(same[i]))
+                found[key] = max(found.get(key, value), value)
+    return [
+        (rows[doc][0], item, -d - int(starts[doc]), -t - int(tests.starts[item]), length, same)
+        for (doc, item), (_, d, t, length, same) in sorted(found.items())
+    ]
+
+
+def _chunks(texts: list[bytes | None], cache: WordHashes) -> Iterator[list[tuple]]:
+    """(number, word hashes) of the texts with enough words, about CHUNK_WORDS words at a time."""
+    rows, total = [], 0
+    for number, text in enumerate(texts):
+        if not text or len(words := text.translate(_WORD_TABLE).split()) < MIN_ITEM:
+            continue
+        rows.append((number, hash_words(words, cache)))
+        total += len(words)
+        if total >= CHUNK_WORDS:
+            yield rows
+            rows, total = [], 0
+    if rows:
+        yield rows
+
+
+def _scan(items, window: int, similarity: float, drop: bool):
+    """Rows of each leak or, with ``drop``, the batches without the rows that have one."""
+
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        tests = Tests.of(tests_of.value, cache)
-
-        def hits(rows: list[tuple]) -> pa.RecordBatch:
-            starts = np.zeros(len(rows) + 1, np.int64)
-            np.cumsum([len(r[2]) for r in rows], out=starts[1:])
-            words = np.concatenate([r[2] for r in rows])
-            doc_of = np.repeat(np.arange(len(rows)), np.diff(starts))
-            found: dict[tuple, tuple] = {}
-            for m, mask in enumerate(MASKS):
-                h = masked(words, mask, m)
-                at = np.flatnonzero(tests.bits[h >> U64(64 - FILTER_BITS)])
-                at = at[at + len(mask) <= starts[doc_of[at] + 1]]
-                low, high = np.searchsorted(tests.keys, h[at], "left"), np.searchsorted(tests.keys, h[at], "right")
-                n = high - low
-                at = np.repeat(at, n)
-                place = tests.places[np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-                item = np.searchsorted(tests.starts, place, "right") - 1
-                for k in range(0, len(at), 20_000):
-                    part = slice(k, k + 20_000)
-                    doc = doc_of[at[part]]
-                    leak, d, t, length, same = _verified(words, starts, doc, at[part], item[part], place[part], tests, window, similarity)
-                    for i in np.flatnonzero(leak):
-                        key = (int(doc[i]), int(item[part][i]))
-                        value = (int(same[i]) / int(length[i]), -int(d[i]), -int(t[i]), int(length[i]), int(same[i]))
-                        found[key] = max(found.get(key, value), value)
-            out = []
-            for (doc, item), (_, d, t, length, same) in sorted(found.items()):
-                row, doc_id, _ = rows[doc]
-                out.append((row, doc_id, tests.ids[item], -d - int(starts[doc]), -t - int(tests.starts[item]), length, same))
-            names = ["row", "doc_id", "item_id", "doc_start", "item_start", "n_words", "n_same"]
-            columns = list(zip(*out, strict=True)) or [[]] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-        rows, total, number = [], 0, 0
+        tests = Tests.of(items.value, cache)
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary(batch.column("text")), strict=True):
-                number += 1
-                if not text or not len(tests.keys):
-                    continue
-                words = hash_words(text.translate(_WORD_TABLE).split(), cache)
-                if len(words) < MIN_ITEM:
-                    continue
-                rows.append((number, doc_id, words))
-                total += len(words)
-                if total >= CHUNK_WORDS:
-                    yield hits(rows)
-                    rows, total = [], 0
-        if rows:
-            yield hits(rows)
+            found = []
+            if len(tests.keys):
+                for rows in _chunks(binary(batch.column("text")), cache):
+                    found += _found(rows, tests, window, similarity)
+            if drop:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[f[0] for f in found]] = False
+                yield batch.filter(pa.array(clean))
+            else:
+                ids = batch.column("doc_id").to_pylist()
+                out = [(ids[n], tests.ids[item], *rest) for n, item, *rest in found]
+                columns = list(zip(*out, strict=True)) or [[]] * len(_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
 
     return rows_of
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """The test items in blocks of a checked size."""
+    tests = columns_as(benchmark, item_id="bigint", text="string")
+    n_bytes = tests.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    blocks = max(1, math.ceil(n_bytes / 2 / BLOCK_WORDS))  # a word takes two bytes at least, with the space after it
+    for block in range(blocks):
+        part = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else tests
+        yield [(r.item_id, r.text.encode() if r.text else b"") for r in part.toLocalIterator()]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 20, similarity: float = 0.8) -> DataFrame:
     """One row per document and test item that share a passage.
 
     doc_id, item_id, doc_start, item_start (in words), n_words compared and
     n_same of them: the best window, the earliest on ties.
     """
-    spark = docs.sparkSession
-    tests = columns_as(benchmark, item_id="bigint", text="string")
+    share = docs.sparkSession.sparkContext.broadcast
     texts = columns_as(docs, doc_id="bigint", text="string")
-    n_words = tests.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    blocks = max(1, math.ceil(n_words / 2 / BLOCK_WORDS))  # a word takes two bytes at least, with the space after it
-    out = None
-    for block in range(blocks):
-        part = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else tests
-        items = [(r.item_id, r.text.encode() if r.text else b"") for r in part.toLocalIterator()]
-        found = texts.mapInArrow(_scan(spark.sparkContext.broadcast(items), window, similarity), _HITS).drop("row")
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = [texts.mapInArrow(_scan(share(items), window, similarity, False), _HITS) for items in _blocks(benchmark)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 20, similarity: float = 0.8) -> DataFrame:
-    """The documents, all columns, that share no passage with a test item."""
-    bad = leaks(docs, benchmark, window, similarity).select("doc_id").distinct()
-    kept = docs.join(bad.withColumnRenamed("doc_id", "__leaked"), docs.doc_id == F.col("__leaked"), "left_anti")
-    return kept.select(*docs.columns)
+    """The documents, all columns, that share no passage with a test item; nothing is shuffled."""
+    share = docs.sparkSession.sparkContext.broadcast
+    for items in _blocks(benchmark):
+        docs = docs.mapInArrow(_scan(share(items), window, similarity, True), docs.schema)
+    return docs

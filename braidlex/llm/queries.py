@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, media, mixing, sharding, simhash_dedup, substring_dedup, toxicity
+from . import decontaminate, html_extract, license_scan, lm_score, media, mixing, sharding, simhash_dedup, substring_dedup, toxicity
 from .base import table
 
 #: Production targets: shares proportional to a dimension's tokens to these powers.
@@ -18,11 +18,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.drop_repeats(table(spark, sf_dir, "documents"), window_words=20, with_text=False)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(table(spark, sf_dir, "documents"), order=2)
+    return scored.select("doc_id", "n_words", "n_backoff", F.round("log_score", 5).alias("log_score"), F.round("mean_log_score", 7).alias("mean_log_score"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and test item that share a passage."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=20, similarity=0.8)
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4, seed=42)
 
@@ -51,7 +60,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_substring_dedup,
+    op2_lm_score,
     op3_decontaminate,
+    op4_html_extract,
     op5_simhash_dedup,
     op6_mixing,
     op7_sharding,
@@ -66,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.mix_sql(MIX_POWERS)}
+    return {"op2_lm_score": lm_score.SQL, "op6_mixing": mixing.mix_sql(MIX_POWERS)}

@@ -258,3 +258,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: in
     named = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_print = classes.join(named, "label").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
+    """The documents, all columns, but those of a class whose smallest doc_id is another one.
+
+    Rows without an id are kept: nothing tells them apart. Of rows that share
+    an id one is kept.
+    """
+    classes = near_duplicates(docs, shingle, radius, seed)
+    gone = classes.filter("doc_id > component_id").select(F.col("doc_id").alias("__gone"))
+    kept = docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
+    shared = classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if shared.isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))

@@ -257,6 +257,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> DataFrame:
-    """The documents, all columns, that the model does not hold toxic."""
-    bad = score(docs, fit(docs, labels, max_train)).filter("predicted = 1").select(F.col("doc_id").alias("__toxic")).distinct()
-    return docs.join(bad, docs.doc_id == F.col("__toxic"), "left_anti").select(*docs.columns)
+    """The documents, all columns, that the model does not hold toxic; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_train))
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        cache = WordScores(model.weights)
+        for batch in batches:
+            judged = (passages(model, cache, text or b"") for text in binary(batch.column("text")))
+            yield batch.filter(pa.array([model.score_of(evidence, best) < 0.5 for _, _, evidence, best in judged], pa.bool_()))
+
+    return docs.mapInArrow(rows_of, docs.schema)
