@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Rolling, WordHashes, binary, hash_words, mix, signed
+from .base import Rolling, WordHashes, binary, columns_as, hash_words, mix, signed
 
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 ASIDE = 0xA24BAED4963EE407
@@ -43,8 +43,17 @@ ASIDE = 0xA24BAED4963EE407
 CHUNK_WORDS = 600_000
 
 WITNESS, WITNESS_MIXED, SURVIVOR, REMOVED = 0, 1, 2, 3
-_HALF_ROWS = "key long, run_hash long, doc_id long, start int, n int, state int"
-_FULL_ROWS = "key long, check long, doc_id long, start int, n int, removed boolean"
+#: ``place`` packs start, number of windows and state (two bits): fewer bytes to shuffle, and ordered by start.
+_HALF_ROWS = "key long, run_hash long, doc_id long, place long"
+_FULL_ROWS = "key long, check long, doc_id long, place long"
+
+
+def _pack(start: np.ndarray, n: np.ndarray, state: np.ndarray) -> np.ndarray:
+    return start.astype(np.int64) << 22 | n.astype(np.int64) << 2 | state
+
+
+def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 22, place >> 2 & 0xFFFFF, place & 3
 
 
 def _doc_chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
@@ -140,8 +149,8 @@ def half_level(window_words: int):
             alone = state >= SURVIVOR
             key = np.where(alone, _lone_key(doc, start, ASIDE), key)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[keep]) for x in (signed(key), signed(run), doc, start.astype(np.int32), count.astype(np.int32), state.astype(np.int32))],
-                names=["key", "run_hash", "doc_id", "start", "n", "state"],
+                [pa.array(x[keep]) for x in (signed(key), signed(run), doc, _pack(start, count, state))],
+                names=["key", "run_hash", "doc_id", "place"],
             )
 
     return rows_of
@@ -156,7 +165,8 @@ def full_level(window_words: int):
             sizes = [len(r) for r in runs]
             run = np.concatenate(runs)
             base, doc = np.repeat(starts[:-1], sizes), np.repeat(np.array([r[1] for r in rows], np.int64), sizes)
-            start, n, gone = run >> 20, (run >> 1) & 0x7FFFF, (run & 1).astype(bool)
+            start, n, state = _unpack(run)
+            gone = state == REMOVED
             live = ~gone
             n_live = n[live]
             total = int(n_live.sum())
@@ -172,15 +182,14 @@ def full_level(window_words: int):
             repeat = (of != of[lead]) | (at != at[lead])
             keep = ~same | repeat
             key = np.where(same, _lone_key(of, at, ASIDE), key)
-            parts = [
-                (signed(key)[keep], signed(check)[keep], of[keep], at[keep], np.ones(int(keep.sum()), np.int64), same[keep]),
-                (signed(_lone_key(doc, start, ASIDE))[gone], np.zeros(int(gone.sum()), np.int64), doc[gone], start[gone], n[gone], np.ones(int(gone.sum()), bool)),
-            ]
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in (*cols[:3], cols[3].astype(np.int32), cols[4].astype(np.int32), cols[5])],
-                names=["key", "check", "doc_id", "start", "n", "removed"],
+            settled = np.where(same, REMOVED, SURVIVOR)
+            columns = (
+                np.concatenate([signed(key)[keep], signed(_lone_key(doc, start, ASIDE))[gone]]),
+                np.concatenate([signed(check)[keep], np.zeros(int(gone.sum()), np.int64)]),
+                np.concatenate([of[keep], doc[gone]]),
+                np.concatenate([_pack(at, np.ones(len(at), np.int64), settled)[keep], _pack(start, n, state)[gone]]),
             )
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "check", "doc_id", "place"])
 
     return rows_of
 
@@ -194,7 +203,7 @@ def remove_words(window_words: int, with_text: bool):
                 kept = words
                 if spans:
                     span = np.array(spans, np.int64)
-                    start, n = span >> 20, span & 0xFFFFF
+                    start, n, _ = _unpack(span)
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + n + window_words - 1, -1)
@@ -215,33 +224,38 @@ def remove_words(window_words: int, with_text: bool):
     return rows_of
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return columns_as(docs, doc_id="bigint", text="string")
+
+
 def repeated_spans(docs: DataFrame, window_words: int = 20) -> DataFrame:
-    """Runs of windows whose words also start earlier: doc_id, start, n (windows start .. start+n-1)."""
+    """doc_id, place: packed runs of windows whose words also start earlier."""
     if window_words < 2:
         raise ValueError("window_words must be at least 2")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = texts.filter("doc_id is not null")
-    half = known.mapInArrow(half_level(window_words), _HALF_ROWS)
+    known = _texts(docs).filter("doc_id is not null")
+    # dealt out before the window's inputs are computed, so that four longs a row are shuffled
+    half = known.mapInArrow(half_level(window_words), _HALF_ROWS).repartition("key")
+    state = F.col("place").bitwiseAND(3)
     by_key = Window.partitionBy("key")
-    ordered = by_key.orderBy("run_hash", "doc_id", "start")
-    open_run = F.when(F.col("state") <= WITNESS_MIXED, F.col("run_hash"))
-    first = F.struct("doc_id", "start")
+    ordered = by_key.orderBy("run_hash", "doc_id", "place")
+    start = F.shiftright("place", 22)
+    first = F.struct(F.col("doc_id"), start.alias("start"))
+    open_run = F.when(state <= WITNESS_MIXED, F.col("run_hash"))
     judged = half.withColumns({
-        "lead": F.first(first).over(Window.partitionBy("key", "run_hash").orderBy("doc_id", "start")),
+        "lead": F.first(first).over(Window.partitionBy("key", "run_hash").orderBy("doc_id", "place")),
         "repeat": F.coalesce(F.lag("run_hash").over(ordered) == F.col("run_hash"), F.lit(False)),
-        "mixed": (F.min(open_run).over(by_key) < F.max(open_run).over(by_key)) | (F.max(F.when(F.col("state") == WITNESS_MIXED, 1).otherwise(0)).over(by_key) == 1),
+        "mixed": (F.min(open_run).over(by_key) < F.max(open_run).over(by_key)) | (F.max(F.when(state == WITNESS_MIXED, 1).otherwise(0)).over(by_key) == 1),
     })
     settled = (
-        F.when(F.col("state") == REMOVED, 1)
-        .when(F.col("state") == SURVIVOR, 0)
-        .when(F.col("repeat"), F.when(F.col("lead") < first, 1))
-        .when(F.col("mixed"), 0)
+        F.when(state >= SURVIVOR, state)
+        .when(F.col("repeat"), F.when(F.col("lead") < first, REMOVED))
+        .when(F.col("mixed"), SURVIVOR)
     )
-    survivors = judged.select("doc_id", (F.col("start").cast("long") * (1 << 20) + F.col("n") * 2 + settled).alias("run")).filter("run is not null")
+    survivors = judged.select("doc_id", (F.shiftleft(F.shiftright("place", 2), 2) + settled).alias("run")).filter("run is not null")
     runs = survivors.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    full = known.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(full_level(window_words), _FULL_ROWS)
-    lead = F.first(first).over(Window.partitionBy("key", "check").orderBy("doc_id", "start"))
-    return full.withColumn("lead", lead).filter(F.col("removed") | (F.col("lead") < first)).select("doc_id", "start", "n")
+    full = known.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(full_level(window_words), _FULL_ROWS).repartition("key")
+    lead = F.first(first).over(Window.partitionBy("key", "check").orderBy("doc_id", "place"))
+    return full.withColumn("lead", lead).filter((state == REMOVED) | (F.col("lead") < first)).select("doc_id", "place")
 
 
 def drop_repeats(docs: DataFrame, window_words: int = 20, with_text: bool = True) -> DataFrame:
@@ -251,8 +265,10 @@ def drop_repeats(docs: DataFrame, window_words: int = 20, with_text: bool = True
     starts earlier (smaller doc_id, or same document and earlier start) goes;
     windows are judged on the input, not on what is left.
     """
-    spans = repeated_spans(docs, window_words)
-    packed = spans.groupBy("doc_id").agg(F.collect_list(F.col("start").cast("long") * (1 << 20) + F.col("n")).alias("spans"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    packed = repeated_spans(docs, window_words).groupBy("doc_id").agg(F.collect_list("place").alias("spans"))
+    texts = _texts(docs)
+    # the filtered texts are those of repeated_spans, so their shuffle is reused
+    judged = texts.filter("doc_id is not null").join(packed, "doc_id", "left")
+    unnamed = texts.filter("doc_id is null").withColumn("spans", F.lit(None).cast("array<long>"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return texts.join(packed, "doc_id", "left").mapInArrow(remove_words(window_words, with_text), schema)
+    return judged.unionByName(unnamed).mapInArrow(remove_words(window_words, with_text), schema)
