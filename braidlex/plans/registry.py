@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from braidlex.plans import dialogues, evaluation
+
 Query = Callable[[SparkSession, str], DataFrame]
+PARTS = (evaluation, dialogues)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The evaluator's verdict on every document."""
+    return queries()["q_verdict"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for part in PARTS for name, query in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.oracle_sql().items()}
