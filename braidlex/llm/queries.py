@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lm_score": lm_score.SQL, "op6_mixing": mixing.mix_sql(MIX_POWERS)}
+    return {"op1_substring_dedup": substring_dedup.SQL, "op2_lm_score": lm_score.SQL, "op6_mixing": mixing.mix_sql(MIX_POWERS)}

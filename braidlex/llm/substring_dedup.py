@@ -272,3 +272,15 @@ def drop_repeats(docs: DataFrame, window_words: int = 20, with_text: bool = True
     unnamed = texts.filter("doc_id is null").withColumn("spans", F.lit(None).cast("array<long>"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return judged.unionByName(unnamed).mapInArrow(remove_words(window_words, with_text), schema)
+
+
+#: DuckDB SQL for the rows of ``drop_repeats(documents, 20, with_text=False)``.
+SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(a) - 18)) AS i, unnest(list_transform(range(1, len(a) - 18), lambda i: md5(array_to_string(a[i:i + 19], ' ')))) AS g FROM d WHERE len(a) >= 20),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS again FROM s),
+w AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS word FROM d),
+c AS (SELECT w.doc_id, w.i, word, coalesce(bool_or(again) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.i = w.i)
+SELECT d.doc_id, count(word)::BIGINT AS n_words, coalesce(sum(gone::INT), 0)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id"""
