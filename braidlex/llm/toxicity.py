@@ -4,7 +4,7 @@ Learning. Of the labelled rows at most ``max_train`` (those with the smallest
 hashes) give, by class, the number of texts with each feature; a feature is a
 word or one of its prefixes of 3 to 6 letters, so that inflected words share
 evidence. A feature's weight is its log-odds with a Dirichlet prior (half a
-text, plus the feature's share of both classes, ``PRIOR`` strong), kept where
+text, plus ``PRIOR`` times the feature's count in both classes), kept where
 it is ``MIN_ODDS`` or more and ``MIN_Z`` standard deviations above zero.
 
 Scoring. Each word scores its best feature, or a small penalty. A linear scan
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from .base import CACHE_WORDS, binary, columns_as
 
 PREFIXES = (3, 4, 5, 6)
-#: Strength of the informative prior; least z and log-odds of a kept feature; score of a word without one; largest expected chance matches.
-PRIOR, MIN_Z, MIN_ODDS, PENALTY, MAX_E = 500.0, 3.0, 2.0, -0.5, 0.05
+#: Strength of the informative prior, as a share of the counts; least z and log-odds of a kept feature; score of a word without one; largest expected chance matches.
+PRIOR, MIN_Z, MIN_ODDS, PENALTY, MAX_E = 0.002, 3.0, 2.0, -0.5, 0.05
 _WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -174,15 +174,23 @@ def _solve_rate(scores: np.ndarray, shares: np.ndarray) -> float:
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
-    """Ridge logistic regression on two inputs by Newton steps."""
+    """Ridge logistic regression on two inputs by Newton steps, halved until the loss falls."""
     design = np.column_stack([np.ones(len(x)), np.log1p(x)])
     beta = np.zeros(3)
     penalty = np.diag([1e-3, ridge, ridge])
-    for _ in range(40):
+
+    def loss(at: np.ndarray) -> float:
+        z = design @ at
+        return float(np.sum(np.logaddexp(0, z) - y * z) + at @ penalty @ at / 2)
+
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -40, 40)))
         step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + penalty, design.T @ (y - p) - penalty @ beta)
-        beta += step
-        if np.abs(step).max() < 1e-8:
+        now, share = loss(beta), 1.0
+        while loss(beta + share * step) > now and share > 1e-6:
+            share /= 2
+        beta = beta + share * step
+        if np.abs(share * step).max() < 1e-8:
             break
     return tuple(float(b) for b in beta)
 
@@ -196,9 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_feature
     if n0 + n1 == 0:
         return Model()
     both = F.col("n0") + F.col("n1")
-    prior = F.lit(0.5) + F.lit(PRIOR) * both / F.lit(n0 + n1)
+    prior = F.lit(0.5) + F.lit(PRIOR) * both
+    strength = PRIOR * (n0 + n1)
     one, none = F.col("n1") + prior, F.col("n0") + prior
-    odds = F.log(one / (F.lit(n1 + PRIOR) - one + 1)) - F.log(none / (F.lit(n0 + PRIOR) - none + 1))
+    odds = F.log(one / (F.lit(n1 + strength) - one + 1)) - F.log(none / (F.lit(n0 + strength) - none + 1))
     z = odds / F.sqrt(1 / one + 1 / none)
     kept = counts.select("feature", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS)).orderBy(F.desc("z"), "feature").limit(max_features)
     weights = {bytes(r.feature): float(r.odds) for r in kept.collect()}  # at most max_features rows
