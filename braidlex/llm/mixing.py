@@ -73,8 +73,8 @@ def targets(cells: DataFrame, dim: str, wanted: float | DataFrame) -> DataFrame:
         raw = raw.join(cells.groupBy(dim).agg(F.sum("tokens").alias("have")), dim, "left_semi")
     else:
         raw = cells.groupBy(dim).agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(wanted))).alias("raw"))
-    total = raw.agg(F.sum("raw").alias("total"))  # one row
-    return raw.crossJoin(F.broadcast(total)).select(dim, (F.col("raw") / F.col("total")).alias("share"))
+    total = raw.agg(F.sum("raw").alias("total")).first().total  # one number
+    return raw.select(dim, (F.col("raw") / F.lit(total or 1.0)).alias("share"))
 
 
 def rake(cells: DataFrame, wanted: dict[str, float | DataFrame], sweeps: int) -> DataFrame:
@@ -105,8 +105,8 @@ def mix(docs: DataFrame, wanted: dict[str, float | DataFrame], budget: float = 1
     tokens = F.sum("n_tokens").alias("tokens")
     cells = cut(rows.groupBy(*DIMS).agg(tokens).filter("tokens > 0"), "cells")
     raked = rake(cells, wanted, sweeps)
-    total = cells.agg(F.sum("tokens").alias("total"))  # one row
-    weights = raked.crossJoin(F.broadcast(total)).select(*DIMS, F.round(F.col("mass") * F.col("total") * budget / F.col("tokens"), 9).alias("weight"))
+    total = cells.agg(F.sum("tokens").alias("total")).first().total or 0  # one number
+    weights = raked.select(*DIMS, F.round(F.col("mass") * F.lit(total) * budget / F.col("tokens"), 9).alias("weight"))
     joined = rows.join(weights, list(DIMS), "left")
     weight = F.coalesce(F.col("weight"), F.lit(0.0))
     part = F.round(weight - F.floor(weight), 9)
