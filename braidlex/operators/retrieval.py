@@ -33,7 +33,7 @@ def ttl_cache(requests: DataFrame, keys: list[str], time: str, order: str, ttl_s
 
     A fold over the key's times in order (a true recurrence, so no window).
     """
-    packed = requests.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), F.col(order).alias("o")))).alias("calls"))
+    packed = requests.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(time).cast("timestamp").alias("t"), F.col(order).alias("o")))).alias("calls"))
     start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.array().cast(f"array<struct<o:bigint,hit:boolean>>").alias("out"))
 
     def step(acc: Column, call: Column) -> Column:
