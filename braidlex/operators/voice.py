@@ -81,7 +81,7 @@ def voice_pairs(dialogues: DataFrame, voices: DataFrame) -> DataFrame:
 def speech_pieces(text: Column) -> Column:
     """Pieces behind each mark, trimmed, short ones joined while they stay within ``PIECE`` characters; else the text."""
     cut = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^{SPEECH_MARKS}]*[{SPEECH_MARKS}]|[^{SPEECH_MARKS}]+"), F.lit(0))
-    parts = F.filter(F.transform(cut, F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(cut, lambda p: F.trim(p)), lambda p: p != "")
     start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
 
     def step(acc: Column, part: Column) -> Column:
