@@ -11,7 +11,7 @@ for any ``b``; only the cost depends on it, and ``b`` is picked from the
 number of distinct fingerprints. Members of one key are compared bit-sliced:
 64 members are a lane block, stored vertically (plane ``i`` holds bit ``i`` of
 each member). A member is compared with a lane block by XOR of a plane with
-its own bit and a carry-save counter of three bits for each lane; a lane block
+its own bit and a carry-save counter of a few bits for each lane; a lane block
 is dropped once all lanes exceed the radius.
 
 Hot groups. Copies share a fingerprint and count once. A key with more than
@@ -37,11 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, binary, columns_as, cut
+from .base import U64, binary, columns_as, cut, mix
 
 ALL = U64(0xFFFFFFFFFFFFFFFF)
 ONE = U64(1)
 
+#: Min-hashes of a sketch, pairs of them that are keys, and the allowance of the estimate.
+SKETCH, BANDS, MARGIN = 128, 10, 0.07
+FACTORS = np.array([xxhash.xxh64_intdigest(str(i), 7) | 1 for i in range(SKETCH)], U64)
 #: Members of one key that are compared in one piece.
 TILE = 1024
 #: Lanes (pairs of members) compared at a time by one worker, and rows gathered for it.
@@ -146,23 +149,20 @@ def bitsliced_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple
     live = open_lanes != 0
     row, blk, open_lanes = row[live], blk[live], open_lanes[live]
     own = prints[row]
-    c0 = c1 = c2 = np.zeros(len(row), U64)
+    digits = [np.zeros(len(row), U64) for _ in range(max(3, (radius + 1).bit_length()))]
     over = np.zeros(len(row), U64)
-    limit = [ALL if radius >> i & 1 else U64(0) for i in range(3)]
     for b in range(64):
-        x = planes[b][blk] ^ (U64(0) - ((own >> U64(b)) & ONE))
-        t = c0 & x
-        c0 = c0 ^ x
-        u = c1 & t
-        c1 = c1 ^ t
-        over = over | (c2 & u)
-        c2 = c2 ^ u
-        greater = (c2 & ~limit[2]) | (~(c2 ^ limit[2]) & ((c1 & ~limit[1]) | (~(c1 ^ limit[1]) & (c0 & ~limit[0]))))
-        over = over | greater
+        carry = planes[b][blk] ^ (U64(0) - ((own >> U64(b)) & ONE))
+        greater = np.zeros(len(row), U64)
+        for i, digit in enumerate(digits):
+            digits[i], carry = digit ^ carry, digit & carry
+            greater = digits[i] | greater if not radius >> i & 1 else digits[i] & greater
+        over = over | carry | greater
         if b % 8 == 7:
             live = (open_lanes & ~over) != 0
             if not live.all():
-                row, blk, open_lanes, own, c0, c1, c2, over = (y[live] for y in (row, blk, open_lanes, own, c0, c1, c2, over))
+                row, blk, open_lanes, own, over = (y[live] for y in (row, blk, open_lanes, own, over))
+                digits = [d[live] for d in digits]
             if not len(row):
                 break
     hit = open_lanes & ~over
@@ -177,58 +177,74 @@ def bitsliced_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple
     return np.concatenate(us), np.concatenate(vs)
 
 
-def group_links(radius: int):
-    """Rows (grp, fp), sorted by grp, to the links (fp, root) of a spanning forest of each chunk of groups."""
+def group_links(radius: int, similarity: float | None = None):
+    """Rows (grp, fp, node, sketch), sorted by grp, to the links (node, root) of a spanning forest of each chunk of groups.
 
-    def links(group: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+    With ``similarity``, a pair within the radius links only where its sketches
+    agree in about that share of their values.
+    """
+
+    def links(group: np.ndarray, prints: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
         u, v = bitsliced_links(group, prints, radius)
-        distinct, at = np.unique(prints, return_inverse=True)
+        if similarity is not None and len(u):
+            least = (similarity - MARGIN) * SKETCH
+            alike = [np.count_nonzero(sketch[u[k : k + 50_000]] == sketch[v[k : k + 50_000]], axis=1) >= least for k in range(0, len(u), 50_000)]
+            keep = np.concatenate(alike)
+            u, v = u[keep], v[keep]
+        distinct, at = np.unique(node, return_inverse=True)
         label = local_forest(len(distinct), at[u], at[v])
         child = np.flatnonzero(label != np.arange(len(distinct)))
-        return pa.RecordBatch.from_arrays([pa.array(distinct[child].view(np.int64)), pa.array(distinct[label[child]].view(np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(distinct[child]), pa.array(distinct[label[child]])], names=["a", "b"])
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, prints = np.zeros(0, np.int64), np.zeros(0, U64)
+        held = (np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros((0, SKETCH), np.uint16))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            group = np.concatenate([group, batch.column("grp").to_numpy()])
-            prints = np.concatenate([prints, batch.column("fp").to_numpy().view(U64)])
+            new = [batch.column("grp").to_numpy(), batch.column("fp").to_numpy().view(U64), batch.column("node").to_numpy()]
+            new.append(np.zeros((batch.num_rows, 0), np.uint16) if similarity is None else np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u2").reshape(-1, SKETCH))
+            held = tuple(np.concatenate([a, b]) if len(a) else b for a, b in zip(held, new, strict=True))
             while True:
-                ends = np.flatnonzero(np.diff(group)) + 1  # the last group may go on in the next batch
+                ends = np.flatnonzero(np.diff(held[0])) + 1  # the last group may go on in the next batch
                 if not len(ends):
                     break
                 work = np.cumsum(np.diff(ends, prepend=0).astype(np.float64) ** 2)
                 fit = ends[max(1, int(np.searchsorted(work, CHUNK_PAIRS))) - 1]
-                if fit == ends[-1] and work[-1] < CHUNK_PAIRS and len(group) < CHUNK_ROWS:
+                if fit == ends[-1] and work[-1] < CHUNK_PAIRS and len(held[0]) < CHUNK_ROWS:
                     break
-                yield links(group[:fit], prints[:fit])
-                group, prints = group[fit:], prints[fit:]
-        while len(group):
-            ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
+                yield links(*(x[:fit] for x in held))
+                held = tuple(x[fit:] for x in held)
+        while len(held[0]):
+            ends = np.append(np.flatnonzero(np.diff(held[0])) + 1, len(held[0]))
             work = np.cumsum(np.diff(ends, prepend=0).astype(np.float64) ** 2)
             fit = ends[max(1, int(np.searchsorted(work, CHUNK_PAIRS))) - 1]
-            yield links(group[:fit], prints[:fit])
-            group, prints = group[fit:], prints[fit:]
+            yield links(*(x[:fit] for x in held))
+            held = tuple(x[fit:] for x in held)
 
     return rows_of
 
 
+def tiled(rows: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
+    """Rows by group id: a key with more than ``TILE`` rows is cut into tiles, each paired with each."""
+    hot = rows.groupBy(*keys).count().filter(F.col("count") > TILE).select(*keys, F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    tiles = F.coalesce(F.col("tiles"), F.lit(1))
+    own = F.pmod(F.xxhash64(*payload[:2]), tiles)
+    other = F.explode(F.sequence(F.lit(0), (tiles - 1).cast("int")))
+    split = rows.join(hot, keys, "left").select(*keys, *payload, own.alias("own"), other.alias("other"))
+    grouped = split.select(F.xxhash64(*keys, F.least("own", "other"), F.greatest("own", "other")).alias("grp"), *payload)
+    return grouped.repartition("grp").sortWithinPartitions("grp")
+
+
 def fingerprint_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b) between distinct fingerprints whose components are those of all pairs within the radius."""
     if not 0 <= radius <= 6:
-        raise ValueError("the lane counters hold radii from 0 to 6")
+        raise ValueError("tables of agreeing blocks serve radii from 0 to 6; near_copies takes wider ones")
     blocks = choose_blocks(distinct.count(), radius)
     masks = table_masks(blocks, radius)
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
     rows = distinct.select("fp", F.inline(keys))
-    hot = rows.groupBy("t", "key").count().filter(F.col("count") > TILE).select("t", "key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    tiles = F.coalesce(F.col("tiles"), F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), tiles)
-    other = F.explode(F.sequence(F.lit(0), (tiles - 1).cast("int")))
-    split = rows.join(hot, ["t", "key"], "left").select("t", "key", "fp", own.alias("own"), other.alias("other"))
-    grouped = split.select(F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "fp")
-    return grouped.repartition("grp").sortWithinPartitions("grp").mapInArrow(group_links(radius), "a long, b long").distinct()
+    grouped = tiled(rows.withColumn("node", F.col("fp")), ["t", "key"], ["fp", "node"])
+    return grouped.mapInArrow(group_links(radius), "a long, b long").distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -260,16 +276,59 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: in
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
-    """The documents, all columns, but those of a class whose smallest doc_id is another one.
+def signature(hashes: list[int]) -> tuple[list[int], bytes]:
+    """Band keys and the sketch (16 bits of each of ``SKETCH`` min-hashes) of a set of shingle hashes."""
+    low = np.full(SKETCH, ALL, U64)
+    h = np.array(hashes, U64)
+    for k in range(0, len(h), 4096):
+        low = np.minimum(low, (h[k : k + 4096, None] * FACTORS).min(axis=0))
+    low = mix(low)
+    bands = mix(low[: 2 * BANDS : 2] * U64(0x9E3779B97F4A7C15) ^ low[1 : 2 * BANDS : 2])
+    return bands.view(np.int64).tolist(), (low >> U64(48)).astype("<u2").tobytes()
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 18, seed: int = 42) -> DataFrame:
+    """doc_id and component_id where documents link at a Jaccard similarity of shingles of about ``similarity`` or more.
+
+    Fingerprints of such pairs differ in up to a quarter of their bits (at 0.8
+    ten on average), which no exact table of agreeing blocks serves. So the
+    groups that are compared bit-sliced come from pairs of min-hashes (ten
+    pairs: 99.996 % of the pairs at 0.8 meet), the radius is wide, and pairs
+    within it are confirmed by 128 min-hashes, ``MARGIN`` (two standard errors)
+    below the similarity.
+    """
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, bands, sketches = [], [], []
+            for text in binary(batch.column("text")):
+                hashes = shingle_hashes(text or b"", shingle, seed)
+                band, sketch = signature(hashes)
+                prints.append(majority_bits(hashes))
+                bands.append(band)
+                sketches.append(sketch)
+            columns = [batch.column("doc_id"), pa.array(np.array(prints, U64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "bands", "sketch"])
+
+    texts = columns_as(docs, doc_id="bigint", text="string").filter("doc_id is not null")
+    rows = cut(texts.mapInArrow(rows_of, "doc_id long, fp long, bands array<long>, sketch binary"), "signatures")
+    same = cut(rows.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "same")
+    grouped = tiled(same.select("fp", "node", "sketch", F.posexplode("bands").alias("t", "key")), ["t", "key"], ["fp", "node", "sketch"])
+    labels = connected(grouped.mapInArrow(group_links(radius, similarity), "a long, b long").distinct())
+    classes = same.join(labels, "node", "left").select("fp", "sketch", F.coalesce("label", "node").alias("component_id"))
+    return rows.select("doc_id", "fp", "sketch").join(classes, ["fp", "sketch"]).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """The documents, all columns, but those of a class of near copies whose smallest doc_id is another one.
 
     Rows without an id are kept: nothing tells them apart. Of rows that share
     an id one is kept.
     """
-    classes = near_duplicates(docs, shingle, radius, seed)
+    classes = near_copies(docs, shingle, similarity, seed=seed)
     gone = classes.filter("doc_id > component_id").select(F.col("doc_id").alias("__gone"))
     kept = docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
-    shared = classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    shared = classes.groupBy("doc_id").count().filter("count > 1")
     if shared.isEmpty():
         return kept
     return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))

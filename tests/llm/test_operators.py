@@ -180,9 +180,23 @@ def test_simhash(docs, rows, monkeypatch, tile):
             best[label[p]] = min(best.get(label[p], i), i)
     assert len(got) == len(rows)
     assert all(r.fingerprint == f"{prints[r.doc_id]:016x}" and r.component_id == best[label[prints[r.doc_id]]] for r in got)
-    kept = simhash_dedup.keep_one(docs, 4)
+
+
+@pytest.mark.parametrize("tile", [1024, 4])
+def test_near_copies(docs, rows, monkeypatch, tile):
+    monkeypatch.setattr(simhash_dedup, "TILE", tile)
+    label = {r.doc_id: r.component_id for r in simhash_dedup.near_copies(docs).collect()}
+    sets = {i: frozenset(simhash_dedup.shingle_hashes((t or "").encode(), 5, 42)) for i, t, *_ in rows if i is not None}
+    alike = lambda a, b: 1.0 if sets[a] == sets[b] else len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if alike(a, b) >= 0.8:
+            assert label[a] == label[b]
+    for a in sets:  # nothing is linked but over similar texts
+        assert label[a] == a or any(alike(a, b) >= 0.6 for b in sets if b != a and label[b] == label[a])
+        assert label[a] == min(b for b in sets if label[b] == label[a])
+    kept = simhash_dedup.keep_one(docs)
     ids = [r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None]
-    assert kept.columns == docs.columns and sorted(ids) == sorted(set(best.values()))
+    assert kept.columns == docs.columns and sorted(ids) == sorted(set(label.values()))
 
 
 def test_bitsliced_links_all_distances():
