@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .base import cut
+
 #: Rows of a bucket that are sorted together, on average.
 BUCKET_ROWS = 4096
 
@@ -59,20 +61,20 @@ def interleave(df: DataFrame, shards: int = 24, seed: int = 11, source: str = "s
     spread = in_source.join(sizes, "__source").withColumn("__at", (F.col("__rank") + shift) / F.col("__n"))
     spread = spread.withColumns({"bucket": F.least(F.floor(F.col("__at") * (1 << bits)), F.lit((1 << bits) - 1)), "__all": F.lit(0)})
     whole = ranked(spread, ["__all"], ["__at", "__source", "__h", *tie], bits, "__place")
-    place, cut = F.col("__place"), extra * (base + 1)
-    high = F.floor((place - cut) / max(base, 1)) + extra
-    shard = F.when(place < cut, F.floor(place / (base + 1))).otherwise(high).cast("int")
-    slot = F.when(place < cut, place % (base + 1)).otherwise((place - cut) % max(base, 1)).cast("long")
+    place, large = F.col("__place"), extra * (base + 1)
+    high = F.floor((place - large) / max(base, 1)) + extra
+    shard = F.when(place < large, F.floor(place / (base + 1))).otherwise(high).cast("int")
+    slot = F.when(place < large, place % (base + 1)).otherwise((place - large) % max(base, 1)).cast("long")
     return whole.select(*df.columns, shard.alias("shard"), slot.alias("slot"))
 
 
 def digest(docs: DataFrame, shards: int = 24, seed: int = 11) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: the assignment without the texts."""
-    light = docs.select(
+    light = docs.select(  # written once, so that the texts are read once
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     )
-    out = interleave(light, shards, seed, tie=("doc_id", "text_crc32", "size"))
+    out = interleave(cut(light, "sizes"), shards, seed, tie=("doc_id", "text_crc32", "size"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
