@@ -28,22 +28,22 @@ BUCKET_ROWS = 4096
 
 
 def _prefix(counts: DataFrame, by: list[str], bits: int) -> DataFrame:
-    """counts(by, bucket, n) plus ``before``: rows in smaller buckets, summed in two levels."""
-    coarse = counts.withColumn("coarse", F.shiftright("bucket", (bits + 1) // 2))
-    heads = coarse.groupBy(*by, "coarse").agg(F.sum("n").alias("m"))
-    ahead = Window.partitionBy(*by).orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(*by, "coarse", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("head"))
-    inner = Window.partitionBy(*by, "coarse").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    fine = coarse.withColumn("within", F.coalesce(F.sum("n").over(inner), F.lit(0)))
-    return fine.join(heads, [*by, "coarse"]).select(*by, "bucket", (F.col("head") + F.col("within")).alias("before"))
+    """counts(by, __bucket, __cnt) plus ``__before``: rows in smaller buckets, summed in two levels."""
+    coarse = counts.withColumn("__coarse", F.shiftright("__bucket", (bits + 1) // 2))
+    heads = coarse.groupBy(*by, "__coarse").agg(F.sum("__cnt").alias("__m"))
+    ahead = Window.partitionBy(*by).orderBy("__coarse").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*by, "__coarse", F.coalesce(F.sum("__m").over(ahead), F.lit(0)).alias("__head"))
+    inner = Window.partitionBy(*by, "__coarse").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    fine = coarse.withColumn("__within", F.coalesce(F.sum("__cnt").over(inner), F.lit(0)))
+    return fine.join(heads, [*by, "__coarse"]).select(*by, "__bucket", (F.col("__head") + F.col("__within")).alias("__before"))
 
 
 def ranked(df: DataFrame, by: list[str], order: list[str], bits: int, name: str) -> DataFrame:
-    """``df`` plus its place from 0 within ``by``; ``bucket`` must grow with ``order`` and have ``bits`` bits."""
-    before = _prefix(df.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("n")), by, bits)
-    inner = Window.partitionBy(*by, "bucket").orderBy(*order)
-    placed = df.join(before, [*by, "bucket"]).withColumn(name, F.col("before") + F.row_number().over(inner) - 1)
-    return placed.drop("bucket", "before")
+    """``df`` plus its place from 0 within ``by``; ``__bucket`` must grow with ``order`` and have ``bits`` bits."""
+    before = _prefix(df.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__cnt")), by, bits)
+    inner = Window.partitionBy(*by, "__bucket").orderBy(*order)
+    placed = df.join(before, [*by, "__bucket"]).withColumn(name, F.col("__before") + F.row_number().over(inner) - 1)
+    return placed.drop("__bucket", "__before")
 
 
 def interleave(df: DataFrame, shards: int = 24, seed: int = 11, source: str = "source", tie: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -54,12 +54,12 @@ def interleave(df: DataFrame, shards: int = 24, seed: int = 11, source: str = "s
     keyed = df.withColumns({
         "__source": F.coalesce(F.col(source).cast("string"), F.lit("")),
         "__h": F.shiftrightunsigned(F.xxhash64(F.lit(seed), *tie), 1),
-    }).withColumn("bucket", F.shiftright("__h", 63 - bits))
+    }).withColumn("__bucket", F.shiftright("__h", 63 - bits))
     in_source = ranked(keyed, ["__source"], ["__h", *tie], bits, "__rank")
     sizes = keyed.groupBy("__source").agg(F.count(F.lit(1)).alias("__n"))
     shift = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__source"), 11) / F.lit(float(1 << 53))
     spread = in_source.join(sizes, "__source").withColumn("__at", (F.col("__rank") + shift) / F.col("__n"))
-    spread = spread.withColumns({"bucket": F.least(F.floor(F.col("__at") * (1 << bits)), F.lit((1 << bits) - 1)), "__all": F.lit(0)})
+    spread = spread.withColumns({"__bucket": F.least(F.floor(F.col("__at") * (1 << bits)), F.lit((1 << bits) - 1)), "__all": F.lit(0)})
     whole = ranked(spread, ["__all"], ["__at", "__source", "__h", *tie], bits, "__place")
     place, large = F.col("__place"), extra * (base + 1)
     high = F.floor((place - large) / max(base, 1)) + extra
