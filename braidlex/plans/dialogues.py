@@ -245,7 +245,21 @@ SELECT id, CASE WHEN t LIKE '"%' AND t LIKE '%"' THEN {trim("t[2:greatest(length
     people = _values(tuple((i, *r) for i, r in enumerate(PERSONA_TEXTS)), "id, text, job")
     fem, mal = _contains_sum("lower(text)", V.FEMALE), _contains_sum("lower(text)", V.MALE)
     both = "lower(text || ' ' || job)"
+    level = f"({S.LEVEL_SQL})"
+    spoken = f"CASE {level} " + " ".join(f"WHEN {_q(k)} THEN {_q(v.format(l1_name='Chinese', l2_name='English'))}" for k, v in S.LEVEL_TEXT.items()) + " END"
+    pair_a = S.sample_sql("(SELECT c_custkey AS row, c_custkey || ':a' AS draw FROM customer)", row="draw", name="pa")
+    pair_b = S.sample_sql("(SELECT c_custkey AS row, i AS attempt, c_custkey || ':b:' || i AS draw FROM customer, range(1, 12) r(i))", row="draw", name="pb")
+    past = "coalesce(string_agg(role || '：' || coalesce(text, ''), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')"
+    gap = "chr(10) || chr(10)"
     return {
+        "sa12_level_text": f"WITH {sa} SELECT row, {spoken} AS description FROM sa",
+        "sa15_speaker_pair": f"""WITH {pair_a},\n{pair_b} SELECT pb.row, pa.persona AS persona_a, pa.archetype AS archetype_a, pa.effective_cmi AS effective_cmi_a, attempt::INT AS attempt, pb.persona AS persona_b, pb.archetype AS archetype_b,
+  pb.effective_cmi AS effective_cmi_b FROM pb JOIN pa ON pa.row = pb.row WHERE pa.persona <> pb.persona OR pa.archetype <> pb.archetype OR attempt = 11 QUALIFY row_number() OVER (PARTITION BY pb.row ORDER BY attempt) = 1""",
+        "dg14_turn_instruction": f"""SELECT conv_id, turn, 'As ' || role || CASE WHEN turn = 1 THEN ', start the conversation.' WHEN turn = 6 AND {S.draw_sql('close', 42, 'conv_id')} < 0.2 THEN ', respond and wrap up the conversation.'
+  WHEN turn = 6 THEN ', respond without a farewell.' ELSE ', respond: answer, ask, or extend the topic.' END AS instruction FROM conversations""",
+        "dg15_turn_prompt": f"""SELECT conv_id, turn, md5('Two friends.' || {gap} || CASE WHEN h <> '' THEN h || {gap} ELSE '' END || 'Reply.' || {gap} || 'Only output what you say, wrapped in <reply> tags.') AS prompt_md5
+  FROM (SELECT conv_id, turn, {past} AS h FROM conversations)""",
+        "dg16_system_prompt": f"WITH {sa} SELECT row, 'You are a ' || profession || ' from ' || region || '. You speak ' || {spoken} || '.' AS prompt FROM sa",
         "sa_profiles": f"WITH {sa} SELECT {', '.join(c for c in _PROFILE if c != 'level')}, {S.LEVEL_SQL} AS level FROM sa",
         "sa1_weighted_choice": f"WITH {sa} SELECT persona, count(*) AS n FROM sa GROUP BY ALL",
         "sa3_archetype_given_persona": f"WITH {sa} SELECT persona, archetype, count(*) AS n FROM sa GROUP BY ALL",
