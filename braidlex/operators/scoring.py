@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlex.functions.lang import SPACE
-from braidlex.plans.ranks import place_in_order
+from braidlex.plans.ranks import place_in_order, span_of
 
 # Garbage patterns, reasoning markers, natural endings, region and register markers.
 GARBAGE = r"<[a-zA-Z/][^>]*>|&[a-z]+;|\\x[0-9a-fA-F]{2}|[\x00-\x08\x0b\x0c\x0e-\x1f]"
@@ -182,7 +182,8 @@ def diversity(inputs: DataFrame, key: str) -> DataFrame:
     overlap = shingles.join(earliest, "gram").groupBy(key).agg((F.sum((F.col("first") < F.col(key)).cast("int")) / F.count(F.lit(1))).alias("overlap"))
     hashes = inputs.groupBy("text_hash").agg(F.min(key).alias("first_copy"))
     light = inputs.select(key, "text_hash", "pattern")
-    ranks = place_in_order(place_in_order(light, [], key, "before_all"), ["pattern"], key, "before_same")
+    span = span_of(light, key)
+    ranks = place_in_order(place_in_order(light, [], key, "before_all", span), ["pattern"], key, "before_same", span)
     out = ranks.join(hashes, "text_hash").join(overlap, key, "left").withColumns({"is_copy": F.col("first_copy") < F.col(key), "overlap": F.coalesce("overlap", F.lit(0.0))})
     return apply_steps(out, DIVERSITY).drop("first_copy")
 

@@ -9,18 +9,25 @@ from pyspark.sql import functions as F
 RANGES = 256
 
 
-def place_in_order(df: DataFrame, by: list[str], key: str, name: str) -> DataFrame:
+def span_of(df: DataFrame, key: str) -> tuple[int, int] | None:
+    """The smallest and largest key; None for an empty table."""
+    row = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    return None if row.lo is None else (row.lo, row.hi)
+
+
+def place_in_order(df: DataFrame, by: list[str], key: str, name: str, span: tuple[int, int] | None = None) -> DataFrame:
     """``df`` plus the number of rows of its group with a smaller key (ties in any order).
 
     The key's span is cut into ranges of equal width; rows are counted by group
     and range, the counts are summed up to each range, and rows are ranked
     within their range only.
     """
-    span = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if span.lo is None:
+    span = span or span_of(df, key)
+    if span is None:
         return df.withColumn(name, F.lit(0).cast("long"))
-    width = max(1, -(-(span.hi - span.lo + 1) // RANGES))
-    ranged = df.withColumn("__range", F.floor((F.col(key) - span.lo) / width).cast("int"))
+    low, high = span
+    width = max(1, -(-(high - low + 1) // RANGES))
+    ranged = df.withColumn("__range", F.floor((F.col(key) - low) / width).cast("int"))
     counts = ranged.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
