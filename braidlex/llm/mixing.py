@@ -54,14 +54,16 @@ def topic_of(text: Column) -> Column:
     )
 
 
+def cell_of(docs: DataFrame) -> dict[str, Column]:
+    topic = F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in docs.columns else topic_of(F.col("text").cast("string"))
+    return {"source": F.coalesce(F.col("source").cast("string"), F.lit("")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "topic": topic}
+
+
 def features(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    topic = F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in docs.columns else topic_of(text)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-        topic.alias("topic"),
+        *[value.alias(dim) for dim, value in cell_of(docs).items()],
         F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_tokens"),
     )
 
@@ -96,30 +98,44 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def cell_weights(rows: DataFrame, wanted: dict[str, float | DataFrame], budget: float, sweeps: int) -> DataFrame:
+    """The cells of ``features`` with tokens, and their weights."""
+    tokens = F.sum("n_tokens").alias("tokens")
+    cells = cut(rows.groupBy(*DIMS).agg(tokens).filter("tokens > 0"), "cells")
+    raked = rake(cells, wanted, sweeps)
+    total = cells.agg(F.sum("tokens").alias("total")).first().total or 0  # one number
+    return raked.select(*DIMS, F.round(F.col("mass") * F.lit(total) * budget / F.col("tokens"), 9).alias("weight"))
+
+
+def last_copy(weight: Column) -> Column:
+    return F.round(weight - F.floor(weight), 9)
+
+
+def copies_of(weight: Column, doc_id: Column, seed: int) -> Column:
+    return (F.floor(weight) + F.when(draw(doc_id, seed) < last_copy(weight), 1).otherwise(0)).cast("long")
+
+
 def mix(docs: DataFrame, wanted: dict[str, float | DataFrame], budget: float = 1.0, sweeps: int = 8, seed: int = 7) -> DataFrame:
     """One row per document: its cell, n_tokens, weight, probability (of the last copy), copies.
 
     ``budget`` is the wanted number of tokens over the number at hand.
     """
     rows = cut(features(docs), "features")
-    tokens = F.sum("n_tokens").alias("tokens")
-    cells = cut(rows.groupBy(*DIMS).agg(tokens).filter("tokens > 0"), "cells")
-    raked = rake(cells, wanted, sweeps)
-    total = cells.agg(F.sum("tokens").alias("total")).first().total or 0  # one number
-    weights = raked.select(*DIMS, F.round(F.col("mass") * F.lit(total) * budget / F.col("tokens"), 9).alias("weight"))
-    joined = rows.join(weights, list(DIMS), "left")
+    joined = rows.join(cell_weights(rows, wanted, budget, sweeps), list(DIMS), "left")
     weight = F.coalesce(F.col("weight"), F.lit(0.0))
-    part = F.round(weight - F.floor(weight), 9)
-    return joined.select(
-        "doc_id", *DIMS, "n_tokens", weight.alias("weight"), part.alias("probability"),
-        (F.floor(weight) + F.when(draw(F.col("doc_id"), seed) < part, 1).otherwise(0)).cast("long").alias("copies"),
-    )
+    copies = copies_of(weight, F.col("doc_id"), seed)
+    return joined.select("doc_id", *DIMS, "n_tokens", weight.alias("weight"), last_copy(weight).alias("probability"), copies.alias("copies"))
 
 
 def sample(docs: DataFrame, wanted: dict[str, float | DataFrame], budget: float = 1.0, sweeps: int = 8, seed: int = 7) -> DataFrame:
-    """The documents, all columns, that are drawn at least once."""
-    chosen = mix(docs, wanted, budget, sweeps, seed).filter("copies > 0").select(F.col("doc_id").alias("__chosen")).distinct()
-    return docs.join(chosen, docs.doc_id.eqNullSafe(F.col("__chosen")), "left_semi").select(*docs.columns)
+    """The documents, all columns, each as often as it is drawn; the texts are not shuffled."""
+    weights = cell_weights(cut(features(docs), "features"), wanted, budget, sweeps)
+    own = {f"__{dim}": value for dim, value in cell_of(docs).items()}
+    of_cell = weights.select(*[F.col(dim).alias(f"__{dim}") for dim in DIMS], F.col("weight").alias("__weight"))
+    drawn = docs.withColumns(own).join(of_cell, list(own), "left")
+    copies = copies_of(F.coalesce(F.col("__weight"), F.lit(0.0)), F.col("doc_id").cast("long"), seed)
+    times = drawn.withColumn("__copies", copies).filter("__copies > 0")
+    return times.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
 
 
 def mix_sql(wanted: dict[str, float], budget: float = 1.0, sweeps: int = 8, seed: int = 7) -> str:

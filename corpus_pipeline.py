@@ -37,7 +37,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def draw_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by calibrated probabilities; a document drawn more than once is kept once."""
+    """Documents drawn by calibrated probabilities; a document comes as often as it is drawn."""
     return mixing.sample(docs, MIX_POWERS)
 
 
