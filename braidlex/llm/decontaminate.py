@@ -8,7 +8,9 @@ hit the texts are laid side by side and counted word by word.
 A passage counts as a leak where ``window`` aligned words (the whole item, if
 it is shorter) agree in at least ``similarity`` of their places. The fixed
 masks find every such passage of 20 words with up to four exchanged words,
-wherever these stand (the tests try all 4845 places).
+wherever these stand (the tests try all 4845 places). A shorter item is cut
+into one run of words more than it may have exchanged words, so one run is
+whole (the tests try all places for each length).
 
 Size. The test items are hashed in blocks of at most ``BLOCK_WORDS`` words, a
 bound checked by a count; each block is sent to the workers, which scan the
@@ -18,8 +20,8 @@ a larger suite takes more scans, and each stays within the same memory.
 Words: runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased.
 
 Defined results. Null or empty texts have no words and no hits, on either
-side. An item of fewer than ``MIN_ITEM`` words is too short to tell a leak and
-is not compared. Repeated documents each get their rows (one per row and
+side. An item of fewer than ``MIN_ITEM`` words is a leak only where all its
+words agree. Repeated documents each get their rows (one per row and
 item); repeated items with one id count as one row each. A null doc_id or
 item_id is carried through. Extra columns are ignored.
 """
@@ -40,7 +42,7 @@ from .base import U64, WordHashes, binary, columns_as, hash_words, mix
 
 #: The places that each mask keeps (1); any four exchanges in 20 words leave one of them whole.
 MASKS = ("1101111", "100100010111", "110100110001")
-#: Test words in one block, words of training text hashed at a time, and the shortest item compared.
+#: Test words in one block, words of training text hashed at a time, and the shortest item that may have exchanged words.
 BLOCK_WORDS, CHUNK_WORDS, MIN_ITEM = 400_000, 600_000, 8
 #: Bits of the filter in front of the table of test hashes.
 FILTER_BITS = 23
@@ -63,6 +65,17 @@ def masked(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(out)
 
 
+def least_same(n: int, window: int, similarity: float) -> int:
+    """How many words of an item of n words, or of a window of it, must agree."""
+    return n if n < MIN_ITEM else math.ceil(min(n, window) * similarity - 1e-9)
+
+
+def runs_of(n: int, window: int, similarity: float) -> list[tuple[int, int]]:
+    """(start, length) of disjoint runs of a short item, one more than words may be exchanged."""
+    runs = n - least_same(n, window, similarity) + 1
+    return [(i * (n // runs), n // runs) for i in range(runs)]
+
+
 @dataclass
 class Tests:
     """One block of test items, ready to be looked up."""
@@ -70,34 +83,48 @@ class Tests:
     ids: list
     words: np.ndarray
     starts: np.ndarray
+    least: np.ndarray
+    masks: list[tuple[str, int]]
     keys: np.ndarray
     places: np.ndarray
     bits: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple], cache: WordHashes) -> Tests:
-        kept = [(i, w) for i, t in items if len(w := (t or b"").translate(_WORD_TABLE).split()) >= MIN_ITEM]
+    def of(cls, items: list[tuple], cache: WordHashes, window: int, similarity: float) -> Tests:
+        kept = [(i, w) for i, t in items if (w := (t or b"").translate(_WORD_TABLE).split())]
         arrays = [hash_words(w, cache) for _, w in kept]
         starts = np.zeros(len(kept) + 1, np.int64)
         np.cumsum([len(a) for a in arrays], out=starts[1:])
         words = np.concatenate(arrays) if arrays else np.zeros(0, U64)
         item_of = np.repeat(np.arange(len(kept)), np.diff(starts))
-        keys, places = [], []
-        for m, mask in enumerate(MASKS):
-            h = masked(words, mask, m)
-            at = np.arange(len(h))
-            inside = at + len(mask) <= starts[item_of[: len(h)] + 1]
-            keys.append(h[inside])
-            places.append(at[inside])
+        size = np.diff(starts)
+        runs: dict[int, list[int]] = {}
+        for i in np.flatnonzero(size < window):
+            for start, length in runs_of(int(size[i]), window, similarity):
+                runs.setdefault(length, []).append(int(starts[i]) + start)
+        masks, keys, places = [], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        if (size >= window).any():
+            for m, mask in enumerate(MASKS):
+                h = masked(words, mask, m)
+                at = np.arange(len(h))
+                inside = (at + len(mask) <= starts[item_of[: len(h)] + 1]) & (size[item_of[: len(h)]] >= window)
+                masks.append((mask, m))
+                keys.append(h[inside])
+                places.append(at[inside])
+        for length, found in runs.items():
+            masks.append(("1" * length, len(MASKS) + length))
+            places.append(np.array(found, np.int64))
+            keys.append(masked(words, *masks[-1])[places[-1]])
         key, place = np.concatenate(keys), np.concatenate(places)
         order = np.argsort(key, kind="stable")
         key, place = key[order], place[order]
         bits = np.zeros(1 << FILTER_BITS, bool)
         bits[key >> U64(64 - FILTER_BITS)] = True
-        return cls([i for i, _ in kept], words, starts, key, place, bits)
+        least = np.array([least_same(int(n), window, similarity) for n in size], np.int64)
+        return cls([i for i, _ in kept], words, starts, least, masks, key, place, bits)
 
 
-def _verified(doc_words: np.ndarray, doc_starts: np.ndarray, doc: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray, tests: Tests, window: int, similarity: float) -> tuple:
+def _verified(doc_words: np.ndarray, doc_starts: np.ndarray, doc: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray, tests: Tests, window: int) -> tuple:
     """The best window on each hit's diagonal: whether it is a leak, its start and its agreeing words."""
     reach = window + max(map(len, MASKS))
     offset = np.arange(-reach, reach + 1)
@@ -115,18 +142,18 @@ def _verified(doc_words: np.ndarray, doc_starts: np.ndarray, doc: np.ndarray, at
         counts = np.where(inside[rows][:, : counts.shape[1]] & inside[rows][:, n - 1 :], counts, -1)
         top = counts.argmax(axis=1)
         best[rows], first[rows] = counts[np.arange(len(rows)), top], top
-    return best >= np.ceil(length * similarity - 1e-9), at + offset[first], place + offset[first], length, best
+    return best >= tests.least[item], at + offset[first], place + offset[first], length, best
 
 
-def _found(rows: list[tuple], tests: Tests, window: int, similarity: float) -> list[tuple]:
+def _found(rows: list[tuple], tests: Tests, window: int) -> list[tuple]:
     """For rows (number, word hashes): (number, item, doc_start, item_start, n_words, n_same) of each leak."""
     starts = np.zeros(len(rows) + 1, np.int64)
     np.cumsum([len(r[1]) for r in rows], out=starts[1:])
     words = np.concatenate([r[1] for r in rows])
     doc_of = np.repeat(np.arange(len(rows)), np.diff(starts))
     found: dict[tuple, tuple] = {}
-    for m, mask in enumerate(MASKS):
-        h = masked(words, mask, m)
+    for mask, salt in tests.masks:
+        h = masked(words, mask, salt)
         at = np.flatnonzero(tests.bits[h >> U64(64 - FILTER_BITS)])
         at = at[at + len(mask) <= starts[doc_of[at] + 1]]
         low, high = np.searchsorted(tests.keys, h[at], "left"), np.searchsorted(tests.keys, h[at], "right")
@@ -137,7 +164,7 @@ def _found(rows: list[tuple], tests: Tests, window: int, similarity: float) -> l
         for k in range(0, len(at), 20_000):
             part = slice(k, k + 20_000)
             doc = doc_of[at[part]]
-            leak, d, t, length, same = _verified(words, starts, doc, at[part], item[part], place[part], tests, window, similarity)
+            leak, d, t, length, same = _verified(words, starts, doc, at[part], item[part], place[part], tests, window)
             for i in np.flatnonzero(leak):
                 key = (int(doc[i]), int(item[part][i]))
                 value = (int(same[i]) / int(length[i]), -int(d[i]), -int(t[i]), int(length[i]), int(same[i]))
@@ -149,10 +176,10 @@ def _found(rows: list[tuple], tests: Tests, window: int, similarity: float) -> l
 
 
 def _chunks(texts: list[bytes | None], cache: WordHashes) -> Iterator[list[tuple]]:
-    """(number, word hashes) of the texts with enough words, about CHUNK_WORDS words at a time."""
+    """(number, word hashes) of the texts with words, about CHUNK_WORDS words at a time."""
     rows, total = [], 0
     for number, text in enumerate(texts):
-        if not text or len(words := text.translate(_WORD_TABLE).split()) < MIN_ITEM:
+        if not text or not (words := text.translate(_WORD_TABLE).split()):
             continue
         rows.append((number, hash_words(words, cache)))
         total += len(words)
@@ -168,12 +195,12 @@ def _scan(items, window: int, similarity: float, drop: bool):
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        tests = Tests.of(items.value, cache)
+        tests = Tests.of(items.value, cache, window, similarity)
         for batch in batches:
             found = []
             if len(tests.keys):
                 for rows in _chunks(binary(batch.column("text")), cache):
-                    found += _found(rows, tests, window, similarity)
+                    found += _found(rows, tests, window)
             if drop:
                 clean = np.ones(batch.num_rows, bool)
                 clean[[f[0] for f in found]] = False
