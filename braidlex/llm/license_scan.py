@@ -8,8 +8,9 @@ after), with each phrase padded alike, so a match is a run of whole words.
 Base labels come from the four fixed phrases. The method adds labels from
 further notice phrases and from ``SPDX-License-Identifier`` tags, whose
 expression is parsed: its value is the set of licences that it names (with
-their exceptions as ``id-with-exception``), the number of alternatives, and
-whether a permissive choice exists.
+their exceptions as ``id-with-exception``), the number of alternatives as
+written (those of AND multiply, those of OR add up), and whether a permissive
+choice exists; all three are exact for any length (the number up to 2^63 - 1).
 
 Score: the licence evidence, 1 - (1 - 0.5)^places * (1 - 0.9)^tags, so none is
 0 and each further place moves it nearer to 1.
@@ -120,7 +121,7 @@ def to_postfix(expression: str) -> list[str] | None:
 
 
 def evaluate(expression: str) -> tuple[frozenset[frozenset[str]], bool]:
-    """The alternatives (each a set of licences to follow), and whether the expression is well formed."""
+    """The alternatives (each a set of licences to follow; they can be many), and whether the expression is well formed."""
     postfix = to_postfix(expression)
     if postfix is None:
         named = frozenset(t.lower() for t in _TOKEN.findall(expression) if t not in "()" and t.lower() not in _BINDS)
@@ -139,11 +140,31 @@ def evaluate(expression: str) -> tuple[frozenset[frozenset[str]], bool]:
             stack.append(frozenset(frozenset(f"{x}-with-{exception}" for x in s) for s in left))
         else:
             stack.append(frozenset({frozenset({token})}))
-        if len(stack[-1]) > 64:  # a longer choice names every licence, as one alternative
-            stack[-1] = frozenset({frozenset(x for s in stack[-1] for x in s)})
     return stack[0], True
 
 
+def weigh(expression: str) -> tuple[frozenset[str], int, bool]:
+    """The licences named, the number of alternatives as written, and whether one of them is permissive; no choice if malformed."""
+    postfix = to_postfix(expression)
+    if postfix is None:
+        return frozenset(t.lower() for t in _TOKEN.findall(expression) if t not in "()" and t.lower() not in _BINDS), 0, False
+    stack: list[tuple[list[str], int, bool]] = []
+    for token in postfix:
+        if token not in _BINDS:
+            stack.append(([token], 1, token.startswith(PERMISSIVE)))
+            continue
+        (right, more, right_free), (left, n, left_free) = stack.pop(), stack.pop()
+        if token == "with":
+            exception = "-or-".join(sorted(set(right)))
+            stack.append(([f"{x}-with-{exception}" for x in left], n, left_free))
+        elif token == "and":
+            stack.append((left + right, n * more, left_free and right_free))
+        else:
+            stack.append((left + right, n + more, left_free or right_free))
+    names, n, free = stack[0]
+    return frozenset(names), n, free
+
+
 def expressions(text: bytes) -> list[str]:
     """The licence expressions behind identifier tags: as far as operands and operators alternate."""
     found = []
@@ -188,13 +209,12 @@ def scan_text(text: bytes) -> tuple:
     named = expressions(text) if tags else []
     choices, permissive = 0, False
     for expression in named:
-        alternatives, well_formed = evaluate(expression)
-        labels |= {x for s in alternatives for x in s}
-        if well_formed:
-            choices += len(alternatives)
-            permissive |= any(all(x.startswith(PERMISSIVE) for x in s) for s in alternatives)
+        names, n, free = weigh(expression)
+        labels |= names
+        choices += n
+        permissive |= free
     score = 1.0 - 0.5 ** min(places, 60) * 0.1 ** min(len(named), 60)
-    return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, named, choices, permissive)
+    return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, named, min(choices, 2**63 - 1), permissive)
 
 
 def scan(docs: DataFrame) -> DataFrame:
