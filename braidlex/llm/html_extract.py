@@ -7,19 +7,28 @@ the number of nodes. Two ratios are taken, text per node and punctuation per
 node; both are smoothed over the paths in page order (a Gaussian window), so
 that a short paragraph between long ones is held with them, and fused by their
 product with the share of text outside links. Paths above a share of the
-page's mean are content. The nodes selected fix the content region: the
-smallest subtree holding most of their text (an ``article`` or ``main``
-element where the page has one). Within it everything is main text but what
-stands in boilerplate elements; these are never content: menus, headers and
-footers of the page, sidebars, notices, adverts, forms, scripts, styles,
-reader comments.
+page's mean are content.
+
+The content paths fix the region: all ``article`` elements that hold content,
+if together they hold nearly all of it; else the ``main`` elements, if they
+hold most; else the smallest subtree with nearly all of it. Inside an article
+or main element everything is main text but boilerplate parts; elsewhere in
+the smallest common ancestor of the region, only content paths are.
+
+Boilerplate parts: menus, headers and footers of the page, sidebars, notices,
+adverts, forms, scripts, styles, reader comments. They are known by element,
+role and hidden state, or by the name of the part in class or id. A name never
+rules out an element that holds the page's title (``h1``) or ``main``; weak
+names (legal, search and the like) rule out only what the ratios hold no
+content.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by one space.
 
 Defined results. Null or empty html, or a page without content: the empty
 text. Unclosed and stray tags are allowed; a ``p`` ends at the next block.
-Repeated rows each get a row. Extra columns are ignored.
+Nesting of any depth takes linear time. Repeated rows each get a row. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +36,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -54,26 +64,31 @@ BLOCK = frozenset(
 ENDS_P = BLOCK - frozenset("br body html td th caption option".split())
 #: An open element of the key's kind ends where one of the values starts.
 ENDS_SAME = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-#: Elements and roles that never hold main text, and words that name such parts.
+#: Elements and roles that never hold main text.
 NEVER = frozenset("head script style nav footer aside form noscript template iframe svg math object button select textarea input label fieldset dialog menu canvas audio video map".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
-NEVER_WORDS = frozenset(
+#: Names of parts beside the main text, names that say so only where the ratios agree, and names of articles that are remarks or adverts.
+PART_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted nav navbar navigation menu menus breadcrumb breadcrumbs "
     "sidebar footer footnav masthead topbar toolbar cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing "
-    "social related recommended comment comments commentlist respond disqus replies reply pager pagination pageno copyright legal disclaimer widget tags tagcloud skip search".split()
+    "social related recommended comment comments commentlist respond disqus replies reply pager pagination".split()
 )
-MAIN_ROLES = frozenset(("main", "article"))
-#: Width of the smoothing window, and the share of the mean from which a path is content.
-SIGMA, SHARE = 1.0, 0.5
+WEAK_NAMES = frozenset("pageno copyright legal disclaimer widget tags tagcloud skip search".split())
+ARTICLE_NAMES = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies".split())
+REGION_ROLES = frozenset(("main", "article"))
+#: Width of the smoothing window, the share of the mean from which a path is content, and the shares of the content that make a region.
+SIGMA, SHARE, NEARLY_ALL, MOST = 1.0, 0.5, 0.9, 0.5
+OPEN, WEAK, NAMED, NEVER_SHOWN = range(4)
 
 
 @dataclass
 class Node:
     tag: str
-    path: str
+    path: int  # number of the tag path
     parent: int
-    skip: bool
-    region: bool
+    doubt: int  # OPEN, WEAK, NAMED or NEVER_SHOWN
+    kind: str  # "article", "main" or ""
+    in_region: bool
     link: bool
 
 
@@ -81,35 +96,44 @@ class Node:
 class Page:
     nodes: list[Node] = field(default_factory=list)
     texts: list[tuple[int, int, str]] = field(default_factory=list)  # node, block number, text
+    paths: dict[tuple[int, str], int] = field(default_factory=dict)  # (number of the path above, name) to number
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(raw)} if raw else {}
 
 
-def _hidden(tag: str, found: dict[str, str], in_region: bool) -> bool:
+def _doubt(tag: str, found: dict[str, str], in_region: bool) -> int:
     if tag in NEVER or (tag == "header" and not in_region):
-        return True
+        return NEVER_SHOWN
     if not found:
-        return False
+        return OPEN
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return True
+        return NEVER_SHOWN
     role = found.get("role", "").lower()
     if role in NEVER_ROLES:
-        return True
-    if tag in ("article", "main", "body", "html") or role in MAIN_ROLES:
-        return False
+        return NEVER_SHOWN
+    if tag in ("main", "body", "html") or role == "main":
+        return OPEN
     words = {w.lower() for name in ("class", "id") for w in _NAME_WORDS.findall(found.get(name, ""))}
-    return bool(words & NEVER_WORDS)
+    if tag == "article" or role == "article":
+        return NAMED if words & ARTICLE_NAMES else OPEN
+    return NAMED if words & PART_NAMES else WEAK if words & WEAK_NAMES else OPEN
 
 
 def parse(page: str) -> Page:
     """Elements with their tag paths, and text nodes in page order with the block that each belongs to."""
     out = Page()
-    root = Node("", "", -1, False, False, False)
-    out.nodes.append(root)
+    out.nodes.append(Node("", 0, -1, OPEN, "", False, False))
     stack = [0]
+    opened: Counter[str] = Counter()  # open elements by tag, so that a search that must fail is not begun
     block, at, skip_to = 0, 0, -1
+
+    def close(k: int) -> None:
+        for node in stack[k:]:
+            opened[out.nodes[node].tag] -= 1
+        del stack[k:]
+
     for match in _TAG.finditer(page):
         start, stop = match.span()
         if start < skip_to:
@@ -124,39 +148,41 @@ def parse(page: str) -> Page:
         if match[1]:
             if tag in BLOCK:
                 block += 1
-            for k in range(len(stack) - 1, 0, -1):
-                if out.nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                k = len(stack) - 1
+                while out.nodes[stack[k]].tag != tag:
+                    k -= 1
+                close(k)
             continue
         if tag in BLOCK:
             block += 1
-        if tag in ENDS_P:
+        if tag in ENDS_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 open_tag = out.nodes[stack[k]].tag
                 if open_tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if open_tag in BLOCK:
                     break
         if tag in ENDS_SAME:
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = out.nodes[stack[k]].tag
-                if open_tag == tag or (tag in ("td", "th") and open_tag in ("td", "th")) or (tag in ("dd", "dt") and open_tag in ("dd", "dt")):
-                    del stack[k:]
-                    break
-                if open_tag in ENDS_SAME[tag]:
-                    break
+            alike = ("td", "th") if tag in ("td", "th") else ("dd", "dt") if tag in ("dd", "dt") else (tag,)
+            if any(opened[t] for t in alike):
+                for k in range(len(stack) - 1, 0, -1):
+                    open_tag = out.nodes[stack[k]].tag
+                    if open_tag in alike:
+                        close(k)
+                        break
+                    if open_tag in ENDS_SAME[tag]:
+                        break
         if tag in VOID:
             continue
         parent = out.nodes[stack[-1]]
         found = _attributes(match[3])
         role = found.get("role", "").lower()
+        kind = tag if tag in ("article", "main") else role if role in REGION_ROLES else ""
         name = tag + "".join(f".{found[k]}" for k in ("class", "id") if found.get(k))
-        out.nodes.append(Node(
-            tag, f"{parent.path}/{name}", stack[-1], parent.skip or _hidden(tag, found, parent.region),
-            parent.region or tag in ("article", "main") or role in MAIN_ROLES, parent.link or tag == "a",
-        ))
+        path = out.paths.setdefault((parent.path, name), len(out.paths) + 1)
+        out.nodes.append(Node(tag, path, stack[-1], _doubt(tag, found, parent.in_region), kind, parent.in_region or kind != "", parent.link or tag == "a"))
         node = len(out.nodes) - 1
         if tag in RAW:
             if not match[3].rstrip().endswith("/"):
@@ -166,11 +192,26 @@ def parse(page: str) -> Page:
             continue
         if not match[3].rstrip().endswith("/") or tag not in ("svg", "math"):
             stack.append(node)
+            opened[tag] += 1
     if at < len(page):
         out.texts.append((stack[-1], block, page[at:]))
     return out
 
 
+def shown(page: Page) -> tuple[list[bool], list[bool]]:
+    """For each element: whether it is in no boilerplate part, and whether it is in a part with a weak name."""
+    holds_title = [n.tag in ("h1", "main") or n.kind == "main" for n in page.nodes]
+    for k in range(len(page.nodes) - 1, 0, -1):  # parents stand before their children
+        if holds_title[k]:
+            holds_title[page.nodes[k].parent] = True
+    open_, weak = [True], [False]
+    for k, node in enumerate(page.nodes[1:], 1):
+        out = node.doubt == NEVER_SHOWN and not (node.tag == "form" and holds_title[k]) or (node.doubt == NAMED and not holds_title[k])
+        open_.append(open_[node.parent] and not out)
+        weak.append(weak[node.parent] or (node.doubt == WEAK and not holds_title[k]))
+    return open_, weak
+
+
 def _smoothed(values: list[float]) -> list[float]:
     reach = int(3 * SIGMA)
     kernel = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-reach, reach + 1)]
@@ -184,9 +225,9 @@ def _smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def content_paths(page: Page, texts: list[tuple[int, int, str]]) -> set[str]:
-    """The tag paths whose smoothed, fused ratios pass the threshold."""
-    sums: dict[str, list[float]] = {}
+def path_sums(page: Page, texts: list[tuple[int, int, str]]) -> dict[int, list[float]]:
+    """For each tag path, in page order: characters, punctuation marks, characters inside links, and text nodes."""
+    sums: dict[int, list[float]] = {}
     for node, _, text in texts:
         of = page.nodes[node]
         n = len(text.strip())
@@ -196,6 +237,11 @@ def content_paths(page: Page, texts: list[tuple[int, int, str]]) -> set[str]:
             s[1] += len(_PUNCTUATION.findall(text))
             s[2] += n * of.link
             s[3] += 1
+    return sums
+
+
+def content_paths(sums: dict[int, list[float]]) -> set[int]:
+    """The tag paths whose smoothed, fused ratios pass the threshold."""
     if not sums:
         return set()
     text_ratio = _smoothed([s[0] / s[3] for s in sums.values()])
@@ -205,51 +251,62 @@ def content_paths(page: Page, texts: list[tuple[int, int, str]]) -> set[str]:
     return {path for path, value in zip(sums, fused, strict=True) if value >= least and value > 0}
 
 
+def _region(page: Page, weight: list[float], total: float) -> tuple[list[int], int]:
+    """The article or main elements that are main text as a whole, and the smallest element that holds all content to be looked at."""
+    found: dict[str, list[int]] = {"article": [], "main": []}
+    inside: list[set[str]] = [set()]
+    for k, node in enumerate(page.nodes[1:], 1):
+        above = inside[node.parent]
+        if node.kind and weight[k] > 0 and node.kind not in above:
+            found[node.kind].append(k)
+            above = above | {node.kind}
+        inside.append(above)
+    for kind, least in (("article", NEARLY_ALL), ("main", MOST), ("article", MOST)):
+        if sum(weight[k] for k in found[kind]) >= least * total:
+            held = sum(weight[k] for k in found[kind])
+            return found[kind], max(k for k in range(len(weight)) if weight[k] >= held) if len(found[kind]) > 1 else found[kind][0]
+    best = max(k for k in range(len(weight)) if weight[k] >= NEARLY_ALL * total)
+    while page.nodes[best].tag and page.nodes[best].tag not in ("div", "section", "td", "body", "html", "main", "article", "center"):
+        best = page.nodes[best].parent
+    return [], best
+
+
 def extract(page_html: str) -> str:
     """The main text of one page."""
     page = parse(page_html)
-    open_texts = [t for t in page.texts if not page.nodes[t[0]].skip]
-    chosen = content_paths(page, open_texts)
+    open_, weak = shown(page)
+    open_texts = [t for t in page.texts if open_[t[0]]]
+    chosen = content_paths(path_sums(page, open_texts))
     if not chosen:
         return ""
-    weight: dict[int, float] = {}
-    total = 0.0
+    weight = [0.0] * len(page.nodes)
     for node, _, text in open_texts:
         if page.nodes[node].path in chosen:
-            n = len(text.strip())
-            total += n
-            k = node
-            while k >= 0:
-                weight[k] = weight.get(k, 0.0) + n
-                k = page.nodes[k].parent
-    regions = [k for k, w in weight.items() if page.nodes[k].tag in ("article", "main") and w >= 0.5 * total]
-    if not regions:
-        regions = [k for k, w in weight.items() if page.nodes[k].region and w >= 0.5 * total]
-    if regions:
-        best = min(regions, key=lambda k: (weight[k], -k))
-    else:
-        best = max((k for k, w in weight.items() if w >= 0.9 * total), key=lambda k: k)
-        while page.nodes[best].tag and page.nodes[best].tag not in ("div", "section", "td", "body", "html", "main", "article", "center"):
-            best = page.nodes[best].parent
-    inside: dict[int, bool] = {}
-
-    def within(k: int) -> bool:
-        trail = []
-        while k >= 0 and k not in inside and k != best:
-            trail.append(k)
-            k = page.nodes[k].parent
-        value = k == best or (k >= 0 and inside[k])
-        for t in trail:
-            inside[t] = value
-        return value
+            weight[node] += len(text.strip())
+    for k in range(len(weight) - 1, 0, -1):
+        weight[page.nodes[k].parent] += weight[k]
+    whole, around = _region(page, weight, weight[0])
+    kept_parents = {page.nodes[n].parent for n, _, _ in open_texts if page.nodes[n].path in chosen} if not whole else set()
+    in_whole, in_around = [False], [around == 0]
+    marked = set(whole)
+    for k, node in enumerate(page.nodes[1:], 1):
+        in_whole.append(in_whole[node.parent] or k in marked)
+        in_around.append(in_around[node.parent] or k == around)
+
+    def kept(node: int) -> bool:
+        of = page.nodes[node]
+        content = of.path in chosen
+        if weak[node] and not content:
+            return False
+        if whole:
+            return in_whole[node] or (in_around[node] and content)
+        # without a marked region: content paths, and what shares their element
+        return in_around[node] and (content or not (of.link or (of.parent not in kept_parents and node not in kept_parents)))
 
     blocks: list[str] = []
     last = None
-    strict = not regions  # without a marked region, only content paths and what shares their element are kept
-    kept_parents = {page.nodes[n].parent for n, _, _ in open_texts if page.nodes[n].path in chosen} if strict else set()
     for node, block, text in open_texts:
-        of = page.nodes[node]
-        if not within(node) or (strict and of.path not in chosen and (of.link or (of.parent not in kept_parents and node not in kept_parents))):
+        if not kept(node):
             continue
         if block == last:
             blocks[-1] += text
