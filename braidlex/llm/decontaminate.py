@@ -8,9 +8,10 @@ hit the texts are laid side by side and counted word by word.
 A passage counts as a leak where ``window`` aligned words (the whole item, if
 it is shorter) agree in at least ``similarity`` of their places. The fixed
 masks find every such passage of 20 words with up to four exchanged words,
-wherever these stand (the tests try all 4845 places). A shorter item is cut
-into one run of words more than it may have exchanged words, so one run is
-whole (the tests try all places for each length).
+wherever these stand (the tests try all 4845 places). For a shorter item the
+masks keep one stretch of its places each and ignore all others: there is one
+stretch more than it may have exchanged words, so one of them is whole (the
+tests try all places for each length).
 
 Size. The test items are hashed in blocks of at most ``BLOCK_WORDS`` words, a
 bound checked by a count; each block is sent to the workers, which scan the
@@ -20,10 +21,11 @@ a larger suite takes more scans, and each stays within the same memory.
 Words: runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased.
 
 Defined results. Null or empty texts have no words and no hits, on either
-side. An item of fewer than ``MIN_ITEM`` words is a leak only where all its
-words agree. Repeated documents each get their rows (one per row and
+side. An item of any length counts, down to one word (under five words none
+may be exchanged). Repeated documents each get their rows (one per row and
 item); repeated items with one id count as one row each. A null doc_id or
-item_id is carried through. Extra columns are ignored.
+item_id is carried through. Extra columns, also ones with the names of the
+result, are ignored (``clean`` carries them through).
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ from .base import U64, WordHashes, binary, columns_as, hash_words, mix
 
 #: The places that each mask keeps (1); any four exchanges in 20 words leave one of them whole.
 MASKS = ("1101111", "100100010111", "110100110001")
-#: Test words in one block, words of training text hashed at a time, and the shortest item that may have exchanged words.
-BLOCK_WORDS, CHUNK_WORDS, MIN_ITEM = 400_000, 600_000, 8
+#: Test words in one block, words of training text hashed at a time, and hits compared at a time.
+BLOCK_WORDS, CHUNK_WORDS, CHUNK_HITS = 400_000, 600_000, 20_000
 #: Bits of the filter in front of the table of test hashes.
 FILTER_BITS = 23
 _NAMES = ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_same"]
@@ -67,7 +69,7 @@ def masked(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
 
 def least_same(n: int, window: int, similarity: float) -> int:
     """How many words of an item of n words, or of a window of it, must agree."""
-    return n if n < MIN_ITEM else math.ceil(min(n, window) * similarity - 1e-9)
+    return math.ceil(min(n, window) * similarity - 1e-9)
 
 
 def runs_of(n: int, window: int, similarity: float) -> list[tuple[int, int]]:
@@ -145,6 +147,22 @@ def _verified(doc_words: np.ndarray, doc_starts: np.ndarray, doc: np.ndarray, at
     return best >= tests.least[item], at + offset[first], place + offset[first], length, best
 
 
+def _hit_chunks(n: np.ndarray) -> Iterator[slice]:
+    """Stretches of places with about CHUNK_HITS hits together, so that test items with shared passages fit in memory."""
+    total = np.cumsum(n)
+    start = 0
+    while start < len(n):
+        done = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, done + CHUNK_HITS, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def _expanded(at: np.ndarray, low: np.ndarray, n: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
+    """For each hit its place in the texts and in the test items."""
+    return np.repeat(at, n), tests.places[np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+
+
 def _found(rows: list[tuple], tests: Tests, window: int) -> list[tuple]:
     """For rows (number, word hashes): (number, item, doc_start, item_start, n_words, n_same) of each leak."""
     starts = np.zeros(len(rows) + 1, np.int64)
@@ -158,17 +176,16 @@ def _found(rows: list[tuple], tests: Tests, window: int) -> list[tuple]:
         at = at[at + len(mask) <= starts[doc_of[at] + 1]]
         low, high = np.searchsorted(tests.keys, h[at], "left"), np.searchsorted(tests.keys, h[at], "right")
         n = high - low
-        at = np.repeat(at, n)
-        place = tests.places[np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-        item = np.searchsorted(tests.starts, place, "right") - 1
-        for k in range(0, len(at), 20_000):
-            part = slice(k, k + 20_000)
-            doc = doc_of[at[part]]
-            leak, d, t, length, same = _verified(words, starts, doc, at[part], item[part], place[part], tests, window)
-            for i in np.flatnonzero(leak):
-                key = (int(doc[i]), int(item[part][i]))
-                value = (int(same[i]) / int(length[i]), -int(d[i]), -int(t[i]), int(length[i]), int(same[i]))
-                found[key] = max(found.get(key, value), value)
+        for part in _hit_chunks(n):
+            place_at, item_place = _expanded(at[part], low[part], n[part], tests)
+            for k in range(0, len(place_at), CHUNK_HITS):  # one place alone may have more hits than a chunk
+                some, place = place_at[k : k + CHUNK_HITS], item_place[k : k + CHUNK_HITS]
+                doc, item = doc_of[some], np.searchsorted(tests.starts, place, "right") - 1
+                leak, d, t, length, same = _verified(words, starts, doc, some, item, place, tests, window)
+                for i in np.flatnonzero(leak):
+                    key = (int(doc[i]), int(item[i]))
+                    value = (int(same[i]) / int(length[i]), -int(d[i]), -int(t[i]), int(length[i]), int(same[i]))
+                    found[key] = max(found.get(key, value), value)
     return [
         (rows[doc][0], item, -d - int(starts[doc]), -t - int(tests.starts[item]), length, same)
         for (doc, item), (_, d, t, length, same) in sorted(found.items())
