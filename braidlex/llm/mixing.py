@@ -2,7 +2,11 @@
 
 Documents fall into cells (source, language, topic). The cells' token weights
 are raked: scaled to the target share of each source, then of each language,
-then of each topic, again and again until all three marginals hold. A
+then of each topic, again and again until all three marginals hold to within
+``TOLERANCE`` (a total variation). Targets that no weights can meet (a table
+that asks for a pair of values that no cell has) never settle: then raking
+stops with an error after ``MAX_SWEEPS``, or at the last sweep if ``sweeps`` is
+given. A
 document's weight is its cell's raked tokens over the cell's own tokens, times
 the budget: how often it should be seen. Sampling is by calibrated
 probability: the whole part of the weight gives sure copies, the fraction is
@@ -20,13 +24,13 @@ table (value, share). Values that a table leaves out get nothing.
 
 Defined results. A null source or language counts as the empty name. Null or
 empty text: no tokens; a cell without tokens has weight 0. Repeated rows get
-the same draw. An empty table gives an empty table. Extra columns (``topic``
-excepted: it is taken as it is where present) are ignored.
+the same draw. An empty table gives an empty table. Extra columns are ignored,
+also one named ``topic``, unless ``topic`` names the column that holds it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import cut
@@ -35,6 +39,12 @@ DIMS = ("source", "lang", "topic")
 #: Shares of a text's characters from which it counts as numeric, markup or loud.
 NUMERIC, MARKUP, LOUD = 0.05, 0.03, 0.2
 _WORD = r"[^\x20\x09-\x0D]+"
+#: How far the marginals may be from their targets (half the sum of the differences), and the sweeps after which raking fails.
+TOLERANCE, MAX_SWEEPS = 1e-12, 200
+#: Cells that are raked in one partition, and sweeps between two written tables.
+FEW_CELLS, SWEEPS_A_TABLE = 50_000, 4
+#: Digits of a weight; far fewer than raking settles, so that any engine gives the same ones.
+DIGITS = 6
 
 
 def topic_of(text: Column) -> Column:
@@ -54,16 +64,16 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def cell_of(docs: DataFrame) -> dict[str, Column]:
-    topic = F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in docs.columns else topic_of(F.col("text").cast("string"))
+def cell_of(topic: str | None) -> dict[str, Column]:
+    topic = F.coalesce(F.col(topic).cast("string"), F.lit("")) if topic else topic_of(F.col("text").cast("string"))
     return {"source": F.coalesce(F.col("source").cast("string"), F.lit("")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "topic": topic}
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, topic: str | None = None) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        *[value.alias(dim) for dim, value in cell_of(docs).items()],
+        *[value.alias(dim) for dim, value in cell_of(topic).items()],
         F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_tokens"),
     )
 
@@ -79,58 +89,91 @@ def targets(cells: DataFrame, dim: str, wanted: float | DataFrame) -> DataFrame:
     return raw.select(dim, (F.col("raw") / F.lit(total or 1.0)).alias("share"))
 
 
-def rake(cells: DataFrame, wanted: dict[str, float | DataFrame], sweeps: int) -> DataFrame:
-    """The cells (with tokens) plus ``mass``: their raked shares."""
-    goal = {dim: cut(targets(cells, dim, wanted[dim]), f"target-{dim}") for dim in DIMS}
+def rake(cells: DataFrame, wanted: dict[str, float | DataFrame], sweeps: int | None = None) -> DataFrame:
+    """The cells (with tokens) plus ``mass``: their raked shares, by ``sweeps`` sweeps or until the marginals hold.
+
+    Up to ``FEW_CELLS`` cells (counted) are held in one partition, so that no
+    sweep shuffles; more are spread as usual.
+    """
+    few = cells.count() <= FEW_CELLS
     now = cells.withColumn("mass", F.col("tokens").cast("double"))
-    for _ in range(sweeps):
-        for dim in DIMS:
-            have = now.groupBy(dim).agg(F.sum("mass").alias("have"))
-            factor = have.join(goal[dim], dim, "left").select(dim, F.when(F.col("have") > 0, F.coalesce("share", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("factor"))
-            now = now.join(factor, dim).select(*DIMS, "tokens", (F.col("mass") * F.col("factor")).alias("mass"))
+    for dim in DIMS:
+        goal = targets(cells, dim, wanted[dim]).withColumnRenamed("share", f"goal_{dim}")
+        now = now.join(goal, dim, "left").withColumn(f"goal_{dim}", F.coalesce(f"goal_{dim}", F.lit(0.0)))
+    now = cut(now.coalesce(1) if few else now, "cells")
+    done, most = 0, sweeps or MAX_SWEEPS
+    while done < most:
+        now = now.coalesce(1) if few else now
+        for _ in range(min(SWEEPS_A_TABLE, most - done)):
+            for dim in DIMS:
+                now = _scaled(now, dim, few)
+            done += 1
         now = cut(now, "cells")
+        if sweeps is None and missed(now) <= TOLERANCE:
+            return now
+    if sweeps is None:
+        raise ValueError(f"the target shares cannot be met together (after {done} sweeps a marginal still differs by {missed(now)})")
     return now
 
 
+def _scaled(cells: DataFrame, dim: str, few: bool) -> DataFrame:
+    """The cells' masses times target over present share of their value of ``dim``."""
+    if few:  # one partition: a window needs no shuffle
+        have = F.sum("mass").over(Window.partitionBy(dim))
+        return cells.withColumn("mass", F.when(have > 0, F.col("mass") * F.col(f"goal_{dim}") / have).otherwise(0.0))
+    joined = cells.join(cells.groupBy(dim).agg(F.sum("mass").alias("have")), dim)
+    scaled = joined.withColumn("mass", F.when(F.col("have") > 0, F.col("mass") * F.col(f"goal_{dim}") / F.col("have")).otherwise(0.0))
+    return cut(scaled.drop("have"), "cells")
+
+
+def missed(cells: DataFrame) -> float:
+    """The largest total variation between a marginal and its target; one number."""
+    gaps = []
+    for dim in DIMS:
+        of_value = cells.groupBy(dim).agg(F.abs(F.sum("mass") - F.first(f"goal_{dim}")).alias("gap"))
+        gaps.append(of_value.agg((F.sum("gap") / 2).alias("gap")))
+    return gaps[0].union(gaps[1]).union(gaps[2]).agg(F.max("gap").alias("gap")).first().gap or 0.0
+
+
 def draw(doc_id: Column, seed: int) -> Column:
     """A uniform number in [0, 1) from the id: 52 bits of an MD5."""
     text = F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def cell_weights(rows: DataFrame, wanted: dict[str, float | DataFrame], budget: float, sweeps: int) -> DataFrame:
+def cell_weights(rows: DataFrame, wanted: dict[str, float | DataFrame], budget: float, sweeps: int | None) -> DataFrame:
     """The cells of ``features`` with tokens, and their weights."""
     tokens = F.sum("n_tokens").alias("tokens")
     cells = cut(rows.groupBy(*DIMS).agg(tokens).filter("tokens > 0"), "cells")
     raked = rake(cells, wanted, sweeps)
     total = cells.agg(F.sum("tokens").alias("total")).first().total or 0  # one number
-    return raked.select(*DIMS, F.round(F.col("mass") * F.lit(total) * budget / F.col("tokens"), 9).alias("weight"))
+    return raked.select(*DIMS, F.round(F.col("mass") * F.lit(total) * budget / F.col("tokens"), DIGITS).alias("weight"))
 
 
 def last_copy(weight: Column) -> Column:
-    return F.round(weight - F.floor(weight), 9)
+    return F.round(weight - F.floor(weight), DIGITS)
 
 
 def copies_of(weight: Column, doc_id: Column, seed: int) -> Column:
     return (F.floor(weight) + F.when(draw(doc_id, seed) < last_copy(weight), 1).otherwise(0)).cast("long")
 
 
-def mix(docs: DataFrame, wanted: dict[str, float | DataFrame], budget: float = 1.0, sweeps: int = 8, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, wanted: dict[str, float | DataFrame], budget: float = 1.0, sweeps: int | None = None, seed: int = 7, topic: str | None = None) -> DataFrame:
     """One row per document: its cell, n_tokens, weight, probability (of the last copy), copies.
 
     ``budget`` is the wanted number of tokens over the number at hand.
     """
-    rows = cut(features(docs), "features")
+    rows = cut(features(docs, topic), "features")
     joined = rows.join(cell_weights(rows, wanted, budget, sweeps), list(DIMS), "left")
     weight = F.coalesce(F.col("weight"), F.lit(0.0))
     copies = copies_of(weight, F.col("doc_id"), seed)
     return joined.select("doc_id", *DIMS, "n_tokens", weight.alias("weight"), last_copy(weight).alias("probability"), copies.alias("copies"))
 
 
-def sample(docs: DataFrame, wanted: dict[str, float | DataFrame], budget: float = 1.0, sweeps: int = 8, seed: int = 7) -> DataFrame:
+def sample(docs: DataFrame, wanted: dict[str, float | DataFrame], budget: float = 1.0, sweeps: int | None = None, seed: int = 7, topic: str | None = None) -> DataFrame:
     """The documents, all columns, each as often as it is drawn; the texts are not shuffled."""
-    weights = cell_weights(cut(features(docs), "features"), wanted, budget, sweeps)
-    own = {f"__{dim}": value for dim, value in cell_of(docs).items()}
+    weights = cell_weights(cut(features(docs, topic), "features"), wanted, budget, sweeps)
+    own = {f"__{dim}": value for dim, value in cell_of(topic).items()}
     of_cell = weights.select(*[F.col(dim).alias(f"__{dim}") for dim in DIMS], F.col("weight").alias("__weight"))
     drawn = docs.withColumns(own).join(of_cell, list(own), "left")
     copies = copies_of(F.coalesce(F.col("__weight"), F.lit(0.0)), F.col("doc_id").cast("long"), seed)
@@ -138,8 +181,8 @@ def sample(docs: DataFrame, wanted: dict[str, float | DataFrame], budget: float
     return times.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
 
 
-def mix_sql(wanted: dict[str, float], budget: float = 1.0, sweeps: int = 8, seed: int = 7) -> str:
-    """DuckDB SQL for the rows of ``mix`` over ``documents`` with powers as targets."""
+def mix_sql(wanted: dict[str, float], budget: float = 1.0, sweeps: int = 30, seed: int = 7) -> str:
+    """DuckDB SQL for the rows of ``mix`` over ``documents`` with powers as targets; a fixed number of sweeps, more than raking needs."""
     parts = [
         rf"""f AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
   CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty'
@@ -158,8 +201,8 @@ def mix_sql(wanted: dict[str, float], budget: float = 1.0, sweeps: int = 8, seed
         for dim in DIMS:
             parts.append(f"m_{i}_{dim} AS (SELECT source, lang, topic, tokens, mass * (SELECT share FROM g_{dim} g WHERE g.{dim} = x.{dim}) / sum(mass) OVER (PARTITION BY {dim}) AS mass FROM {last} x)")
             last = f"m_{i}_{dim}"
-    parts.append(f"w AS (SELECT source, lang, topic, round(mass * (SELECT sum(tokens) FROM c) * {budget} / tokens, 9) AS weight FROM {last})")
-    parts.append("j AS (SELECT f.*, coalesce(weight, 0.0) AS weight, round(coalesce(weight, 0.0) - floor(coalesce(weight, 0.0)), 9) AS probability FROM f LEFT JOIN w USING (source, lang, topic))")
+    parts.append(f"w AS (SELECT source, lang, topic, round(mass * (SELECT sum(tokens) FROM c) * {budget} / tokens, {DIGITS}) AS weight FROM {last})")
+    parts.append(f"j AS (SELECT f.*, coalesce(weight, 0.0) AS weight, round(coalesce(weight, 0.0) - floor(coalesce(weight, 0.0)), {DIGITS}) AS probability FROM f LEFT JOIN w USING (source, lang, topic))")
     return (
         "WITH " + ",\n".join(parts) + "\n"
         "SELECT doc_id, source, lang, topic, n_tokens, weight, probability, (floor(weight) + CASE WHEN "

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 from braidlex.llm import mixing
 
 
@@ -23,3 +25,24 @@ def test_sample_has_the_target_marginals(spark):
         goal = {k: v ** wanted[dim] for k, v in tokens.items()}
         seen = drawn.n.groupby(drawn[dim].fillna("")).sum() / drawn.n.sum()
         assert all(abs(seen.get(k, 0) - g / sum(goal.values())) < 0.02 for k, g in goal.items())
+
+
+def test_raking_settles_and_says_when_it_cannot(spark, monkeypatch):
+    """Both ways of raking meet the marginals; an extra column named topic is no topic; a goal without cells fails."""
+    rows = [(i, "word " * (1 + i % 5), f"l{i % 3}", f"s{i % 4}", "mine") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    wanted = {"source": 0.0, "lang": 0.5, "topic": 1.0}
+    few = {r.doc_id: r.weight for r in mixing.mix(docs, wanted).collect()}
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
+    many = mixing.mix(docs, wanted).collect()
+    assert {r.doc_id: r.weight for r in many} == few and {r.topic for r in many} == {"prose"}
+    tokens = Counter()
+    for i, r in few.items():
+        tokens[rows[i][3]] += r * len(rows[i][1].split())
+    assert max(tokens.values()) - min(tokens.values()) < 1e-3
+    monkeypatch.undo()
+    monkeypatch.setattr(mixing, "MAX_SWEEPS", 8)
+    assert {r.topic for r in mixing.mix(docs, wanted, topic="topic", sweeps=1).collect()} == {"mine"}
+    apart = spark.createDataFrame([(1, "a a", "en", "x"), (2, "b", "fr", "y")], "doc_id long, text string, lang string, source string")
+    with pytest.raises(ValueError, match="cannot be met"):
+        mixing.mix(apart, {"source": 0.0, "lang": 1.0, "topic": 1.0})
