@@ -8,23 +8,28 @@ counts: any stretch holds each source in proportion, to within one row.
 
 No sort of a whole source runs in one task: ranks come from counts of fine
 hash buckets, prefix sums over them (in two levels) and a sort within each
-bucket, about ``BUCKET_ROWS`` rows, whatever the share of a source.
+bucket, about ``BUCKET_ROWS`` rows, whatever the share of a source. Equal rows
+are one row with a count until their places are known, so a row that is
+repeated without end is one row of its bucket too.
 
 Defined results. A null source counts as the empty name. Null text: no bytes.
 A null doc_id is shuffled like any other. Repeated rows keep a slot each. An
 empty table gives an empty table; with fewer rows than shards some stay empty.
-Extra columns are carried through by ``interleave``.
+``interleave`` carries extra columns through (of any type that can be grouped,
+so no maps) and refuses a table that has ``shard`` or ``slot`` already.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import cut
 
 #: Rows of a bucket that are sorted together, on average.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 256
+#: Copies of a row that are written out at a time.
+COPIES = 8192
 
 
 def _prefix(counts: DataFrame, by: list[str], bits: int) -> DataFrame:
@@ -38,29 +43,38 @@ def _prefix(counts: DataFrame, by: list[str], bits: int) -> DataFrame:
     return fine.join(heads, [*by, "__coarse"]).select(*by, "__bucket", (F.col("__head") + F.col("__within")).alias("__before"))
 
 
-def ranked(df: DataFrame, by: list[str], order: list[str], bits: int, name: str) -> DataFrame:
-    """``df`` plus its place from 0 within ``by``; ``__bucket`` must grow with ``order`` and have ``bits`` bits."""
-    before = _prefix(df.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__cnt")), by, bits)
-    inner = Window.partitionBy(*by, "__bucket").orderBy(*order)
-    placed = df.join(before, [*by, "__bucket"]).withColumn(name, F.col("__before") + F.row_number().over(inner) - 1)
+def ranked(df: DataFrame, by: list[str], order: list[str], bits: int, name: str, weight: Column) -> DataFrame:
+    """``df`` plus the weight before it within ``by``; ``__bucket`` must grow with ``order`` and have ``bits`` bits."""
+    before = _prefix(df.groupBy(*by, "__bucket").agg(F.sum(weight).alias("__cnt")), by, bits)
+    inner = Window.partitionBy(*by, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.join(before, [*by, "__bucket"]).withColumn(name, F.col("__before") + F.coalesce(F.sum(weight).over(inner), F.lit(0)))
     return placed.drop("__bucket", "__before")
 
 
 def interleave(df: DataFrame, shards: int = 24, seed: int = 11, source: str = "source", tie: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``df`` plus shard and slot; counts of shards differ by one at most."""
+    """``df`` plus shard and slot; counts of shards differ by one at most. ``tie`` orders rows of one source."""
+    taken = {"shard", "slot"} & set(df.columns) | {c for c in df.columns if c.startswith("__")}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are in the way of the result")
     n = df.count()
     bits = max(0, (n // BUCKET_ROWS).bit_length())
     base, extra = divmod(n, shards)
-    keyed = df.withColumns({
+    keyed = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies")).withColumns({
         "__source": F.coalesce(F.col(source).cast("string"), F.lit("")),
         "__h": F.shiftrightunsigned(F.xxhash64(F.lit(seed), *tie), 1),
+        "__rest": F.xxhash64(*df.columns),
     }).withColumn("__bucket", F.shiftright("__h", 63 - bits))
-    in_source = ranked(keyed, ["__source"], ["__h", *tie], bits, "__rank")
-    sizes = keyed.groupBy("__source").agg(F.count(F.lit(1)).alias("__n"))
+    copies = F.col("__copies")
+    in_source = ranked(keyed, ["__source"], ["__h", *tie, "__rest"], bits, "__rank", copies)
+    sizes = keyed.groupBy("__source").agg(F.sum(copies).alias("__n"))
     shift = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__source"), 11) / F.lit(float(1 << 53))
-    spread = in_source.join(sizes, "__source").withColumn("__at", (F.col("__rank") + shift) / F.col("__n"))
+    # two steps, so that no array has more than COPIES numbers or one for COPIES of them
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((copies - 1) / COPIES)))
+    copy = F.explode(F.sequence(F.col("__stretch") * COPIES, F.least(copies, (F.col("__stretch") + 1) * COPIES) - 1))
+    each = in_source.withColumn("__stretch", stretch).withColumn("__copy", copy).withColumn("__rank", F.col("__rank") + F.col("__copy"))
+    spread = each.join(sizes, "__source").withColumn("__at", (F.col("__rank") + shift) / F.col("__n"))
     spread = spread.withColumns({"__bucket": F.least(F.floor(F.col("__at") * (1 << bits)), F.lit((1 << bits) - 1)), "__all": F.lit(0)})
-    whole = ranked(spread, ["__all"], ["__at", "__source", "__h", *tie], bits, "__place")
+    whole = ranked(spread, ["__all"], ["__at", "__source", "__rank"], bits, "__place", F.lit(1))
     place, large = F.col("__place"), extra * (base + 1)
     high = F.floor((place - large) / max(base, 1)) + extra
     shard = F.when(place < large, F.floor(place / (base + 1))).otherwise(high).cast("int")
