@@ -1,9 +1,10 @@
 """Media columns: progressive JPEG files in a binary column, and their tensors.
 
-``to_media`` stores each text as the coefficients of a progressive JPEG file
-(see ``jpeg``); ``from_media`` reads such a column back: it accumulates the
-scans into coefficient arrays, recovers the payload from them, transforms them
-to samples, repeats the chroma samples and gives full-resolution RGB tensors.
+``to_media`` makes each text the coefficients of a progressive JPEG file (see
+``jpeg``), ``stored`` writes these files as a table; ``from_media`` reads such
+a column back: it accumulates the scans into coefficient arrays, recovers the
+payload from them, transforms them to samples, repeats the chroma samples and
+gives full-resolution RGB tensors, a column of the result.
 
 Defined results. Null or empty text: 64 bytes 0. Any length is stored whole
 (a file holds up to 6 GB). Repeated rows each get a row, equal texts equal
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import jpeg
-from .base import binary, columns_as
+from .base import binary, columns_as, cut
 
 #: Bytes of media in one Arrow batch.
 BATCH_BYTES = 8_000_000
@@ -56,6 +57,11 @@ def to_media(docs: DataFrame) -> DataFrame:
     return columns_as(docs, doc_id="bigint", text="string").mapInArrow(rows_of, "doc_id long, n_bytes long, media binary")
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The rows of ``to_media`` as a table in the shared folder (compressed: the codes of bytes that repeat do too)."""
+    return cut(to_media(docs), "media", "zstd")
+
+
 def feature(rgb: np.ndarray) -> str:
     """Size, mean of each channel in thousandths, and a checksum of the tensor."""
     flat = rgb.reshape(-1, 3)

@@ -61,7 +61,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.from_media(media.to_media(table(spark, sf_dir, "documents")), with_tensor=False)
+    """The files are written, read back and decoded; the tensors (rgb) are stored with the result."""
+    return media.from_media(media.stored(table(spark, sf_dir, "documents")), with_tensor=True)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
