@@ -1,6 +1,6 @@
 """Toxicity by maximum-scoring segments.
 
-Learning. Of the labelled rows at most ``max_train`` (those with the smallest
+Learning. Of the labelled ids at most ``max_train`` (those with the smallest
 hashes) give, by class, the number of texts with each feature; a feature is a
 word or one of its prefixes of 3 to 6 letters, so that inflected words share
 evidence. A feature's weight is its log-odds with a Dirichlet prior (half a
@@ -10,20 +10,27 @@ it is ``MIN_ODDS`` or more and ``MIN_Z`` standard deviations above zero.
 Scoring. Each word scores its best feature, or a small penalty. A linear scan
 over the words finds all maximal scoring segments. In texts without toxic
 passages the best segment follows an extreme-value law: among ``n`` words,
-P(S >= x) = 1 - exp(-K n e^(-lambda x)), with lambda and K fitted on the
-non-toxic training rows. A segment is significant where its expected number of
-chance matches is under ``MAX_E``; the significant ones are summed as
--log(E), and a ridge logistic curve, fitted on the same training rows, turns
-the sum and the best segment into a probability.
+P(S >= x) = 1 - exp(-K n e^(-lambda x)). A segment is significant where its
+expected number of chance matches is under ``MAX_E``; the significant ones are
+summed as -log(E), and a ridge logistic curve turns the sum and the best
+segment into a probability.
 
-The model is bounded: at most ``max_features`` weights and five numbers. Texts
-are read twice (the sample, then all), never shuffled.
+Calibration. lambda, K and the curve are fitted on scores of texts that had no
+part in the weights they are scored with: the training rows fall into
+``FOLDS`` folds, and each is scored with the weights of the others.
+
+The model is a weight for each feature that passes (all of them, without a
+cap: only the labelled rows are bounded) and five numbers. The training texts
+are written once; all texts are read once to be scored, never shuffled. From
+the training rows the driver takes sums, a count for each distinct score, and
+three numbers a row.
 
 Defined results. Null or empty text: no words, no segments, the curve's value
 at zero evidence. A null label is no label; of several labels of one id the
-largest counts. Without labelled rows every score is 0. Repeated rows each get
-a row; a null doc_id counts as the empty text in the fold. Extra columns are
-ignored.
+largest counts, of several rows of one id the least text is learnt from.
+Without labelled rows every score is 0. Repeated rows each get a row; a null
+doc_id counts as the empty text in the fold. Extra columns, also ones with the
+names of the result or of labels, are ignored (``clean`` carries them through).
 """
 
 from __future__ import annotations
@@ -38,11 +45,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import CACHE_WORDS, binary, columns_as
+from .base import CACHE_WORDS, binary, columns_as, cut
 
 PREFIXES = (3, 4, 5, 6)
 #: Strength of the informative prior, as a share of the counts; least z and log-odds of a kept feature; score of a word without one; largest expected chance matches.
 PRIOR, MIN_Z, MIN_ODDS, PENALTY, MAX_E = 0.002, 3.0, 2.0, -0.5, 0.05
+#: Parts of the training rows, each scored by the weights of the others.
+FOLDS = 5
 _WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -131,34 +140,89 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
-    """text and toxic of at most ``max_train`` labelled rows outside the held-out fold."""
+    """text, toxic and fold of at most ``max_train`` labelled ids outside the held-out fold."""
     known = columns_as(labels, doc_id="bigint", toxic="int").filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = columns_as(docs, doc_id="bigint", text="string")
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most max_train rows
+    found = texts.join(F.broadcast(chosen), "doc_id")  # at most max_train rows
+    once = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return once.select("text", (F.col("toxic") == 1).cast("int").alias("toxic"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
+
+
+_COUNTS = [f"n{toxic}_{fold}" for fold in range(FOLDS) for toxic in (0, 1)]
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
-    """feature, n0, n1: texts with the feature, by class."""
+    """feature, and n0_k and n1_k for each fold k: texts with the feature, by class."""
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
+        counts = [Counter() for _ in _COUNTS]
 
         def flush() -> pa.RecordBatch:
-            names = list(counts[0].keys() | counts[1].keys())
+            names = list(set().union(*counts))
             columns = [pa.array(names, pa.binary()), *[pa.array([c[f] for f in names], pa.int64()) for c in counts]]
             for c in counts:
                 c.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["feature", "n0", "n1"])
+            return pa.RecordBatch.from_arrays(columns, names=["feature", *_COUNTS])
 
         for batch in batches:
-            for text, toxic in zip(binary(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                counts[int(toxic == 1)].update({f for word in set(words_of(text or b"")) for f in features_of(word)})
-                if len(counts[0]) + len(counts[1]) > CACHE_WORDS:
+            for text, toxic, fold in zip(binary(batch.column("text")), batch.column("toxic").to_pylist(), batch.column("fold").to_pylist(), strict=True):
+                counts[2 * fold + toxic].update({f for word in set(words_of(text or b"")) for f in features_of(word)})
+                if sum(map(len, counts)) > CACHE_WORDS:
                     yield flush()
         yield flush()
 
-    return rows.mapInArrow(rows_of, "feature binary, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    out = rows.mapInArrow(rows_of, "feature binary, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return out.groupBy("feature").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def _log_odds(n0: Column, n1: Column, all0: float, all1: float) -> Column:
+    """The feature's weight, or null where the evidence is too thin."""
+    prior = F.lit(0.5) + F.lit(PRIOR) * (n0 + n1)
+    strength = PRIOR * (all0 + all1)
+    one, none = n1 + prior, n0 + prior
+    odds = F.log(one / (F.lit(all1 + strength) - one + 1)) - F.log(none / (F.lit(all0 + strength) - none + 1))
+    return F.when((odds / F.sqrt(1 / one + 1 / none) >= MIN_Z) & (odds >= MIN_ODDS), odds)
+
+
+def learn_weights(rows: DataFrame) -> list[dict[bytes, float]]:
+    """The weights of all training rows, then those without each fold."""
+    counts = cut(feature_counts(rows), "features")
+    words = counts.filter(~F.endswith(F.col("feature"), F.lit(b"*"))).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTS]).first().asDict()
+    columns = []
+    for left_out in (None, *range(FOLDS)):
+        used = [k for k in range(FOLDS) if k != left_out]
+        n0, n1 = (sum((F.col(f"n{toxic}_{k}") for k in used), F.lit(0)) for toxic in (0, 1))
+        all0, all1 = (float(sum(words[f"n{toxic}_{k}"] for k in used)) for toxic in (0, 1))
+        columns.append(_log_odds(n0, n1, all0, all1).alias(f"w{len(columns)}"))
+    names = [f"w{i}" for i in range(FOLDS + 1)]
+    passed = counts.select("feature", *columns).filter(F.coalesce(*names).isNotNull())
+    out: list[dict[bytes, float]] = [{} for _ in names]
+    for row in passed.collect():  # features with evidence from at most max_train texts
+        for weights, value in zip(out, row[1:], strict=True):
+            if value is not None:
+                weights[bytes(row.feature)] = float(value)
+    return out
+
+
+def judged_rows(rows: DataFrame, weights: list[dict[bytes, float]]) -> DataFrame:
+    """toxic, n words, hits (positive word scores with counts), segments (scores): each row by the weights without its fold."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+    hit = pa.struct([("score", pa.float64()), ("count", pa.int64())])
+    schema = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("hits", pa.list_(hit)), ("segments", pa.list_(pa.float64()))])
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches = [WordScores(w) for w in shared.value[1:]]
+        for batch in batches:
+            out = []
+            for text, toxic, fold in zip(binary(batch.column("text")), batch.column("toxic").to_pylist(), batch.column("fold").to_pylist(), strict=True):
+                scores = list(map(caches[fold].__getitem__, words_of(text or b"")))
+                hits = Counter(s for s in scores if s > 0)
+                out.append((toxic, len(scores), [{"score": s, "count": n} for s, n in hits.items()], [s for _, _, s in segments(scores)]))
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(rows_of, "toxic int, n long, hits array<struct<score:double,count:long>>, segments array<double>")
 
 
 def _solve_rate(scores: np.ndarray, shares: np.ndarray) -> float:
@@ -195,51 +259,28 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float
     return tuple(float(b) for b in beta)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_features: int = 50_000) -> Model:
-    """Learn a model from at most ``max_train`` labelled rows outside the held-out fold."""
-    rows = training_rows(docs, labels, max_train)
-    counts = feature_counts(rows)
-    whole = counts.filter(~F.endswith(F.col("feature"), F.lit(b"*"))).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
-    n0, n1 = float(whole.n0 or 0), float(whole.n1 or 0)
-    if n0 + n1 == 0:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> Model:
+    """Learn a model from at most ``max_train`` labelled ids outside the held-out fold."""
+    rows = cut(training_rows(docs, labels, max_train), "training")
+    if rows.isEmpty():
         return Model()
-    both = F.col("n0") + F.col("n1")
-    prior = F.lit(0.5) + F.lit(PRIOR) * both
-    strength = PRIOR * (n0 + n1)
-    one, none = F.col("n1") + prior, F.col("n0") + prior
-    odds = F.log(one / (F.lit(n1 + strength) - one + 1)) - F.log(none / (F.lit(n0 + strength) - none + 1))
-    z = odds / F.sqrt(1 / one + 1 / none)
-    kept = counts.select("feature", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS)).orderBy(F.desc("z"), "feature").limit(max_features)
-    weights = {bytes(r.feature): float(r.odds) for r in kept.collect()}  # at most max_features rows
-    first = Model(weights)
-
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordScores(weights)
-        for batch in batches:
-            out = []
-            for text, toxic in zip(binary(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                scores = list(map(cache.__getitem__, words_of(text or b"")))
-                found = segments(scores)
-                out.append((int(toxic == 1), len(scores), [s for s in scores if s > 0], [s for _, _, s in found]))
-            names = ["toxic", "n", "hits", "segments"]
-            kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=names)
-
-    sample = rows.mapInArrow(rows_of, "toxic int, n long, hits array<double>, segments array<double>").collect()  # at most max_train rows
-    clean = [r for r in sample if not r.toxic]
-    words = sum(r.n for r in clean)
-    chance = np.array([s for r in clean for s in r.hits] + [max(weights.values(), default=1.0)])  # one more, so that chance is never ruled out
-    scores = np.append(chance, PENALTY)
-    shares = np.append(np.full(len(chance), 1.0), max(words - len(chance) + 1, 1))
-    first.rate = _solve_rate(scores, shares / shares.sum())
-    weight = sum(r.n * math.exp(-first.rate * max(r.segments, default=0.0)) for r in clean)
-    first.scale = max(1e-6, len(clean) / max(weight, 1e-9)) if clean else 1.0
-    inputs = []
-    for r in sample:
-        e = [first.scale * r.n * math.exp(-first.rate * s) for s in r.segments]
-        inputs.append((sum(-math.log(max(x, 1e-300)) for x in e if x <= MAX_E), max(r.segments, default=0.0)))
-    first.curve = _fit_curve(np.array(inputs), np.array([float(r.toxic) for r in sample]))
-    return first
+    weights = learn_weights(rows)
+    model = Model(weights[0])
+    judged = cut(judged_rows(rows, weights), "judged").withColumn("best", F.coalesce(F.array_max("segments"), F.lit(0.0)))
+    clean = judged.filter("toxic = 0")
+    hits = clean.select(F.explode("hits").alias("hit")).groupBy("hit.score").agg(F.sum("hit.count").alias("count")).collect()  # distinct weights
+    size = clean.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    chance = [(r.score, float(r["count"])) for r in hits] + [(max(weights[0].values(), default=1.0), 1.0)]  # one more, so that chance is never ruled out
+    rest = max(size.words - sum(n for _, n in chance) + 1, 1)
+    shares = np.array([n for _, n in chance] + [rest])
+    model.rate = _solve_rate(np.array([s for s, _ in chance] + [PENALTY]), shares / shares.sum())
+    reached = clean.agg(F.sum(F.col("n") * F.exp(F.col("best") * -model.rate)).alias("total")).first().total or 0.0
+    model.scale = max(1e-6, size.rows / max(reached, 1e-9)) if size.rows else 1.0
+    expected = F.transform("segments", lambda s: F.col("n") * model.scale * F.exp(s * -model.rate))
+    evidence = F.aggregate(F.filter(expected, lambda e: e <= MAX_E), F.lit(0.0), lambda total, e: total - F.log(F.greatest(e, F.lit(1e-300))))
+    inputs = judged.select("toxic", evidence.alias("evidence"), "best").orderBy("toxic", "evidence", "best").collect()  # three numbers for each of at most max_train rows
+    model.curve = _fit_curve(np.array([(r.evidence, r.best) for r in inputs]), np.array([float(r.toxic) for r in inputs]))
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
