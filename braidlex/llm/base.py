@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -106,6 +107,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+#: Copies of a row that are written out at a time.
+COPIES = 8192
+
+
+def repeated(df: DataFrame, copies: str, number: str = "__copy") -> DataFrame:
+    """Each row as often as ``copies`` says, numbered from 0 in ``number``; no array is longer than COPIES or one COPIES-th of the copies."""
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / COPIES)))
+    copy = F.explode(F.sequence(F.col("__stretch") * COPIES, F.least(copies, (F.col("__stretch") + 1) * COPIES) - 1))
+    return df.filter(F.col(copies) > 0).withColumn("__stretch", stretch).withColumn(number, copy).drop("__stretch")
+
+
 def columns_as(df: DataFrame, **types: str) -> DataFrame:
     """The named columns with the named types; a column that has its type is taken as it is, so equal scans stay equal."""
     have = dict(df.dtypes)

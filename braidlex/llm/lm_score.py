@@ -1,7 +1,8 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-Count tables. Documents are dealt by a hash of their id into chunks of about
-``CHUNK_BYTES``. Each chunk explodes its n-grams of all orders, counts them,
+Count tables. Documents are dealt by a hash of id and text into chunks of about
+``CHUNK_BYTES``; rows that are equal in both are one document with a number of
+copies, so that no row, however often it is repeated, fills a chunk. Each chunk explodes its n-grams of all orders, counts them,
 and sends the distinct ones, sorted by 64-bit hash, to the hash ranges
 (buckets) that hold the count table. A bucket adds up the counts of all chunks
 and answers each chunk with the totals of the n-grams that it asked for: the
@@ -14,8 +15,9 @@ down; ``own`` are the document's own occurrences, so a text does not vouch for
 itself. At the lowest order, the word's count elsewhere (half an occurrence if
 it has none) over all words.
 
-Size. Chunks and buckets grow in number with the input, never in size: a hot
-n-gram is one entry of each chunk, whatever the number of its occurrences.
+Size. Chunks and buckets grow in number with the input, never in size (a chunk
+or bucket is one group in memory): a hot n-gram is one entry of each chunk,
+whatever the number of its occurrences.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Defined results. Null or empty
 text: no words, score 0, mean null. Repeated rows count as documents of their
@@ -32,10 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, Rolling, WordHashes, binary, columns_as, hash_words, mix
+from .base import U64, Rolling, WordHashes, binary, columns_as, cut, hash_words, mix, repeated
 
 ALPHA = 0.4
-CHUNK_BYTES = 8_000_000
+#: Bytes of text in a chunk, and those whose n-grams share a bucket.
+CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 12_000_000
+#: Chunks or buckets in one partition.
+GROUPS = 8
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -92,7 +97,9 @@ def _wide(data: bytes) -> np.ndarray:
 def _requests(order: int, buckets: int):
     def of_chunk(key: tuple, table: pa.Table) -> pa.Table:
         _, _, grams = _chunk_ngrams(table, order)
-        h, n = np.unique(np.concatenate([g[0] for g in grams]), return_counts=True)
+        copies = table.column("copies").to_numpy()
+        h, at = np.unique(np.concatenate([g[0] for g in grams]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([copies[g[2]] for g in grams])).astype(np.int64)
         bucket = _bucket_of(h, buckets)
         edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(h))
         out = [(int(bucket[a]), pack(h[a:b]), _small(n[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -160,28 +167,47 @@ def _scores(order: int, total_words: int):
             backs[filled] = np.add.reduceat(backed, edges[filled])
         mean = [s / n if n else None for s, n in zip(sums.tolist(), lengths.tolist(), strict=True)]
         return pa.table({
-            "doc_id": docs.column("doc_id").cast(pa.int64()), "n_words": pa.array(lengths), "n_backoff": pa.array(backs),
+            "doc_id": docs.column("doc_id").cast(pa.int64()), "copies": docs.column("copies"), "n_words": pa.array(lengths), "n_backoff": pa.array(backs),
             "log_score": pa.array(sums), "mean_log_score": pa.array(mean, pa.float64()),
         })
 
     return of_chunk
 
 
+def _documents(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """doc_id, text, digest and copies of the distinct rows; bytes and words of all rows."""
+    key = ["named", "id", "length", "digest"]
+    texts = columns_as(docs, doc_id="bigint", text="string").withColumns({
+        "named": F.col("doc_id").isNotNull(), "id": F.coalesce("doc_id", F.lit(0)), "length": F.coalesce(F.octet_length("text"), F.lit(-1)), "digest": F.xxhash64("text"),
+    })
+    light = cut(texts.select(*key, F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n_words")), "lengths")
+    size = light.agg(F.sum(F.greatest("length", F.lit(0))).alias("n_bytes"), F.sum("n_words").alias("n_words")).first()
+    again = cut(light.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "repeated")
+    columns = ["doc_id", "text", "digest"]
+    if again.isEmpty():
+        once = texts.select(*columns, F.lit(1).cast("long").alias("copies"))
+    else:
+        single = texts.join(again, key, "left_anti").select(*columns, F.lit(1).cast("long").alias("copies"))
+        many = texts.join(again, key, "left_semi").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+        once = single.unionByName(many.select(*columns, "copies"))
+    return once, size.n_bytes or 0, size.n_words or 0
+
+
 def score(docs: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, n_words, n_backoff (steps down), log_score (natural logarithms, summed), mean_log_score."""
-    texts = columns_as(docs, doc_id="bigint", text="string")
-    sizes = texts.select(
-        F.sum(F.octet_length("text")).alias("n_bytes"), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n_words")
-    ).first()
-    chunks = max(1, math.ceil((sizes.n_bytes or 0) / CHUNK_BYTES))
-    dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("long"))
-    asked = dealt.groupBy("chunk").applyInArrow(_requests(order, chunks), "chunk long, bucket long, grams binary, counts binary")
-    answered = asked.groupBy("bucket").applyInArrow(_answers, "chunk long, bucket long, totals binary")
-    return (
+    texts, n_bytes, n_words = _documents(docs)
+    chunks, buckets = (max(1, math.ceil(n_bytes / size)) for size in (CHUNK_BYTES, BUCKET_BYTES))
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(usual, math.ceil(chunks / GROUPS))
+    dealt = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(chunks)).cast("long")).drop("digest").repartition(parts, "chunk")
+    asked = dealt.groupBy("chunk").applyInArrow(_requests(order, buckets), "chunk long, bucket long, grams binary, counts binary")
+    answered = asked.repartition(max(usual, math.ceil(buckets / GROUPS)), "bucket").groupBy("bucket").applyInArrow(_answers, "chunk long, bucket long, totals binary")
+    scored = (
         dealt.groupBy("chunk")
-        .cogroup(answered.groupBy("chunk"))
-        .applyInArrow(_scores(order, max(1, sizes.n_words or 0)), "doc_id long, n_words long, n_backoff long, log_score double, mean_log_score double")
+        .cogroup(answered.repartition(parts, "chunk").groupBy("chunk"))
+        .applyInArrow(_scores(order, max(1, n_words)), "doc_id long, copies long, n_words long, n_backoff long, log_score double, mean_log_score double")
     )
+    return repeated(scored, "copies").drop("copies", "__copy")
 
 
 SQL = rf"""WITH w AS (

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, repeated
 
 DIMS = ("source", "lang", "topic")
 #: Shares of a text's characters from which it counts as numeric, markup or loud.
@@ -177,8 +177,7 @@ def sample(docs: DataFrame, wanted: dict[str, float | DataFrame], budget: float
     of_cell = weights.select(*[F.col(dim).alias(f"__{dim}") for dim in DIMS], F.col("weight").alias("__weight"))
     drawn = docs.withColumns(own).join(of_cell, list(own), "left")
     copies = copies_of(F.coalesce(F.col("__weight"), F.lit(0.0)), F.col("doc_id").cast("long"), seed)
-    times = drawn.withColumn("__copies", copies).filter("__copies > 0")
-    return times.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+    return repeated(drawn.withColumn("__copies", copies), "__copies").select(*docs.columns)
 
 
 def mix_sql(wanted: dict[str, float], budget: float = 1.0, sweeps: int = 30, seed: int = 7) -> str:

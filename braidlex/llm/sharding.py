@@ -24,12 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, repeated
 
 #: Rows of a bucket that are sorted together, on average.
 BUCKET_ROWS = 256
-#: Copies of a row that are written out at a time.
-COPIES = 8192
 
 
 def _prefix(counts: DataFrame, by: list[str], bits: int) -> DataFrame:
@@ -68,10 +66,7 @@ def interleave(df: DataFrame, shards: int = 24, seed: int = 11, source: str = "s
     in_source = ranked(keyed, ["__source"], ["__h", *tie, "__rest"], bits, "__rank", copies)
     sizes = keyed.groupBy("__source").agg(F.sum(copies).alias("__n"))
     shift = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__source"), 11) / F.lit(float(1 << 53))
-    # two steps, so that no array has more than COPIES numbers or one for COPIES of them
-    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((copies - 1) / COPIES)))
-    copy = F.explode(F.sequence(F.col("__stretch") * COPIES, F.least(copies, (F.col("__stretch") + 1) * COPIES) - 1))
-    each = in_source.withColumn("__stretch", stretch).withColumn("__copy", copy).withColumn("__rank", F.col("__rank") + F.col("__copy"))
+    each = repeated(in_source, "__copies").withColumn("__rank", F.col("__rank") + F.col("__copy"))
     spread = each.join(sizes, "__source").withColumn("__at", (F.col("__rank") + shift) / F.col("__n"))
     spread = spread.withColumns({"__bucket": F.least(F.floor(F.col("__at") * (1 << bits)), F.lit((1 << bits) - 1)), "__all": F.lit(0)})
     whole = ranked(spread, ["__all"], ["__at", "__source", "__rank"], bits, "__place", F.lit(1))
