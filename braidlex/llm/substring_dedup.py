@@ -1,22 +1,26 @@
 """Substring dedup by level-wise doubling.
 
 A window of ``2n`` words can repeat only where a window of ``n`` words inside
-it repeats, so windows are counted at a short length, and only those that
-repeat are extended to twice that length, until no candidates survive or the
-wanted length is reached (a longer repeat covers no word that its windows of
-the wanted length do not cover).
-
-Level ``n`` (half the wanted length). Of the half-length windows inside each
+it repeats. So windows are compared at a short length first, and those that
+repeat there (those alone) are extended to twice that length, level after
+level, until no candidates survive or the wanted length is reached: 5, 10 and
+20 words for windows of 20. Longer levels would cover no word that windows of
+the wanted length do not cover. A level without candidates gives the next one
+nothing to read.
+
+A level ``n`` below the wanted length. Of the ``n``-word windows inside each
 full window only the one with the smallest hash counts (leftmost on ties):
-equal full windows choose it at the same place, so nothing is lost, and about
-a sixth of the positions is shuffled. Full windows with the same choice are
-neighbours, a *run*; the run travels as one row with the hash of its words.
-Level ``2n``. Where equal half-length windows stand in different runs, each
-full window of these runs is hashed (128 bits) and the first one stays.
-
-Hot keys: each worker sends at most one row per key and chunk of words; equal
-runs or windows met again in a chunk are settled on the spot. A key that a
-third of all documents share arrives as one row for each chunk.
+equal full windows choose it at the same place, so nothing is lost, and only
+about ``2 / (window - n + 2)`` of the positions are shuffled. Neighbouring full
+windows with the same choice are a *run*; it travels as one row with the hash
+of its words. A run that stands earlier as a whole is settled: all its windows
+repeat. Runs with the same chosen window but different words around it are the
+candidates of the next level. The last level hashes each full window that is
+left (128 bits), and the first one of its kind stays.
+
+Hot keys: each worker sends at most one row per key and chunk of words (about
+4 MB of text) to be compared; equal runs or windows met again in a chunk are
+settled on the spot, others with the same key go on under keys of their own.
 
 Defined results. Null or empty text: no words. Fewer words than a window:
 nothing is removed. Repeated rows (same id and text) are one document and get
@@ -31,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Rolling, WordHashes, binary, columns_as, hash_words, mix, signed
+from .base import U64, Rolling, WordHashes, binary, columns_as, hash_words, mix, signed
 
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 ASIDE = 0xA24BAED4963EE407
@@ -42,9 +46,13 @@ ASIDE = 0xA24BAED4963EE407
 #: Words hashed at a time by one worker.
 CHUNK_WORDS = 600_000
 
+#: The shortest level: halving the wanted length ends at this many words or fewer.
+SHORTEST = 7
+
 WITNESS, WITNESS_MIXED, SURVIVOR, REMOVED = 0, 1, 2, 3
 #: ``place`` packs start, number of windows and state (two bits): fewer bytes to shuffle, and ordered by start.
-_HALF_ROWS = "key long, run_hash long, doc_id long, place long"
+_NAMES = ["key", "run_hash", "doc_id", "place"]
+_RUN_ROWS = "key long, run_hash long, doc_id long, place long"
 _FULL_ROWS = "key long, check long, doc_id long, place long"
 
 
@@ -110,25 +118,59 @@ def _group_first(same: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
 
 
-def half_level(window_words: int):
-    half = window_words // 2
-    width = window_words - half + 1
+def levels(window_words: int) -> list[int]:
+    """Window lengths of the levels, each at most twice the one before; the last is the wanted one."""
+    out = [window_words]
+    while out[0] > SHORTEST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def _windows(rows: list[tuple], starts: np.ndarray, window_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the full windows that are candidates: all of them, or those of the surviving runs; and the rows' settled runs."""
+    if len(rows[0]) == 2:  # the first level: no runs yet
+        doc_of = np.repeat(np.arange(len(rows)), np.diff(starts))
+        at = np.arange(max(0, len(doc_of) - window_words + 1))
+        return at[at + window_words <= starts[doc_of[at] + 1]], np.zeros(0, np.int64)
+    runs = [np.array(r[2], np.int64) for r in rows]
+    sizes = [len(r) for r in runs]
+    run = np.concatenate(runs)
+    base = np.repeat(starts[:-1], sizes)
+    start, n, state = _unpack(run)
+    live = state != REMOVED
+    n, first = n[live], (base + start)[live]
+    at = np.sort(np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+    return at, np.flatnonzero(~live)
+
+
+def _settled(rows: list[tuple], gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, document and place of the runs that earlier levels settled, to be carried on."""
+    if not len(gone):
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    run = np.concatenate([np.array(r[2], np.int64) for r in rows])[gone]
+    doc = np.repeat(np.array([r[1] for r in rows], np.int64), [len(r[2]) for r in rows])[gone]
+    return _lone_key(doc, run >> 22, ASIDE), doc, run
+
+
+def run_level(window_words: int, length: int, first_level: bool):
+    """Runs of candidate windows by the hash of their chosen window of ``length`` words."""
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _doc_chunks(batches, ["doc_id"]):
+        for rows in _doc_chunks(batches, ["doc_id"] if first_level else ["doc_id", "runs"]):
             words, starts = _joined(rows)
-            if len(words) < window_words:
+            window, gone = _windows(rows, starts, window_words)
+            old_key, old_doc, old_place = _settled(rows, gone)
+            if not len(window):
+                if len(gone):
+                    columns = (signed(old_key), np.zeros(len(gone), np.int64), old_doc, old_place)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=_NAMES)
                 continue
             doc_of = np.repeat(np.arange(len(rows)), np.diff(starts))
             ids = np.array([r[1] for r in rows], np.int64)
             rolling = Rolling(words, BASE_A)
-            h = mix(rolling.windows(half))
-            place = _leftmost_min(h, width)
-            window = np.flatnonzero(np.arange(len(place)) + window_words <= starts[doc_of[: len(place)] + 1])
-            if not len(window):
-                continue
-            place = place[window]
-            new = np.flatnonzero(np.diff(place, prepend=-1))
+            h = mix(rolling.windows(length))
+            place = _leftmost_min(h, window_words - length + 1)[window]
+            new = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(window, prepend=-2) != 1))
             first = window[new]
             count = np.diff(new, append=len(window))
             anchor = place[new]
@@ -148,47 +190,38 @@ def half_level(window_words: int):
             keep = leader | repeat
             alone = state >= SURVIVOR
             key = np.where(alone, _lone_key(doc, start, ASIDE), key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[keep]) for x in (signed(key), signed(run), doc, _pack(start, count, state))],
-                names=["key", "run_hash", "doc_id", "place"],
-            )
+            columns = (
+                np.concatenate([signed(key)[keep], signed(old_key)]), np.concatenate([signed(run)[keep], np.zeros(len(gone), np.int64)]),
+                np.concatenate([doc[keep], old_doc]), np.concatenate([_pack(start, count, state)[keep], old_place]),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=_NAMES)
 
     return rows_of
 
 
-def full_level(window_words: int):
+def full_level(window_words: int, first_level: bool):
+    """Each candidate window by the hash of all its words."""
+
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _doc_chunks(batches, ["doc_id", "runs"]):
+        for rows in _doc_chunks(batches, ["doc_id"] if first_level else ["doc_id", "runs"]):
             words, starts = _joined(rows)
+            whole, gone = _windows(rows, starts, window_words)
+            old_key, old_doc, old_place = _settled(rows, gone)
             a, b = Rolling(words, BASE_A), Rolling(mix(words), BASE_B)
-            runs = [np.array(r[2], np.int64) for r in rows]
-            sizes = [len(r) for r in runs]
-            run = np.concatenate(runs)
-            base, doc = np.repeat(starts[:-1], sizes), np.repeat(np.array([r[1] for r in rows], np.int64), sizes)
-            start, n, state = _unpack(run)
-            gone = state == REMOVED
-            live = ~gone
-            n_live = n[live]
-            total = int(n_live.sum())
-            inner = np.arange(total) - np.repeat(np.cumsum(n_live) - n_live, n_live)
-            at = np.repeat(start[live], n_live) + inner
-            whole = np.repeat(base[live], n_live) + at
             key, check = mix(a.runs(whole, whole + window_words)), mix(b.runs(whole, whole + window_words))
-            of = np.repeat(doc[live], n_live)
+            doc_of = np.repeat(np.arange(len(rows)), np.diff(starts))[whole]
+            of, at = np.array([r[1] for r in rows], np.int64)[doc_of], whole - starts[doc_of]
             order = np.lexsort((at, of, check, key))
             key, check, of, at = key[order], check[order], of[order], at[order]
             same = _same_as_before(key) & _same_as_before(check)
             lead = _group_first(same)
-            repeat = (of != of[lead]) | (at != at[lead])
-            keep = ~same | repeat
+            keep = ~same | (of != of[lead]) | (at != at[lead])
             key = np.where(same, _lone_key(of, at, ASIDE), key)
             settled = np.where(same, REMOVED, SURVIVOR)
             columns = (
-                np.concatenate([signed(key)[keep], signed(_lone_key(doc, start, ASIDE))[gone]]),
-                np.concatenate([signed(check)[keep], np.zeros(int(gone.sum()), np.int64)]),
-                np.concatenate([of[keep], doc[gone]]),
-                np.concatenate([_pack(at, np.ones(len(at), np.int64), settled)[keep], _pack(start, n, state)[gone]]),
-            )
+                np.concatenate([signed(key)[keep], signed(old_key)]), np.concatenate([signed(check)[keep], np.zeros(len(gone), np.int64)]),
+                np.concatenate([of[keep], old_doc]), np.concatenate([_pack(at, np.ones(len(at), np.int64), settled)[keep], old_place]),
+            )
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "check", "doc_id", "place"])
 
     return rows_of
@@ -228,34 +261,46 @@ def _texts(docs: DataFrame) -> DataFrame:
     return columns_as(docs, doc_id="bigint", text="string")
 
 
-def repeated_spans(docs: DataFrame, window_words: int = 20) -> DataFrame:
-    """doc_id, place: packed runs of windows whose words also start earlier."""
-    if window_words < 2:
-        raise ValueError("window_words must be at least 2")
-    known = _texts(docs).filter("doc_id is not null")
-    # dealt out before the window's inputs are computed, so that four longs a row are shuffled
-    half = known.mapInArrow(half_level(window_words), _HALF_ROWS).repartition("key")
-    state = F.col("place").bitwiseAND(3)
+def _state() -> Column:
+    return F.col("place").bitwiseAND(3)
+
+
+def _at() -> Column:
+    return F.struct(F.col("doc_id"), F.shiftright("place", 22).alias("start"))
+
+
+def judged_runs(runs: DataFrame) -> DataFrame:
+    """doc_id, run: the runs of a level that are settled or survive it."""
     by_key = Window.partitionBy("key")
     ordered = by_key.orderBy("run_hash", "doc_id", "place")
-    start = F.shiftright("place", 22)
-    first = F.struct(F.col("doc_id"), start.alias("start"))
-    open_run = F.when(state <= WITNESS_MIXED, F.col("run_hash"))
-    judged = half.withColumns({
-        "lead": F.first(first).over(Window.partitionBy("key", "run_hash").orderBy("doc_id", "place")),
+    open_run = F.when(_state() <= WITNESS_MIXED, F.col("run_hash"))
+    judged = runs.withColumns({
+        "lead": F.first(_at()).over(Window.partitionBy("key", "run_hash").orderBy("doc_id", "place")),
         "repeat": F.coalesce(F.lag("run_hash").over(ordered) == F.col("run_hash"), F.lit(False)),
-        "mixed": (F.min(open_run).over(by_key) < F.max(open_run).over(by_key)) | (F.max(F.when(state == WITNESS_MIXED, 1).otherwise(0)).over(by_key) == 1),
+        "mixed": (F.min(open_run).over(by_key) < F.max(open_run).over(by_key)) | (F.max(F.when(_state() == WITNESS_MIXED, 1).otherwise(0)).over(by_key) == 1),
     })
     settled = (
-        F.when(state >= SURVIVOR, state)
-        .when(F.col("repeat"), F.when(F.col("lead") < first, REMOVED))
+        F.when(_state() >= SURVIVOR, _state())
+        .when(F.col("repeat"), F.when(F.col("lead") < _at(), REMOVED))
         .when(F.col("mixed"), SURVIVOR)
     )
-    survivors = judged.select("doc_id", (F.shiftleft(F.shiftright("place", 2), 2) + settled).alias("run")).filter("run is not null")
-    runs = survivors.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    full = known.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(full_level(window_words), _FULL_ROWS).repartition("key")
-    lead = F.first(first).over(Window.partitionBy("key", "check").orderBy("doc_id", "place"))
-    return full.withColumn("lead", lead).filter((state == REMOVED) | (F.col("lead") < first)).select("doc_id", "place")
+    return judged.select("doc_id", (F.shiftleft(F.shiftright("place", 2), 2) + settled).alias("run")).filter("run is not null")
+
+
+def repeated_spans(docs: DataFrame, window_words: int = 20) -> DataFrame:
+    """doc_id, place: packed runs of windows whose words also start earlier."""
+    if window_words < 1:
+        raise ValueError("window_words must be at least 1")
+    known = _texts(docs).filter("doc_id is not null")
+    candidates = known  # then: the texts with runs that survived
+    for length in levels(window_words)[:-1]:
+        # dealt out before the window's inputs are computed, so that four longs a row are shuffled
+        runs = candidates.mapInArrow(run_level(window_words, length, candidates is known), _RUN_ROWS).repartition("key")
+        survivors = judged_runs(runs).groupBy("doc_id").agg(F.collect_list("run").alias("runs"))  # one document's runs
+        candidates = known.join(survivors, "doc_id").select("doc_id", "text", "runs")  # the texts' shuffle is reused by each level
+    full = candidates.mapInArrow(full_level(window_words, candidates is known), _FULL_ROWS).repartition("key")
+    lead = F.first(_at()).over(Window.partitionBy("key", "check").orderBy("doc_id", "place"))
+    return full.withColumn("lead", lead).filter((_state() == REMOVED) | (F.col("lead") < _at())).select("doc_id", "place")
 
 
 def drop_repeats(docs: DataFrame, window_words: int = 20, with_text: bool = True) -> DataFrame:

@@ -66,7 +66,7 @@ def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-@pytest.mark.parametrize("chunk,window", [(100, 20), (600_000, 20), (50, 5)])
+@pytest.mark.parametrize("chunk,window", [(100, 20), (600_000, 20), (50, 5), (80, 1), (150, 9), (600_000, 50)])
 def test_substring_dedup(docs, rows, monkeypatch, chunk, window):
     monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", chunk)
     got = {r.doc_id: r for r in substring_dedup.drop_repeats(docs, window).collect()}
