@@ -107,6 +107,26 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+#: Rows of one key that a join takes to one task.
+HOT_ROWS = 100_000
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, which has one row a key; keys with more than HOT_ROWS rows on the left are cut into parts.
+
+    ``left`` is a written table, so that a row's partition is the same whenever it is read.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_ROWS)
+    hot = cut(counts.select(key, F.ceil(F.col("__n") / HOT_ROWS).cast("int").alias("__parts")), "hot")
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    small = F.broadcast(hot)  # a row for at least HOT_ROWS rows of the left side
+    parts = F.coalesce("__parts", F.lit(1))
+    salted = left.join(small, key, "left").withColumn("__part", F.pmod(F.xxhash64(F.spark_partition_id(), *left.columns), parts).cast("int")).drop("__parts")
+    many = right.join(small, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return salted.join(many, [key, "__part"], how).drop("__part")
+
+
 #: Copies of a row that are written out at a time.
 COPIES = 8192
 

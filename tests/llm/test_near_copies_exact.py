@@ -1,6 +1,7 @@
 """Near copies link by the exact similarity of their shingle sets, whatever their fingerprints."""
 
 import itertools
+import os
 import random
 
 import pytest
@@ -37,5 +38,77 @@ def test_links_are_exact(spark, texts, monkeypatch, tile, tile_bytes):
     assert {r.doc_id: r.component_id for r in simhash_dedup.near_copies(docs).collect()} == dict(enumerate(label))
 
 
-def test_sketch_allowance():
-    assert simhash_dedup.least_agreeing(0.8) == 71
+def test_radius_leaves_out_next_to_nothing():
+    """The share of differing bits of small sets is that of trying all bits; simulated large sets stay within the radius."""
+    import numpy as np
+
+    for a, b, common in ((1, 0, 4), (1, 1, 8), (0, 2, 8), (2, 1, 5)):
+        differ = 0
+        for bits in itertools.product((0, 1), repeat=a + b + common):
+            x, y = bits[:a] + bits[a + b :], bits[a:]
+            differ += (sum(x) * 2 > len(x)) != (sum(y) * 2 > len(y))
+        assert abs(simhash_dedup._differ(a, b, common) - differ / 2 ** (a + b + common)) < 1e-12
+    radius = simhash_dedup.radius_of(0.8)
+    assert 0.15 < simhash_dedup.differing_share(0.8) < 0.2 and 60 < radius < 100
+    r = np.random.default_rng(4)
+    for n in (5, 9, 45, 450):
+        own = (n - int(np.ceil(n * 8 / 9 - 1e-9))) if n != 5 else 1
+        for _ in range(200):
+            h = r.integers(0, 1 << 64, n + own, dtype=np.uint64).tolist()
+            left, right = (h[:n], h[own:]) if n != 5 else (h[:5], h[:4])
+            prints = [np.unpackbits(np.frombuffer(simhash_dedup.signature(x)[1], np.uint8)) for x in (left, right)]
+            assert (prints[0] != prints[1]).sum() <= radius
+
+
+def test_wide_prints_are_compared_bit_by_bit():
+    import numpy as np
+
+    r = random.Random(7)
+    base = [r.getrandbits(256) for _ in range(4)]
+    prints = [b ^ sum(1 << k for k in r.sample(range(256), r.randrange(60))) for b in base for _ in range(40)]
+    group = sorted(r.randrange(3) for _ in prints)
+    words = np.array([[p >> 64 * k & (1 << 64) - 1 for k in range(4)] for p in prints], np.uint64)
+    u, v = simhash_dedup.bitsliced_links(np.array(group), words, 50)
+    want = {(i, j) for i, j in itertools.combinations(range(len(prints)), 2) if group[i] == group[j] and (prints[i] ^ prints[j]).bit_count() <= 50}
+    assert {(min(a, b), max(a, b)) for a, b in zip(u.tolist(), v.tolist(), strict=True)} == want and len(want) > 100
+
+
+def test_recall_on_the_small_documents(spark):
+    """All pairs at 0.8 or more among the documents at hand, found by brute force over shared shingles."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no documents here")
+    docs = spark.read.parquet(path)
+    rows = docs.select("doc_id", "text").collect()
+    sets = {r.doc_id: frozenset(simhash_dedup.shingle_hashes((r.text or "").encode(), 5, 42)) for r in rows}
+    label = {i: i for i in sets}
+    at = {}
+    for i, s in sets.items():
+        for h in s or ["none"]:
+            at.setdefault(h, []).append(i)
+    pairs = {p for ids in at.values() for p in itertools.combinations(sorted(ids), 2)}
+    near = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in near:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_copies(docs).collect()}
+    found = sum(got[a] == got[b] for a, b in near)
+    assert len(near) > 50 and found / len(near) >= 0.999
+    assert sum(got[i] != label[i] for i in got) <= 0.001 * len(got)
+
+
+def test_split_joins_keep_all_rows(spark, texts, monkeypatch):
+    """Keys cut into parts give the same classes: copies by the hundred, and a star of links."""
+    from braidlex.llm import base
+
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[0]) for i in range(300)] + [(2000 + i, None) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    star = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(500, 501)], "a long, b long")
+    usual = [sorted(map(tuple, f().collect())) for f in (lambda: simhash_dedup.near_copies(docs), lambda: simhash_dedup.near_duplicates(docs), lambda: simhash_dedup.connected(star))]
+    monkeypatch.setattr(base, "HOT_ROWS", 20)
+    split = [sorted(map(tuple, f().collect())) for f in (lambda: simhash_dedup.near_copies(docs), lambda: simhash_dedup.near_duplicates(docs), lambda: simhash_dedup.connected(star))]
+    assert usual == split and len(usual[0]) == len(rows) and {x for n, x in usual[2] if n < 500} == {0}
