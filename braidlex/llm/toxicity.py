@@ -278,7 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> Model:
     model.scale = max(1e-6, size.rows / max(reached, 1e-9)) if size.rows else 1.0
     expected = F.transform("segments", lambda s: F.col("n") * model.scale * F.exp(s * -model.rate))
     evidence = F.aggregate(F.filter(expected, lambda e: e <= MAX_E), F.lit(0.0), lambda total, e: total - F.log(F.greatest(e, F.lit(1e-300))))
-    inputs = judged.select("toxic", evidence.alias("evidence"), "best").orderBy("toxic", "evidence", "best").collect()  # three numbers for each of at most max_train rows
+    inputs = judged.select("toxic", evidence.alias("evidence"), "best").collect()  # three numbers for each of at most max_train rows
+    inputs.sort(key=tuple)  # sums in one order whatever the tasks
     model.curve = _fit_curve(np.array([(r.evidence, r.best) for r in inputs]), np.array([float(r.toxic) for r in inputs]))
     return model
 
