@@ -57,6 +57,18 @@ FRENCH_WORDS = tuple(
 )
 
 
+#: Our own lists of Spanish and Malay function words.
+SPANISH_WORDS = tuple(
+    "a al algo antes aquí así aún bien cada casi como con cual cuando de del desde donde dos el ella ellas ellos en entre era es esa ese eso esta estar este esto está están fue gracias ha hace hay "
+    "hasta hoy la las le les lo los más me mi mucho muy nada ni no nos nosotros nuestro o otra otro para pero poco por porque pues que quien qué se ser si sin sobre solo son su sus sí también tan te "
+    "tiene todo todos tu tus un una uno usted va vamos y ya yo".split()
+)
+MALAY_WORDS = tuple(
+    "ada adalah akan aku anda antara apa atau awak baru belum bila boleh buat dah dalam dan dari dengan di dia dua hari ialah ini itu jadi jangan juga kalau kami kata ke kepada kerana kita lagi lah lebih "
+    "makan mana mereka mesti nak nanti oleh orang pada pergi pula saja sama sangat satu saya sebab sedang semua sini sudah supaya tak tapi telah tempat tentang tidak untuk yang".split()
+)
+
+
 @dataclass(frozen=True)
 class LanguagePair:
     """How to tell the two languages of a text apart: by script, or by a lexicon of the first one."""
@@ -84,6 +96,8 @@ PAIRS = {
     "ja_en": LanguagePair("ja_en", "ja", "en", r"\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}"),
     "hi_en": LanguagePair("hi_en", "hi", "en", r"\x{0900}-\x{097F}\x{A8E0}-\x{A8FF}", "।.!?"),
     "fr_en": LanguagePair("fr_en", "fr", "en", lexicon=FRENCH_WORDS, endings=".!?"),
+    "es_en": LanguagePair("es_en", "es", "en", lexicon=SPANISH_WORDS, endings=".!?¿¡"),
+    "ms_en": LanguagePair("ms_en", "ms", "en", lexicon=MALAY_WORDS, endings=".!?"),
 }
 
 

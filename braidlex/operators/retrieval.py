@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,50 +18,87 @@ def strip_tags(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "<[^>]+>", ""), r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", "")
 
 
-def provider_chain(snippets: DataFrame, limit: int) -> DataFrame:
-    """snippets(topic, provider, pos, title): providers in order until ``limit`` is reached, one row a title, first ``limit``.
+def provider_chain(snippets: DataFrame, limit: int, chain: DataFrame, fallback: str = "web_search") -> DataFrame:
+    """snippets(topic, provider, pos, title) by the providers of ``chain`` (topic, provider, priority), in its order.
 
-    A provider is kept while those before it have fewer than ``limit``.
+    A provider is asked while those before it have fewer than ``limit`` rows;
+    of the rows one a title stays, then the first ``limit``. A topic that the
+    chain does not name has ``fallback`` alone; providers outside a topic's
+    chain, and chain entries without snippets, are skipped. Rows with an error
+    (where there is such a column) are no snippets.
     """
-    counts = snippets.groupBy("topic", "provider").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("topic").orderBy("provider").rowsBetween(Window.unboundedPreceding, -1)
+    if "error" in snippets.columns:
+        snippets = snippets.filter("error is null")
+    given = chain.select("topic", "provider", "priority")
+    others = snippets.filter(F.col("provider") == fallback).join(given, "topic", "left_anti").withColumn("priority", F.lit(0))
+    known = snippets.join(given, ["topic", "provider"]).unionByName(others)
+    counts = known.groupBy("topic", "provider", "priority").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("topic").orderBy("priority", "provider").rowsBetween(Window.unboundedPreceding, -1)
     asked = counts.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("earlier") < limit).select("topic", "provider")
-    rows = snippets.join(asked, ["topic", "provider"]).withColumn("key", F.lower(F.trim("title")))
-    once = rows.withColumn("r", F.row_number().over(Window.partitionBy("topic", "key").orderBy("provider", "pos"))).filter("r = 1").drop("r", "key")
-    rank = F.row_number().over(Window.partitionBy("topic").orderBy("provider", "pos"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= limit)
-
-
-def ttl_cache(requests: DataFrame, keys: list[str], time: str, order: str, ttl_seconds: int) -> DataFrame:
-    """requests plus ``hit``: a request misses where the last miss of its key is ``ttl_seconds`` old or more; a hit renews nothing.
-
-    A fold over the key's times in order (a true recurrence, so no window).
-    """
-    packed = requests.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(time).cast("timestamp").alias("t"), F.col(order).alias("o")))).alias("calls"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.array().cast(f"array<struct<o:bigint,hit:boolean>>").alias("out"))
+    rows = known.join(asked, ["topic", "provider"]).withColumn("key", F.lower(F.trim("title")))
+    once = rows.withColumn("r", F.row_number().over(Window.partitionBy("topic", "key").orderBy("priority", "provider", "pos"))).filter("r = 1").drop("r", "key")
+    rank = F.row_number().over(Window.partitionBy("topic").orderBy("priority", "provider", "pos"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= limit).drop("priority")
 
-    def step(acc: Column, call: Column) -> Column:
-        hit = acc["last"].isNotNull() & (F.unix_micros(call["t"]) - F.unix_micros(acc["last"]) < ttl_seconds * 1_000_000)
-        hit = F.coalesce(hit, F.lit(False))
-        return F.struct(F.when(hit, acc["last"]).otherwise(call["t"]).alias("last"), F.concat(acc["out"], F.array(F.struct(call["o"].alias("o"), hit.alias("hit")))).alias("out"))
 
-    folded = packed.select(*keys, F.aggregate("calls", start, step, lambda a: a["out"]).alias("calls"))
-    return folded.select(*keys, F.explode_outer("calls").alias("c")).filter("c is not null").select(*keys, F.col("c.o").alias(order), F.col("c.hit").alias("hit"))
+def ttl_cache(requests: DataFrame, keys: list[str], time: str, order: str, ttl_seconds: int, found: str | None = None) -> DataFrame:
+    """keys, ``order`` and ``hit``: a request misses where the last kept miss of its key is ``ttl_seconds`` old or more.
 
+    A hit renews nothing. With ``found`` (a boolean column) a miss without a
+    result is not kept. Times are those of ``time``, ties in ``order``.
 
-def format_snippets(df: DataFrame, key: str) -> DataFrame:
-    """df(key, rank, content, source) to one numbered block a key."""
+    This is a true recurrence: rows are dealt by key, sorted by Spark, and
+    walked in order with the last kept miss as the only state, so a hot key
+    takes a stream of rows, never a group in memory.
+    """
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    kept = F.coalesce(F.col(found), F.lit(False)) if found else F.lit(True)
+    rows = requests.select(*keys, F.col(order), F.xxhash64(*keys).alias("__key"), micros.alias("__t"), kept.alias("__kept"))
+    walked = rows.repartition(*keys).sortWithinPartitions(*keys, "__t", order)
+    columns = [*keys, order]
+    kinds = dict(requests.dtypes)
+    ttl = ttl_seconds * 1_000_000
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            now = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
+            hashed = batch.column("__key").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(hashed)) + 1).tolist(), n]
+            times, stays = batch.column("__t").to_numpy(), batch.column("__kept").to_numpy(zero_copy_only=False)
+            hit = np.zeros(n, bool)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if now[a] != key:
+                    key, last = now[a], None
+                at = a
+                while at < b:
+                    if last is not None:
+                        stop = a + int(np.searchsorted(times[a:b], last + ttl, "left"))
+                        hit[at:stop] = True
+                        at = max(at, stop)
+                    misses = np.flatnonzero(stays[at:b])
+                    if not len(misses):
+                        break
+                    at += int(misses[0])  # the first miss with a result is kept; those before it are misses too
+                    last = int(times[at])
+                    at += 1
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(hit)], names=[*columns, "hit"])
+
+    return walked.mapInArrow(rows_of, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", hit boolean")
+
+
+#: Our own frames of a block of snippets, by language.
+FRAMES = {
+    "en": ("Facts that may help with this topic:\n\n", "\n\nUse what fits, said your own way."),
+    "zh": ("与话题有关的资料：\n\n", "\n\n可选用其中合适的内容，换成自己的话。"),
+}
+
+
+def format_snippets(df: DataFrame, key: str, frame: tuple[str, str] = FRAMES["en"]) -> DataFrame:
+    """df(key, rank, content, source) to one numbered block a key between the two texts of ``frame``."""
     line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("content"), F.when(F.coalesce("source", F.lit("")) != "", F.concat(F.lit("\n   ("), F.col("source"), F.lit(")"))).otherwise(""))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n\n")
-    return df.groupBy(key).agg(F.concat(F.lit("Here is some real information related to the topic.\n\n"), body, F.lit("\n\nMention one or two points in your own words.")).alias("block"))
-
-
-def arxiv_entries(xml: Column) -> Column:
-    """Titles of the entries of an Atom feed; entries without one are left out."""
-    entries = F.regexp_extract_all(xml, F.lit("(?s)<entry>(.*?)</entry>"), F.lit(1))
-    titles = F.transform(entries, lambda e: F.trim(F.regexp_replace(F.regexp_extract(e, "(?s)<title>(.*?)</title>", 1), r"\s+", " ")))
-    return F.filter(titles, lambda t: t != "")
-
-
-def news_body(description: Column, content: Column) -> Column:
-    return F.coalesce(F.nullif(description, F.lit("")), content, F.lit(""))
+    return df.groupBy(key).agg(F.concat(F.lit(frame[0]), body, F.lit(frame[1])).alias("block"))

@@ -21,13 +21,13 @@ TOPICS = (
 DIALOGUE_TYPES = (("monologue", 0.30), ("dyadic", 0.45), ("group", 0.25))
 FORMALITY_SHIFT = (("casual", 0.05), ("semi_formal", 0.0), ("formal", -0.10))
 RELATIONSHIPS = (("close_friends", "casual"), ("colleagues", "semi_formal"), ("classmates", "casual"), ("teacher_student", "semi_formal"), ("strangers", "semi_formal"), ("family", "casual"))
-#: Our own personas; a real set is read with ``sources.config``.
+#: Our own personas (name, weight, region, profession, archetypes, relationships, topics, age group, proficiency); a pool is read with ``sources.config``.
 PERSONAS = (
-    ("engineer", 0.30, "singapore", "software engineer", ("ARC_01", "ARC_03"), ("close_friends", "colleagues"), ("technology", "work", "food")),
-    ("student", 0.25, "mainland", "student", ("ARC_01", "ARC_05", "ARC_06"), ("classmates", "teacher_student", "family"), ("academic", "entertainment", "daily_life")),
-    ("banker", 0.20, "hong_kong", "finance", ("ARC_02", "ARC_03", "ARC_04"), ("colleagues", "strangers"), ("work", "travel", "shopping")),
-    ("teacher", 0.15, "malaysia", "teacher", ("ARC_02", "ARC_04"), ("teacher_student", "family"), ("academic", "emotion", "sports")),
-    ("cook", 0.08, "taiwan", "chef", ("ARC_05",), ("family", "strangers"), ("food", "daily_life")),
+    ("engineer", 0.30, "singapore", "software engineer", ("ARC_01", "ARC_03"), ("close_friends", "colleagues"), ("technology", "work", "food"), "young", "advanced"),
+    ("student", 0.25, "mainland", "student", ("ARC_01", "ARC_05", "ARC_06"), ("classmates", "teacher_student", "family"), ("academic", "entertainment", "daily_life"), "young", "intermediate"),
+    ("banker", 0.20, "hong_kong", "finance", ("ARC_02", "ARC_03", "ARC_04"), ("colleagues", "strangers"), ("work", "travel", "shopping"), "middle", "fluent"),
+    ("teacher", 0.15, "malaysia", "teacher", ("ARC_02", "ARC_04"), ("teacher_student", "family"), ("academic", "emotion", "sports"), "middle", "advanced"),
+    ("cook", 0.08, "taiwan", "chef", ("ARC_05",), ("family", "strangers"), ("food", "daily_life"), "senior", "basic"),
 )
 #: Our own domain words by topic and profession; ``general`` is the fallback.
 DOMAIN_WORDS = {("technology", "software engineer"): "debug,deploy,code", ("technology", "general"): "app,phone", ("work", "general"): "meeting,deadline,email", ("academic", "student"): "paper,exam", ("food", "general"): "brunch"}
@@ -69,7 +69,7 @@ def pick(choices_col: str, value: str, u: Column) -> Column:
 
 def dimensions(spark: SparkSession) -> dict[str, DataFrame]:
     make = spark.createDataFrame
-    personas = make([(p, w, r, j) for p, w, r, j, *_ in PERSONAS], "persona string, weight double, region string, profession string")
+    personas = make([(*p[:4], *p[7:]) for p in PERSONAS], "persona string, weight double, region string, profession string, age_group string, proficiency string")
     archetypes = make(list(ARCHETYPES), "archetype string, weight double, cmi_lo double, cmi_hi double")
     topics = make(list(TOPICS), "topic string, weight double, shift double")
     return {
@@ -131,6 +131,22 @@ def speaker_pairs(rows: DataFrame, dims: dict[str, DataFrame], seed: int = 42, a
     return second.join(first, "row").filter(differs).groupBy("row", "persona_a", "archetype_a", "effective_cmi_a").agg(packed).select("row", "persona_a", "archetype_a", "effective_cmi_a", "b.*")
 
 
+def pool_dimensions(spark: SparkSession, personas: list[dict], shared: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Dimensions with the personas of a pool (as configuration files hold them) instead of our own.
+
+    A persona has an id, a weight, a region and a profession (each with an id),
+    an age group, a proficiency in the second language, and the archetypes,
+    relationships and topics that go with it.
+    """
+    named = lambda p, key: (p.get(key) or {}).get("id", "") if isinstance(p.get(key), dict) else str(p.get(key) or "")
+    rows = [(p["id"], float(p.get("weight", 1.0)), named(p, "region"), named(p, "profession"), str(p.get("age_group") or ""), named(p, "L2_proficiency")) for p in personas]
+    out = dict(shared or dimensions(spark))
+    out["personas"] = spark.createDataFrame(rows, "persona string, weight double, region string, profession string, age_group string, proficiency string")
+    for table, column, key in (("persona_archetype", "archetype", "compatible_archetypes"), ("persona_relationship", "relationship", "compatible_relationships"), ("persona_topic", "topic", "natural_topics")):
+        out[table] = spark.createDataFrame([(p["id"], x) for p in personas for x in p.get(key) or []], f"persona string, {column} string")
+    return out
+
+
 def tendency(mode: Column, u: Column) -> Column:
     return F.when(mode == "convergent", 0.7).when(mode == "divergent", 0.2).when(mode == "mixed", F.lit(0.3) + u * 0.5).otherwise(0.0)
 
@@ -138,7 +154,7 @@ def tendency(mode: Column, u: Column) -> Column:
 def sample_sql(rows: str, seed: int = 42, row: str = "row", name: str = "sa") -> str:
     """DuckDB CTEs for ``sample``."""
     values = lambda rows_, cols: "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" for x in r) + ")" for r in rows_) + f") v({cols}))"
-    person = values([p[:4] for p in PERSONAS], "persona, weight, region, profession")
+    person = values([(*p[:4], *p[7:]) for p in PERSONAS], "persona, weight, region, profession, age_group, proficiency")
     arch, topics = values(ARCHETYPES, "archetype, weight, cmi_lo, cmi_hi"), values(TOPICS, "topic, weight, shift")
     bridge = lambda i, col: values([(p[0], a) for p in PERSONAS for a in p[i]], f"persona, {col}")
 
@@ -149,7 +165,7 @@ def sample_sql(rows: str, seed: int = 42, row: str = "row", name: str = "sa") ->
 
     u = lambda stage: draw_sql(stage, seed, row)
     steps = [
-        f"{name}0 AS (SELECT r.*, d.persona, d.region, d.profession FROM {rows} r JOIN {bounded(person, '', 'persona')} d ON {u('persona')} >= d.lo AND {u('persona')} < d.hi)",
+        f"{name}0 AS (SELECT r.*, d.persona, d.region, d.profession, d.age_group, d.proficiency FROM {rows} r JOIN {bounded(person, '', 'persona')} d ON {u('persona')} >= d.lo AND {u('persona')} < d.hi)",
         f"{name}1 AS (SELECT r.*, d.archetype FROM {name}0 r JOIN {bounded(f'(SELECT persona, archetype, coalesce(weight, 0.15::DOUBLE) AS weight FROM {bridge(4, 'archetype')} LEFT JOIN {arch} USING (archetype))', 'persona', 'archetype')} d ON r.persona = d.persona AND {u('archetype')} >= d.lo AND {u('archetype')} < d.hi)",
         f"{name}2 AS (SELECT r.*, d.topic FROM {name}1 r JOIN {bounded(f'(SELECT persona, topic, coalesce(weight, 0.1::DOUBLE) AS weight FROM {bridge(6, 'topic')} LEFT JOIN {topics} USING (topic))', 'persona', 'topic')} d ON r.persona = d.persona AND {u('topic')} >= d.lo AND {u('topic')} < d.hi)",
         f"{name}3 AS (SELECT r.*, d.relationship FROM {name}2 r JOIN {bounded(f'(SELECT *, 1.0::DOUBLE AS weight FROM {bridge(5, 'relationship')})', 'persona', 'relationship')} d ON r.persona = d.persona AND {u('relationship')} >= d.lo AND {u('relationship')} < d.hi)",

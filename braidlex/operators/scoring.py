@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlex.functions.lang import SPACE
-from braidlex.plans.ranks import place_in_order, span_of
+from braidlex.plans.ranks import in_ranges, place_in_order
 
 # Garbage patterns, reasoning markers, natural endings, region and register markers.
 GARBAGE = r"<[a-zA-Z/][^>]*>|&[a-z]+;|\\x[0-9a-fA-F]{2}|[\x00-\x08\x0b\x0c\x0e-\x1f]"
@@ -160,8 +160,14 @@ def measured_sql(source: str, name: str = "m") -> str:
 
 
 def novelty_inputs(analyzed: DataFrame, n: int = 4) -> DataFrame:
-    """``analyzed`` plus text_hash, pattern and grams (hashes of the distinct shingles of n content tokens)."""
-    content = F.filter(F.transform("toks", F.lower), lambda _, i: F.substring(F.col("tags"), i + 1, F.lit(1)).rlike("[yza-h]"))
+    """``analyzed`` plus text_hash, pattern and grams (hashes of the distinct shingles of n content tokens).
+
+    Tokens are paired with their tags as arrays: a lambda that indexes the tag
+    string would tag the whole text again for each token where Spark inlines
+    that column.
+    """
+    marks = F.filter(F.split("tags", ""), lambda m: m != "")
+    content = F.filter(F.zip_with(F.transform("toks", F.lower), marks, lambda t, m: F.when(m.rlike("[yza-h]"), t)), lambda t: t.isNotNull())
     codes = F.transform(F.sequence(F.lit(1), F.size("segs") - 1), _switch_code)
     text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), f"[{SPACE}]+", "")
     staged = analyzed.withColumns({"content": content, "text_hash": F.md5(text), "pattern": F.when(F.col("n_switches") > 0, F.array_join(codes, "|")).otherwise("no_switch")})
@@ -175,15 +181,14 @@ def diversity(inputs: DataFrame, key: str) -> DataFrame:
     ``inputs`` is a written table with key, text_hash, pattern and grams.
     Shingles are compared by the earliest key that has them (an aggregate with
     partial sums, joined back; Spark splits a skewed side), ranks come from
-    counts of key ranges, so no hot shingle, copy or pattern meets one task.
+    counts of key ranges that grow in number with the rows, so no hot shingle, copy or pattern meets one task.
     """
     shingles = inputs.select(key, F.explode("grams").alias("gram"))
     earliest = shingles.groupBy("gram").agg(F.min(key).alias("first"))
     overlap = shingles.join(earliest, "gram").groupBy(key).agg((F.sum((F.col("first") < F.col(key)).cast("int")) / F.count(F.lit(1))).alias("overlap"))
     hashes = inputs.groupBy("text_hash").agg(F.min(key).alias("first_copy"))
-    light = inputs.select(key, "text_hash", "pattern")
-    span = span_of(light, key)
-    ranks = place_in_order(place_in_order(light, [], key, "before_all", span), ["pattern"], key, "before_same", span)
+    light = in_ranges(inputs.select(key, "text_hash", "pattern"), key)
+    ranks = place_in_order(place_in_order(light, [], key, "before_all"), ["pattern"], key, "before_same").drop("__range")
     out = ranks.join(hashes, "text_hash").join(overlap, key, "left").withColumns({"is_copy": F.col("first_copy") < F.col(key), "overlap": F.coalesce("overlap", F.lit(0.0))})
     return apply_steps(out, DIVERSITY).drop("first_copy")
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlex.functions import audio
 from braidlex.functions.lang import PAIRS
 from braidlex.operators import analysis as A
 from braidlex.operators import dialogue as D
-from braidlex.operators import retrieval as R
 from braidlex.operators import sampling as S
 from braidlex.operators import voice as V
-from braidlex.plans.tables import cut
+from braidlex.plans.tables import cut, spread
 from braidlex.sources import config, providers
 
 FR = PAIRS["fr_en"]
@@ -27,7 +28,6 @@ REGIONS = ("Hong Kong", "中国大陆北京", "Singapore (East)", "Malaysia", "
 PERSONA_TEXTS = (
     ("她 is a graduate student", "student"), ("a retired male professor", "professor"), ("一位老先生", "teacher"), ("a young woman", "engineer"), ("uncle with a shop", "owner"), ("an engineer", "software engineer"), ("a lady and her sister", ""),
 )
-FEED = "<feed><entry><title>First\n  paper</title></entry><entry><summary>none</summary></entry><entry><title>Second</title></entry></feed>"
 
 
 def _q(text: str) -> str:
@@ -87,11 +87,6 @@ def requests(spark: SparkSession) -> DataFrame:
 REQUESTS_SQL = "req AS (SELECT i AS req, 'ARC_0' || (i % 70 + 1) AS archetype, (['click', 'purchase', 'none', 'view'])[i % 4 + 1] AS topic FROM range(200) r(i))"
 
 
-def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as snippets: a topic is a user, a provider an event type."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("topic"), F.col("event_type").alias("provider"), F.col("event_id").alias("pos"), F.concat(F.lit(" Item "), (F.col("event_id") % 40).cast("string")).alias("title"))
-
-
 def voice_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(v, g, a, list(ls), c) for v, g, a, ls, c in V.VOICES], "voice string, gender string, age string, languages array<string>, accent string")
 
@@ -127,10 +122,40 @@ def _accent_sql(region: str) -> str:
     return "CASE " + " ".join(f"WHEN contains(lower({region}), '{k}') THEN '{v}'" for k, v in V.REGION_ACCENT) + f" ELSE lower({region}) END"
 
 
+#: Samples a second of the fake voice in the queries: it speaks every turn whole, so its sound is kept small.
+RATE = 1000
+
+
 def _speech(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voiced turns of the first conversations, made by the fake voice."""
-    few = conversations(spark, sf_dir).filter("conv_id < 10").select("conv_id", "turn", V.speech_pieces(F.substring("text", 1, 60)).alias("pieces"))
-    return providers.synthesize(few).withColumn("pause_ms", F.lit(400))
+    """All turns, voiced by the fake voice."""
+    pieces = spread(conversations(spark, sf_dir)).select("conv_id", "turn", V.speech_pieces(F.col("text")).alias("pieces"))
+    return providers.synthesize(pieces, partial(providers.fake_voice, rate=RATE), RATE).withColumn("pause_ms", F.lit(400))
+
+
+def _turn_prompts(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    """Prompts of all turns with every block that the table can give."""
+    frame = D.FRAMES[language]
+    turns = D.history(scored_turns(spark, sf_dir))
+    said = D.turn_instruction(F.col("turn"), F.lit(6), S.draw("close", 42, F.col("conv_id")), F.col("speaker"), frame)
+    more = F.when(F.col("cmi") > 0.2, D.filled(frame["more"], level=F.lit("less mixed"))).otherwise("")
+    return D.turn_prompt(
+        turns.select("conv_id", "turn", F.lit("Two friends.").alias("context"), F.lit("").alias("topic_info"), F.lit("e.g. ok").alias("examples"), "history", more.alias("accommodation_text"), F.lit("Be brief.").alias("requirements"), said.alias("instruction")), frame
+    ).select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"))
+
+
+def _speaker(u: Column) -> Column:
+    """All that is known of a speaker, as a record."""
+    mode = F.struct("level", F.round("effective_cmi", 3).alias("effective_cmi"))
+    return F.to_json(F.struct("persona", "age_group", "region", "profession", "proficiency", "archetype", "cmi_lo", "cmi_hi", "topic", "relationship", "formality", "dialogue_type", "domain_words", mode.alias("language_mode"), F.round(S.tendency(F.lit("mixed"), u), 6).alias("accommodation_tendency")))
+
+
+PERSONS = {"close_friends": "a good friend", "teacher_student": "a teacher", "strangers": "somebody just met"}
+
+
+def _system(language: str) -> Column:
+    place = D.situation(F.col("dialogue_type"), F.col("relationship"), F.col("topic"), PERSONS, D.FRAMES[language])
+    role = F.concat(F.lit("A "), "profession", F.lit(" from "), "region", F.lit("."))
+    return D.system_prompt(role, F.concat(F.lit("English: "), "proficiency"), F.col("archetype"), D.domain_context(F.col("topic"), F.col("domain_words")), place, F.col("formality"), S.level_text(F.col("level"), "Chinese", "English"))
 
 
 def queries() -> dict:
@@ -143,7 +168,7 @@ def queries() -> dict:
         "sa1_weighted_choice": lambda s, d: S.sample(rows(s, d), dims(s)).groupBy("persona").agg(F.count(F.lit(1)).alias("n")),
         "sa3_archetype_given_persona": lambda s, d: S.sample(rows(s, d), dims(s)).groupBy("persona", "archetype").agg(F.count(F.lit(1)).alias("n")),
         "sa12_level_text": lambda s, d: S.sample(rows(s, d), dims(s)).select("row", S.level_text(F.col("level"), "Chinese", "English").alias("description")),
-        "sa14_export": lambda s, d: S.sample(rows(s, d), dims(s)).select("row", F.to_json(F.struct("persona", "archetype", F.struct("level", F.round("effective_cmi", 3).alias("effective_cmi")).alias("language_mode"))).alias("record")),
+        "sa14_export": lambda s, d: S.sample(rows(s, d), dims(s)).select("row", _speaker(S.draw("tendency", 42, F.col("row"))).alias("record")),
         "sa15_speaker_pair": lambda s, d: S.speaker_pairs(rows(s, d), dims(s)),
         "sa16_tendency": lambda s, d: rows(s, d).withColumn("mode", F.get(F.array(*map(F.lit, ("convergent", "divergent", "mixed", "maintain"))), F.pmod("row", F.lit(4)).cast("int"))).select("row", "mode", F.round(S.tendency(F.col("mode"), S.draw("tendency", 42, F.col("row"))), 9).alias("tendency")),
         "dg1_alternation": lambda s, d: conversations(s, d).select("conv_id", "turn", F.when(F.pmod("turn", F.lit(2)) == 1, "A").otherwise("B").alias("speaker")),
@@ -157,56 +182,62 @@ def queries() -> dict:
         "dg11_dialogue_id": lambda s, d: conversations(s, d).select("conv_id").distinct().select("conv_id", D.dialogue_id(42, F.col("conv_id")).alias("dialogue_id")),
         "dg12_counters": lambda s, d: _best(s, d).agg(F.countDistinct("user_id").alias("dialogues"), F.count(F.lit(1)).alias("turns"), F.sum(F.col("attempt") - 1).alias("retries")),
         "dg13_history": lambda s, d: D.history(scored_turns(s, d)).select("conv_id", "turn", F.md5("history").alias("history_md5")),
-        "dg14_turn_instruction": lambda s, d: scored_turns(s, d).select("conv_id", "turn", D.turn_instruction(F.col("turn"), F.lit(6), S.draw("close", 42, F.col("conv_id")), F.col("speaker")).alias("instruction")),
-        "dg15_turn_prompt": lambda s, d: D.turn_prompt(D.history(scored_turns(s, d)).select("conv_id", "turn", F.lit("Two friends.").alias("context"), F.lit("").alias("topic_info"), "history", F.lit("").alias("accommodation_text"), F.lit("Reply.").alias("instruction"))).select("conv_id", "turn", F.md5("prompt").alias("prompt_md5")),
-        "dg16_system_prompt": lambda s, d: S.sample(rows(s, d), dims(s)).select("row", F.concat(F.lit("You are a "), "profession", F.lit(" from "), "region", F.lit(". You speak "), S.level_text(F.col("level"), "Chinese", "English"), F.lit(".")).alias("prompt")),
+        "dg14_turn_instruction": lambda s, d: _instructions(s, d, "en"),
+        "dg15_turn_prompt": lambda s, d: _turn_prompts(s, d, "en"),
+        "dg15_turn_prompt_zh": lambda s, d: _turn_prompts(s, d, "zh"),
+        "dg14_turn_instruction_zh": lambda s, d: _instructions(s, d, "zh"),
+        "dg16_system_prompt": lambda s, d: S.sample(rows(s, d), dims(s)).select("row", _system("en").alias("prompt")),
         "dg17_clean_reply": lambda s, d: D.clean_reply(replies(s), "raw", "reply").select("id", "reply"),
         "dg18_clean_reply_old": lambda s, d: D.clean_reply_old(replies(s), "raw", "reply").select("id", "reply"),
-        "dg19_speaker_record": lambda s, d: S.sample(rows(s, d), dims(s)).select("row", F.to_json(F.struct("persona", "region", "profession", "archetype")).alias("speaker")),
-        "dg20_dialogue_json": lambda s, d: D.roll_up(scored_turns(s, d)).select("conv_id", F.to_json(F.struct("avg_score", "total_turns", "turns")).alias("record")),
-        "dg21_chat": lambda s, d: providers.chat(conversations(s, d).select(F.monotonically_increasing_id().alias("id"), F.coalesce("text", F.lit("")).alias("prompt")), lambda prompt: f"<reply>{prompt[:20]}</reply>"),
+        "dg19_speaker_record": lambda s, d: S.sample(rows(s, d).withColumn("draw", F.concat_ws(":", "row", F.lit("b"))), dims(s), row="draw").select("row", _speaker(S.draw("tendency", 42, F.col("draw"))).alias("speaker")),
+        "dg20_dialogue_json": lambda s, d: _dialogue_records(s, d),
+        "dg21_chat": lambda s, d: providers.chat(conversations(s, d).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("prompt")), lambda prompt: f"<reply>{prompt}</reply>", keys=("conv_id", "turn")),
         "dg22_endpoint": lambda s, d: conversations(s, d).select("conv_id", "turn", D.endpoint(F.col("turn"), 3).alias("endpoint")),
-        "dg24_situation": lambda s, d: S.sample(rows(s, d), dims(s)).select("row", D.situation(F.col("dialogue_type"), F.col("relationship"), F.col("topic")).alias("situation")),
+        "dg24_situation": lambda s, d: S.sample(rows(s, d), dims(s)).select("row", D.situation(F.col("dialogue_type"), F.col("relationship"), F.col("topic"), PERSONS).alias("situation")),
+        "dg23_prompt_forms": lambda s, d: S.sample(rows(s, d), dims(s)).select("row", D.user_prompt(F.col("dialogue_type"), F.col("level"), S.draw("task", 42, F.col("row"))).alias("prompt")),
         "eb1_admit": lambda s, d: D.admit_examples(scored_turns(s, d), 9.0).select("conv_id", "turn", "score", "cmi", F.md5("context").alias("context_md5")),
         "eb3_retrieve": lambda s, d: D.retrieve_examples(requests(s), bank(s, d), 3),
         "eb7_total": lambda s, d: D.admit_examples(scored_turns(s, d), 9.0).agg(F.count(F.lit(1)).alias("n")),
-        "tr1_source": lambda s, d: _provider_rows(s),
-        "tr2_truncate": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", R.truncate(F.col("text")).alias("snippet")),
-        "tr3_strip_tags": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.md5(R.strip_tags(F.col("html"))).alias("text_md5")),
-        "tr5_arxiv": lambda s, d: s.createDataFrame([(FEED,)], "xml string").select(F.explode_outer(R.arxiv_entries(F.col("xml"))).alias("title")),
-        "tr7_news_body": lambda s, d: s.createDataFrame([(0, "", "c"), (1, "d", "c"), (2, None, None)], "id long, d string, c string").select("id", R.news_body(F.col("d"), F.col("c")).alias("body")),
-        "tr12_provider_chain": lambda s, d: R.provider_chain(snippets(s, d), 8).select("topic", "provider", "pos", "title", "rank"),
-        "tr15_ttl_cache": lambda s, d: R.ttl_cache(s.read.parquet(f"{d}/events.parquet"), ["user_id", "event_type"], "ts", "event_id", 86400).select("user_id", "event_type", "event_id", "hit"),
-        "tr16_format": lambda s, d: R.format_snippets(R.provider_chain(snippets(s, d), 3).select(F.col("topic").alias("k"), "rank", F.trim("title").alias("content"), F.col("provider").alias("source")), "k"),
         "vo1_accent": lambda s, d: s.createDataFrame(list(enumerate(REGIONS)), "id long, region string").select("id", V.accent(F.col("region")).alias("accent")),
         "vo2_gender_age": lambda s, d: s.createDataFrame([(i, *r) for i, r in enumerate(PERSONA_TEXTS)], "id long, text string, job string").select("id", V.gender(F.col("text")).alias("gender"), V.age_group(F.col("text"), F.col("job")).alias("age")),
         "vo6_best_voice": lambda s, d: V.best_voice(speakers(s, d).select("id", "languages", F.col("gender_a").alias("gender"), F.col("age_a").alias("age"), F.col("accent_a").alias("accent")), voice_table(s)).select("id", "voice", F.col("voice_score").cast("int").alias("voice_score")),
         "vo7_voice_pair": lambda s, d: V.voice_pairs(speakers(s, d), voice_table(s)),
         "vo8_by_language": lambda s, d: voice_table(s).select(F.explode("languages").alias("language"), "voice"),
         "au1_speech_pieces": lambda s, d: conversations(s, d).select("conv_id", "turn", V.speech_pieces(F.col("text")).alias("p")).select("conv_id", "turn", F.size("p").alias("n_pieces"), F.md5(F.array_join("p", "\n")).alias("pieces_md5")),
-        "au2_synthesize": lambda s, d: _speech(s, d).select("conv_id", "turn", "seconds", F.md5("wav").alias("wav_md5")),
+        "au2_synthesize": lambda s, d: _speech(s, d).select("conv_id", "turn", "seconds", F.length("wav").alias("n_bytes"), "error"),
         "au4_turn_file": lambda s, d: conversations(s, d).select("conv_id", "turn", V.turn_file(F.col("turn"), F.col("role")).alias("file")),
         "au7_silence": lambda s, d: s.range(0, 900, 50).select(F.col("id").alias("ms"), V.silence_samples(16000, F.col("id")).alias("n")),
         "au11_resample": lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", V.resample(F.col("embedding").cast("array<double>"), 1.5).alias("x")).select("vec_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + x), 6).alias("total")),
         "au12_durations": lambda s, d: V.assembled(conversations(s, d).select("conv_id", "turn", (F.length("text") * 800).cast("long").alias("n_samples"), (F.lit(300) + F.pmod(F.col("turn") * 37, F.lit(500))).alias("pause_ms"))),
-        "au12_assemble": lambda s, d: audio.assemble(_speech(s, d)).select("conv_id", "seconds", F.length("wav").alias("n_bytes")),
+        "au12_assemble": lambda s, d: audio.assemble(_speech(s, d), RATE).select("conv_id", "seconds", F.length("wav").alias("n_bytes")),
         "au13_all_turns": lambda s, d: scored_turns(s, d).groupBy("conv_id").agg(F.every(F.col("score") >= 8.5).alias("kept")),
         "au14_manifest": lambda s, d: config.manifest(scored_turns(s, d).groupBy("conv_id").agg(F.every(F.col("score") >= 8.5).alias("ok"), F.sum(F.col("score")).alias("seconds"))).select("total", "success", "failed", "seconds"),
         "io11_list_pairs": lambda s, d: s.createDataFrame([(p,) for p in config.list_pairs()], "pair string"),
     }
 
 
+def _instructions(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    said = D.turn_instruction(F.col("turn"), F.lit(6), S.draw("close", 42, F.col("conv_id")), F.col("role"), D.FRAMES[language])
+    return conversations(spark, sf_dir).select("conv_id", "turn", said.alias("instruction"))
+
+
+def _dialogue_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dialogue's record: topic, its two speakers and their languages, what was looked up, and its turns."""
+    speakers = S.speaker_pairs(conversations(spark, sf_dir).select(F.col("conv_id").alias("row")).distinct(), S.dimensions(spark)).withColumnRenamed("row", "conv_id")
+    a, b = (F.struct(*[F.col(f"{k}_{side}").alias(k) for k in ("persona", "archetype", "effective_cmi")]).alias(f"speaker_{side}") for side in ("a", "b"))
+    record = F.struct(
+        D.dialogue_id(42, F.col("conv_id")).alias("dialogue_id"), F.lit("daily_life").alias("topic"), F.array(F.lit(FR.l1), F.lit(FR.l2)).alias("language_pair"), "avg_score", "total_turns", a, b,
+        F.array(F.struct(F.lit("t").alias("title"), F.lit("s").alias("source"))).alias("injected_info"), "turns",
+    )
+    return D.roll_up(scored_turns(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))).join(speakers, "conv_id").select("conv_id", F.md5(F.to_json(record)).alias("record_md5"))
+
+
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlex.operators.scoring import best_of
 
     return best_of(attempts(spark, sf_dir), ["user_id", "turn"], 6.0)
 
 
-def _provider_rows(spark: SparkSession) -> DataFrame:
-    providers.register_sources(spark)
-    return spark.read.format("snippets").option("topics", "food,travel").option("limit", "3").load()
-
-
 def oracle_sql() -> dict[str, str]:
     sa = S.sample_sql("(SELECT c_custkey AS row FROM customer)")
     acc = f"WITH {TURNS_SQL},\n{_HEARD}"
@@ -214,9 +245,6 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT req, {tier} AS tier, rank, seq FROM req JOIN (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rank, count(*) OVER (PARTITION BY {keys}) AS have FROM bank) x USING ({keys}) WHERE have >= {least} AND rank <= 3"
         for tier, keys, least, order in ((1, "archetype, topic", 3, "score DESC, seq"), (2, "archetype", 3, "score DESC, seq"), (3, "topic", 1, "score DESC, seq"), (4, "archetype, topic", 1, "seq"))
     )
-    chain = """sn AS (SELECT user_id AS topic, event_type AS provider, event_id AS pos, ' Item ' || (event_id % 40) AS title FROM events),
-cn AS (SELECT topic, provider, coalesce(sum(n) OVER (PARTITION BY topic ORDER BY provider ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM (SELECT topic, provider, count(*) AS n FROM sn GROUP BY ALL)),
-on1 AS (SELECT sn.* FROM sn JOIN cn USING (topic, provider) WHERE earlier < 8 QUALIFY row_number() OVER (PARTITION BY topic, lower(trim(title)) ORDER BY provider, pos) = 1)"""
     replies = _values(tuple(enumerate(REPLIES)), "id, raw")
     ws = r"[\x09-\x0D\x20]"
     trim = lambda x: f"regexp_replace({x}, '^{ws}+|{ws}+$', '', 'g')"
@@ -251,15 +279,75 @@ SELECT id, CASE WHEN t LIKE '"%' AND t LIKE '%"' THEN {trim("t[2:greatest(length
     pair_b = S.sample_sql("(SELECT c_custkey AS row, i AS attempt, c_custkey || ':b:' || i AS draw FROM customer, range(1, 12) r(i))", row="draw", name="pb")
     past = "coalesce(string_agg(role || '：' || coalesce(text, ''), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')"
     gap = "chr(10) || chr(10)"
+    marks = V.SPEECH_MARKS
+    parts = f"list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^{marks}]*[{marks}]|[^{marks}]+'), lambda p: trim(p)), lambda p: p <> '')"
+    joined = f"list_reduce(p, lambda a, x: CASE WHEN length(list_last(string_split(a, chr(1)))) + length(x) <= {V.PIECE} THEN a || x ELSE a || chr(1) || x END)"
+    spoken_chars = "CASE WHEN len(p) > 0 THEN list_sum(list_transform(p, lambda x: length(x))) ELSE length(coalesce(text, '')) END"
+    said = f"(SELECT conv_id, turn, {RATE // 20} * {spoken_chars} AS n FROM (SELECT *, {parts} AS p FROM conversations))"
+    person = "CASE relationship " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PERSONS.items()) + " ELSE relationship END"
+    place = f"CASE dialogue_type WHEN 'monologue' THEN 'talking alone about ' || topic WHEN 'dyadic' THEN 'talking with ' || {person} || ' about ' || topic ELSE 'talking with several ' || {person} || ' about ' || topic END"
+    domain = "CASE WHEN domain_words <> '' THEN 'On ' || topic || ', words like ' || array_to_string(string_split(domain_words, ',')[1:5], ', ') || ' come naturally.' ELSE 'On ' || topic || ', a foreign word slips in now and then.' END"
+    names = ("persona", "age_group", "region", "profession", "proficiency", "archetype", "cmi_lo", "cmi_hi", "topic", "relationship", "formality", "dialogue_type", "domain_words")
+    quoted = " || ',' || ".join(f"'\"{n}\":' || {n}" if n.startswith("cmi") else f"'\"{n}\":\"' || {n} || '\"'" for n in names)
+
+    def record(key: str) -> str:
+        mode = f"'\"language_mode\":{{\"level\":\"' || {level} || '\",\"effective_cmi\":' || round(effective_cmi, 3) || '}}'"
+        return f"'{{' || {quoted} || ',' || {mode} || ',\"accommodation_tendency\":' || round(0.3::DOUBLE + {S.draw_sql('tendency', 42, key)} * 0.5, 6) || '}}'"
+
+    def _filled(template: str, **values: str) -> str:
+        text = _q(template)
+        for name, value in values.items():
+            text = f"replace({text}, '{{{name}}}', {value})"
+        return text
+
+    def instruction_of(language: str, name: str) -> str:
+        frame = {k: _filled(v, name=name) for k, v in D.FRAMES[language].items()}
+        return f"CASE WHEN turn = 1 THEN {frame['open']} WHEN turn = 6 AND {S.draw_sql('close', 42, 'conv_id')} < 0.2 THEN {frame['close']} WHEN turn = 6 THEN {frame['last']} ELSE {frame['middle']} END"
+
+    def instructions(language: str) -> str:
+        return f"SELECT conv_id, turn, {instruction_of(language, 'role')} AS instruction FROM conversations"
+
+    def prompts(language: str) -> str:
+        frame = D.FRAMES[language]
+        more = f"CASE WHEN cmi > 0.2::DOUBLE THEN {_filled(frame['more'], level=_q('less mixed'))} || {gap} ELSE '' END"
+        earlier = past.replace("role ||", "speaker ||")
+        return f"""WITH {TURNS_SQL}, h AS (SELECT *, {earlier} AS h FROM t) SELECT conv_id, turn, md5('Two friends.' || {gap} || 'e.g. ok' || {gap} || CASE WHEN h <> '' THEN h || {gap} ELSE '' END || {more} || 'Be brief.' || {gap}
+  || {instruction_of(language, 'speaker')} || {gap} || {_q(frame['rule'])}) AS prompt_md5 FROM h"""
+
+    tasks, setups = ("[" + ", ".join(map(_q, x)) + "]" for x in (D.TASKS, D.SETUPS))
+    u = S.draw_sql("task", 42, "row")
+    length = "CASE " + " ".join(f"WHEN {level} = '{k}' THEN '{v}'" for k, v in D.LENGTHS[:-1]) + f" ELSE '{D.LENGTHS[-1][1]}' END || ' sentences'"
+    en = D.FRAMES["en"]
+    forms = (
+        f"CASE WHEN dialogue_type = 'monologue' THEN {_filled(en['monologue'], task=f'({tasks})[floor({u} * {len(D.TASKS)})::INT + 1]', length=length)} "
+        f"ELSE {_filled(en['dialogue'], setup=f'({setups})[floor({u} * {len(D.SETUPS)})::INT + 1]', rounds=_q(D.ROUNDS), length=length)} END"
+    )
+    sb = S.sample_sql("(SELECT c_custkey AS row, c_custkey || ':b' AS draw FROM customer)", row="draw", name="sb")
+    conv_a = S.sample_sql("(SELECT conv_id AS row, conv_id || ':a' AS draw FROM (SELECT DISTINCT conv_id FROM conversations))", row="draw", name="pa")
+    conv_b = S.sample_sql("(SELECT conv_id AS row, i AS attempt, conv_id || ':b:' || i AS draw FROM (SELECT DISTINCT conv_id FROM conversations), range(1, 12) r(i))", row="draw", name="pb")
+    speaker = lambda x: f"struct_pack(persona := {x}.persona, archetype := {x}.archetype, effective_cmi := {x}.effective_cmi)"
+    dialogue = f"""WITH {TURNS_SQL},\n{conv_a},\n{conv_b}, sp AS (SELECT pb.row AS conv_id, {speaker('pa')} AS speaker_a, {speaker('pb')} AS speaker_b FROM pb JOIN pa ON pa.row = pb.row
+  WHERE pa.persona <> pb.persona OR pa.archetype <> pb.archetype OR attempt = 11 QUALIFY row_number() OVER (PARTITION BY pb.row ORDER BY attempt) = 1),
+r AS (SELECT conv_id, round(avg(score), 2) AS avg_score, count(*) AS total_turns, list(struct_pack(turn := turn, speaker := speaker, text := coalesce(text, ''), score := score) ORDER BY turn) AS turns FROM t GROUP BY conv_id)
+SELECT conv_id, md5(CAST(to_json(struct_pack(dialogue_id := 'DLG_' || substr(md5('42_' || conv_id), 1, 12), topic := 'daily_life', language_pair := ['{FR.l1}', '{FR.l2}'], avg_score := avg_score, total_turns := total_turns, speaker_a := speaker_a,
+  speaker_b := speaker_b, injected_info := [struct_pack(title := 't', source := 's')], turns := turns)) AS VARCHAR)) AS record_md5 FROM r JOIN sp USING (conv_id)"""
     return {
+        "sa14_export": f"WITH {sa} SELECT row, {record('row')} AS record FROM sa",
+        "dg19_speaker_record": f"WITH {sb} SELECT row, {record('draw')} AS speaker FROM sb",
+        "dg20_dialogue_json": dialogue,
+        "dg21_chat": "SELECT conv_id, turn, '<reply>' || coalesce(text, '') || '</reply>' AS reply, NULL::VARCHAR AS error FROM conversations",
+        "dg23_prompt_forms": f"WITH {sa} SELECT row, {forms} AS prompt FROM sa",
+        "au1_speech_pieces": f"SELECT conv_id, turn, len(s)::INT AS n_pieces, md5(array_to_string(s, chr(10))) AS pieces_md5 FROM (SELECT *, CASE WHEN len(p) > 0 THEN string_split({joined}, chr(1)) ELSE [coalesce(text, '')] END AS s FROM (SELECT *, {parts} AS p FROM conversations))",
+        "au2_synthesize": f"SELECT conv_id, turn, round(n / {RATE}::DOUBLE, 3) AS seconds, (44 + 2 * n)::INT AS n_bytes, NULL::VARCHAR AS error FROM {said}",
+        "au12_assemble": f"SELECT conv_id, round((sum(n) + (count(*) - 1) * {RATE * 400 // 1000}) / {RATE}::DOUBLE, 3) AS seconds, (44 + 2 * (sum(n) + (count(*) - 1) * {RATE * 400 // 1000}))::INT AS n_bytes FROM {said} GROUP BY conv_id",
         "sa12_level_text": f"WITH {sa} SELECT row, {spoken} AS description FROM sa",
         "sa15_speaker_pair": f"""WITH {pair_a},\n{pair_b} SELECT pb.row, pa.persona AS persona_a, pa.archetype AS archetype_a, pa.effective_cmi AS effective_cmi_a, attempt::INT AS attempt, pb.persona AS persona_b, pb.archetype AS archetype_b,
   pb.effective_cmi AS effective_cmi_b FROM pb JOIN pa ON pa.row = pb.row WHERE pa.persona <> pb.persona OR pa.archetype <> pb.archetype OR attempt = 11 QUALIFY row_number() OVER (PARTITION BY pb.row ORDER BY attempt) = 1""",
-        "dg14_turn_instruction": f"""SELECT conv_id, turn, 'As ' || role || CASE WHEN turn = 1 THEN ', start the conversation.' WHEN turn = 6 AND {S.draw_sql('close', 42, 'conv_id')} < 0.2 THEN ', respond and wrap up the conversation.'
-  WHEN turn = 6 THEN ', respond without a farewell.' ELSE ', respond: answer, ask, or extend the topic.' END AS instruction FROM conversations""",
-        "dg15_turn_prompt": f"""SELECT conv_id, turn, md5('Two friends.' || {gap} || CASE WHEN h <> '' THEN h || {gap} ELSE '' END || 'Reply.' || {gap} || 'Only output what you say, wrapped in <reply> tags.') AS prompt_md5
-  FROM (SELECT conv_id, turn, {past} AS h FROM conversations)""",
-        "dg16_system_prompt": f"WITH {sa} SELECT row, 'You are a ' || profession || ' from ' || region || '. You speak ' || {spoken} || '.' AS prompt FROM sa",
+        "dg14_turn_instruction": instructions("en"),
+        "dg15_turn_prompt": prompts("en"),
+        "dg15_turn_prompt_zh": prompts("zh"),
+        "dg14_turn_instruction_zh": instructions("zh"),
+        "dg16_system_prompt": f"WITH {sa} SELECT row, 'A ' || profession || ' from ' || region || '.' || chr(10) || 'English: ' || proficiency || chr(10) || archetype || chr(10) || {domain} || chr(10) || {place} || chr(10) || formality || chr(10) || {spoken} AS prompt FROM sa",
         "sa_profiles": f"WITH {sa} SELECT {', '.join(c for c in _PROFILE if c != 'level')}, {S.LEVEL_SQL} AS level FROM sa",
         "sa1_weighted_choice": f"WITH {sa} SELECT persona, count(*) AS n FROM sa GROUP BY ALL",
         "sa3_archetype_given_persona": f"WITH {sa} SELECT persona, archetype, count(*) AS n FROM sa GROUP BY ALL",
@@ -278,20 +366,10 @@ SELECT id, CASE WHEN t LIKE '"%' AND t LIKE '%"' THEN {trim("t[2:greatest(length
         "dg17_clean_reply": clean,
         "dg18_clean_reply_old": old,
         "dg22_endpoint": "SELECT conv_id, turn, turn % 3 AS endpoint FROM conversations",
-        "dg24_situation": f"WITH {sa} SELECT row, CASE dialogue_type WHEN 'monologue' THEN 'talking alone about ' || topic WHEN 'dyadic' THEN 'talking with ' || relationship || ' about ' || topic ELSE 'talking with several ' || relationship || ' about ' || topic END AS situation FROM sa",
+        "dg24_situation": f"WITH {sa} SELECT row, {place} AS situation FROM sa",
         "eb1_admit": f"WITH {TURNS_SQL}, l AS (SELECT *, left(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), 100) AS context FROM t) SELECT conv_id, turn, score, round(cmi, 3) AS cmi, md5(context) AS context_md5 FROM l WHERE score >= 9.0",
         "eb3_retrieve": f"WITH {BANK_SQL},\n{REQUESTS_SQL},\nf AS ({tiers}) SELECT req, tier, rank, seq FROM f QUALIFY tier = min(tier) OVER (PARTITION BY req)",
         "eb7_total": f"WITH {TURNS_SQL} SELECT count(*) AS n FROM t WHERE score >= 9.0",
-        "tr1_source": "SELECT t AS topic, (i - 1)::INT AS pos, t || ' ' || i AS title, 'About ' || t || ', part ' || i || '.' AS content, 'fake' AS source FROM (VALUES ('food'), ('travel')) v(t), range(1, 4) r(i)",
-        "tr2_truncate": "SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 297) || '...' ELSE text END AS snippet FROM documents",
-        "tr3_strip_tags": f"SELECT page_id, md5({trim('''regexp_replace(html, '<[^>]+>', '', 'g')''')}) AS text_md5 FROM pages",
-        "tr5_arxiv": "SELECT * FROM (VALUES ('First paper'), ('Second')) v(title)",
-        "tr7_news_body": "SELECT id, coalesce(nullif(d, ''), c, '') AS body FROM (VALUES (0::BIGINT, '', 'c'), (1, 'd', 'c'), (2, NULL, NULL)) v(id, d, c)",
-        "tr12_provider_chain": f"WITH {chain} SELECT topic, provider, pos, title, row_number() OVER (PARTITION BY topic ORDER BY provider, pos) AS rank FROM on1 QUALIFY rank <= 8",
-        "tr15_ttl_cache": """WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
-f AS (SELECT user_id, event_type, event_id, n, ts AS last, false AS hit FROM e WHERE n = 1
-  UNION ALL SELECT e.user_id, e.event_type, e.event_id, e.n, CASE WHEN epoch_us(e.ts) - epoch_us(f.last) < 86400000000 THEN f.last ELSE e.ts END, epoch_us(e.ts) - epoch_us(f.last) < 86400000000
-  FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.n = f.n + 1) SELECT user_id, event_type, event_id, hit FROM f""",
         "vo1_accent": f"SELECT id, {_accent_sql('region')} AS accent FROM {_values(tuple(enumerate(REGIONS)), 'id, region')}",
         "vo2_gender_age": f"SELECT id, CASE WHEN {fem} > {mal} THEN 'female' WHEN {mal} > {fem} THEN 'male' ELSE 'unknown' END AS gender, CASE WHEN {_contains_sum(both, V.YOUNG)} > 0 THEN 'young' WHEN {_contains_sum(both, V.SENIOR)} > 0 THEN 'senior' ELSE 'middle' END AS age FROM {people}",
         "vo6_best_voice": voices + " SELECT id, va_voice AS voice, va_score::INT AS voice_score FROM va",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from braidlex.functions.lang import PAIRS
 from braidlex.operators import analysis as A
 from braidlex.operators import scoring as S
-from braidlex.plans.tables import cut
+from braidlex.plans.tables import cut, spread
 
 FR, ZH = PAIRS["fr_en"], PAIRS["zh_en"]
 #: Our own sentences, for the pairs told apart by script.
@@ -23,7 +23,7 @@ TOPIC_WORDS = ("report", "the", "question", "with")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def fixture(spark: SparkSession) -> DataFrame:

@@ -5,31 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that the key is cut into.
-RANGES = 256
+from braidlex.plans.tables import cut
 
+#: Rows of a range, on average.
+RANGE_ROWS = 500_000
 
-def span_of(df: DataFrame, key: str) -> tuple[int, int] | None:
-    """The smallest and largest key; None for an empty table."""
-    row = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    return None if row.lo is None else (row.lo, row.hi)
 
+def in_ranges(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written in ranges of its key, with the number of each row's range.
 
-def place_in_order(df: DataFrame, by: list[str], key: str, name: str, span: tuple[int, int] | None = None) -> DataFrame:
-    """``df`` plus the number of rows of its group with a smaller key (ties in any order).
+    Spark samples the key, so ranges hold about RANGE_ROWS rows each, however
+    the keys lie; their number grows with the table.
+    """
+    ranges = max(1, -(-df.count() // RANGE_ROWS))
+    ranged = df.repartitionByRange(ranges, key) if ranges > 1 else df.coalesce(1)
+    return cut(ranged.withColumn("__range", F.spark_partition_id()), "ranged")
+
+
+def place_in_order(ranged: DataFrame, by: list[str], key: str, name: str) -> DataFrame:
+    """``ranged`` (of ``in_ranges``) plus the number of rows of its group with a smaller key (ties in any order).
 
-    The key's span is cut into ranges of equal width; rows are counted by group
-    and range, the counts are summed up to each range, and rows are ranked
-    within their range only.
+    Rows are counted by group and range, the counts are summed up to each
+    range, and rows are ranked within their range only.
     """
-    span = span or span_of(df, key)
-    if span is None:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    low, high = span
-    width = max(1, -(-(high - low + 1) // RANGES))
-    ranged = df.withColumn("__range", F.floor((F.col(key) - low) / width).cast("int"))
     counts = ranged.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
     inner = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(key))
-    return ranged.join(ahead, [*by, "__range"]).withColumn(name, F.col("__ahead") + inner - 1).drop("__range", "__ahead")
+    return ranged.join(ahead, [*by, "__range"]).withColumn(name, F.col("__ahead") + inner - 1).drop("__ahead")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidlex.plans import dialogues, evaluation
+from braidlex.plans import dialogues, evaluation, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (evaluation, dialogues)
+PARTS = (evaluation, dialogues, retrieval)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

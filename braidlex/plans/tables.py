@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and rows spread over the cores."""
 
 from __future__ import annotations
 
@@ -6,19 +6,47 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a folder of our own where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset and Spark runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="braidlex-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/braidlex/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application; results that are not written yet can no longer be computed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table and read it back: computed once, short plans above it, safe from lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/braidlex/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where its scan has rows for fewer tasks than there are cores; else as it is.
+
+    A file with one row group is read by one task, whatever is computed from
+    it. Tasks with rows are counted from the files' footers (no column is
+    read), and only of tables so small that the scan has few partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > 4 * cores:
+        return df
+    busy = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(2 * cores) if busy < cores else df

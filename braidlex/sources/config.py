@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidlex.functions.lang import PAIRS, LanguagePair
+from braidlex.functions.lang import PAIRS, SENTENCE_ENDS, LanguagePair
 
 #: Words a lexicon may have to be matched by a list in the plan.
 MAX_LEXICON = 100_000
@@ -57,6 +58,56 @@ def list_pairs() -> list[str]:
     return sorted(PAIRS)
 
 
+@dataclass(frozen=True)
+class PairConfig:
+    """All that a pair's folder holds."""
+
+    language: LanguagePair
+    settings: dict
+    calibration: dict
+    evaluation: dict
+    prompts: dict
+    personas: list[dict]
+
+
+def pair_folders(spark: SparkSession, root: str) -> DataFrame:
+    """pair: the folders below ``root`` with a language.yaml, sorted by name."""
+    found = spark.read.format("binaryFile").load(f"{root}/*/language.yaml") if _exists(spark, f"{root}/*/language.yaml") else spark.createDataFrame([], "path string")
+    return found.select(F.element_at(F.split("path", "/"), -2).alias("pair")).distinct().orderBy("pair")
+
+
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+
+
+def read_pair(spark: SparkSession, root: str, pair_id: str) -> PairConfig:
+    """The pair's language.yaml, calibration.json, evaluation.yaml, prompts.yaml, personas.yaml and, where there is one, l1_lexicon.txt."""
+    known = [r.pair for r in pair_folders(spark, root).collect()]  # a handful of folders
+    if pair_id not in known:
+        raise FileNotFoundError(f"no language pair {pair_id!r} in {root}; there are {', '.join(known) or '(none)'}")
+    at = f"{root}/{pair_id}"
+    settings, personas = read_yaml(spark, f"{at}/language.yaml"), read_yaml(spark, f"{at}/personas.yaml")
+    scripts = "".join(rf"\x{{{_code(low):04X}}}-\x{{{_code(high):04X}}}" for low, high in settings.get("l1_unicode_ranges") or [])
+    endings = "".join(settings.get("sentence_endings") or "") or SENTENCE_ENDS
+    pair = LanguagePair(pair_id, settings["l1_code"], settings["l2_code"], scripts, endings)
+    if settings.get("detection_mode") == "lexicon":
+        pair = with_lexicon(pair, read_lexicon(spark, f"{at}/l1_lexicon.txt"))
+    listed = personas.get("persona_templates") or personas.get("personas") or [] if isinstance(personas, dict) else personas
+    return PairConfig(pair, settings, read_json(spark, f"{at}/calibration.json"), read_yaml(spark, f"{at}/evaluation.yaml"), read_yaml(spark, f"{at}/prompts.yaml"), listed)
+
+
+def _code(value: int | str) -> int:
+    return value if isinstance(value, int) else int(value, 16)
+
+
+def read_examples(spark: SparkSession, path: str) -> DataFrame:
+    """The example bank's lines, malformed ones skipped, with their order of admission (file, then line)."""
+    schema = "archetype_id string, topic string, formality string, speaker_text string, eval_score double, cmi double, dialogue_context string"
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).filter("archetype_id is not null")
+    return rows.withColumnRenamed("archetype_id", "archetype").withColumnRenamed("eval_score", "score").withColumn("seq", F.xxhash64("archetype", "topic", "speaker_text"))
+
+
 def read_dialogues(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Dialogues from JSON lines of either layout; malformed lines are skipped, ``_source_file`` is kept."""
     rows = spark.read.schema(DIALOGUE).option("mode", "DROPMALFORMED").json(path).withColumn("_source_file", F.col("_metadata.file_name"))
@@ -75,6 +126,11 @@ def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "errorifexists").json(path)
 
 
+def write_json_documents(df: DataFrame, path: str) -> None:
+    """One JSON document a row; non-ASCII text is kept."""
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path)
+
+
 def read_wavs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "length", F.col("content").alias("wav"))
 

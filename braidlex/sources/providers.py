@@ -6,11 +6,13 @@ Each takes a client object; the fakes here need no network and serve the tests.
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from braidlex.functions.audio import write_wav
@@ -22,31 +24,36 @@ def fake_fetch(topic: str, limit: int) -> list[tuple[str, str, str]]:
     return [(f"{topic} {i}", f"About {topic}, part {i}.", "fake") for i in range(1, limit + 1)]
 
 
-#: Providers by name; real ones are registered by the user.
-REGISTRY: dict[str, Fetch] = {name: fake_fetch for name in ("hackernews", "arxiv", "wikipedia", "newsapi", "tmdb", "semantic_scholar", "web_search")}
+#: Names of the usual providers; without a client for them they are served by the fake.
+PROVIDERS = ("hackernews", "arxiv", "wikipedia", "newsapi", "tmdb", "semantic_scholar", "web_search")
 
 
-def register_provider(name: str, fetch: Fetch) -> None:
-    REGISTRY[name] = fetch
+class SnippetSource(DataSource):
+    """``spark.read.format("snippets")``: one partition a topic; options provider, topics (comma-separated), limit.
 
+    A provider that fails gives one row with its error, so that the chain can
+    go on to the next one; an unknown name is an error of the query.
+    """
 
-class SnippetSource(DataSource):
-    """``spark.read.format("snippets")``: one partition a topic; options provider, topics (comma-separated), limit."""
+    providers: dict[str, Fetch] = dict.fromkeys(PROVIDERS, fake_fetch)
 
     @classmethod
     def name(cls) -> str:
         return "snippets"
 
     def schema(self) -> str:
-        return "topic string, pos int, title string, content string, source string"
+        return "topic string, pos int, title string, content string, source string, error string"
 
     def reader(self, schema) -> DataSourceReader:
-        return SnippetReader(self.options)
+        return SnippetReader(self.options, self.providers)
 
 
 class SnippetReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.provider, self.limit = options.get("provider", "web_search"), int(options.get("limit", "3"))
+    def __init__(self, options, providers: dict[str, Fetch]) -> None:
+        name = options.get("provider", "web_search")
+        if name not in providers:
+            raise ValueError(f"no provider {name!r}; there are {', '.join(sorted(providers))}")
+        self.fetch, self.limit = providers[name], int(options.get("limit", "3"))
         self.topics = [t for t in options.get("topics", "").split(",") if t]
 
     def partitions(self) -> list[InputPartition]:
@@ -54,19 +61,30 @@ class SnippetReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         try:
-            found = REGISTRY[self.provider](partition.value, self.limit)
-        except Exception:  # a provider that fails gives nothing; the next one is asked
-            found = []
+            found = self.fetch(partition.value, self.limit)
+        except Exception as e:
+            yield partition.value, None, None, None, None, f"{type(e).__name__}: {e}"
+            return
         for pos, (title, content, source) in enumerate(found):
-            yield partition.value, pos, title, content, source
+            yield partition.value, pos, title, content, source, None
+
+
+def register_sources(spark: SparkSession, providers: dict[str, Fetch] | None = None) -> None:
+    """Make the source known with these providers besides the fakes; the functions travel to the workers with it."""
+    known = SnippetSource.providers | (providers or {})
+
+    class Snippets(SnippetSource):  # a class of this call, so that its functions are sent by value
+        providers = known
 
+    spark.dataSource.register(Snippets)
 
-def register_sources(spark: SparkSession) -> None:
-    spark.dataSource.register(SnippetSource)
 
+def chat(prompts: DataFrame, client: Callable[[str], str], attempts: int = 3, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """prompts(keys, prompt) to keys, reply, error: the client's answer, retried, the last error where none came.
 
-def chat(prompts: DataFrame, client: Callable[[str], str], attempts: int = 3) -> DataFrame:
-    """prompts(id, prompt) to id, reply, error: the client's answer, retried, the last error where none came."""
+    Keys are longs. The client keeps its own time limit, system prompt and
+    settings: it is called with the prompt alone, in the worker.
+    """
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,9 +101,9 @@ def chat(prompts: DataFrame, client: Callable[[str], str], attempts: int = 3) ->
                         break
                 replies.append(reply)
                 errors.append(error)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=["id", "reply", "error"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*keys, "reply", "error"])
 
-    return prompts.select("id", "prompt").mapInArrow(rows_of, "id long, reply string, error string")
+    return prompts.select(*[F.col(k).cast("long").alias(k) for k in keys], "prompt").mapInArrow(rows_of, ", ".join(f"{k} long" for k in keys) + ", reply string, error string")
 
 
 def fake_voice(text: str, rate: int = 16000) -> np.ndarray:
@@ -93,16 +111,47 @@ def fake_voice(text: str, rate: int = 16000) -> np.ndarray:
     return 0.3 * np.sin(np.arange(len(text) * rate // 20) * 2 * math.pi * 220 / rate)
 
 
-def synthesize(pieces: DataFrame, voice: Callable[[str], np.ndarray] = fake_voice, rate: int = 16000) -> DataFrame:
-    """pieces(conv_id, turn, pieces) to conv_id, turn, wav, seconds: samples clipped to [-1, 1] and joined."""
+def synthesize(
+    pieces: DataFrame, voice: Callable[[str], np.ndarray] = fake_voice, rate: int = 16000, attempts: int = 3, backoff: float = 1.0, marker: str = "", batch_bytes: int = 16_000_000
+) -> DataFrame:
+    """pieces(conv_id, turn, pieces) to conv_id, turn, wav, seconds, error.
+
+    Each piece is spoken by ``voice`` (called with the marker before the text);
+    a call that fails is made again after ``backoff`` seconds, then twice that.
+    A turn with a piece that fails every time has no sound but the last error;
+    the others go on. Samples are clipped to [-1, 1] and joined. Batches of the
+    result hold about ``batch_bytes`` of sound.
+    """
+
+    def spoken(text: str) -> np.ndarray:
+        for attempt in range(attempts):
+            try:
+                return voice(marker + text)
+            except Exception:
+                if attempt == attempts - 1:
+                    raise
+                time.sleep(backoff * 2**attempt)
+        raise ValueError("attempts must be at least 1")
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv_id", "turn", "wav", "seconds", "error"])
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            wavs, seconds = [], []
-            for texts in batch.column("pieces").to_pylist():
-                whole = np.concatenate([np.zeros(0), *[voice(t) for t in texts or []]])
-                wavs.append(write_wav((np.clip(whole, -1, 1) * 32767).astype(np.int64), rate))
-                seconds.append(round(len(whole) / rate, 3))
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(wavs, pa.binary()), pa.array(seconds, pa.float64())], names=["conv_id", "turn", "wav", "seconds"])
-
-    return pieces.select("conv_id", "turn", "pieces").mapInArrow(rows_of, "conv_id long, turn long, wav binary, seconds double")
+            for conv_id, turn, texts in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "pieces")), strict=True):
+                try:
+                    whole = np.concatenate([np.zeros(0), *map(spoken, texts or [])])
+                    row = (conv_id, turn, write_wav((np.clip(whole, -1, 1) * 32767).astype(np.int64), rate), round(len(whole) / rate, 3), None)
+                except Exception as e:
+                    row = (conv_id, turn, None, None, f"{type(e).__name__}: {e}")
+                held.append(row)
+                size += len(row[2] or b"")
+                if size >= batch_bytes:
+                    yield batch_of(held)
+                    held, size = [], 0
+        if held:
+            yield batch_of(held)
+
+    return pieces.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "pieces").mapInArrow(rows_of, "conv_id long, turn long, wav binary, seconds double, error string")

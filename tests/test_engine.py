@@ -1,7 +1,9 @@
 """The engine against hand-computed fixtures, an independent character loop, and invariants."""
 
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -17,7 +19,7 @@ from braidlex.operators import scoring as Q
 from braidlex.operators import voice as V
 from braidlex.plans import evaluation as E
 from braidlex.plans import registry
-from braidlex.plans.ranks import place_in_order
+from braidlex.plans import ranks, tables
 from braidlex.sources import config, providers
 from braidlex.streaming import stateful
 
@@ -109,11 +111,15 @@ def test_later_copy_is_vetoed(spark):
     assert not rows[1].is_copy and not rows[2].is_copy and rows[3].is_copy and rows[3].veto == "diversity: copy"
 
 
-def test_places(spark):
+@pytest.mark.parametrize("size", [500_000, 40])
+def test_places(spark, monkeypatch, size):
+    monkeypatch.setattr(ranks, "RANGE_ROWS", size)
     r = random.Random(2)
-    rows = [(r.randrange(10**6), r.choice("ab")) for _ in range(500)]
+    rows = [(r.randrange(10**6), r.choice("ab")) for _ in range(500)] + [(10**15, "a")]  # one key far out
     rows = list({k: g for k, g in rows}.items())
-    out = place_in_order(spark.createDataFrame(rows, "k long, g string"), ["g"], "k", "n").collect()
+    ranged = ranks.in_ranges(spark.createDataFrame(rows, "k long, g string"), "k")
+    assert ranged.select("__range").distinct().count() == max(1, -(-len(rows) // size))
+    out = ranks.place_in_order(ranged, ["g"], "k", "n").collect()
     assert all(x.n == sum(g == x.g and k < x.k for k, g in rows) for x in out)
 
 
@@ -231,14 +237,15 @@ def _stream(spark, tmp_path, df, name, make, files=3):
 def test_accommodation_stream(spark, tmp_path):
     rows = [(c, t, "AB"[t % 2], (c * 7 + t * 3) % 10 / 20, t // 2) for c in range(4) for t in range(6)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, speaker string, cmi double, part int")
-    got = {(r.conv_id, r.turn): r.partner_mean for r in _stream(spark, tmp_path, df, "acc", stateful.accommodation_stream).collect()}
+    df = df.withColumn("at", F.timestamp_seconds(F.col("turn") * 60))
+    got = {(r.conv_id, r.turn): r.partner_mean for r in _stream(spark, tmp_path, df, "acc", lambda s: stateful.accommodation_stream(s, "at")).collect()}
     batch = {(r.conv_id, r.turn): r.partner_mean for r in D.accommodation(df.withColumn("base", F.lit(0.15))).collect()}
     assert got.keys() == batch.keys() and all((got[k] is None) == (batch[k] is None) and abs((got[k] or 0) - (batch[k] or 0)) < 1e-9 for k in got)
 
 
 def test_cache_stream(spark, tmp_path):
-    df = spark.createDataFrame([("k", i, 1704067200 + i * 40_000, i // 2) for i in range(6)], "key string, o long, s long, part int").select("key", "o", F.timestamp_seconds("s").alias("t"), "part")
-    got = {r.o: r.hit for r in _stream(spark, tmp_path, df, "cache", lambda s: stateful.cache_stream(s, 86400)).collect()}
+    df = spark.createDataFrame([("k", i, 1704067200 + i * 40_000, i // 2) for i in range(12)], "key string, o long, s long, part int").select("key", "o", F.timestamp_seconds("s").alias("t"), "part")
+    got = {r.o: r.hit for r in _stream(spark, tmp_path, df, "cache", lambda s: stateful.cache_stream(s, 86400), 6).collect()}
     assert got == {r.o: r.hit for r in R.ttl_cache(df, ["key"], "t", "o", 86400).collect()}
 
 
@@ -252,3 +259,134 @@ def test_registry():
     queries, oracles = registry.queries(), registry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 80
     assert all(re.fullmatch(r"[a-z0-9_]+", name) for name in queries)
+
+
+def test_grams_are_linear_in_any_projection(spark):
+    """A text of 20 000 words, of which nothing but the grams is asked for."""
+    r = random.Random(5)
+    text = " ".join(r.choices(["le", "meeting", "est", "okay", "x", "12", "très,"], k=20_000))
+    df = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    alone = Q.novelty_inputs(A.analyze(df, PAIRS["fr_en"])).select(F.size("grams").alias("n")).first().n
+    assert time.perf_counter() - began < 20
+    words = [w for w in re.findall(r"[^\W\d]+|\d+|[^\s]", text.lower()) if w.isalpha()]
+    assert alone == len({tuple(words[i : i + 4]) for i in range(len(words) - 3)})
+
+
+def test_rows_are_spread_over_the_cores(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    assert tables.spread(spark.read.parquet(str(tmp_path / "one"))).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    many = spark.range(1000).repartition(50)
+    assert tables.spread(many) is many
+
+
+def test_providers_reach_the_workers(spark):
+    def failing(topic, limit):
+        raise OSError("no route")
+
+    providers.register_sources(spark, {"arxiv": lambda t, n: [(f"real {t}", "body", "arxiv")], "mine": lambda t, n: [(t, t, "mine")] * n, "down": failing})
+    read = lambda name: spark.read.format("snippets").option("provider", name).option("topics", "a,b").load().collect()
+    assert sorted(r.title for r in read("arxiv")) == ["real a", "real b"] and len(read("mine")) == 6
+    assert {(r.topic, r.title, r.error) for r in read("down")} == {("a", None, "OSError: no route"), ("b", None, "OSError: no route")}
+    with pytest.raises(Exception, match="no provider 'nobody'"):
+        read("nobody")
+
+
+def test_provider_chain_order_and_fallback(spark):
+    rows = [("t", "zeta", 0, "One"), ("t", "zeta", 1, "Two"), ("t", "alpha", 0, "one "), ("t", "alpha", 1, "Three"), ("t", "other", 0, "Four"), ("u", "web", 0, "Five"), ("u", "alpha", 0, "Six")]
+    snippets = spark.createDataFrame([(*r, None) for r in rows] + [("t", "alpha", None, None, "down")], "topic string, provider string, pos int, title string, error string")
+    chain = spark.createDataFrame([("t", "zeta", 0), ("t", "missing", 1), ("t", "alpha", 2)], "topic string, provider string, priority int")
+    out = lambda n: sorted((r.topic, r["rank"], r.title) for r in R.provider_chain(snippets, n, chain, "web").collect())
+    assert out(3) == [("t", 1, "One"), ("t", 2, "Two"), ("t", 3, "Three"), ("u", 1, "Five")] and out(2) == [("t", 1, "One"), ("t", 2, "Two"), ("u", 1, "Five")]
+
+
+def test_cache_walk_against_a_loop(spark):
+    """A hot key over many batches, keys with nulls, ties, and results that are not kept."""
+    r = random.Random(3)
+    rows = [("hot" if r.random() < 0.7 else r.choice(["a", "b", None]), i, r.randrange(400_000), r.random() < 0.5) for i in range(4000)]
+    df = spark.createDataFrame(rows, "key string, o long, s long, found boolean").withColumn("t", F.timestamp_seconds("s"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {x.o: x.hit for x in R.ttl_cache(df, ["key"], "t", "o", 3600, "found").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, last = {}, {}
+    for key, o, s, found in sorted(rows, key=lambda x: (x[2], x[1])):
+        want[o] = key in last and s - last[key] < 3600
+        if not want[o] and found:
+            last[key] = s
+    assert got == want
+
+
+def test_accommodation_of_a_long_conversation(spark):
+    r = random.Random(4)
+    rows = [(c, t, r.choice("ABC"), r.random() if t % 9 else None, 0.15) for c in range(3) for t in range(3000)]
+    got = {(x.conv_id, x.turn): x.partner_mean for x in D.accommodation(spark.createDataFrame(rows, "conv_id long, turn long, speaker string, cmi double, base double")).collect()}
+    for c in range(3):
+        mine = [x for x in rows if x[0] == c]
+        for t in (0, 1, 2, 17, 2999):
+            heard = [x[3] for x in mine[:t] if x[2] != mine[t][2] and x[3] is not None][-2:]
+            assert got[c, t] == (pytest.approx(sum(heard) / len(heard)) if heard else None)
+
+
+def test_synthesis_is_tried_again(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def voice(text):
+        if "never" in text:
+            raise RuntimeError("no voice")
+        mark = os.path.join(folder, text.strip("<>"))
+        if "once" in text and not os.path.exists(mark):
+            open(mark, "w").close()
+            raise RuntimeError("busy")
+        return np.full(100, 2.0)
+
+    rows = [(1, 1, ["fine", "once"]), (1, 2, ["fine", "never"]), (2, 1, []), (2, 2, None)]
+    pieces = spark.createDataFrame(rows, "conv_id long, turn long, pieces array<string>")
+    got = {(r.conv_id, r.turn): r for r in providers.synthesize(pieces, voice, 1000, backoff=0.01, marker="<").collect()}
+    assert got[1, 1].seconds == 0.2 and audio.read_wav(got[1, 1].wav)[0].tolist() == [32767] * 200 and got[1, 1].error is None
+    assert (got[1, 2].wav, got[1, 2].error) == (None, "RuntimeError: no voice") and got[2, 2].seconds == 0
+
+
+def test_pair_folder_and_persona_pool(spark, tmp_path):
+    root = tmp_path / "pairs"
+    for name, mode in (("xx_en", "unicode"), ("yy_en", "lexicon")):
+        at = root / name
+        at.mkdir(parents=True)
+        (at / "language.yaml").write_text(f"l1_code: {name[:2]}\nl2_code: en\ndetection_mode: {mode}\nl1_unicode_ranges:\n  - [0x4E00, 0x9FFF]\nsentence_endings: '.!?'\n")
+        (at / "calibration.json").write_text('{"mean": 0.2}')
+        (at / "evaluation.yaml").write_text("pass: 6.0")
+        (at / "prompts.yaml").write_text("hello: hi")
+        (at / "personas.yaml").write_text(
+            "persona_templates:\n  - {id: p1, weight: 0.5, region: {id: singapore, label: S}, profession: {id: chef}, age_group: senior, L2_proficiency: {id: basic}, compatible_archetypes: [ARC_05], "
+            "compatible_relationships: [family], natural_topics: [food]}\n"
+        )
+        if mode == "lexicon":
+            (at / "l1_lexicon.txt").write_text("Bonjour\n\nsalut\n")
+    (root / "not_a_pair").mkdir()
+    assert [r.pair for r in config.pair_folders(spark, str(root)).collect()] == ["xx_en", "yy_en"]
+    assert config.pair_folders(spark, str(tmp_path / "nowhere")).count() == 0
+    by_script, by_list = config.read_pair(spark, str(root), "xx_en"), config.read_pair(spark, str(root), "yy_en")
+    assert by_list.language.lexicon == ("bonjour", "salut") and by_script.calibration == {"mean": 0.2} and by_script.evaluation == {"pass": 6.0} and by_script.prompts == {"hello": "hi"}
+    text = spark.createDataFrame([(0, "我 like 你."), (1, "Salut my friend")], "doc_id long, text string")
+    assert [(r.n1, r.n2) for r in A.analyze(text, by_script.language).orderBy("doc_id").collect()] == [(2, 1), (0, 3)]
+    assert [(r.n1, r.n2) for r in A.analyze(text, by_list.language).orderBy("doc_id").collect()][1] == (1, 2)
+    with pytest.raises(FileNotFoundError, match="xx_en, yy_en"):
+        config.read_pair(spark, str(root), "zz_en")
+    out = S.sample(spark.range(20).withColumnRenamed("id", "row"), S.pool_dimensions(spark, by_script.personas)).collect()
+    assert len(out) == 20 and {(r.persona, r.region, r.profession, r.age_group, r.proficiency, r.archetype, r.topic, r.relationship) for r in out} == {("p1", "singapore", "chef", "senior", "basic", "ARC_05", "food", "family")}
+
+
+def test_example_bank_and_documents(spark, tmp_path):
+    (tmp_path / "bank.jsonl").write_text('{"archetype_id": "A1", "topic": "food", "speaker_text": "x", "eval_score": 9.0, "cmi": 0.2}\nbroken\n')
+    rows = config.read_examples(spark, str(tmp_path / "bank.jsonl")).collect()
+    assert [(r.archetype, r.topic, r.score) for r in rows] == [("A1", "food", 9.0)]
+    config.write_json_documents(spark.createDataFrame([(1, "é")], "n int, t string"), str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"n":1,"t":"é"}']
+
+
+def test_gram_stream(spark, tmp_path):
+    rows = [(7, 1, 0), (8, 1, 0), (7, 2, 1), (9, 2, 1), (9, 3, 2), (9, 3, 2)]
+    df = spark.createDataFrame(rows, "gram long, doc_id long, part int")
+    got = sorted(map(tuple, _stream(spark, tmp_path, df, "grams", stateful.gram_novelty).collect()))
+    assert got == [(7, 1, False), (7, 2, True), (8, 1, False), (9, 2, False), (9, 3, True)]
