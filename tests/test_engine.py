@@ -237,7 +237,7 @@ def _stream(spark, tmp_path, df, name, make, files=3):
 def test_accommodation_stream(spark, tmp_path):
     rows = [(c, t, "AB"[t % 2], (c * 7 + t * 3) % 10 / 20, t // 2) for c in range(4) for t in range(6)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, speaker string, cmi double, part int")
-    df = df.withColumn("at", F.timestamp_seconds(F.col("turn") * 60))
+    df = df.withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 60))
     got = {(r.conv_id, r.turn): r.partner_mean for r in _stream(spark, tmp_path, df, "acc", lambda s: stateful.accommodation_stream(s, "at")).collect()}
     batch = {(r.conv_id, r.turn): r.partner_mean for r in D.accommodation(df.withColumn("base", F.lit(0.15))).collect()}
     assert got.keys() == batch.keys() and all((got[k] is None) == (batch[k] is None) and abs((got[k] or 0) - (batch[k] or 0)) < 1e-9 for k in got)
