@@ -3,10 +3,10 @@
 Documents fall into cells (source, language, topic). The cells' token weights
 are raked: scaled to the target share of each source, then of each language,
 then of each topic, again and again until all three marginals hold to within
-``TOLERANCE`` (a total variation). Targets that no weights can meet (a table
-that asks for a pair of values that no cell has) never settle: then raking
-stops with an error after ``MAX_SWEEPS``, or at the last sweep if ``sweeps`` is
-given. A
+``TOLERANCE`` (a total variation). Targets that no weights can meet together
+(where pairs of values have no cell) never settle: raking then ends where
+further sweeps bring the marginals no nearer, with the topics' one met, or
+after ``MAX_SWEEPS``. A
 document's weight is its cell's raked tokens over the cell's own tokens, times
 the budget: how often it should be seen. Sampling is by calibrated
 probability: the whole part of the weight gives sure copies, the fraction is
@@ -39,8 +39,8 @@ DIMS = ("source", "lang", "topic")
 #: Shares of a text's characters from which it counts as numeric, markup or loud.
 NUMERIC, MARKUP, LOUD = 0.05, 0.03, 0.2
 _WORD = r"[^\x20\x09-\x0D]+"
-#: How far the marginals may be from their targets (half the sum of the differences), and the sweeps after which raking fails.
-TOLERANCE, MAX_SWEEPS = 1e-12, 200
+#: How far the marginals may be from their targets (half the sum of the differences), the share by which a table of sweeps must lower that, and the most sweeps.
+TOLERANCE, GAIN, MAX_SWEEPS = 1e-12, 0.01, 200
 #: Cells that are raked in one partition, and sweeps between two written tables.
 FEW_CELLS, SWEEPS_A_TABLE = 50_000, 4
 #: Digits of a weight; far fewer than raking settles, so that any engine gives the same ones.
@@ -101,7 +101,7 @@ def rake(cells: DataFrame, wanted: dict[str, float | DataFrame], sweeps: int | N
         goal = targets(cells, dim, wanted[dim]).withColumnRenamed("share", f"goal_{dim}")
         now = now.join(goal, dim, "left").withColumn(f"goal_{dim}", F.coalesce(f"goal_{dim}", F.lit(0.0)))
     now = cut(now.coalesce(1) if few else now, "cells")
-    done, most = 0, sweeps or MAX_SWEEPS
+    done, most, gap = 0, sweeps or MAX_SWEEPS, float("inf")
     while done < most:
         now = now.coalesce(1) if few else now
         for _ in range(min(SWEEPS_A_TABLE, most - done)):
@@ -109,10 +109,10 @@ def rake(cells: DataFrame, wanted: dict[str, float | DataFrame], sweeps: int | N
                 now = _scaled(now, dim, few)
             done += 1
         now = cut(now, "cells")
-        if sweeps is None and missed(now) <= TOLERANCE:
-            return now
-    if sweeps is None:
-        raise ValueError(f"the target shares cannot be met together (after {done} sweeps a marginal still differs by {missed(now)})")
+        if sweeps is None:
+            before, gap = gap, missed(now)
+            if gap <= TOLERANCE or gap > before * (1 - GAIN):
+                break
     return now
 
 

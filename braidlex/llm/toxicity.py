@@ -82,12 +82,12 @@ class Model:
 class WordScores(dict):
     """Word to its score; a bounded cache."""
 
-    def __init__(self, weights: dict[bytes, float]) -> None:
+    def __init__(self, weights: dict[bytes, float], most: int = CACHE_WORDS) -> None:
         super().__init__()
-        self.weights = weights
+        self.weights, self.most = weights, most
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         found = [self.weights[f] for f in features_of(word) if f in self.weights]
         value = self[word] = max(found) if found else PENALTY
@@ -212,7 +212,7 @@ def judged_rows(rows: DataFrame, weights: list[dict[bytes, float]]) -> DataFrame
     schema = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("hits", pa.list_(hit)), ("segments", pa.list_(pa.float64()))])
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        caches = [WordScores(w) for w in shared.value[1:]]
+        caches = [WordScores(w, CACHE_WORDS // FOLDS) for w in shared.value[1:]]
         for batch in batches:
             out = []
             for text, toxic, fold in zip(binary(batch.column("text")), batch.column("toxic").to_pylist(), batch.column("fold").to_pylist(), strict=True):
