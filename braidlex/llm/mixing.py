@@ -110,7 +110,7 @@ def rake(cells: DataFrame, wanted: dict[str, float | DataFrame], sweeps: int | N
             done += 1
         now = cut(now, "cells")
         if sweeps is None:
-            before, gap = gap, missed(now)
+            before, gap = gap, missed(now.coalesce(1) if few else now)
             if gap <= TOLERANCE or gap > before * (1 - GAIN):
                 break
     return now
