@@ -70,22 +70,33 @@ def silence(ms: int, rate: int) -> np.ndarray:
 
 
 def assemble(turns: DataFrame, rate: int = 16000) -> DataFrame:
-    """turns(conv_id, turn, wav, pause_ms) to one WAV file a dialogue; a missing turn drops the dialogue.
+    """turns(conv_id, turn, wav, pause_ms) to one WAV file a dialogue (conv_id, wav, seconds, error).
 
-    A dialogue's turns are one group, a few minutes of sound.
+    A missing turn drops the dialogue; sound that cannot be read or joined keeps
+    it, with null audio and the error. A dialogue's turns are one group, a few
+    minutes of sound.
     """
+    kinds = pa.schema({"conv_id": pa.int64(), "wav": pa.binary(), "seconds": pa.float64(), "error": pa.string()})
 
-    def of_group(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("turn").to_pylist()
-        if any(r["wav"] is None for r in rows):
-            return pa.table({"conv_id": pa.array([], pa.int64()), "wav": pa.array([], pa.binary()), "seconds": pa.array([], pa.float64())})
+    def joined(rows: list[dict]) -> np.ndarray:
         parts = []
         for i, r in enumerate(rows):
             samples, source = read_wav(r["wav"])
             parts.append(resample(samples, source, rate))
             if i < len(rows) - 1:
                 parts.append(silence(r["pause_ms"] or 0, rate))
-        whole = np.concatenate(parts)
-        return pa.table({"conv_id": pa.array([rows[0]["conv_id"]], pa.int64()), "wav": [write_wav(whole, rate)], "seconds": [round(len(whole) / rate, 3)]})
+        return np.concatenate(parts)
 
-    return turns.select("conv_id", "turn", "wav", "pause_ms").groupBy("conv_id").applyInArrow(of_group, "conv_id long, wav binary, seconds double")
+    def of_group(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("turn").to_pylist()
+        if any(r["wav"] is None for r in rows):
+            return kinds.empty_table()
+        row = {"conv_id": rows[0]["conv_id"], "wav": None, "seconds": None, "error": None}
+        try:
+            whole = joined(rows)
+            row |= {"wav": write_wav(whole, rate), "seconds": round(len(whole) / rate, 3)}
+        except (wave.Error, EOFError, ValueError) as failure:
+            row["error"] = f"{type(failure).__name__}: {failure}"
+        return pa.Table.from_pylist([row], kinds)
+
+    return turns.select("conv_id", "turn", "wav", "pause_ms").groupBy("conv_id").applyInArrow(of_group, "conv_id long, wav binary, seconds double, error string")

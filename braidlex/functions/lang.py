@@ -81,6 +81,11 @@ class LanguagePair:
     lexicon: tuple[str, ...] = ()
     common: tuple[str, ...] = field(default=COMMON_WORDS)
 
+    @property
+    def ambiguous(self) -> tuple[str, ...]:
+        """Words of the lexicon that are common in the second language too."""
+        return tuple(sorted(set(self.lexicon) & set(self.common)))
+
     @property
     def token(self) -> str:
         word = r"\p{L}+" if self.lexicon else f"[{self.l1_script}]|[A-Za-z]+"

@@ -44,6 +44,21 @@ def analyze(df: DataFrame, pair: LanguagePair, text: str = "text") -> DataFrame:
     return staged.drop("low")
 
 
+def clear_mixing(analyzed: DataFrame, pair: LanguagePair) -> DataFrame:
+    """``analyzed`` plus n_ambiguous (words of both the lexicon and common English) and cmi_clear, the index without them."""
+    low = F.transform("toks", F.lower)
+    found = F.size(F.filter(low, lambda t: t.isin(*pair.ambiguous))) if pair.ambiguous else F.lit(0)
+    n1, n = F.col("n1") - F.col("n_ambiguous"), F.col("n_content") - F.col("n_ambiguous")
+    clear = F.when(n == 0, F.lit(0.0)).otherwise((n - F.greatest(n1, F.col("n2"))) / n)
+    return analyzed.withColumn("n_ambiguous", found).withColumn("cmi_clear", clear)
+
+
+def clear_mixing_sql(source: str, pair: LanguagePair, name: str = "cm") -> str:
+    words = ", ".join("'" + w.replace("'", "''") + "'" for w in pair.ambiguous)
+    return f"""{name}0 AS (SELECT *, len(list_filter(toks, lambda t: list_contains([{words}]::VARCHAR[], lower(t))))::INT AS n_ambiguous FROM {source}),
+{name} AS (SELECT *, CASE WHEN n_content = n_ambiguous THEN 0.0::DOUBLE ELSE (n_content - n_ambiguous - greatest(n1 - n_ambiguous, n2))::DOUBLE / (n_content - n_ambiguous) END AS cmi_clear FROM {name}0)"""
+
+
 def _motive(i: Column, has_fixed: bool) -> Column:
     """Why the switch into segment ``i`` (from 0) happens: the first rule that matches.
 

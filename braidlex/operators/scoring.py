@@ -175,21 +175,24 @@ def novelty_inputs(analyzed: DataFrame, n: int = 4) -> DataFrame:
     return staged.withColumn("grams", F.when(F.size("content") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("content") - n + 1), gram)))).drop("content")
 
 
-def diversity(inputs: DataFrame, key: str) -> DataFrame:
-    """key, is_copy, overlap, pattern, pattern_share, diversity: novelty against all earlier texts (accept-all order by ``key``).
+def diversity(inputs: DataFrame, key: str, accepted: str | None = None) -> DataFrame:
+    """key, is_copy, overlap, pattern, pattern_share, diversity: novelty against all earlier texts (order by ``key``).
+
+    With ``accepted``, a boolean column, it is novelty against those earlier texts where it holds.
 
     ``inputs`` is a written table with key, text_hash, pattern and grams.
     Shingles are compared by the earliest key that has them (an aggregate with
     partial sums, joined back; Spark splits a skewed side), ranks come from
     counts of key ranges that grow in number with the rows, so no hot shingle, copy or pattern meets one task.
     """
-    shingles = inputs.select(key, F.explode("grams").alias("gram"))
-    earliest = shingles.groupBy("gram").agg(F.min(key).alias("first"))
-    overlap = shingles.join(earliest, "gram").groupBy(key).agg((F.sum((F.col("first") < F.col(key)).cast("int")) / F.count(F.lit(1))).alias("overlap"))
-    hashes = inputs.groupBy("text_hash").agg(F.min(key).alias("first_copy"))
-    light = in_ranges(inputs.select(key, "text_hash", "pattern"), key)
-    ranks = place_in_order(place_in_order(light, [], key, "before_all"), ["pattern"], key, "before_same").drop("__range")
-    out = ranks.join(hashes, "text_hash").join(overlap, key, "left").withColumns({"is_copy": F.col("first_copy") < F.col(key), "overlap": F.coalesce("overlap", F.lit(0.0))})
+    known = F.when(F.col(accepted), F.col(key)) if accepted else F.col(key)
+    shingles = inputs.select(key, known.alias("known"), F.explode("grams").alias("gram"))
+    earliest = shingles.groupBy("gram").agg(F.min("known").alias("first"))
+    overlap = shingles.join(earliest, "gram").groupBy(key).agg((F.sum(F.coalesce(F.col("first") < F.col(key), F.lit(False)).cast("int")) / F.count(F.lit(1))).alias("overlap"))
+    hashes = inputs.groupBy("text_hash").agg(F.min(known).alias("first_copy"))
+    light = in_ranges(inputs.select(key, "text_hash", "pattern", *([accepted] if accepted else [])), key)
+    ranks = place_in_order(place_in_order(light, [], key, "before_all", accepted), ["pattern"], key, "before_same", accepted).drop("__range")
+    out = ranks.join(hashes, "text_hash").join(overlap, key, "left").withColumns({"is_copy": F.coalesce(F.col("first_copy") < F.col(key), F.lit(False)), "overlap": F.coalesce("overlap", F.lit(0.0))})
     return apply_steps(out, DIVERSITY).drop("first_copy")
 
 

@@ -45,37 +45,65 @@ def age_group(text: Column, profession: Column) -> Column:
     return F.when(_hits(low, YOUNG) > 0, "young").when(_hits(low, SENIOR) > 0, "senior").otherwise("middle")
 
 
-def best_voice(speakers: DataFrame, voices: DataFrame, exclude: str | None = None, seed: int = 42) -> DataFrame:
-    """speakers(id, languages, gender, age, accent) to the best voice: shared language first, ties by a hash.
+#: Voices that a catalogue may hold; it travels as one row.
+MAX_VOICES = 10_000
+_TRAITS = ("voice", "gender", "age", "languages", "accent")
+
+
+def _catalogue(voices: DataFrame) -> DataFrame:
+    """All voices in one row."""
+    found = voices.limit(MAX_VOICES + 1).count()
+    if found > MAX_VOICES:
+        raise ValueError(f"more than {MAX_VOICES} voices")
+    return voices.agg(F.collect_list(F.struct(*_TRAITS)).alias("__voices"))
+
+
+def _best(voices: Column, side: dict[str, Column], seed: int) -> Column:
+    """struct(shares, score, tie, voice) of the best of an array of voices; null where there is none."""
+
+    def rank(v: Column) -> Column:
+        shares = F.arrays_overlap(side["languages"], v["languages"])
+        score = (
+            F.when(F.array_contains(v["languages"], F.get(side["languages"], F.lit(0))), 16).when(shares, 4).otherwise(0)
+            + F.when((side["gender"] != "unknown") & (side["gender"] == v["gender"]), 4).otherwise(0)
+            + F.when(side["age"] == v["age"], 2).otherwise(0)
+            + F.when((side["accent"] != "") & (side["accent"] == v["accent"]), 1).otherwise(0)
+        )
+        tie = F.md5(F.concat(F.lit(f"{seed}|"), side["id"].cast("string"), F.lit("|"), v["voice"]))
+        return F.struct(shares.alias("shares"), score.alias("score"), tie.alias("tie"), v["voice"].alias("voice"))
+
+    return F.array_max(F.transform(voices, rank))
+
+
+def best_voice(speakers: DataFrame, voices: DataFrame, seed: int = 42) -> DataFrame:
+    """speakers(id, languages, gender, age, accent) plus voice and voice_score: shared language first, ties by a hash.
 
     Candidates share a language; where there is none, all voices are. The
-    catalogue is small and broadcast, and the best one is an aggregate, so
-    speakers are not shuffled to be ranked against each other.
+    catalogue is one row of at most MAX_VOICES voices, so speakers are ranked in
+    one projection, without a shuffle, and equal rows stay apart. An empty
+    catalogue gives null.
     """
-    pool = F.broadcast(voices.select("voice", F.col("gender").alias("v_gender"), F.col("age").alias("v_age"), F.col("languages").alias("v_languages"), F.col("accent").alias("v_accent")))
-    pairs = speakers.crossJoin(pool)  # the voices are a catalogue of fixed size
-    if exclude:
-        pairs = pairs.filter(F.col("voice") != F.col(exclude))
-    shares = F.arrays_overlap("languages", "v_languages")
-    score = (
-        F.when(F.array_contains(F.col("v_languages"), F.get("languages", F.lit(0))), 16).when(shares, 4).otherwise(0)
-        + F.when((F.col("gender") != "unknown") & (F.col("gender") == F.col("v_gender")), 4).otherwise(0)
-        + F.when(F.col("age") == F.col("v_age"), 2).otherwise(0)
-        + F.when((F.col("accent") != "") & (F.col("accent") == F.col("v_accent")), 1).otherwise(0)
-    )
-    tie = F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"), F.lit("|"), F.col("voice")))
-    keep = [c for c in speakers.columns]
-    best = F.max(F.struct(shares.alias("shares"), score.alias("score"), tie.alias("tie"), "voice")).alias("best")
-    return pairs.groupBy(*keep).agg(best).select(*keep, F.col("best.voice").alias("voice"), F.col("best.score").alias("voice_score"))
-
-
-def voice_pairs(dialogues: DataFrame, voices: DataFrame) -> DataFrame:
-    """dialogues(id, languages, gender_a, age_a, accent_a, gender_b, ...) plus voice_a and another voice_b."""
-    names = ("gender", "age", "accent")
-    a = best_voice(dialogues.select("id", "languages", *[F.col(f"{n}_a").alias(n) for n in names]), voices).select("id", F.col("voice").alias("voice_a"))
-    b_in = dialogues.select("id", "languages", *[F.col(f"{n}_b").alias(n) for n in names]).join(a, "id")
-    b = best_voice(b_in, voices, exclude="voice_a", seed=43)
-    return b.select("id", "voice_a", F.col("voice").alias("voice_b"))
+    best = _best(F.col("__voices"), {n: F.col(n) for n in ("id", "languages", "gender", "age", "accent")}, seed)
+    ranked = speakers.crossJoin(F.broadcast(_catalogue(voices))).withColumn("__best", best)
+    return ranked.select(*speakers.columns, F.col("__best.voice").alias("voice"), F.col("__best.score").alias("voice_score"))
+
+
+def voice_pairs(dialogues: DataFrame, voices: DataFrame, strict: bool = True) -> DataFrame:
+    """dialogues(id, languages, gender_a, age_a, accent_a, gender_b, ...) to id, voice_a and another voice_b.
+
+    Where no second voice is left, the job fails; with ``strict`` off the
+    dialogue stays, with null for what is missing.
+    """
+
+    def side(s: str) -> dict[str, Column]:
+        return {"id": F.col("id"), "languages": F.col("languages"), **{n: F.col(f"{n}_{s}") for n in ("gender", "age", "accent")}}
+
+    first = dialogues.crossJoin(F.broadcast(_catalogue(voices))).withColumn("voice_a", _best(F.col("__voices"), side("a"), 42)["voice"])
+    others = F.filter("__voices", lambda v: v["voice"] != F.col("voice_a"))
+    second = _best(others, side("b"), 43)["voice"]
+    if strict:
+        second = F.coalesce(second, F.raise_error(F.concat(F.lit("no second voice for dialogue "), F.coalesce(F.col("id").cast("string"), F.lit("null")))).cast("string"))
+    return first.select("id", "voice_a", second.alias("voice_b"))
 
 
 def speech_pieces(text: Column) -> Column:

@@ -60,16 +60,39 @@ def novelty(df: DataFrame, pair) -> DataFrame:
     return S.diversity(cut(S.novelty_inputs(A.analyze(df, pair)).select("doc_id", *_NOVELTY), "novelty"), "doc_id")
 
 
+_OTHER = ["doc_id", "guard", "cmi", "n_switches", "matrix", "archetype", "fluency", "naturalness", "switch_motivation", "profile_consistency", "cultural_coherence"]
+
+
+def _scores(df: DataFrame, pair) -> DataFrame:
+    """The scores but diversity, and its inputs, as a written table; no text is shuffled."""
+    return cut(S.novelty_inputs(scored(df, pair)).select(*_OTHER, *_NOVELTY), "scores")
+
+
 def verdicts(df: DataFrame, pair) -> DataFrame:
-    """The whole evaluator: six scores, veto, final score, decision.
+    """The whole evaluator: six scores, veto, final score, decision; diversity as if every text were accepted."""
+    scores = _scores(df, pair)
+    seen = S.diversity(scores.select("doc_id", *_NOVELTY), "doc_id").select("doc_id", "is_copy", "diversity")
+    return S.apply_steps(scores.select(*_OTHER).join(seen, "doc_id"), S.VERDICT)
+
 
-    Texts are analysed once; the scores and the inputs of the diversity score
-    are written to the shared folder, so no text is shuffled.
+def accepted_verdicts(df: DataFrame, pair, passes: str = "decision = 'pass'") -> DataFrame:
+    """The evaluator where diversity looks only at earlier texts that passed themselves; plus ``accepted``.
+
+    Whether a text passes depends on earlier texts only, so the recurrence has
+    one solution. It is found by rounds over all rows: each judges by what the
+    round before accepted, settles at least the first text that was still open,
+    and the rounds end where no decision changes any more (in practice after
+    a few). Ids are unique and not null.
     """
-    columns = ["doc_id", "guard", "cmi", "n_switches", "matrix", "archetype", "fluency", "naturalness", "switch_motivation", "profile_consistency", "cultural_coherence"]
-    scores = cut(S.novelty_inputs(scored(df, pair)).select(*columns, *_NOVELTY), "scores")
-    seen = S.diversity(scores.select("doc_id", *_NOVELTY), "doc_id").select("doc_id", "is_copy", "diversity")
-    return S.apply_steps(scores.select(*columns).join(seen, "doc_id"), S.VERDICT)
+    scores = _scores(df, pair)
+    state = cut(scores.select("doc_id", F.lit(True).alias("accepted")), "accepted")
+    while True:
+        inputs = cut(scores.select("doc_id", *_NOVELTY).join(state, "doc_id"), "novelty")
+        seen = S.diversity(inputs, "doc_id", "accepted").select("doc_id", "is_copy", "diversity")
+        judged = cut(S.apply_steps(scores.select(*_OTHER).join(seen, "doc_id"), S.VERDICT).withColumn("accepted", F.expr(passes)), "judged")
+        if judged.join(state.withColumnRenamed("accepted", "before"), "doc_id").filter("accepted <> before").isEmpty():
+            return judged
+        state = judged.select("doc_id", "accepted")
 
 
 def scored_sql(source: str, pair) -> str:
@@ -101,7 +124,7 @@ def _digest(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("doc_id", *[F.round(c, 9).alias(c) if dict(df.dtypes)[c] == "double" else F.col(c) for c in columns])
 
 
-_DOUBLES = {"cmi", "l1_quality", "l2_quality", "completeness", "fluency", "switch_frequency", "l2_integrity", "language_mode", "switch_syntax", "naturalness", "attribution", "switch_motivation", "cmi_range",
+_DOUBLES = {"cmi", "cmi_clear", "l1_quality", "l2_quality", "completeness", "fluency", "switch_frequency", "l2_integrity", "language_mode", "switch_syntax", "naturalness", "attribution", "switch_motivation", "cmi_range",
             "switch_type", "l2_span", "domain_words", "profile_consistency", "formality_score", "regional", "sensitivity", "cultural_coherence", "overlap", "pattern_share", "ngram_novelty", "pattern_novelty", "diversity", "final_score"}
 
 
@@ -114,6 +137,7 @@ def queries() -> dict:
         "ta1_char_class": lambda s, d: A.analyze(fixture(s), ZH).select(F.explode_outer("toks").alias("tok"), "tags").filter("tok is not null").groupBy(F.substring("tok", 1, 1).alias("ch")).agg(F.count(F.lit(1)).alias("n")),
         "ta2_tokenize_unicode": lambda s, d: A.analyze(fixture(s), ZH).select("doc_id", F.posexplode_outer("toks").alias("pos", "tok"), "tags").filter("tok is not null").select("doc_id", "pos", "tok", F.substring(F.col("tags"), F.col("pos") + 1, F.lit(1)).alias("tag")),
         "ta3_tokenize_lexicon": lambda s, d: A.analyze(documents(s, d), FR).select("doc_id", "n_tokens", F.md5("tags").alias("tags_md5"), F.md5(F.array_join("toks", " ")).alias("tokens_md5")),
+        "ta3_ambiguous": lambda s, d: _digest(A.clear_mixing(A.analyze(documents(s, d), FR), FR), ["n_ambiguous", "cmi_clear"]),
         "ta4_segments": lambda s, d: _conversation(s, d, A.segments).drop("content"),
         "ta5_switch_points": lambda s, d: _conversation(s, d, A.switch_points),
         "ta6_switch_type": lambda s, d: A.analyze(documents(s, d), FR).select("doc_id", "n_intra", "n_inter"),
@@ -128,6 +152,7 @@ def queries() -> dict:
         "q_diversity": lambda s, d: _digest(novelty(documents(s, d), FR), _DIVERSITY),
         "q_verdict": lambda s, d: _digest(verdicts(documents(s, d), FR), _VERDICT),
         "q_verdict_fixture": lambda s, d: _digest(verdicts(fixture(s), ZH), _VERDICT),
+        "q_accept": lambda s, d: _digest(accepted_verdicts(documents(s, d), FR), [*_VERDICT, "accepted"]),
         "q_decide": lambda s, d: verdicts(documents(s, d), FR).groupBy("archetype", "decision").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("final_score"), 6).alias("avg_score")),
         "q_summary": lambda s, d: verdicts(documents(s, d), FR).select("doc_id", F.expr(SUMMARY).alias("summary")),
     }
@@ -154,6 +179,7 @@ def oracle_sql() -> dict[str, str]:
         "ta1_char_class": f"WITH {fix} SELECT left(tok, 1) AS ch, count(*) AS n FROM (SELECT unnest(toks) AS tok FROM a) GROUP BY ALL",
         "ta2_tokenize_unicode": f"WITH {fix} SELECT doc_id, (i - 1)::INT AS pos, tok, substr(tags, i, 1) AS tag FROM (SELECT doc_id, tags, unnest(toks) AS tok, unnest(range(1, len(toks) + 1))::INT AS i FROM a)",
         "ta3_tokenize_lexicon": f"WITH {doc} SELECT doc_id, n_tokens, md5(tags) AS tags_md5, md5(coalesce(array_to_string(toks, ' '), '')) AS tokens_md5 FROM a",
+        "ta3_ambiguous": _sql(doc + ",\n" + A.clear_mixing_sql("a", FR), ["n_ambiguous", "cmi_clear"], "cm"),
         "ta4_segments": f"WITH {conv} SELECT conv_id, turn, seg, lang, n_content, start, stop, text, ends_sentence FROM seg",
         "ta5_switch_points": f"WITH {switches} SELECT * FROM sw",
         "ta6_switch_type": f"WITH {doc} SELECT doc_id, n_intra, n_inter FROM a",

@@ -22,14 +22,17 @@ def in_ranges(df: DataFrame, key: str) -> DataFrame:
     return cut(ranged.withColumn("__range", F.spark_partition_id()), "ranged")
 
 
-def place_in_order(ranged: DataFrame, by: list[str], key: str, name: str) -> DataFrame:
+def place_in_order(ranged: DataFrame, by: list[str], key: str, name: str, counted: str | None = None) -> DataFrame:
     """``ranged`` (of ``in_ranges``) plus the number of rows of its group with a smaller key (ties in any order).
 
+    With ``counted``, a boolean column, only rows where it holds are counted.
+
     Rows are counted by group and range, the counts are summed up to each
     range, and rows are ranked within their range only.
     """
-    counts = ranged.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    one = F.col(counted).cast("long") if counted else F.lit(1).cast("long")
+    counts = ranged.groupBy(*by, "__range").agg(F.sum(one).alias("__n"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
-    inner = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(key))
-    return ranged.join(ahead, [*by, "__range"]).withColumn(name, F.col("__ahead") + inner - 1).drop("__ahead")
+    earlier = Window.partitionBy(*by, "__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(ahead, [*by, "__range"]).withColumn(name, F.col("__ahead") + F.coalesce(F.sum(one).over(earlier), F.lit(0))).drop("__ahead")
