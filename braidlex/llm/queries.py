@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, license_scan, lm_score, media, mixing, sharding, simhash_dedup, substring_dedup, toxicity
+from . import decontaminate, html_extract, importance, license_scan, lm_score, media, mixing, sharding, simhash_dedup, substring_dedup, topk_search, toxicity, whitening
 from .base import table
 
 #: Production targets: shares proportional to a dimension's tokens to these powers.
@@ -69,6 +69,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20)
+
+
 _ALL = (
     op1_substring_dedup,
     op2_lm_score,
@@ -81,6 +93,9 @@ _ALL = (
     op8_toxicity,
     op9_media,
     op10_license_scan,
+    op11_whitening,
+    op12_topk_search,
+    op13_importance,
 )
 
 
@@ -89,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.SQL, "op2_lm_score": lm_score.SQL, "op6_mixing": mixing.mix_sql(MIX_POWERS)}
+    return {"op1_substring_dedup": substring_dedup.SQL, "op2_lm_score": lm_score.SQL, "op6_mixing": mixing.mix_sql(MIX_POWERS), "op12_topk_search": topk_search.search_sql()}
