@@ -3,10 +3,13 @@
 Documents fall into cells (source, language, topic). The cells' token weights
 are raked: scaled to the target share of each source, then of each language,
 then of each topic, again and again until all three marginals hold to within
-``TOLERANCE`` (a total variation). Targets that no weights can meet together
-(where pairs of values have no cell) never settle: raking then ends where
-further sweeps bring the marginals no nearer, with the topics' one met, or
-after ``MAX_SWEEPS``. A
+``TOLERANCE`` (a total variation). A gap that stands still says nothing by
+itself: a cell that has to grow from a very small share grows by a constant
+factor a sweep and moves the marginals only at the end. So sweeps go on while
+any cell still grows or the gap still falls. Targets that no weights can meet together (where pairs of
+values have no cell) end in shares of which none grows any more, with the
+topics' marginal met and a gap in the others, which is logged; if neither holds
+after ``MAX_SWEEPS``, that is an error. A
 document's weight is its cell's raked tokens over the cell's own tokens, times
 the budget: how often it should be seen. Sampling is by calibrated
 probability: the whole part of the weight gives sure copies, the fraction is
@@ -30,6 +33,8 @@ also one named ``topic``, unless ``topic`` names the column that holds it.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +44,8 @@ DIMS = ("source", "lang", "topic")
 #: Shares of a text's characters from which it counts as numeric, markup or loud.
 NUMERIC, MARKUP, LOUD = 0.05, 0.03, 0.2
 _WORD = r"[^\x20\x09-\x0D]+"
-#: How far the marginals may be from their targets (half the sum of the differences), the share by which a table of sweeps must lower that, and the most sweeps.
-TOLERANCE, GAIN, MAX_SWEEPS = 1e-12, 0.01, 200
+#: How far the marginals may be from their targets (half the sum of the differences), the share by which a table of sweeps lowers that while it settles, the growth of a cell's share in one sweep that counts as none, and the most sweeps.
+TOLERANCE, GAIN, STILL, MAX_SWEEPS = 1e-12, 0.01, 1e-6, 2000
 #: Cells that are raked in one partition, and sweeps between two written tables.
 FEW_CELLS, SWEEPS_A_TABLE = 50_000, 4
 #: Digits of a weight; far fewer than raking settles, so that any engine gives the same ones.
@@ -105,15 +110,21 @@ def rake(cells: DataFrame, wanted: dict[str, float | DataFrame], sweeps: int | N
     while done < most:
         now = now.coalesce(1) if few else now
         for _ in range(min(SWEEPS_A_TABLE, most - done)):
+            now = now.withColumn("before", F.col("mass"))
             for dim in DIMS:
                 now = _scaled(now, dim, few)
             done += 1
         now = cut(now, "cells")
         if sweeps is None:
-            before, gap = gap, missed(now.coalesce(1) if few else now)
-            if gap <= TOLERANCE or gap > before * (1 - GAIN):
+            before, (gap, growth) = gap, progress(now.coalesce(1) if few else now)
+            if gap <= TOLERANCE:
+                break
+            if growth <= STILL and gap > before * (1 - GAIN):
+                logging.getLogger(__name__).warning("the targets cannot be met together: the marginals stay %.6g away from them", gap)
                 break
-    return now
+            if done >= most:
+                raise ValueError(f"after {done} sweeps the marginals are {gap:.6g} away from their targets, and cells still grow by {growth:.3g} a sweep")
+    return now.drop("before")
 
 
 def _scaled(cells: DataFrame, dim: str, few: bool) -> DataFrame:
@@ -126,13 +137,15 @@ def _scaled(cells: DataFrame, dim: str, few: bool) -> DataFrame:
     return cut(scaled.drop("have"), "cells")
 
 
-def missed(cells: DataFrame) -> float:
-    """The largest total variation between a marginal and its target; one number."""
-    gaps = []
+def progress(cells: DataFrame) -> tuple[float, float]:
+    """The largest total variation between a marginal and its target, and the largest growth of a cell in the last sweep; two numbers."""
+    grown = F.when(F.col("before") > 0, F.col("mass") / F.col("before") - 1)
+    found = cells.agg(F.lit(0.0).alias("gap"), F.max(grown).alias("growth"))
     for dim in DIMS:
         of_value = cells.groupBy(dim).agg(F.abs(F.sum("mass") - F.first(f"goal_{dim}")).alias("gap"))
-        gaps.append(of_value.agg((F.sum("gap") / 2).alias("gap")))
-    return gaps[0].union(gaps[1]).union(gaps[2]).agg(F.max("gap").alias("gap")).first().gap or 0.0
+        found = found.union(of_value.agg((F.sum("gap") / 2).alias("gap"), F.lit(0.0).alias("growth")))
+    row = found.agg(F.max("gap").alias("gap"), F.max("growth").alias("growth")).first()
+    return row.gap or 0.0, row.growth or 0.0
 
 
 def draw(doc_id: Column, seed: int) -> Column:
@@ -180,7 +193,7 @@ def sample(docs: DataFrame, wanted: dict[str, float | DataFrame], budget: float
     return repeated(drawn.withColumn("__copies", copies), "__copies").select(*docs.columns)
 
 
-def mix_sql(wanted: dict[str, float], budget: float = 1.0, sweeps: int = 30, seed: int = 7) -> str:
+def mix_sql(wanted: dict[str, float], budget: float = 1.0, sweeps: int = 60, seed: int = 7) -> str:
     """DuckDB SQL for the rows of ``mix`` over ``documents`` with powers as targets; a fixed number of sweeps, more than raking needs."""
     parts = [
         rf"""f AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 from braidlex.llm import mixing
 
 
@@ -50,3 +52,29 @@ def test_goals_that_cannot_be_met_end_with_the_topics_met(spark):
     for r in out:
         mass[r.topic] += r.weight * r.n_tokens
     assert abs(mass["prose"] - 4) < 1e-3 and abs(mass["numeric"] - 4) < 1e-3
+
+
+def test_raking_goes_on_over_a_plateau(spark):
+    """A cell that starts at a millionth of its source has to grow to a fifth of all; the marginals stand still meanwhile."""
+    cells = spark.createDataFrame([("a", "x", "t", 10**6), ("a", "y", "t", 1), ("b", "x", "t", 1), ("b", "y", "t", 10**6)], "source string, lang string, topic string, tokens long")
+
+    def table(**shares):
+        return spark.createDataFrame(list(shares.items()), "value string, share double")
+
+    raked = mixing.rake(cells, {"source": table(a=0.6, b=0.4), "lang": table(x=0.4, y=0.6), "topic": 1.0})
+    got = {(r.source, r.lang): r.mass for r in raked.collect()}
+    assert abs(got["a", "y"] - 0.2) < 1e-9 and abs(got["a", "x"] - 0.4) < 1e-9 and abs(got["b", "y"] - 0.4) < 1e-9
+    assert "before" not in raked.columns
+
+
+def test_raking_says_what_it_missed(spark, monkeypatch, caplog):
+    apart = spark.createDataFrame([("x", "en", "t", 9), ("y", "fr", "t", 1)], "source string, lang string, topic string, tokens long")
+    wanted = {"source": 0.0, "lang": 1.0, "topic": 1.0}
+    with caplog.at_level("WARNING"):
+        mixing.rake(apart, wanted).collect()
+    assert "cannot be met" in caplog.text and "0.4" in caplog.text
+    slow = spark.createDataFrame([("a", "x", "t", 10**6), ("a", "y", "t", 1), ("b", "x", "t", 1), ("b", "y", "t", 10**6)], "source string, lang string, topic string, tokens long")
+    monkeypatch.setattr(mixing, "MAX_SWEEPS", 4)
+    shares = spark.createDataFrame([("x", 0.4), ("y", 0.6)], "value string, share double")
+    with pytest.raises(ValueError, match="away from their targets"):
+        mixing.rake(slow, {"source": 1.0, "lang": shares, "topic": 1.0})
