@@ -47,7 +47,7 @@ from math import acos, comb, pi
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import U64, binary, columns_as, cut, mix, split_join
@@ -347,16 +347,23 @@ def signature(hashes: list[int]) -> tuple[list[int], bytes, bytes]:
 
 
 def exact_links(shingle: int, similarity: float, seed: int):
-    """Rows (home, node, text) of one home to links (a, b) of a spanning forest of its pairs at ``similarity`` or more.
+    """Rows (home, node, digest, text) of one home to links (a, b) of a spanning forest of its pairs at ``similarity`` or more.
 
     From each row not yet reached the sets of all rows not yet reached are
-    compared exactly, then from the rows found, and so on.
+    compared exactly, then from the rows found, and so on. Repeated rows of a
+    node are one.
     """
 
     def of_home(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
+        nodes, once = np.unique(table.column("node").to_numpy(), return_index=True)
+        table = table.take(pa.array(once))
         texts = [t for c in table.column("text").chunks for t in binary(c)]
         sets = [np.unique(np.array(shingle_hashes(t or b"", shingle, seed), U64)) for t in texts]
+        # two texts of one id may share the 64-bit hash of the join: the digest tells them apart
+        right = np.array([xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, table.column("digest").to_pylist(), strict=True)], bool)
+        node, sets = nodes[right], [s for s, ok in zip(sets, right, strict=True) if ok]
+        if not len(sets):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         n, size = len(sets), np.array(list(map(len, sets)), np.int64)
         stops = np.cumsum(size)
         names, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -387,52 +394,75 @@ def exact_links(shingle: int, similarity: float, seed: int):
     return of_home
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """doc_id and component_id where documents link at a Jaccard similarity of their sets of shingles of ``similarity`` or more.
+def _text_key(text: Column) -> Column:
+    """With the id, what a row is known by: rows without an id and texts that share one are told apart."""
+    return F.xxhash64(text)
+
+
+def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """doc_id, text_key and the class of near copies of each row; ``first`` names the row of the class that comes first.
 
     Candidates share a pair of min-hashes (ten pairs: 99.996 % of the pairs at
     0.8 meet) and pass the bit-sliced comparison of their fingerprints of
     distinct shingles. Each class of candidates is then compared exactly: its
-    texts are joined by id and meet in homes (two tiles of the class), where
-    the sets decide.
+    texts are joined by id and text hash and meet in homes (two tiles of the
+    class), where the sets decide. Rows with ids come first, by id, then by
+    the hash of the text.
     """
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signed = [signature(shingle_hashes(t or b"", shingle, seed)) for t in binary(batch.column("text"))]
             bands, prints, digests = zip(*signed, strict=True) if signed else ((), (), ())
-            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "digest", "bands", "print"])
+            columns = [*(batch.column(c) for c in ("doc_id", "text_key", "n_bytes")), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_bytes", "digest", "bands", "print"])
 
-    texts = columns_as(docs, doc_id="bigint", text="string").filter("doc_id is not null")
+    texts = columns_as(docs, doc_id="bigint", text="string").withColumn("text_key", _text_key(F.col("text")))
     sized = texts.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    rows = cut(sized.mapInArrow(rows_of, "doc_id long, n_bytes long, digest binary, bands array<long>, print binary"), "signatures")
-    first = F.min_by(F.struct("n_bytes", "bands", "print"), "doc_id").alias("first")
-    same = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), first).select("digest", "node", "first.*"), "same")
+    schema = "doc_id long, text_key long, n_bytes long, digest binary, bands array<long>, print binary"
+    rows = cut(sized.mapInArrow(rows_of, schema), "signatures")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    first = F.min_by(F.struct("n_bytes", "bands", "print"), place).alias("first")
+    numbered = rows.groupBy("digest").agg(F.min(place).alias("row"), first).select("digest", "row", "first.*")
+    same = cut(numbered.withColumn("node", F.monotonically_increasing_id()), "same")
     grouped = tiled(same.select("node", "print", F.posexplode("bands").alias("t", "key")), ["t", "key"])
     candidates = connected(grouped.mapInArrow(group_links(radius_of(similarity)), "a long, b long").distinct())
-    sizes = same.groupBy("node").agg(F.max("n_bytes").alias("n_bytes"))
-    members = cut(candidates.join(sizes, "node"), "members")
+    members = cut(candidates.join(same.select("node", "n_bytes", "digest", "row"), "node"), "members")
     tiles = members.groupBy("label").agg(F.ceil(F.sum("n_bytes") / TILE_BYTES).cast("int").alias("tiles")).select("label", F.greatest("tiles", F.lit(1)).alias("tiles"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    placed = members.join(tiles, "label").select("node", "label", F.pmod(F.xxhash64("node"), "tiles").alias("own"), other)
-    homes = placed.select("node", F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("home")).distinct()
-    met = homes.join(texts.withColumnRenamed("doc_id", "node"), "node").select("home", "node", "text")
+    placed = members.join(tiles, "label").select("node", "digest", "row", "label", F.pmod(F.xxhash64("node"), "tiles").alias("own"), other)
+    homes = placed.select("node", "digest", "row", F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("home")).distinct()
+    own_text = F.col("row.doc_id").eqNullSafe(texts.doc_id) & (F.col("row.text_key") == texts.text_key)
+    met = homes.join(texts, own_text).select("home", "node", "digest", "text")
     labels = connected(met.groupBy("home").applyInArrow(exact_links(shingle, similarity, seed), "a long, b long").distinct())
-    classes = same.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
-    return split_join(rows.select("doc_id", "digest"), classes, "digest").select("doc_id", "component_id")
+    classes = cut(same.join(labels, "node", "left").select("digest", "row", F.coalesce("label", "node").alias("class")), "classes")
+    named = classes.groupBy("class").agg(F.min("row").alias("first"))
+    of_digest = split_join(classes.select("class", "digest"), named, "class").select("digest", "class", "first")
+    return split_join(rows.select("doc_id", "text_key", "digest"), of_digest, "digest").select("doc_id", "text_key", "class", "first")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """doc_id and component_id (the smallest id of its class; null where no row of it has one) of each row."""
+    return near_classes(docs, shingle, similarity, seed).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """The documents, all columns, but those of a class of near copies whose smallest doc_id is another one.
+    """The documents, all columns, one of each class of near copies: the one with the smallest id.
 
-    Rows without an id are kept: nothing tells them apart. Of rows that share
-    an id one is kept.
+    Texts that share an id are told apart by the text. Rows without an id go
+    where their class has a row with one; else the one with the smallest hash
+    of its text stays. Of rows with the same id and text one stays, the one
+    with the smallest hash of all columns.
     """
-    classes = near_copies(docs, shingle, similarity, seed=seed)
-    gone = classes.filter("doc_id > component_id").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
-    shared = classes.groupBy("doc_id").count().filter("count > 1")
-    if shared.isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    classes = cut(near_classes(docs, shingle, similarity, seed), "near_classes")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    gone = classes.filter(~is_first).select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_key"))
+    keyed = docs.withColumn("__key", _text_key(F.col("text").cast("string")))
+    kept = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.col("__key") == F.col("__gone_key")), "left_anti")
+    repeated = classes.filter(is_first).groupBy("doc_id", "text_key").count().filter("count > 1").select(F.col("doc_id").alias("__twice"), F.col("text_key").alias("__twice_key"))
+    if repeated.isEmpty():
+        return kept.drop("__key")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__twice")) & (F.col("__key") == F.col("__twice_key"))
+    whole = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != "text"])))
+    one = kept.join(repeated, same).groupBy("__key", "doc_id").agg(*[F.min_by(c, whole).alias(c) for c in docs.columns if c != "doc_id"])
+    return kept.join(repeated, same, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))

@@ -112,3 +112,22 @@ def test_split_joins_keep_all_rows(spark, texts, monkeypatch):
     monkeypatch.setattr(base, "HOT_ROWS", 20)
     split = [sorted(map(tuple, f().collect())) for f in (lambda: simhash_dedup.near_copies(docs), lambda: simhash_dedup.near_duplicates(docs), lambda: simhash_dedup.connected(star))]
     assert usual == split and len(usual[0]) == len(rows) and {x for n, x in usual[2] if n < 500} == {0}
+
+
+def test_rows_are_known_by_id_and_text(spark):
+    """Texts that share an id are kept both; rows without an id are compared; of equal rows one stays, whatever the partitioning."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a, "u"), (1, b, "u"), (2, a, "v"), (None, a, "w"), (None, c, "w"), (None, c, "x"), (None, c + " more", "y"), (5, d, "z"), (5, d, "z"), (5, d, "k"), (None, None, "n"), (7, "", "n")]
+    seen = []
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        kept = simhash_dedup.keep_one(docs)
+        assert kept.columns == docs.columns
+        seen.append(sorted((str(r.doc_id), r.text, r.source) for r in kept.collect()))
+        ids = sorted((str(r.doc_id), str(r.component_id)) for r in simhash_dedup.near_copies(docs).collect())
+        assert ids == sorted([("1", "1")] * 2 + [("2", "1"), ("None", "1")] + [("None", "None")] * 3 + [("5", "5")] * 3 + [("None", "7"), ("7", "7")])
+    assert seen[0] == seen[1]
+    by_id = sorted((i, t) for i, t, _ in seen[0])
+    assert [x for x in by_id if x[0] != "None"] == [("1", a), ("1", b), ("5", d), ("7", "")]
+    nameless = [x for x in by_id if x[0] == "None"]
+    assert len(nameless) == 1 and nameless[0][1] in (c, c + " more")
