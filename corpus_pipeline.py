@@ -11,9 +11,10 @@ compare each stage with brute force.
 
 Defined results. Documents with null or empty text: not toxic, near copies of
 each other (one stays), no leak, weight 0 in the mixture (no words), so they
-are not drawn. Rows without an id are kept by the near-copy stage and share one
-draw of the mixture. Repeated rows: one stays in the near-copy stage. An empty
-table passes through all stages. Extra columns, whatever their names, come with
+are not drawn. Rows without an id are compared like all others in the near-copy
+stage, which keeps the one with an id where there is one, and share one draw of
+the mixture; texts that share an id are told apart by the text. Repeated rows:
+one stays in the near-copy stage. An empty table passes through all stages. Extra columns, whatever their names, come with
 their documents up to the last stage.
 """
 
