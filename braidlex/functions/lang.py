@@ -13,7 +13,7 @@ end, ``p`` other mark.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,6 +80,13 @@ class LanguagePair:
     endings: str = SENTENCE_ENDS
     lexicon: tuple[str, ...] = ()
     common: tuple[str, ...] = field(default=COMMON_WORDS)
+    markers: tuple[str, ...] = DISCOURSE_MARKERS
+    interjections_l1: tuple[str, ...] = INTERJECTIONS_L1
+    interjections_l2: tuple[str, ...] = INTERJECTIONS_L2
+    expressions: tuple[str, ...] = FIXED_EXPRESSIONS
+
+    def replaced(self, **values) -> LanguagePair:
+        return replace(self, **values)
 
     @property
     def ambiguous(self) -> tuple[str, ...]:
@@ -110,6 +117,15 @@ def tokens(text: Column, pair: LanguagePair) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(pair.token), F.lit(0))
 
 
+def _interjection(token: Column, pair: LanguagePair) -> Column:
+    """An interjection of the first language; scripts with cases are compared in lower case."""
+    return (F.lower(token) if pair.lexicon else token).isin(*pair.interjections_l1)
+
+
+def _interjection_sql(t: str, pair: LanguagePair) -> str:
+    return f"{f'lower({t})' if pair.lexicon else t} IN {_in(pair.interjections_l1)}"
+
+
 def token_tag(token: Column, pair: LanguagePair) -> Column:
     low = F.lower(token)
     known = low.isin(*pair.common) | (F.length(token) <= 1)
@@ -118,12 +134,12 @@ def token_tag(token: Column, pair: LanguagePair) -> Column:
         return F.when(known, tag).otherwise(unknown)
 
     second = (
-        F.when(low.isin(*INTERJECTIONS_L2), pick("c", "d"))
-        .when(low.isin(*DISCOURSE_MARKERS), pick("e", "f"))
+        F.when(low.isin(*pair.interjections_l2), pick("c", "d"))
+        .when(low.isin(*pair.markers), pick("e", "f"))
         .when(low.isin(*DOMAIN_TERMS), pick("g", "h"))
         .otherwise(pick("a", "b"))
     )
-    first = F.when(token.isin(*INTERJECTIONS_L1), "y").otherwise("z")
+    first = F.when(_interjection(token, pair), "y").otherwise("z")
     if pair.lexicon:
         out = F.when(token.rlike(r"^\p{L}"), F.when(low.isin(*pair.lexicon), first).otherwise(second))
     else:
@@ -140,10 +156,10 @@ def token_tag_sql(pair: LanguagePair, t: str = "t") -> str:
     known = f"(lower({t}) IN {_in(pair.common)} OR length({t}) <= 1)"
     pick = lambda a, b: f"CASE WHEN {known} THEN '{a}' ELSE '{b}' END"
     second = (
-        f"CASE WHEN lower({t}) IN {_in(INTERJECTIONS_L2)} THEN {pick('c', 'd')} WHEN lower({t}) IN {_in(DISCOURSE_MARKERS)} THEN {pick('e', 'f')} "
+        f"CASE WHEN lower({t}) IN {_in(pair.interjections_l2)} THEN {pick('c', 'd')} WHEN lower({t}) IN {_in(pair.markers)} THEN {pick('e', 'f')} "
         f"WHEN lower({t}) IN {_in(DOMAIN_TERMS)} THEN {pick('g', 'h')} ELSE {pick('a', 'b')} END"
     )
-    first = f"CASE WHEN {t} IN {_in(INTERJECTIONS_L1)} THEN 'y' ELSE 'z' END"
+    first = f"CASE WHEN {_interjection_sql(t, pair)} THEN 'y' ELSE 'z' END"
     if pair.lexicon:
         head = f"WHEN regexp_matches({t}, '^\\p{{L}}') THEN CASE WHEN lower({t}) IN {_in(pair.lexicon)} THEN {first} ELSE {second} END"
     else:

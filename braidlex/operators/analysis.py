@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidlex.functions.lang import FIXED_EXPRESSIONS, SEGMENT, SENTENCE_ENDS, SPACE, LanguagePair, token_tag, token_tag_sql, tokens
+from braidlex.functions.lang import SEGMENT, SENTENCE_ENDS, SPACE, LanguagePair, token_tag, token_tag_sql, tokens
 
 
 def _count(col: Column | str, keep: str) -> Column:
@@ -32,7 +34,7 @@ def analyze(df: DataFrame, pair: LanguagePair, text: str = "text") -> DataFrame:
         "matrix": F.when(F.col("n1") >= F.col("n2"), pair.l1).otherwise(pair.l2),
         "n_switches": F.greatest(F.col("n_segs") - 1, F.lit(0)),
         "n_inter": F.size(F.filter("segs", lambda s: s.endswith("s"))) - F.when(F.element_at(F.col("segs"), F.size("segs")).endswith("s"), 1).otherwise(0),
-        "has_fixed": F.col("low").rlike("|".join(FIXED_EXPRESSIONS)),
+        "has_fixed": F.col("low").rlike("|".join(map(re.escape, pair.expressions))),
     })
     staged = staged.withColumn("n_inter", F.when(F.size("segs") > 0, F.col("n_inter")).otherwise(0))
     every = F.sequence(F.lit(1), F.size("segs") - 1)
@@ -81,7 +83,7 @@ def _motive(i: Column, has_fixed: bool) -> Column:
 
 def analysis_sql(source: str, pair: LanguagePair, name: str = "a") -> str:
     """DuckDB CTEs that end in ``name`` with the columns of ``analyze``."""
-    fixed = " OR ".join(f"contains(lower(text), '{x}')" for x in FIXED_EXPRESSIONS)
+    fixed = " OR ".join("contains(lower(text), '" + x.replace("'", "''") + "')" for x in pair.expressions)
     return rf"""{name}0 AS (SELECT *, regexp_extract_all(coalesce(text, ''), '{pair.token}') AS toks FROM {source}),
 {name}1 AS (SELECT *, coalesce(array_to_string(list_transform(toks, lambda t: {token_tag_sql(pair)}), ''), '') AS tags FROM {name}0),
 {name}2 AS (SELECT *, regexp_extract_all(tags, '{SEGMENT}') AS segs, len(toks)::INT AS n_tokens,

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlex.functions.lang import SPACE
-from braidlex.plans.ranks import in_ranges, place_in_order
+from braidlex.operators import rules
+from braidlex.plans.ranks import in_ranges, place_in_order, with_first
 
 # Garbage patterns, reasoning markers, natural endings, region and register markers.
 GARBAGE = r"<[a-zA-Z/][^>]*>|&[a-z]+;|\\x[0-9a-fA-F]{2}|[\x00-\x08\x0b\x0c\x0e-\x1f]"
@@ -46,45 +47,42 @@ def _weighted(parts: dict[str, float]) -> str:
     return _round2(f"greatest(0.0, least(10.0, {' + '.join(f'{c} * {w}' for c, w in parts.items())}))")
 
 
-#: Steps of expressions; each may use the columns of the ones before.
-STEPS: list[dict[str, str]] = [
-    {
-        "guard": "CASE WHEN n1 = 0 OR n2 = 0 THEN 'one language' WHEN n_content < 5 THEN 'too few tokens' WHEN n_content > 500 THEN 'too many tokens' "
-        "WHEN is_garbage THEN 'garbage' WHEN is_reasoning THEN 'reasoning' ELSE '' END",
-        "l1_quality": "CASE WHEN l1_segs > 0 AND l1_single * 2 > l1_segs THEN 8.0 ELSE 10.0 END",
-        "l2_quality": "CASE WHEN n2 > 0 AND CAST(n_unknown AS DOUBLE) / n2 > 0.7 THEN 7.0 WHEN n2 > 0 AND CAST(n_unknown AS DOUBLE) / n2 > 0.5 THEN 8.5 ELSE 10.0 END",
-        "completeness": "10.0 - CASE WHEN unbalanced THEN 0.5 ELSE 0.0 END - CASE WHEN cut_off THEN 2.0 ELSE 0.0 END",
-        "switch_frequency": "10.0 - CASE WHEN n_content = 0 THEN 0.0 WHEN CAST(n_content AS DOUBLE) / n_segs < 1.5 THEN 4.0 WHEN CAST(n_content AS DOUBLE) / n_segs < 2.5 THEN 2.0 ELSE 0.0 END "
-        "- CASE WHEN n_content = 0 THEN 0.0 WHEN cmi < 0.02 THEN 4.0 WHEN cmi < 0.05 AND n_switches <= 1 THEN 2.0 ELSE 0.0 END",
-        "l2_integrity": "CASE WHEN l2_segs > 2 AND CAST(l2_single AS DOUBLE) / l2_segs > 0.8 THEN 8.0 ELSE 10.0 END",
-        "language_mode": "CASE WHEN n_content > 0 AND CAST(greatest(n1, n2) AS DOUBLE) / n_content < 0.55 THEN 8.5 ELSE 10.0 END",
-        "switch_syntax": "CASE WHEN n_adjacent > 3 THEN 7.0 ELSE 10.0 - 0.5 * n_adjacent END",
-        "attribution": "CASE WHEN n_switches > 0 THEN CAST(n_attributed AS DOUBLE) / n_switches ELSE 0.0 END",
-        "cmi_range": "CASE WHEN cmi_lo IS NULL OR (cmi >= cmi_lo AND cmi <= cmi_hi) THEN 10.0 ELSE "
-        "CASE WHEN (CASE WHEN cmi < cmi_lo THEN cmi_lo - cmi ELSE cmi - cmi_hi END) <= 0.05 THEN 8.0 WHEN (CASE WHEN cmi < cmi_lo THEN cmi_lo - cmi ELSE cmi - cmi_hi END) <= 0.10 THEN 6.0 ELSE 3.0 END END",
-        "switch_type": "greatest(0.0, 10.0 - CASE WHEN n_switches = 0 THEN 0.0 "
-        "WHEN archetype = 'ARC_01' AND CAST(n_intra AS DOUBLE) / n_switches < 0.70 THEN least(5.0, (0.70 - CAST(n_intra AS DOUBLE) / n_switches) * 15) "
-        "WHEN archetype = 'ARC_02' AND CAST(n_inter AS DOUBLE) / n_switches < 0.60 THEN least(5.0, (0.60 - CAST(n_inter AS DOUBLE) / n_switches) * 15) "
-        "WHEN archetype = 'ARC_03' AND CAST(n_intra AS DOUBLE) / n_switches < 0.50 THEN least(5.0, (0.50 - CAST(n_intra AS DOUBLE) / n_switches) * 15) "
-        "WHEN archetype = 'ARC_05' AND cmi > 0.15 THEN 4.0 ELSE 0.0 END)",
-        "l2_span": "greatest(0.0, 10.0 - CASE WHEN l2_segs = 0 THEN 0.0 "
-        "WHEN archetype = 'ARC_01' THEN (CASE WHEN CAST(n2 AS DOUBLE) / l2_segs > 4.5 THEN 6.0 ELSE 0.0 END) + (CASE WHEN l2_longest > 5 THEN 4.0 ELSE 0.0 END) "
-        "WHEN archetype = 'ARC_03' THEN (CASE WHEN CAST(n2 AS DOUBLE) / l2_segs > 7.5 THEN 6.0 ELSE 0.0 END) + (CASE WHEN l2_longest > 5 THEN 4.0 ELSE 0.0 END) "
-        "WHEN archetype = 'ARC_02' AND CAST(n2 AS DOUBLE) / l2_segs < 2.0 THEN 3.0 ELSE 0.0 END)",
-        "domain_words": "CASE WHEN n_domain IS NULL OR n_domain >= 2 THEN 10.0 WHEN n_domain = 1 THEN 7.0 ELSE 4.0 END",
-        "formality_score": "10.0 - CASE WHEN formality = 'formal' THEN least(4.0, (n_informal + n_formal_only) * 1.5) WHEN formality = 'semi_formal' THEN least(3.0, n_informal * 1.0) ELSE 0.0 END",
-        "regional": "CASE WHEN region = '' THEN 10.0 ELSE greatest(0.0, 10.0 - " + " - ".join(f"CASE WHEN region = '{r}' THEN 0.0 ELSE least(3.0, n_{r} * 1.5) END" for r in REGION_MARKERS) + ") END",
-        "sensitivity": "10.0",
-    },
-    {
-        "fluency": f"CASE guard WHEN 'one language' THEN 1.0 WHEN '' THEN {_weighted({'l1_quality': 0.4, 'l2_quality': 0.4, 'completeness': 0.2})} ELSE 0.0 END",
-        "naturalness": _weighted({"switch_frequency": "0.30", "l2_integrity": "0.25", "language_mode": "0.25", "switch_syntax": "0.20"}),
-        "switch_motivation": "CASE WHEN n_switches = 0 THEN 8.0 ELSE " + _round2("least(10.0, CASE WHEN attribution >= 0.60 THEN 9.0 + attribution WHEN attribution >= 0.40 THEN 7.0 + (attribution - 0.40) * 10 "
-        "WHEN attribution >= 0.20 THEN 5.0 + (attribution - 0.20) * 10 ELSE 4.0 + attribution * 5 END)") + " END",
-        "profile_consistency": _weighted({"cmi_range": "0.35", "switch_type": "0.30", "l2_span": "0.20", "domain_words": "0.15"}),
-        "cultural_coherence": _weighted({"formality_score": "0.50", "regional": "0.30", "sensitivity": "0.20"}),
-    },
-]
+def steps_of(given: rules.Rules) -> list[dict[str, str]]:
+    """Steps of expressions; each may use the columns of the ones before."""
+    return [
+        {
+            "guard": "CASE WHEN n1 = 0 OR n2 = 0 THEN 'one language' WHEN n_content < 5 THEN 'too few tokens' WHEN n_content > 500 THEN 'too many tokens' "
+            "WHEN is_garbage THEN 'garbage' WHEN is_reasoning THEN 'reasoning' ELSE '' END",
+            "l1_quality": "CASE WHEN l1_segs > 0 AND l1_single * 2 > l1_segs THEN 8.0 ELSE 10.0 END",
+            "l2_quality": "CASE WHEN n2 > 0 AND CAST(n_unknown AS DOUBLE) / n2 > 0.7 THEN 7.0 WHEN n2 > 0 AND CAST(n_unknown AS DOUBLE) / n2 > 0.5 THEN 8.5 ELSE 10.0 END",
+            "completeness": "10.0 - CASE WHEN unbalanced THEN 0.5 ELSE 0.0 END - CASE WHEN cut_off THEN 2.0 ELSE 0.0 END",
+            "switch_frequency": "10.0 - CASE WHEN n_content = 0 THEN 0.0 WHEN CAST(n_content AS DOUBLE) / n_segs < 1.5 THEN 4.0 WHEN CAST(n_content AS DOUBLE) / n_segs < 2.5 THEN 2.0 ELSE 0.0 END "
+            "- CASE WHEN n_content = 0 THEN 0.0 WHEN cmi < 0.02 THEN 4.0 WHEN cmi < 0.05 AND n_switches <= 1 THEN 2.0 ELSE 0.0 END",
+            "l2_integrity": "CASE WHEN l2_segs > 2 AND CAST(l2_single AS DOUBLE) / l2_segs > 0.8 THEN 8.0 ELSE 10.0 END",
+            "language_mode": "CASE WHEN n_content > 0 AND CAST(greatest(n1, n2) AS DOUBLE) / n_content < 0.55 THEN 8.5 ELSE 10.0 END",
+            "switch_syntax": "CASE WHEN n_adjacent > 3 THEN 7.0 ELSE 10.0 - 0.5 * n_adjacent END",
+            "attribution": "CASE WHEN n_switches > 0 THEN CAST(n_attributed AS DOUBLE) / n_switches ELSE 0.0 END",
+            "cmi_range": "CASE WHEN cmi_lo IS NULL OR (cmi >= cmi_lo AND cmi <= cmi_hi) THEN 10.0 ELSE "
+            "CASE WHEN (CASE WHEN cmi < cmi_lo THEN cmi_lo - cmi ELSE cmi - cmi_hi END) <= 0.05 THEN 8.0 WHEN (CASE WHEN cmi < cmi_lo THEN cmi_lo - cmi ELSE cmi - cmi_hi END) <= 0.10 THEN 6.0 ELSE 3.0 END END",
+            "switch_type": rules.part_score(given, "switch_type"),
+            "l2_span": rules.part_score(given, "l2_span"),
+            "domain_words": "CASE WHEN n_domain IS NULL OR n_domain >= 2 THEN 10.0 WHEN n_domain = 1 THEN 7.0 ELSE 4.0 END",
+            "formality_score": "10.0 - CASE WHEN formality = 'formal' THEN least(4.0, (n_informal + n_formal_only) * 1.5) WHEN formality = 'semi_formal' THEN least(3.0, n_informal * 1.0) ELSE 0.0 END",
+            "regional": "CASE WHEN region = '' THEN 10.0 ELSE greatest(0.0, 10.0 - " + " - ".join(f"CASE WHEN region = '{r}' THEN 0.0 ELSE least(3.0, n_{r} * 1.5) END" for r in REGION_MARKERS) + ") END",
+            "sensitivity": "10.0",
+        },
+        {
+            "fluency": f"CASE guard WHEN 'one language' THEN 1.0 WHEN '' THEN {_weighted({'l1_quality': 0.4, 'l2_quality': 0.4, 'completeness': 0.2})} ELSE 0.0 END",
+            "naturalness": _weighted({"switch_frequency": "0.30", "l2_integrity": "0.25", "language_mode": "0.25", "switch_syntax": "0.20"}),
+            "switch_motivation": "CASE WHEN n_switches = 0 THEN 8.0 ELSE " + _round2("least(10.0, CASE WHEN attribution >= 0.60 THEN 9.0 + attribution WHEN attribution >= 0.40 THEN 7.0 + (attribution - 0.40) * 10 "
+            "WHEN attribution >= 0.20 THEN 5.0 + (attribution - 0.20) * 10 ELSE 4.0 + attribution * 5 END)") + " END",
+            "profile_consistency": _weighted({"cmi_range": "0.35", "switch_type": "0.30", "l2_span": "0.20", "domain_words": "0.15"}),
+            "cultural_coherence": _weighted({"formality_score": "0.50", "regional": "0.30", "sensitivity": "0.20"}),
+        },
+    ]
+
+
+STEPS = steps_of(rules.DEFAULT)
 VERDICT: list[dict[str, str]] = [
     {
         "veto": "CASE WHEN guard NOT IN ('', 'one language') THEN 'fluency: ' || guard WHEN fluency < 2.0 THEN 'fluency' WHEN naturalness < 2.0 THEN 'naturalness' "
@@ -159,6 +157,45 @@ def measured_sql(source: str, name: str = "m") -> str:
   {regions}, CASE WHEN len(wanted) > 0 THEN len(list_filter(wanted, lambda w: contains(lower({text}), lower(w))))::INT END AS n_domain FROM {source})"""
 
 
+def located(scored: DataFrame) -> DataFrame:
+    """The tokens at which rules of ``rules.all_rules`` show first (from 0; null where they do not)."""
+
+    def start_of(k: Column) -> Column:
+        return F.when(k > 0, F.aggregate(F.slice("segs", F.lit(1), (k - 1).cast("int")), F.lit(0), lambda n, s: n + F.length(s)))
+
+    def first_segment(found) -> Column:
+        return start_of(F.array_position(F.transform("segs", found), True))
+
+    def first_token(words: tuple[str, ...]) -> Column:
+        at = F.array_position(F.transform("toks", lambda t: F.lower(t).isin(*words)), True)
+        return F.when(at > 0, (at - 1).cast("int"))
+
+    run = lambda s: F.length(F.regexp_replace(s, "[^a-h]", ""))
+    return scored.withColumns({
+        "at_l1_single": first_segment(lambda s: s.rlike("^[nsp]*[yz][nsp]*$")), "at_l2_single": first_segment(lambda s: s.rlike("^[nsp]*[a-h][nsp]*$")),
+        "at_longest": F.when(F.col("l2_longest") > 0, first_segment(lambda s: run(s) == F.col("l2_longest"))),
+        "at_unknown": F.when(F.col("n_unknown") > 0, F.length(F.regexp_extract("tags", "^[^bdfh]*", 0))),
+        "at_switch": F.when(F.col("n_switches") > 0, F.length(F.get("segs", F.lit(0)))),
+        "at_unmotivated": F.when(F.array_position("motives", "") > 0, start_of(F.array_position("motives", "") + 1)),
+        **{f"at_{r}": first_token(words) for r, words in REGION_MARKERS.items()},
+    })
+
+
+def located_sql(source: str, name: str = "lo") -> str:
+    start = lambda k: f"CASE WHEN coalesce({k}, 0) > 0 THEN coalesce(list_sum(list_transform(segs[1:{k} - 1], lambda s: length(s))), 0)::INT END"
+    where = lambda p: f"list_position(list_transform(segs, lambda s: {p}), true)"
+    regions = ", ".join(
+        f"CASE WHEN coalesce(list_position(list_transform(toks, lambda t: lower(t) IN ({', '.join(f"'{w}'" for w in words)})), true), 0) > 0 "
+        f"THEN (list_position(list_transform(toks, lambda t: lower(t) IN ({', '.join(f"'{w}'" for w in words)})), true) - 1)::INT END AS at_{r}"
+        for r, words in REGION_MARKERS.items()
+    )
+    longest = where("length(regexp_replace(s, '[^a-h]', '', 'g')) = l2_longest")
+    motive = "(list_position(motives, '') + 1)"
+    return f"""{name} AS (SELECT *, {start(where("regexp_matches(s, '^[nsp]*[yz][nsp]*$')"))} AS at_l1_single, {start(where("regexp_matches(s, '^[nsp]*[a-h][nsp]*$')"))} AS at_l2_single,
+  CASE WHEN l2_longest > 0 THEN {start(longest)} END AS at_longest, CASE WHEN n_unknown > 0 THEN length(regexp_extract(tags, '^[^bdfh]*'))::INT END AS at_unknown,
+  CASE WHEN n_switches > 0 THEN length(segs[1])::INT END AS at_switch, CASE WHEN coalesce(list_position(motives, ''), 0) > 0 THEN {start(motive)} END AS at_unmotivated, {regions} FROM {source})"""
+
+
 def novelty_inputs(analyzed: DataFrame, n: int = 4) -> DataFrame:
     """``analyzed`` plus text_hash, pattern and grams (hashes of the distinct shingles of n content tokens).
 
@@ -175,25 +212,30 @@ def novelty_inputs(analyzed: DataFrame, n: int = 4) -> DataFrame:
     return staged.withColumn("grams", F.when(F.size("content") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("content") - n + 1), gram)))).drop("content")
 
 
-def diversity(inputs: DataFrame, key: str, accepted: str | None = None) -> DataFrame:
-    """key, is_copy, overlap, pattern, pattern_share, diversity: novelty against all earlier texts (order by ``key``).
+def diversity(inputs: DataFrame, key: str, accepted: str | None = None, row: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each of ``inputs``: key, is_copy, overlap, pattern, pattern_share, diversity: novelty against all earlier texts (order by ``key``).
 
     With ``accepted``, a boolean column, it is novelty against those earlier texts where it holds.
 
     ``inputs`` is a written table with key, text_hash, pattern and grams.
-    Shingles are compared by the earliest key that has them (an aggregate with
-    partial sums, joined back; Spark splits a skewed side), ranks come from
-    counts of key ranges that grow in number with the rows, so no hot shingle, copy or pattern meets one task.
+    ``row`` tells rows apart where keys may repeat; rows of one key are not
+    earlier than each other. Keys are not null. Shingles and hashes are
+    compared by the earliest key that has them (``ranks.with_first``), places
+    come from counts of key ranges that grow in number with the rows, so no
+    hot shingle, copy or pattern meets one task.
     """
+    one = row or key
     known = F.when(F.col(accepted), F.col(key)) if accepted else F.col(key)
-    shingles = inputs.select(key, known.alias("known"), F.explode("grams").alias("gram"))
-    earliest = shingles.groupBy("gram").agg(F.min("known").alias("first"))
-    overlap = shingles.join(earliest, "gram").groupBy(key).agg((F.sum(F.coalesce(F.col("first") < F.col(key), F.lit(False)).cast("int")) / F.count(F.lit(1))).alias("overlap"))
-    hashes = inputs.groupBy("text_hash").agg(F.min(known).alias("first_copy"))
-    light = in_ranges(inputs.select(key, "text_hash", "pattern", *([accepted] if accepted else [])), key)
+    ids = list(dict.fromkeys([one, key]))
+    shingles = inputs.select(*ids, known.alias("known"), F.explode("grams").alias("gram"))
+    seen = F.coalesce(F.col("first") < F.col(key), F.lit(False)).cast("int")
+    overlap = with_first(shingles, "gram", "known", "first").groupBy(one).agg((F.sum(seen) / F.count(F.lit(1))).alias("overlap"))
+    hashed = inputs.select(*ids, "text_hash", known.alias("known"))
+    copies = with_first(hashed, "text_hash", "known", "first_copy").select(one, F.coalesce(F.col("first_copy") < F.col(key), F.lit(False)).alias("is_copy"))
+    light = in_ranges(inputs.select(*ids, *carried, "text_hash", "pattern", *([accepted] if accepted else [])), key)
     ranks = place_in_order(place_in_order(light, [], key, "before_all", accepted), ["pattern"], key, "before_same", accepted).drop("__range")
-    out = ranks.join(hashes, "text_hash").join(overlap, key, "left").withColumns({"is_copy": F.coalesce(F.col("first_copy") < F.col(key), F.lit(False)), "overlap": F.coalesce("overlap", F.lit(0.0))})
-    return apply_steps(out, DIVERSITY).drop("first_copy")
+    out = ranks.join(copies, one).join(overlap, one, "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
+    return apply_steps(out, DIVERSITY)
 
 
 DIVERSITY: list[dict[str, str]] = [

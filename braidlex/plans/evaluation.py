@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from braidlex.functions.lang import PAIRS
 from braidlex.operators import analysis as A
+from braidlex.operators import rules as R
 from braidlex.operators import scoring as S
 from braidlex.plans.tables import cut, spread
 
@@ -48,31 +49,47 @@ def profiled_sql(source: str, name: str = "p") -> str:
   (['casual', 'semi_formal', 'formal'])[doc_id % 3 + 1] AS formality, (['singapore', 'malaysia', 'hongkong', ''])[doc_id % 4 + 1] AS region, {list(TOPIC_WORDS)} AS wanted FROM {source})"""
 
 
-def scored(df: DataFrame, pair) -> DataFrame:
+def scored(df: DataFrame, pair, given: R.Rules = R.DEFAULT) -> DataFrame:
     """All scores but diversity, which looks at other texts."""
-    return S.apply_steps(S.measured(profiled(A.analyze(df, pair))), S.STEPS)
+    return S.apply_steps(S.measured(profiled(A.analyze(df, pair))), S.steps_of(given))
 
 
 _NOVELTY = ["text_hash", "pattern", "grams"]
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """Rows get a number, as ids may be missing or repeated, and ``seq``, the order of the texts: the id, rows without one last."""
+    return df.withColumns({"row": F.monotonically_increasing_id(), "seq": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))})
+
+
 def novelty(df: DataFrame, pair) -> DataFrame:
-    return S.diversity(cut(S.novelty_inputs(A.analyze(df, pair)).select("doc_id", *_NOVELTY), "novelty"), "doc_id")
+    inputs = cut(_numbered(S.novelty_inputs(A.analyze(df, pair)).select("doc_id", *_NOVELTY)), "novelty")
+    return S.diversity(inputs, "seq", row="row", carried=("doc_id",))
 
 
 _OTHER = ["doc_id", "guard", "cmi", "n_switches", "matrix", "archetype", "fluency", "naturalness", "switch_motivation", "profile_consistency", "cultural_coherence"]
+_SEEN = ["is_copy", "diversity", "before_all", "overlap", "pattern_share"]
 
 
-def _scores(df: DataFrame, pair) -> DataFrame:
-    """The scores but diversity, and its inputs, as a written table; no text is shuffled."""
-    return cut(S.novelty_inputs(scored(df, pair)).select(*_OTHER, *_NOVELTY), "scores")
+def _scores(df: DataFrame, pair, given: R.Rules = R.DEFAULT, more: dict[str, str] | None = None) -> DataFrame:
+    """The scores but diversity, its inputs, and ``more`` (SQL by name), as a written table; no text is shuffled."""
+    rows = S.novelty_inputs(scored(df, pair, given))
+    if more:
+        rows = S.located(rows).withColumns({name: F.expr(S.doubles(sql)) for name, sql in more.items()})
+    return cut(_numbered(rows.select(*_OTHER, *_NOVELTY, *(more or {}))), "scores")
 
 
-def verdicts(df: DataFrame, pair) -> DataFrame:
-    """The whole evaluator: six scores, veto, final score, decision; diversity as if every text were accepted."""
-    scores = _scores(df, pair)
-    seen = S.diversity(scores.select("doc_id", *_NOVELTY), "doc_id").select("doc_id", "is_copy", "diversity")
-    return S.apply_steps(scores.select(*_OTHER).join(seen, "doc_id"), S.VERDICT)
+def _judged(scores: DataFrame, seen: DataFrame, more: list[str]) -> DataFrame:
+    return S.apply_steps(scores.select("row", *_OTHER, *more).join(seen.select("row", *_SEEN), "row"), S.VERDICT)
+
+
+def verdicts(df: DataFrame, pair, given: R.Rules = R.DEFAULT, more: dict[str, str] | None = None) -> DataFrame:
+    """The whole evaluator: six scores, veto, final score, decision; diversity as if every text were accepted.
+
+    One row for each row of ``df``, also where ids are missing or repeated.
+    """
+    scores = _scores(df, pair, given, more)
+    return _judged(scores, S.diversity(scores.select("row", "seq", *_NOVELTY), "seq", row="row"), list(more or {}))
 
 
 def accepted_verdicts(df: DataFrame, pair, passes: str = "decision = 'pass'") -> DataFrame:
@@ -82,30 +99,109 @@ def accepted_verdicts(df: DataFrame, pair, passes: str = "decision = 'pass'") ->
     one solution. It is found by rounds over all rows: each judges by what the
     round before accepted, settles at least the first text that was still open,
     and the rounds end where no decision changes any more (in practice after
-    a few). Ids are unique and not null.
+    a few).
     """
     scores = _scores(df, pair)
-    state = cut(scores.select("doc_id", F.lit(True).alias("accepted")), "accepted")
+    state = cut(scores.select("row", F.lit(True).alias("accepted")), "accepted")
     while True:
-        inputs = cut(scores.select("doc_id", *_NOVELTY).join(state, "doc_id"), "novelty")
-        seen = S.diversity(inputs, "doc_id", "accepted").select("doc_id", "is_copy", "diversity")
-        judged = cut(S.apply_steps(scores.select(*_OTHER).join(seen, "doc_id"), S.VERDICT).withColumn("accepted", F.expr(passes)), "judged")
-        if judged.join(state.withColumnRenamed("accepted", "before"), "doc_id").filter("accepted <> before").isEmpty():
+        inputs = cut(scores.select("row", "seq", *_NOVELTY).join(state, "row"), "novelty")
+        judged = cut(_judged(scores, S.diversity(inputs, "seq", "accepted", "row"), []).withColumn("accepted", F.expr(passes)), "judged")
+        if judged.join(state.withColumnRenamed("accepted", "before"), "row").filter("accepted <> before").isEmpty():
             return judged
-        state = judged.select("doc_id", "accepted")
+        state = judged.select("row", "accepted")
+
+
+#: The rules of every checker; those of diversity come after the comparison with other texts.
+RULES = R.all_rules(R.DEFAULT, tuple(S.REGION_MARKERS))
+_OWN_RULES, _SEEN_RULES = [r for r in RULES if r.checker != "diversity"], [r for r in RULES if r.checker == "diversity"]
+_REPORTS = {f"report_{c}": R.report(_OWN_RULES, c) for c in list(S.WEIGHTS)[:-1]}
+
+
+def violations(df: DataFrame, pair) -> DataFrame:
+    """One row per text and broken rule: doc_id, checker, rule, up to three numbers, and the first token."""
+    found = verdicts(df, pair, more={"broken": R.violations(_OWN_RULES)}).withColumn("seen_broken", F.expr(S.doubles(R.violations(_SEEN_RULES))))
+    rows = found.select("doc_id", F.explode_outer(F.concat("broken", "seen_broken")).alias("v")).filter("v is not null")
+    return rows.select("doc_id", "v.checker", "v.rule", *[F.get("v.numbers", F.lit(i)).alias(f"number_{i + 1}") for i in range(3)], "v.token")
+
+
+def violations_sql(source: str, pair) -> str:
+    own, seen = (S.doubles(R.violations(rules, "duckdb")) for rules in (_OWN_RULES, _SEEN_RULES))
+    return (
+        f"WITH {scored_sql(source, pair)},\n{S.located_sql('s')},\n{S.diversity_sql('a', 'doc_id')},\n"
+        f"x AS (SELECT lo.doc_id, unnest(list_concat({own}, {seen})) AS v FROM lo JOIN dv USING (doc_id))\n"
+        "SELECT doc_id, v.checker AS checker, v.rule AS rule, v.numbers[1] AS number_1, v.numbers[2] AS number_2, v.numbers[3] AS number_3, v.token AS token FROM x"
+    )
+
+
+def summaries(df: DataFrame, pair) -> DataFrame:
+    head = {"head_text": HEAD_TEXT, **_REPORTS}
+    return verdicts(df, pair, more=head).withColumn("report_diversity", F.expr(S.doubles(R.report(_SEEN_RULES, "diversity")))).select("doc_id", F.expr(S.doubles(SUMMARY)).alias("summary"))
+
 
+def summaries_sql(source: str, pair) -> str:
+    reports = ", ".join(f"{S.doubles(sql)} AS {name}" for name, sql in {"head_text": HEAD_TEXT, **_REPORTS, "report_diversity": R.report(_SEEN_RULES, "diversity")}.items())
+    shown = "j AS (SELECT s.*, dv.* EXCLUDE (doc_id, text_hash, pattern) FROM s JOIN dv USING (doc_id))"
+    ctes = ",\n".join([scored_sql(source, pair), S.diversity_sql("a", "doc_id"), shown, S.steps_sql("j", S.VERDICT, "v"), f"w AS (SELECT *, {reports} FROM v)"])
+    return f"WITH {ctes}\nSELECT doc_id, {S.doubles(SUMMARY)} AS summary FROM w"
 
-def scored_sql(source: str, pair) -> str:
-    return ",\n".join([A.analysis_sql(source, pair), profiled_sql("a"), S.measured_sql("p"), S.steps_sql("m", S.STEPS, "s")])
+
+#: Our own evaluation tables of two configurations, as a pair's folder would hold them.
+CONFIGURATIONS = {
+    "strict": """
+switch_type_expectations: {ARC_01: {intra_min: 0.9}, ARC_02: {inter_min: 0.8}, ARC_03: {intra_min: 0.7}, ARC_04: {intra_min: 0.2, inter_min: 0.2}, ARC_05: {max_cmi: 0.05}, ARC_06: {max_cmi: 0.3}}
+l2_span_expectations: {ARC_01: {typical_max: 2}, ARC_02: {typical_min: 6}, ARC_03: {typical_max: 3}, ARC_06: {typical_min: 2, typical_max: 4}}
+filler_words: []
+""",
+    "lenient": """
+switch_type_expectations: {ARC_01: {intra_min: 0.3, desc: mostly inside sentences}, ARC_02: {inter_min: 0.2}, ARC_05: {max_cmi: 0.5}}
+l2_span_expectations: {ARC_01: {typical_max: 12}}
+filler_words: [the, data, report, "of the"]
+interjections: [a, an, et]
+""",
+}
+_BY_RULES = ["switch_type", "l2_span", "n_attributed", "switch_motivation", "profile_consistency"]
+
+
+def configured() -> dict[str, R.Rules]:
+    import yaml
+
+    return {name: R.read_rules(yaml.safe_load(text)) for name, text in CONFIGURATIONS.items()}
+
+
+def by_rules(df: DataFrame, pair) -> DataFrame:
+    """The scores that a pair's tables decide, under each of the configurations."""
+    parts = [_digest(scored(df, given.words(pair), given), _BY_RULES).withColumn("rules", F.lit(name)) for name, given in configured().items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def by_rules_sql(source: str, pair) -> str:
+    return "\nUNION ALL\n".join(f"SELECT *, '{name}' AS rules FROM ({_sql(scored_sql(source, given.words(pair), given), _BY_RULES, 's')})" for name, given in configured().items())
+
+
+def scored_sql(source: str, pair, given: R.Rules = R.DEFAULT) -> str:
+    return ",\n".join([A.analysis_sql(source, pair), profiled_sql("a"), S.measured_sql("p"), S.steps_sql("m", S.steps_of(given), "s")])
 
 
 def verdicts_sql(source: str, pair) -> str:
     return ",\n".join([scored_sql(source, pair), S.diversity_sql("a", "doc_id"), "j AS (SELECT s.*, dv.is_copy, dv.diversity FROM s JOIN dv USING (doc_id))", S.steps_sql("j", S.VERDICT, "v")])
 
 
+#: The beginning of the text in the report, whose lines are about the whole of it.
+HEAD_TEXT = "substr(coalesce(text, ''), 1, 80) || CASE WHEN length(coalesce(text, '')) > 80 THEN '...' ELSE '' END"
+
+
+def _checker_line(checker: str) -> str:
+    weight = R.number(S.WEIGHTS[checker])
+    shown = f"CAST(CAST({checker} AS DECIMAL(6,2)) AS STRING) || '/10 x ' || '{S.WEIGHTS[checker]:.2f}' || ' = ' || CAST(CAST({checker} * {weight} AS DECIMAL(8,4)) AS STRING)"
+    return f"chr(10) || '  [{checker}] ' || {shown} || report_{checker}"
+
+
 SUMMARY = (
-    "'=== ' || upper(decision) || ' (' || CAST(CAST(final_score AS DECIMAL(6,2)) AS STRING) || '/10) === CMI ' || CAST(CAST(cmi AS DECIMAL(6,3)) AS STRING) || ', matrix ' || matrix || ', switches ' || "
-    "CAST(n_switches AS STRING) || CASE WHEN veto <> '' THEN ' [veto: ' || veto || ']' ELSE '' END"
+    "'=== ' || upper(decision) || ' (' || CAST(CAST(final_score AS DECIMAL(6,2)) AS STRING) || '/10) ===' || chr(10) || 'text: ' || head_text || chr(10) || 'CMI ' || CAST(CAST(cmi AS DECIMAL(6,3)) AS STRING) || "
+    "', matrix ' || matrix || ', switches ' || CAST(n_switches AS STRING) || CASE WHEN veto <> '' THEN chr(10) || '[veto: ' || veto || ']' ELSE '' END || " + " || ".join(map(_checker_line, S.WEIGHTS))
 )
 
 _ANALYSIS = ["n_tokens", "n1", "n2", "n_content", "n_segs", "n_switches", "n_intra", "n_inter", "cmi", "matrix", "tags"]
@@ -154,7 +250,9 @@ def queries() -> dict:
         "q_verdict_fixture": lambda s, d: _digest(verdicts(fixture(s), ZH), _VERDICT),
         "q_accept": lambda s, d: _digest(accepted_verdicts(documents(s, d), FR), [*_VERDICT, "accepted"]),
         "q_decide": lambda s, d: verdicts(documents(s, d), FR).groupBy("archetype", "decision").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("final_score"), 6).alias("avg_score")),
-        "q_summary": lambda s, d: verdicts(documents(s, d), FR).select("doc_id", F.expr(SUMMARY).alias("summary")),
+        "q_summary": lambda s, d: summaries(documents(s, d), FR).select("doc_id", F.md5("summary").alias("summary_md5"), F.length("summary").alias("n_chars")),
+        "q_violations": lambda s, d: violations(documents(s, d), FR),
+        "q_by_rules": lambda s, d: by_rules(documents(s, d), FR),
     }
     for name, columns in _SCORES.items():
         out[name] = lambda s, d, c=columns: _digest(scored(documents(s, d), FR), c)
@@ -163,7 +261,7 @@ def queries() -> dict:
 
 
 def _conversation(spark: SparkSession, sf_dir: str, what) -> DataFrame:
-    return what(A.analyze(spark.read.parquet(f"{sf_dir}/conversations.parquet"), FR), ["conv_id", "turn"], FR)
+    return what(A.analyze(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")), FR), ["conv_id", "turn"], FR)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -195,7 +293,9 @@ def oracle_sql() -> dict[str, str]:
         "q_verdict": _sql(verdicts_sql("documents", FR), _VERDICT, "v"),
         "q_verdict_fixture": _sql(verdicts_sql(FIXTURE_SQL, ZH), _VERDICT, "v"),
         "q_decide": f"WITH {verdicts_sql('documents', FR)} SELECT archetype, decision, count(*) AS n, round(avg(final_score), 6) AS avg_score FROM v GROUP BY ALL",
-        "q_summary": f"WITH {verdicts_sql('documents', FR)} SELECT doc_id, {SUMMARY} AS summary FROM v",
+        "q_summary": f"SELECT doc_id, md5(summary) AS summary_md5, length(summary)::INT AS n_chars FROM ({summaries_sql('documents', FR)})",
+        "q_violations": violations_sql("documents", FR),
+        "q_by_rules": by_rules_sql("documents", FR),
     }
     for name, columns in _SCORES.items():
         out[name] = _sql(scored_sql("documents", FR), columns, "s")

@@ -23,7 +23,7 @@ def in_ranges(df: DataFrame, key: str) -> DataFrame:
 
 
 def place_in_order(ranged: DataFrame, by: list[str], key: str, name: str, counted: str | None = None) -> DataFrame:
-    """``ranged`` (of ``in_ranges``) plus the number of rows of its group with a smaller key (ties in any order).
+    """``ranged`` (of ``in_ranges``) plus the number of rows of its group with a smaller key (rows of one key are not before each other).
 
     With ``counted``, a boolean column, only rows where it holds are counted.
 
@@ -34,5 +34,30 @@ def place_in_order(ranged: DataFrame, by: list[str], key: str, name: str, counte
     counts = ranged.groupBy(*by, "__range").agg(F.sum(one).alias("__n"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
-    earlier = Window.partitionBy(*by, "__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(ahead, [*by, "__range"]).withColumn(name, F.col("__ahead") + F.coalesce(F.sum(one).over(earlier), F.lit(0))).drop("__ahead")
+    up_to = F.sum(one).over(Window.partitionBy(*by, "__range").orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    alike = F.sum(one).over(Window.partitionBy(*by, "__range", key))
+    return ranged.join(ahead, [*by, "__range"]).withColumn(name, F.col("__ahead") + F.coalesce(up_to - alike, F.lit(0))).drop("__ahead")
+
+
+#: Rows of one key that a join takes to one task, and keys that are broadcast at most.
+HOT_ROWS, HOT_KEYS = 1_000_000, 50_000
+
+
+def with_first(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``rows`` plus the smallest ``value`` of their key; no key meets one task with more than its bound of rows.
+
+    First occurrences come from an aggregate with partial minima and are
+    written with their counts. Keys with more rows than the bound get theirs
+    where their rows are, from a broadcast; all others by a shuffle. The bound
+    grows with the table so that at most ``HOT_KEYS`` keys can be above it:
+    keys times bound cannot exceed the rows.
+    """
+    first = cut(rows.groupBy(key).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("__n")), "first")
+    total = first.agg(F.sum("__n").alias("n")).first().n or 0  # one number
+    bound = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = first.filter(F.col("__n") > bound).drop("__n")
+    if hot.isEmpty():
+        return rows.join(first.drop("__n"), key)
+    few = F.broadcast(hot)
+    cold = rows.join(few.select(key), key, "left_anti").join(first.filter(F.col("__n") <= bound).drop("__n"), key)
+    return cold.unionByName(rows.join(few, key).select(*cold.columns))

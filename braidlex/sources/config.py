@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlex.functions.lang import PAIRS, SENTENCE_ENDS, LanguagePair
+from braidlex.operators.rules import Rules, read_rules
 
 #: Words a lexicon may have to be matched by a list in the plan.
 MAX_LEXICON = 100_000
@@ -60,7 +61,7 @@ def list_pairs() -> list[str]:
 
 @dataclass(frozen=True)
 class PairConfig:
-    """All that a pair's folder holds."""
+    """All that a pair's folder holds; ``rules`` and the words of ``language`` come from its tables."""
 
     language: LanguagePair
     settings: dict
@@ -68,6 +69,7 @@ class PairConfig:
     evaluation: dict
     prompts: dict
     personas: list[dict]
+    rules: Rules
 
 
 def pair_folders(spark: SparkSession, root: str) -> DataFrame:
@@ -94,7 +96,10 @@ def read_pair(spark: SparkSession, root: str, pair_id: str) -> PairConfig:
     if settings.get("detection_mode") == "lexicon":
         pair = with_lexicon(pair, read_lexicon(spark, f"{at}/l1_lexicon.txt"))
     listed = personas.get("persona_templates") or personas.get("personas") or [] if isinstance(personas, dict) else personas
-    return PairConfig(pair, settings, read_json(spark, f"{at}/calibration.json"), read_yaml(spark, f"{at}/evaluation.yaml"), read_yaml(spark, f"{at}/prompts.yaml"), listed)
+    calibration, evaluation, prompts = read_json(spark, f"{at}/calibration.json"), read_yaml(spark, f"{at}/evaluation.yaml"), read_yaml(spark, f"{at}/prompts.yaml")
+    rules = read_rules(evaluation, calibration, prompts)
+    own = Rules(fillers=tuple(w for k in ("filler_words_l1", "filler_words_l2") for w in settings.get(k) or ()), interjections=tuple(settings.get("interjections_l1") or ()))
+    return PairConfig(rules.words(own.words(pair)), settings, calibration, evaluation, prompts, listed, rules)
 
 
 def _code(value: int | str) -> int:
