@@ -13,6 +13,7 @@ from braidlex.operators import analysis as A
 from braidlex.operators import dialogue as D
 from braidlex.operators import sampling as S
 from braidlex.operators import voice as V
+from braidlex.plans.ranks import in_ranges, place_in_order
 from braidlex.plans.tables import cut, spread
 from braidlex.sources import config, providers
 
@@ -42,9 +43,23 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet")
 
 
+#: What models put around their words; a turn gets one of them by its number.
+WRAPPINGS = (("<reply>", "</reply>"), ("<think>plan\nmore</think>\n<reply> ", " </reply> tail"), ("A: **", "**"), ("Sure, \"", "\""), ("Let me think. ", ""), ("说话人A：", ""), ("", ""), ("<reply>", ""))
+
+
+def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as a model might have sent them."""
+    k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(WRAPPINGS))).cast("int")
+    before, after = (F.get(F.array(*[F.lit(w[i]) for w in WRAPPINGS]), k) for i in (0, 1))
+    return conversations(spark, sf_dir).select("conv_id", "turn", F.concat(before, F.coalesce("text", F.lit("")), after).alias("raw"))
+
+
+RAW_SQL = "(SELECT conv_id, turn, ([{0}])[(conv_id + turn) % {2} + 1] || coalesce(text, '') || ([{1}])[(conv_id + turn) % {2} + 1] AS raw FROM conversations)".format(*(", ".join(_q(w[i]) for w in WRAPPINGS) for i in (0, 1)), len(WRAPPINGS))
+
+
 def scored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with the mixing index and a score from it; written once, as several windows read them."""
-    an = A.analyze(conversations(spark, sf_dir), FR)
+    an = A.analyze(spread(conversations(spark, sf_dir)), FR)
     score = F.round(F.lit(10.0) - F.abs(F.col("cmi") - 0.2) * 8, 6)
     return cut(an.select("conv_id", "turn", F.col("role").alias("speaker"), "text", "cmi", "n_switches", score.alias("score"), F.lit(0.15).alias("base")), "turns")
 
@@ -188,11 +203,13 @@ def queries() -> dict:
         "dg14_turn_instruction_zh": lambda s, d: _instructions(s, d, "zh"),
         "dg16_system_prompt": lambda s, d: S.sample(rows(s, d), dims(s)).select("row", _system("en").alias("prompt")),
         "dg17_clean_reply": lambda s, d: D.clean_reply(replies(s), "raw", "reply").select("id", "reply"),
+        "dg17_clean_turns": lambda s, d: D.clean_reply(raw_replies(s, d), "raw", "reply").select("conv_id", "turn", "reply"),
         "dg18_clean_reply_old": lambda s, d: D.clean_reply_old(replies(s), "raw", "reply").select("id", "reply"),
+        "dg18_clean_turns_old": lambda s, d: D.clean_reply_old(raw_replies(s, d), "raw", "reply").select("conv_id", "turn", "reply"),
         "dg19_speaker_record": lambda s, d: S.sample(rows(s, d).withColumn("draw", F.concat_ws(":", "row", F.lit("b"))), dims(s), row="draw").select("row", _speaker(S.draw("tendency", 42, F.col("draw"))).alias("speaker")),
         "dg20_dialogue_json": lambda s, d: _dialogue_records(s, d),
         "dg21_chat": lambda s, d: providers.chat(conversations(s, d).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("prompt")), lambda prompt: f"<reply>{prompt}</reply>", keys=("conv_id", "turn")),
-        "dg22_endpoint": lambda s, d: conversations(s, d).select("conv_id", "turn", D.endpoint(F.col("turn"), 3).alias("endpoint")),
+        "dg22_endpoint": lambda s, d: _endpoints(s, d, 3),
         "dg24_situation": lambda s, d: S.sample(rows(s, d), dims(s)).select("row", D.situation(F.col("dialogue_type"), F.col("relationship"), F.col("topic"), PERSONS).alias("situation")),
         "dg23_prompt_forms": lambda s, d: S.sample(rows(s, d), dims(s)).select("row", D.user_prompt(F.col("dialogue_type"), F.col("level"), S.draw("task", 42, F.col("row"))).alias("prompt")),
         "eb1_admit": lambda s, d: D.admit_examples(scored_turns(s, d), 9.0).select("conv_id", "turn", "score", "cmi", F.md5("context").alias("context_md5")),
@@ -216,6 +233,12 @@ def queries() -> dict:
     }
 
 
+def _endpoints(spark: SparkSession, sf_dir: str, endpoints: int) -> DataFrame:
+    """The endpoint of each turn's call: calls are counted over all dialogues in order, so the loads differ by one at most."""
+    calls = in_ranges(conversations(spark, sf_dir).select("conv_id", "turn", F.struct("conv_id", "turn").alias("call")), "call")
+    return place_in_order(calls, [], "call", "made").select("conv_id", "turn", D.endpoint(F.col("made"), endpoints).cast("int").alias("endpoint"))
+
+
 def _instructions(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     said = D.turn_instruction(F.col("turn"), F.lit(6), S.draw("close", 42, F.col("conv_id")), F.col("role"), D.FRAMES[language])
     return conversations(spark, sf_dir).select("conv_id", "turn", said.alias("instruction"))
@@ -246,29 +269,8 @@ def oracle_sql() -> dict[str, str]:
         for tier, keys, least, order in ((1, "archetype, topic", 3, "score DESC, seq"), (2, "archetype", 3, "score DESC, seq"), (3, "topic", 1, "score DESC, seq"), (4, "archetype, topic", 1, "seq"))
     )
     replies = _values(tuple(enumerate(REPLIES)), "id, raw")
-    ws = r"[\x09-\x0D\x20]"
-    trim = lambda x: f"regexp_replace({x}, '^{ws}+|{ws}+$', '', 'g')"
-
-    def prefixed(source: str, prefixes: tuple[str, ...], rest: int, name: str) -> str:
-        steps = []
-        for i, p in enumerate(x.format(name="A") for x in prefixes):
-            steps.append(f"{name}{i} AS (SELECT id, CASE WHEN starts_with(t, {_q(p)}) AND length(t) > {len(p) + rest} THEN {trim(f't[{len(p) + 1}:]')} ELSE t END AS t FROM {source})")
-            source = f"{name}{i}"
-        return ",\n".join(steps)
-
-    signals = " OR ".join(f"contains(t, {_q(x)})" for x in D.COT_SIGNALS)
-    clean = f"""WITH r0 AS (SELECT id, {trim(f"regexp_replace({trim('raw')}, '(?s)<think>.*?</think>', '', 'g')")} AS t FROM {replies}),
-r1 AS (SELECT id, CASE WHEN regexp_matches(t, '(?s)<reply>.*?</reply>') THEN {trim("regexp_extract(t, '(?s)<reply>(.*?)</reply>', 1)")} WHEN contains(t, '<reply>') THEN {trim("regexp_extract(t, '(?s)<reply>(.*)$', 1)")}
-  WHEN {signals} OR regexp_matches(t, '^\\d+\\.{ws}+') OR length(t) > 200 THEN '' ELSE t END AS t FROM r0),
-r2 AS (SELECT id, regexp_replace(regexp_replace(t, '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '\\*([^*]+)\\*', '\\1', 'g') AS t FROM r1),
-{prefixed('r2', D.PREFIXES, -1, 'p')},
-q AS (SELECT id, CASE WHEN length(t) > 2 AND ((t LIKE '"%' AND t LIKE '%"') OR (t LIKE '“%' AND t LIKE '%”')) THEN {trim("t[2:length(t)-1]")} ELSE t END AS t FROM p{len(D.PREFIXES) - 1}),
-w AS (SELECT id, regexp_replace({trim("regexp_replace(t, chr(10) || '+', ' ', 'g')")}, '{ws}{{2,}}', ' ', 'g') AS t FROM q)
-SELECT id, CASE WHEN length(t) > 200 THEN '' ELSE t END AS reply FROM w"""
-    old = f"""WITH r0 AS (SELECT id, {trim('raw')} AS t FROM {replies}),
-{prefixed('r0', D.OLD_ROLE_PREFIXES, -1, 'p')},
-{prefixed(f'p{len(D.OLD_ROLE_PREFIXES) - 1}', D.OLD_META_PREFIXES, 10, 'm')}
-SELECT id, CASE WHEN t LIKE '"%' AND t LIKE '%"' THEN {trim("t[2:greatest(length(t)-1, 1)]")} ELSE t END AS reply FROM m{len(D.OLD_META_PREFIXES) - 1}"""
+    clean = f"WITH {D.clean_reply_sql(replies, 'raw')} SELECT id, t AS reply FROM cl"
+    old = f"WITH {D.clean_reply_old_sql(replies, 'raw')} SELECT id, t AS reply FROM co"
     voices = f"WITH {_VOICE_SQL},\n{_SPEAKERS_SQL},\n{_voice_sql('sp', 'a', 42, 'true', 'va')}"
     people = _values(tuple((i, *r) for i, r in enumerate(PERSONA_TEXTS)), "id, text, job")
     fem, mal = _contains_sum("lower(text)", V.FEMALE), _contains_sum("lower(text)", V.MALE)
@@ -364,8 +366,10 @@ SELECT conv_id, md5(CAST(to_json(struct_pack(dialogue_id := 'DLG_' || substr(md5
         "dg12_counters": f"WITH {ATTEMPTS_SQL},\n{_BEST} SELECT count(DISTINCT user_id) AS dialogues, count(*) AS turns, sum(attempt - 1)::BIGINT AS retries FROM b",
         "dg13_history": "SELECT conv_id, turn, md5(coalesce(string_agg(role || '：' || coalesce(text, ''), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS history_md5 FROM conversations",
         "dg17_clean_reply": clean,
+        "dg17_clean_turns": f"WITH {D.clean_reply_sql(RAW_SQL, 'raw')} SELECT conv_id, turn, t AS reply FROM cl",
+        "dg18_clean_turns_old": f"WITH {D.clean_reply_old_sql(RAW_SQL, 'raw')} SELECT conv_id, turn, t AS reply FROM co",
         "dg18_clean_reply_old": old,
-        "dg22_endpoint": "SELECT conv_id, turn, turn % 3 AS endpoint FROM conversations",
+        "dg22_endpoint": "SELECT conv_id, turn, ((rank() OVER (ORDER BY conv_id, turn) - 1) % 3)::INT AS endpoint FROM conversations",
         "dg24_situation": f"WITH {sa} SELECT row, {place} AS situation FROM sa",
         "eb1_admit": f"WITH {TURNS_SQL}, l AS (SELECT *, left(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), 100) AS context FROM t) SELECT conv_id, turn, score, round(cmi, 3) AS cmi, md5(context) AS context_md5 FROM l WHERE score >= 9.0",
         "eb3_retrieve": f"WITH {BANK_SQL},\n{REQUESTS_SQL},\nf AS ({tiers}) SELECT req, tier, rank, seq FROM f QUALIFY tier = min(tier) OVER (PARTITION BY req)",

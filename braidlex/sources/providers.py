@@ -6,11 +6,16 @@ Each takes a client object; the fakes here need no network and serve the tests.
 from __future__ import annotations
 
 import math
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -79,31 +84,68 @@ def register_sources(spark: SparkSession, providers: dict[str, Fetch] | None = N
     spark.dataSource.register(Snippets)
 
 
-def chat(prompts: DataFrame, client: Callable[[str], str], attempts: int = 3, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+def limited(call: Callable[[], str], seconds: float | None) -> str:
+    """``call()`` in a thread of its own, given up after ``seconds`` (the thread ends with the worker)."""
+    if seconds is None:
+        return call()
+    found: list = []
+
+    def run() -> None:
+        try:
+            found.append((call(), None))
+        except Exception as e:
+            found.append((None, e))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not found:
+        raise TimeoutError(f"no answer within {seconds:g} seconds")
+    value, error = found[0]
+    if error is not None:
+        raise error
+    return value
+
+
+def chat(
+    prompts: DataFrame, client: Callable[..., str], attempts: int = 3, keys: tuple[str, ...] = ("id",), parallel: int = 8, seconds: float | None = None, endpoints: int = 0
+) -> DataFrame:
     """prompts(keys, prompt) to keys, reply, error: the client's answer, retried, the last error where none came.
 
-    Keys are longs. The client keeps its own time limit, system prompt and
-    settings: it is called with the prompt alone, in the worker.
+    Keys are longs. Up to ``parallel`` calls of a worker are under way at a
+    time; answers keep the order of the prompts. A call that takes longer than
+    ``seconds`` counts as failed. With ``endpoints`` the client is called with
+    the number of an endpoint besides the prompt: a worker goes round them by
+    its count of calls, retries included, so their loads differ by one at most;
+    the columns ``calls`` and ``endpoint`` (of the last call) say what was done.
     """
+    extra = ["calls", "endpoint"] if endpoints else []
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            replies, errors = [], []
-            for prompt in batch.column("prompt").to_pylist():
-                reply, error = None, None
-                for _ in range(attempts):
-                    try:
-                        reply = client(prompt) or None
-                        error = None if reply else "empty reply"
-                    except Exception as e:
-                        error = str(e)
-                    if reply:
-                        break
-                replies.append(reply)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*keys, "reply", "error"])
-
-    return prompts.select(*[F.col(k).cast("long").alias(k) for k in keys], "prompt").mapInArrow(rows_of, ", ".join(f"{k} long" for k in keys) + ", reply string, error string")
+        context = TaskContext.get()
+        turns = count(context.partitionId() if context else 0)  # workers start at different endpoints
+
+        def one(prompt: str) -> tuple:
+            reply = error = endpoint = None
+            for made in range(1, attempts + 1):
+                endpoint = next(turns) % endpoints if endpoints else None
+                try:
+                    reply = limited(partial(client, prompt, endpoint) if endpoints else partial(client, prompt), seconds) or None
+                    error = None if reply else "empty reply"
+                except Exception as e:
+                    error = str(e)
+                if reply:
+                    break
+            return reply, error, made, endpoint
+
+        with ThreadPoolExecutor(parallel) as pool:
+            for batch in batches:
+                columns = list(zip(*pool.map(one, batch.column("prompt").to_pylist()), strict=True)) or [()] * 4
+                arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *arrays[: 2 + len(extra)]], names=[*keys, "reply", "error", *extra])
+
+    schema = ", ".join(f"{k} long" for k in keys) + ", reply string, error string" + "".join(f", {name} int" for name in extra)
+    return prompts.select(*[F.col(k).cast("long").alias(k) for k in keys], "prompt").mapInArrow(rows_of, schema)
 
 
 def fake_voice(text: str, rate: int = 16000) -> np.ndarray:
