@@ -305,19 +305,34 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
 def connected(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that each linked node reaches.
 
-    Each round takes the smallest label among the neighbours, then the label
-    of the label, so paths halve; labels are written after each round.
+    Each round points every node at its smallest neighbour (or itself), follows
+    the pointers to their ends, and puts the ends in the nodes' places: links
+    inside an end vanish, equal ones become one. At least half of the nodes
+    vanish in a round, mostly nearly all, so a link is read a few times
+    whatever the size of its component. Tables are written after each step.
     """
-    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    while True:
-        seen = split_join(both, labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        nearer = cut(labels.join(seen, labels.node == seen.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")), "near")
-        target = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        new = cut(split_join(nearer, target, "label").select("node", F.least("label", "beyond").alias("label"), "was"), "labels")
-        labels = new.select("node", "label")
-        if new.filter("label < was").isEmpty():
-            return labels
+
+    def drawn(a: str, b: str, rows: DataFrame) -> DataFrame:
+        return cut(rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct(), "links")
+
+    edges, labels = drawn("a", "b", links), None
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "ends")
+        while True:  # pointers to pointers: paths halve
+            beyond = ends.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+            further = cut(split_join(ends, beyond, "label").select("node", F.col("beyond").alias("label"), F.col("label").alias("was")), "ends")
+            ends = further.select("node", "label")
+            if further.filter("label < was").isEmpty():
+                break
+        if labels is None:
+            labels = ends
+        else:
+            over = split_join(labels, ends.select(F.col("node").alias("label"), F.col("label").alias("end")), "label", "left")
+            labels = cut(over.select("node", F.coalesce("end", "label").alias("label")), "labels")
+        left = cut(split_join(edges, ends.select(F.col("node").alias("a"), F.col("label").alias("end_a")), "a").select("end_a", "b"), "half")
+        edges = drawn("end_a", "end_b", split_join(left, ends.select(F.col("node").alias("b"), F.col("label").alias("end_b")), "b"))
+    return links.sparkSession.createDataFrame([], "node long, label long") if labels is None else labels
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:

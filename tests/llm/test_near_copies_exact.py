@@ -131,3 +131,21 @@ def test_rows_are_known_by_id_and_text(spark):
     assert [x for x in by_id if x[0] != "None"] == [("1", a), ("1", b), ("5", d), ("7", "")]
     nameless = [x for x in by_id if x[0] == "None"]
     assert len(nameless) == 1 and nameless[0][1] in (c, c + " more")
+
+
+@pytest.mark.parametrize("hot", [100_000, 7])
+def test_components_of_chains_stars_and_random_links(spark, monkeypatch, hot):
+    from braidlex.llm import base
+
+    monkeypatch.setattr(base, "HOT_ROWS", hot)
+    r = random.Random(3)
+    shuffled = r.sample(range(1000, 1200), 200)
+    links = [(i, i + 1) for i in range(1, 120)] + list(itertools.pairwise(shuffled)) + [(500, 500 + k) for k in range(1, 90)] + [(r.randrange(2000, 2150), r.randrange(2000, 2150)) for _ in range(120)] + [(7, 8), (8, 7), (9000, 9000)]
+    label = {}
+    for a, b in links:
+        low, high = sorted((label.setdefault(a, a), label.setdefault(b, b)))
+        label = {k: low if v == high else v for k, v in label.items()}
+    got = {x.node: x.label for x in simhash_dedup.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    alone = {n for n in label if n not in got}
+    assert got == {k: v for k, v in label.items() if k in got} and all(label[n] == n and list(label.values()).count(n) == 1 for n in alone)
+    assert simhash_dedup.connected(spark.createDataFrame([], "a long, b long")).count() == 0
