@@ -66,9 +66,18 @@ PERMISSIVE = ("mit", "apache", "bsd", "isc", "boost", "zlib", "unlicense", "cc0"
 _PERMISSIVE = re.compile(r"(?:mit|apache|0?bsd|isc|boost|zlib|unlicense|cc0)(?:[-.+ ].*)?|bsl-1\.0|cc-by(?:-[\d.]+)?")
 #: Not permissive, though of such a family by name.
 NOT_PERMISSIVE = frozenset(("bsd-protection",))
-#: Identifiers without a digit, and beginnings of others, by which an identifier is told from prose.
-PLAIN_IDS = frozenset("mit isc zlib unlicense wtfpl curl beerware postgresql openssl libpng ncsa gpl lgpl agpl apache bsd boost mpl epl cc0 none noassertion".split())
-ID_STARTS = ("gpl-", "lgpl-", "agpl-", "apache-", "bsd-", "mpl-", "epl-", "cc-", "mit-", "osl-", "ofl-", "eupl-", "artistic-", "licenseref-", "documentref-")
+#: Families of public licence identifiers, without versions and variants. A longer list is a parameter of ``scan``.
+FAMILIES = frozenset(
+    "0bsd aal adsl afl agpl aladdin aml ampas antlr-pd apache apl apsl artistic bahyph barr beerware bittorrent blessing blueoak borceux bsd bsl bzip2 c-uda cal caldera catosl cc cc0 cddl cdla cecill "
+    "cern-ohl clartistic cnri condor copyleft-next cpal cpl cpol cua-opl curl d-fsl doc drl ecl efl egenix elastic entessa epics epl erlpl etalab eudatagrid eupl eurosym fair frameworx freeimage fsfap "
+    "fsful ftl gfdl giftware glide glwtpl gnuplot gpl gsoap haskellreport hippocratic hpnd htmltidy ibm-pibs icu ijg imagemagick info-zip intel interbase ipa ipl isc jasper jpnic json lal latex2e "
+    "leptonica lgpl lgpllr libpng libselinux libtiff liliq linux-openib lpl lppl miros mit mitnfa mpich2 mpl ms-pl ms-rl mtll mulanpsl multics mup naist nasa nbpl ncgl ncsa net-snmp netcdf ngpl "
+    "nist-pd nlod nlpl nosl noweb npl nposl nrl ntp o-uda occt-pl oclc odbl odc-by ofl ogc ogl ogtsl oldap oml openssl opl oset-pl osl parity pddl php polyform postgresql psf python qhull qpl "
+    "rpl rpsl rsa-md rscpl ruby saxpath sendmail sgi-b sgp4 shl simpl sissl sleepycat snia spencer spl ssh-openssh sspl sugarcrm swl tapr-ohl tcl tcp-wrappers tmate tosl ucl unicode unlicense "
+    "upl vim vostrom vsl w3c watcom wtfpl x11 xerox xfree86 xinetd xnet zed zend zimbra zlib zpl none noassertion licenseref documentref".split()
+)
+#: Families that are words of prose too: behind an operator they count only where it is in upper case.
+PROSE = frozenset("apache artistic blessing condor doc elastic fair glide intel json multics none parity python ruby unicode vim watcom xerox zed curl".split())
 
 _WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _BEHIND_TAG = re.compile(rb"\s*:[ \t]*([A-Za-z0-9.+()\- \t]+)")
@@ -142,29 +151,6 @@ def to_postfix(expression: str) -> list[str] | None:
     return out
 
 
-def evaluate(expression: str) -> tuple[frozenset[frozenset[str]], bool]:
-    """The alternatives (each a set of licences to follow; they can be many), and whether the expression is well formed."""
-    postfix = to_postfix(expression)
-    if postfix is None:
-        named = frozenset(t.lower() for t in _TOKEN.findall(expression) if t not in "()" and t.lower() not in _BINDS)
-        return (frozenset({named}) if named else frozenset()), False
-    stack: list[frozenset[frozenset[str]]] = []
-    for token in postfix:
-        if token == "or":
-            right, left = stack.pop(), stack.pop()
-            stack.append(left | right)
-        elif token == "and":
-            right, left = stack.pop(), stack.pop()
-            stack.append(frozenset(a | b for a in left for b in right))
-        elif token == "with":
-            right, left = stack.pop(), stack.pop()
-            exception = "-or-".join(sorted({x for s in right for x in s}))
-            stack.append(frozenset(frozenset(f"{x}-with-{exception}" for x in s) for s in left))
-        else:
-            stack.append(frozenset({frozenset({token})}))
-    return stack[0], True
-
-
 def weigh(expression: str) -> tuple[frozenset[str], int, bool]:
     """The licences named, the number of alternatives as written, and whether one of them is permissive; no choice if malformed."""
     postfix = to_postfix(expression)
@@ -191,12 +177,20 @@ def is_permissive(identifier: str) -> bool:
     return identifier not in NOT_PERMISSIVE and _PERMISSIVE.fullmatch(identifier) is not None
 
 
-def looks_like_id(token: str, exception: bool) -> bool:
-    """Whether a word behind a tag is an identifier, not prose; an exception's name may be any hyphenated one."""
-    return token in PLAIN_IDS or token.startswith(ID_STARTS) or any(c.isdigit() for c in token) or (exception and "-" in token.strip("-"))
+def looks_like_id(token: str, before: str = "", families: frozenset[str] = FAMILIES) -> bool:
+    """Whether a word behind a tag is an identifier, not prose: a family, alone or with versions and variants behind hyphens.
+
+    ``before`` is the operator before it as written; an exception's name may be
+    any hyphenated one. A number or a year alone is never an identifier.
+    """
+    pieces = token.split("-")
+    family = next((f for n in range(len(pieces), 0, -1) if (f := "-".join(pieces[:n])) in families), None)
+    if family is None or not all(pieces):
+        return before.lower() == "with" and "-" in token.strip("-")
+    return token not in PROSE or not before or before.isupper()
 
 
-def expressions(text: bytes) -> list[str]:
+def expressions(text: bytes, families: frozenset[str] = FAMILIES) -> list[str]:
     """The licence expressions behind identifier tags: as far as identifiers and operators alternate.
 
     An operator before a word that is no identifier belongs to the prose; one
@@ -217,7 +211,8 @@ def expressions(text: bytes) -> list[str]:
             elif low in _BINDS and not want_operand:
                 want_operand = True
             elif token not in "()" and low not in _BINDS and want_operand:
-                if not looks_like_id(low.rstrip(".+"), bool(kept) and kept[-1].lower() == "with"):
+                operator = next((k for k in reversed(kept) if k != "("), "")
+                if not looks_like_id(low.rstrip(".+"), operator, families):
                     while kept and (kept[-1].lower() in _BINDS or kept[-1] == "("):
                         kept.pop()
                     break
@@ -231,7 +226,7 @@ def expressions(text: bytes) -> list[str]:
     return found
 
 
-def scan_text(text: bytes) -> tuple:
+def scan_text(text: bytes, families: frozenset[str] = FAMILIES) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, n_choices, permissive."""
     words = text.translate(_WORD_TABLE).split()
     joined = " " + b" ".join(words).decode("utf-8", "replace") + " "
@@ -249,7 +244,7 @@ def scan_text(text: bytes) -> tuple:
         if is_base:
             base.add(label)
             starts.append(word)
-    named = expressions(text) if tags else []
+    named = expressions(text, families) if tags else []
     choices, permissive = 0, False
     for expression in named:
         names, n, free = weigh(expression)
@@ -260,8 +255,11 @@ def scan_text(text: bytes) -> tuple:
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, named, min(choices, 2**63 - 1), permissive)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: word and place counts, base and all labels, score, and the parsed expressions."""
+def scan(docs: DataFrame, families: frozenset[str] = FAMILIES) -> DataFrame:
+    """One row per document: word and place counts, base and all labels, score, and the parsed expressions.
+
+    ``families`` are the known identifiers in lower case, without versions.
+    """
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
         ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("expressions", pa.list_(pa.string())), ("n_choices", pa.int64()), ("permissive_choice", pa.bool_()),
@@ -269,7 +267,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [scan_text(t or b"") for t in binary(batch.column("text"))]
+            rows = [scan_text(t or b"", families) for t in binary(batch.column("text"))]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(len(schema) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]], schema=schema)
 

@@ -64,3 +64,22 @@ def test_labels_and_score_are_those_of_brute_force(spark):
     got = license_scan.scan(docs).collect()
     assert len(got) == len(rows) and all((r.labels, round(r.score, 12)) == want[r.doc_id] for r in got)
     assert next(r.n_base for r in got if r.doc_id == 1000) == 200_000
+
+
+@pytest.mark.parametrize("line,labels,free", [
+    ("HPND", "hpnd", False), ("JSON OR Ruby", "json,ruby", False), ("Vim", "vim", False), ("Sleepycat AND MIT", "mit,sleepycat", False), ("MIT AND 2020 Foo", "mit", True), ("MIT and 3 files follow", "mit", True),
+    ("MIT and Python bindings", "mit", True), ("Python-2.0 OR PHP-3.01", "php-3.01,python-2.0", False), ("2024", "", False), ("X11-distribute-modifications-variant OR (Zlib-acknowledgement)", "x11-distribute-modifications-variant,zlib-acknowledgement", True),
+    ("GPL-2.0-or-later WITH Bison-exception-2.2", "gpl-2.0-or-later-with-bison-exception-2.2", False), ("(MS-PL OR OGL-UK-3.0) AND Unicode-DFS-2016", "ms-pl,ogl-uk-3.0,unicode-dfs-2016", False), ("mitre", "", False), ("GPL-", "", False),
+])
+def test_identifiers_and_prose(line, labels, free):
+    row = license_scan.scan_text(f"x\nSPDX-License-Identifier: {line}\ny".encode())
+    assert row[5] == labels and row[9] is free
+
+
+def test_every_family_is_found_in_any_case_and_version(spark):
+    rows = [(i, f"SPDX-License-Identifier: {name}") for i, f in enumerate(sorted(license_scan.FAMILIES)) for name in (f, f.upper() + "-9.9", f.title() + "-1.0-only")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.labels for r in got) == sorted(t.split(": ")[1].lower() for _, t in rows)
+    own = spark.createDataFrame([(1, "SPDX-License-Identifier: Own-1.0 OR MIT")], "doc_id long, text string")
+    assert license_scan.scan(own).first().labels == "" and license_scan.scan(own, frozenset({"own", "mit"})).first().labels == "mit,own-1.0"
+    assert len(license_scan.FAMILIES) <= 200 and license_scan.PROSE <= license_scan.FAMILIES
