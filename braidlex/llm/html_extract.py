@@ -17,10 +17,13 @@ the smallest common ancestor of the region, only content paths are.
 
 Boilerplate parts: menus, headers and footers of the page, sidebars, notices,
 adverts, forms, scripts, styles, reader comments. They are known by element,
-role and hidden state, or by the name of the part in class or id. A name never
-rules out an element that holds the page's title (``h1``) or ``main``; weak
-names (legal, search and the like) rule out only what the ratios hold no
-content.
+role and hidden state, or by the name of the part in class or id, if all words
+there are names of parts or say nothing (``cookie-notice``, ``site-footer``, but
+not ``social-history``). The ratios come before the names: neither a name nor
+being a form rules out an element that holds the page's title (``h1``) or
+``main``, or nearly all content of a page that marks none; and weak names (legal,
+search and the like; outside a marked region also those of parts among other
+words) rule out only what the ratios hold no content.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by one space.
@@ -46,10 +49,12 @@ from pyspark.sql import DataFrame
 from .base import columns_as
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
+    # a quote counts only behind an equals sign; one that is never closed ends with the tag
+    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?)*)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_ATTRIBUTE = re.compile(r"([^\s=>/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
 _NAME_WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。！？、，；：¿¡]")
 _SPACE = re.compile(r"\s+")
@@ -73,6 +78,11 @@ PART_NAMES = frozenset(
     "sidebar footer footnav masthead topbar toolbar cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended comment comments commentlist respond disqus replies reply pager pagination".split()
 )
+#: Words that say what kind of element a part is, not what it holds.
+HELPERS = frozenset(
+    "site page main top bottom left right upper lower global primary secondary wrap wrapper container box bar block section area inner outer content list item items text title body header heading head row col "
+    "column panel group unit slot zone module region holder reader user users visitor post article blog thread form button buttons icon icons link links image img media inline sticky fixed mobile desktop small large".split()
+)
 WEAK_NAMES = frozenset("pageno copyright legal disclaimer widget tags tagcloud skip search".split())
 ARTICLE_NAMES = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies".split())
 REGION_ROLES = frozenset(("main", "article"))
@@ -100,7 +110,11 @@ class Page:
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(raw)} if raw else {}
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        value = m[2] or ""
+        found.setdefault(m[1].lower(), value[1:-1] if value[:1] in ("'", '"') else value)  # the first of equal names counts
+    return found
 
 
 def _doubt(tag: str, found: dict[str, str], in_region: bool) -> int:
@@ -115,10 +129,19 @@ def _doubt(tag: str, found: dict[str, str], in_region: bool) -> int:
         return NEVER_SHOWN
     if tag in ("main", "body", "html") or role == "main":
         return OPEN
-    words = {w.lower() for name in ("class", "id") for w in _NAME_WORDS.findall(found.get(name, ""))}
+    names = [[w.lower() for w in _NAME_WORDS.findall(token) if len(w) > 1] for key in ("class", "id") for token in found.get(key, "").split()]
     if tag == "article" or role == "article":
-        return NAMED if words & ARTICLE_NAMES else OPEN
-    return NAMED if words & PART_NAMES else WEAK if words & WEAK_NAMES else OPEN
+        return NAMED if _named(names, ARTICLE_NAMES) else OPEN
+    words = {w for name in names for w in name}
+    if _named(names, PART_NAMES):
+        return NAMED
+    return WEAK if words & WEAK_NAMES or (words & PART_NAMES and not in_region) else OPEN
+
+
+def _named(names: list[list[str]], parts: frozenset[str]) -> bool:
+    """Whether class and id say that an element is such a part: one name does, and none says that it holds something else."""
+    plain = PART_NAMES | WEAK_NAMES | HELPERS
+    return any(parts & set(name) for name in names) and all(w in plain for name in names for w in name)
 
 
 def parse(page: str) -> Page:
@@ -198,12 +221,35 @@ def parse(page: str) -> Page:
     return out
 
 
-def shown(page: Page) -> tuple[list[bool], list[bool]]:
-    """For each element: whether it is in no boilerplate part, and whether it is in a part with a weak name."""
+def wrappers(page: Page) -> list[bool]:
+    """For each element: whether the page's content stands in it, so that its name or being a form says nothing.
+
+    So it is if it holds the page's title or ``main``, or nearly all content by
+    the ratios of all tag paths, with no marked content (``article``) beside it.
+    """
     holds_title = [n.tag in ("h1", "main") or n.kind == "main" for n in page.nodes]
+    marked = [n.kind == "article" and n.doubt == OPEN for n in page.nodes]
+    visible = [True]
+    for node in page.nodes[1:]:
+        visible.append(visible[node.parent] and not (node.doubt == NEVER_SHOWN and node.tag != "form"))
+    texts = [t for t in page.texts if visible[t[0]]]
+    chosen = content_paths(path_sums(page, texts))
+    weight = [0.0] * len(page.nodes)
+    for node, _, text in texts:
+        if page.nodes[node].path in chosen:
+            weight[node] += len(text.strip())
     for k in range(len(page.nodes) - 1, 0, -1):  # parents stand before their children
-        if holds_title[k]:
-            holds_title[page.nodes[k].parent] = True
+        parent = page.nodes[k].parent
+        weight[parent] += weight[k]
+        holds_title[parent] = holds_title[parent] or holds_title[k]
+        marked[parent] = marked[parent] or marked[k]
+    whole = [weight[0] > 0 and w >= NEARLY_ALL * weight[0] and (marked[k] or not marked[0]) and not holds_title[0] for k, w in enumerate(weight)]
+    return [a or b for a, b in zip(holds_title, whole, strict=True)]
+
+
+def shown(page: Page) -> tuple[list[bool], list[bool]]:
+    """For each element: whether it is in no boilerplate part, and whether it is in a part with a weak name."""
+    holds_title = wrappers(page)
     open_, weak = [True], [False]
     for k, node in enumerate(page.nodes[1:], 1):
         out = node.doubt == NEVER_SHOWN and not (node.tag == "form" and holds_title[k]) or (node.doubt == NAMED and not holds_title[k])
@@ -293,6 +339,14 @@ def extract(page_html: str) -> str:
         in_whole.append(in_whole[node.parent] or k in marked)
         in_around.append(in_around[node.parent] or k == around)
 
+    lead: set[int] = set()
+    if not whole and around:
+        above = page.nodes[around].parent
+        side = [0] * len(page.nodes)  # the child of the region's parent that an element is in
+        for k, node in enumerate(page.nodes[1:], 1):
+            side[k] = k if node.parent == above else side[node.parent] if k > above else 0
+        lead = {k for k in range(1, around) if side[k] and side[k] != around and page.nodes[k].tag == "p" and not page.nodes[k].link}
+
     def kept(node: int) -> bool:
         of = page.nodes[node]
         content = of.path in chosen
@@ -300,7 +354,9 @@ def extract(page_html: str) -> str:
             return False
         if whole:
             return in_whole[node] or (in_around[node] and content)
-        # without a marked region: content paths, and what shares their element
+        # without a marked region: content paths, what shares their element, and a lead before the region
+        if node in lead:
+            return content
         return in_around[node] and (content or not (of.link or (of.parent not in kept_parents and node not in kept_parents)))
 
     blocks: list[str] = []
