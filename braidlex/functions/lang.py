@@ -79,6 +79,7 @@ class LanguagePair:
     l1_script: str = ""
     endings: str = SENTENCE_ENDS
     lexicon: tuple[str, ...] = ()
+    outside: bool = False  # the lexicon is a table: its words of a text come in a column
     common: tuple[str, ...] = field(default=COMMON_WORDS)
     markers: tuple[str, ...] = DISCOURSE_MARKERS
     interjections_l1: tuple[str, ...] = INTERJECTIONS_L1
@@ -88,6 +89,10 @@ class LanguagePair:
     def replaced(self, **values) -> LanguagePair:
         return replace(self, **values)
 
+    @property
+    def by_lexicon(self) -> bool:
+        return bool(self.lexicon) or self.outside
+
     @property
     def ambiguous(self) -> tuple[str, ...]:
         """Words of the lexicon that are common in the second language too."""
@@ -95,7 +100,7 @@ class LanguagePair:
 
     @property
     def token(self) -> str:
-        word = r"\p{L}+" if self.lexicon else f"[{self.l1_script}]|[A-Za-z]+"
+        word = r"\p{L}+" if self.by_lexicon else f"[{self.l1_script}]|[A-Za-z]+"
         return rf"{word}|\p{{Nd}}+|[^{SPACE}]"
 
 
@@ -119,14 +124,15 @@ def tokens(text: Column, pair: LanguagePair) -> Column:
 
 def _interjection(token: Column, pair: LanguagePair) -> Column:
     """An interjection of the first language; scripts with cases are compared in lower case."""
-    return (F.lower(token) if pair.lexicon else token).isin(*pair.interjections_l1)
+    return (F.lower(token) if pair.by_lexicon else token).isin(*pair.interjections_l1)
 
 
 def _interjection_sql(t: str, pair: LanguagePair) -> str:
-    return f"{f'lower({t})' if pair.lexicon else t} IN {_in(pair.interjections_l1)}"
+    return f"{f'lower({t})' if pair.by_lexicon else t} IN {_in(pair.interjections_l1)}"
 
 
-def token_tag(token: Column, pair: LanguagePair) -> Column:
+def token_tag(token: Column, pair: LanguagePair, words: Column | None = None) -> Column:
+    """``words``: the words of the text that are in the lexicon, where it is a table."""
     low = F.lower(token)
     known = low.isin(*pair.common) | (F.length(token) <= 1)
 
@@ -140,8 +146,9 @@ def token_tag(token: Column, pair: LanguagePair) -> Column:
         .otherwise(pick("a", "b"))
     )
     first = F.when(_interjection(token, pair), "y").otherwise("z")
-    if pair.lexicon:
-        out = F.when(token.rlike(r"^\p{L}"), F.when(low.isin(*pair.lexicon), first).otherwise(second))
+    if pair.by_lexicon:
+        listed = low.isin(*pair.lexicon) if words is None else F.array_contains(words, low)
+        out = F.when(token.rlike(r"^\p{L}"), F.when(listed, first).otherwise(second))
     else:
         out = F.when(token.rlike(f"^[{pair.l1_script}]"), first).when(token.rlike("^[A-Za-z]"), second)
     return out.when(token.rlike(r"^\p{Nd}"), "n").when(token.isin(*SENTENCE_ENDS), "s").otherwise("p")
@@ -151,8 +158,8 @@ def _in(words: tuple[str, ...] | str) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
-def token_tag_sql(pair: LanguagePair, t: str = "t") -> str:
-    """The same tags in DuckDB."""
+def token_tag_sql(pair: LanguagePair, t: str = "t", listed: str | None = None) -> str:
+    """The same tags in DuckDB; ``listed`` says whether a word is in the lexicon, where it is a table."""
     known = f"(lower({t}) IN {_in(pair.common)} OR length({t}) <= 1)"
     pick = lambda a, b: f"CASE WHEN {known} THEN '{a}' ELSE '{b}' END"
     second = (
@@ -160,8 +167,8 @@ def token_tag_sql(pair: LanguagePair, t: str = "t") -> str:
         f"WHEN lower({t}) IN {_in(DOMAIN_TERMS)} THEN {pick('g', 'h')} ELSE {pick('a', 'b')} END"
     )
     first = f"CASE WHEN {_interjection_sql(t, pair)} THEN 'y' ELSE 'z' END"
-    if pair.lexicon:
-        head = f"WHEN regexp_matches({t}, '^\\p{{L}}') THEN CASE WHEN lower({t}) IN {_in(pair.lexicon)} THEN {first} ELSE {second} END"
+    if pair.by_lexicon:
+        head = f"WHEN regexp_matches({t}, '^\\p{{L}}') THEN CASE WHEN {listed or f'lower({t}) IN {_in(pair.lexicon)}'} THEN {first} ELSE {second} END"
     else:
         head = f"WHEN regexp_matches({t}, '^[{pair.l1_script}]') THEN {first} WHEN regexp_matches({t}, '^[A-Za-z]') THEN {second}"
     return f"CASE {head} WHEN regexp_matches({t}, '^\\p{{Nd}}') THEN 'n' WHEN {t} IN {_in(SENTENCE_ENDS)} THEN 's' ELSE 'p' END"

@@ -52,7 +52,7 @@ class Rules:
 
 
 def read_rules(evaluation: dict, calibration: dict | None = None, prompts: dict | None = None) -> Rules:
-    """Rules from a pair's parsed evaluation.yaml, calibration.json and prompts.yaml; a rule that is not known is an error."""
+    """Rules from a pair's parsed evaluation.yaml, calibration.json and prompts.yaml; a table or rule that is not known is an error."""
 
     def expectations(name: str, known: tuple[str, ...], default: dict) -> dict[str, dict[str, float]]:
         table = evaluation.get(name)
@@ -76,8 +76,8 @@ def read_rules(evaluation: dict, calibration: dict | None = None, prompts: dict
         return {str(k): float(v["mean_shift"]) for k, v in rows if isinstance(v, dict) and "mean_shift" in v}
 
     allowed = {"switch_type_expectations", "l2_span_expectations", "filler_words", "interjections"}
-    for key in evaluation:
-        if key not in allowed and not str(key).startswith("_"):
+    for key, value in evaluation.items():
+        if isinstance(value, dict) and key not in allowed and not str(key).startswith("_"):
             raise ValueError(f"no evaluation table {key!r}; there are {', '.join(sorted(allowed))}")
     texts = lambda name: {str(k): str(v) for k, v in ((prompts or {}).get(name) or {}).items()}
     return Rules(

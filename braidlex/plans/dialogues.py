@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from braidlex.operators import dialogue as D
 from braidlex.operators import sampling as S
 from braidlex.operators import voice as V
 from braidlex.plans.ranks import in_ranges, place_in_order
-from braidlex.plans.tables import cut, spread
+from braidlex.plans.tables import cut, run_dir, spread
 from braidlex.sources import config, providers
 
 FR = PAIRS["fr_en"]
@@ -213,6 +214,7 @@ def queries() -> dict:
         "dg24_situation": lambda s, d: S.sample(rows(s, d), dims(s)).select("row", D.situation(F.col("dialogue_type"), F.col("relationship"), F.col("topic"), PERSONS).alias("situation")),
         "dg23_prompt_forms": lambda s, d: S.sample(rows(s, d), dims(s)).select("row", D.user_prompt(F.col("dialogue_type"), F.col("level"), S.draw("task", 42, F.col("row"))).alias("prompt")),
         "eb1_admit": lambda s, d: D.admit_examples(scored_turns(s, d), 9.0).select("conv_id", "turn", "score", "cmi", F.md5("context").alias("context_md5")),
+        "eb2_bank_order": lambda s, d: _bank_read_back(s, d).select("seq", "archetype", F.md5("speaker_text").alias("text_md5"), "score"),
         "eb3_retrieve": lambda s, d: D.retrieve_examples(requests(s), bank(s, d), 3),
         "eb7_total": lambda s, d: D.admit_examples(scored_turns(s, d), 9.0).agg(F.count(F.lit(1)).alias("n")),
         "vo1_accent": lambda s, d: s.createDataFrame(list(enumerate(REGIONS)), "id long, region string").select("id", V.accent(F.col("region")).alias("accent")),
@@ -233,6 +235,18 @@ def queries() -> dict:
     }
 
 
+def _bank_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The good turns written as a bank in order, and read again."""
+    good = D.admit_examples(scored_turns(spark, sf_dir), 9.0)
+    lines = good.select(
+        "conv_id", "turn", F.concat(F.lit("ARC_0"), (F.pmod("conv_id", F.lit(6)) + 1).cast("string")).alias("archetype_id"), F.col("speaker").alias("topic"), F.lit("casual").alias("formality"),
+        F.coalesce("text", F.lit("")).alias("speaker_text"), F.col("score").alias("eval_score"), "cmi", F.col("context").alias("dialogue_context"),
+    )
+    path = f"{run_dir(spark)}/bank-{uuid.uuid4().hex}"
+    config.write_json_lines(lines.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn").drop("conv_id", "turn"), path)
+    return config.read_examples(spark, path)
+
+
 def _endpoints(spark: SparkSession, sf_dir: str, endpoints: int) -> DataFrame:
     """The endpoint of each turn's call: calls are counted over all dialogues in order, so the loads differ by one at most."""
     calls = in_ranges(conversations(spark, sf_dir).select("conv_id", "turn", F.struct("conv_id", "turn").alias("call")), "call")
@@ -372,6 +386,7 @@ SELECT conv_id, md5(CAST(to_json(struct_pack(dialogue_id := 'DLG_' || substr(md5
         "dg22_endpoint": "SELECT conv_id, turn, ((rank() OVER (ORDER BY conv_id, turn) - 1) % 3)::INT AS endpoint FROM conversations",
         "dg24_situation": f"WITH {sa} SELECT row, {place} AS situation FROM sa",
         "eb1_admit": f"WITH {TURNS_SQL}, l AS (SELECT *, left(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), 100) AS context FROM t) SELECT conv_id, turn, score, round(cmi, 3) AS cmi, md5(context) AS context_md5 FROM l WHERE score >= 9.0",
+        "eb2_bank_order": f"WITH {TURNS_SQL} SELECT row_number() OVER (ORDER BY conv_id, turn) AS seq, 'ARC_0' || (conv_id % 6 + 1) AS archetype, md5(coalesce(text, '')) AS text_md5, score FROM t WHERE score >= 9.0",
         "eb3_retrieve": f"WITH {BANK_SQL},\n{REQUESTS_SQL},\nf AS ({tiers}) SELECT req, tier, rank, seq FROM f QUALIFY tier = min(tier) OVER (PARTITION BY req)",
         "eb7_total": f"WITH {TURNS_SQL} SELECT count(*) AS n FROM t WHERE score >= 9.0",
         "vo1_accent": f"SELECT id, {_accent_sql('region')} AS accent FROM {_values(tuple(enumerate(REGIONS)), 'id, region')}",

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidlex.functions.lang import PAIRS
+from braidlex.functions.lang import PAIRS, SEGMENT, token_tag_sql
 from braidlex.operators import analysis as A
 from braidlex.operators import rules as R
 from braidlex.operators import scoring as S
+from braidlex.plans import lexicon
 from braidlex.plans.tables import cut, spread
 
 FR, ZH = PAIRS["fr_en"], PAIRS["zh_en"]
@@ -234,6 +235,7 @@ def queries() -> dict:
         "ta2_tokenize_unicode": lambda s, d: A.analyze(fixture(s), ZH).select("doc_id", F.posexplode_outer("toks").alias("pos", "tok"), "tags").filter("tok is not null").select("doc_id", "pos", "tok", F.substring(F.col("tags"), F.col("pos") + 1, F.lit(1)).alias("tag")),
         "ta3_tokenize_lexicon": lambda s, d: A.analyze(documents(s, d), FR).select("doc_id", "n_tokens", F.md5("tags").alias("tags_md5"), F.md5(F.array_join("toks", " ")).alias("tokens_md5")),
         "ta3_ambiguous": lambda s, d: _digest(A.clear_mixing(A.analyze(documents(s, d), FR), FR), ["n_ambiguous", "cmi_clear"]),
+        "ta3_lexicon_table": lambda s, d: lexicon.analyze(documents(s, d), FR, corpus_lexicon(s, d), limit=LISTED_WORDS).select("doc_id", "n1", "n2", "n_switches", F.md5("tags").alias("tags_md5")),
         "ta4_segments": lambda s, d: _conversation(s, d, A.segments).drop("content"),
         "ta5_switch_points": lambda s, d: _conversation(s, d, A.switch_points),
         "ta6_switch_type": lambda s, d: A.analyze(documents(s, d), FR).select("doc_id", "n_intra", "n_inter"),
@@ -260,6 +262,29 @@ def queries() -> dict:
     return out
 
 
+#: Words up to which the lexicon of ``ta3_lexicon_table`` would be a list: it is longer, so the query joins.
+LISTED_WORDS = 50
+
+
+def corpus_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents and turns of which an MD5 begins with a digit: a lexicon that grows with the tables."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").unionByName(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("text"))
+    words = spread(texts).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")).distinct()
+    return words.filter(F.md5("word").rlike("^[0-9]"))
+
+
+def lexicon_table_sql() -> str:
+    pair = FR.replaced(lexicon=(), outside=True)
+    return f"""WITH lx AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) WHERE regexp_matches(md5(word), '^[0-9]')),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pair.token}') AS toks FROM documents),
+x AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS i FROM d),
+g AS (SELECT doc_id, i, {token_tag_sql(pair, "tok", "word IS NOT NULL")} AS tag FROM x LEFT JOIN lx ON lx.word = lower(tok)),
+t AS (SELECT doc_id, string_agg(tag, '' ORDER BY i) AS tags FROM g GROUP BY doc_id),
+w AS (SELECT doc_id, coalesce(tags, '') AS tags FROM d LEFT JOIN t USING (doc_id))
+SELECT doc_id, length(regexp_replace(tags, '[^yz]', '', 'g'))::INT AS n1, length(regexp_replace(tags, '[^a-h]', '', 'g'))::INT AS n2,
+  greatest(len(list_filter(regexp_extract_all(tags, '{SEGMENT}'), lambda s: regexp_matches(s, '[yza-h]'))) - 1, 0)::INT AS n_switches, md5(tags) AS tags_md5 FROM w"""
+
+
 def _conversation(spark: SparkSession, sf_dir: str, what) -> DataFrame:
     return what(A.analyze(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")), FR), ["conv_id", "turn"], FR)
 
@@ -277,6 +302,7 @@ def oracle_sql() -> dict[str, str]:
         "ta1_char_class": f"WITH {fix} SELECT left(tok, 1) AS ch, count(*) AS n FROM (SELECT unnest(toks) AS tok FROM a) GROUP BY ALL",
         "ta2_tokenize_unicode": f"WITH {fix} SELECT doc_id, (i - 1)::INT AS pos, tok, substr(tags, i, 1) AS tag FROM (SELECT doc_id, tags, unnest(toks) AS tok, unnest(range(1, len(toks) + 1))::INT AS i FROM a)",
         "ta3_tokenize_lexicon": f"WITH {doc} SELECT doc_id, n_tokens, md5(tags) AS tags_md5, md5(coalesce(array_to_string(toks, ' '), '')) AS tokens_md5 FROM a",
+        "ta3_lexicon_table": lexicon_table_sql(),
         "ta3_ambiguous": _sql(doc + ",\n" + A.clear_mixing_sql("a", FR), ["n_ambiguous", "cmi_clear"], "cm"),
         "ta4_segments": f"WITH {conv} SELECT conv_id, turn, seg, lang, n_content, start, stop, text, ends_sentence FROM seg",
         "ta5_switch_points": f"WITH {switches} SELECT * FROM sw",

@@ -53,11 +53,16 @@ def with_first(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
     keys times bound cannot exceed the rows.
     """
     first = cut(rows.groupBy(key).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("__n")), "first")
-    total = first.agg(F.sum("__n").alias("n")).first().n or 0  # one number
+    return joined_to(rows, first, key)
+
+
+def joined_to(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``table``, which is written and has one row a key with the number of its ``rows`` in ``__n``; hot keys are split."""
+    total = table.agg(F.sum("__n").alias("n")).first().n or 0  # one number
     bound = max(HOT_ROWS, -(-total // HOT_KEYS))
-    hot = first.filter(F.col("__n") > bound).drop("__n")
+    hot = table.filter(F.col("__n") > bound).drop("__n")
     if hot.isEmpty():
-        return rows.join(first.drop("__n"), key)
+        return rows.join(table.drop("__n"), key)
     few = F.broadcast(hot)
-    cold = rows.join(few.select(key), key, "left_anti").join(first.filter(F.col("__n") <= bound).drop("__n"), key)
+    cold = rows.join(few.select(key), key, "left_anti").join(table.filter(F.col("__n") <= bound).drop("__n"), key)
     return cold.unionByName(rows.join(few, key).select(*cold.columns))

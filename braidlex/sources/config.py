@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidlex.functions.lang import PAIRS, SENTENCE_ENDS, LanguagePair
 from braidlex.operators.rules import Rules, read_rules
+from braidlex.plans.tables import cut
 
 #: Words a lexicon may have to be matched by a list in the plan.
 MAX_LEXICON = 100_000
@@ -61,7 +62,11 @@ def list_pairs() -> list[str]:
 
 @dataclass(frozen=True)
 class PairConfig:
-    """All that a pair's folder holds; ``rules`` and the words of ``language`` come from its tables."""
+    """All that a pair's folder holds; ``rules`` and the words of ``language`` come from its tables.
+
+    A lexicon of more than MAX_LEXICON words stays a table: ``plans.lexicon``
+    analyses texts with ``lexicon``, whatever its size.
+    """
 
     language: LanguagePair
     settings: dict
@@ -70,6 +75,7 @@ class PairConfig:
     prompts: dict
     personas: list[dict]
     rules: Rules
+    lexicon: DataFrame | None = None
 
 
 def pair_folders(spark: SparkSession, root: str) -> DataFrame:
@@ -93,13 +99,16 @@ def read_pair(spark: SparkSession, root: str, pair_id: str) -> PairConfig:
     scripts = "".join(rf"\x{{{_code(low):04X}}}-\x{{{_code(high):04X}}}" for low, high in settings.get("l1_unicode_ranges") or [])
     endings = "".join(settings.get("sentence_endings") or "") or SENTENCE_ENDS
     pair = LanguagePair(pair_id, settings["l1_code"], settings["l2_code"], scripts, endings)
+    lexicon = None
     if settings.get("detection_mode") == "lexicon":
-        pair = with_lexicon(pair, read_lexicon(spark, f"{at}/l1_lexicon.txt"))
+        lexicon = read_lexicon(spark, f"{at}/l1_lexicon.txt")
+        long = lexicon.limit(MAX_LEXICON + 1).count() > MAX_LEXICON
+        pair = pair.replaced(outside=True) if long else with_lexicon(pair, lexicon)
     listed = personas.get("persona_templates") or personas.get("personas") or [] if isinstance(personas, dict) else personas
     calibration, evaluation, prompts = read_json(spark, f"{at}/calibration.json"), read_yaml(spark, f"{at}/evaluation.yaml"), read_yaml(spark, f"{at}/prompts.yaml")
     rules = read_rules(evaluation, calibration, prompts)
     own = Rules(fillers=tuple(w for k in ("filler_words_l1", "filler_words_l2") for w in settings.get(k) or ()), interjections=tuple(settings.get("interjections_l1") or ()))
-    return PairConfig(rules.words(own.words(pair)), settings, calibration, evaluation, prompts, listed, rules)
+    return PairConfig(rules.words(own.words(pair)), settings, calibration, evaluation, prompts, listed, rules, lexicon)
 
 
 def _code(value: int | str) -> int:
@@ -107,10 +116,24 @@ def _code(value: int | str) -> int:
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    """The example bank's lines, malformed ones skipped, with their order of admission (file, then line)."""
+    """The example bank's lines, malformed ones skipped, with ``seq``, their order of admission from 1: by file name, then by line.
+
+    Spark reads a file in blocks. A line is numbered within its block, in the
+    order in which the block is read, and blocks are put in order by prefix
+    sums of their counts, so no file is sorted by one task; equal lines keep
+    numbers of their own. Appended batches keep their order if each is in a
+    folder or file whose name is greater than those before.
+    """
     schema = "archetype_id string, topic string, formality string, speaker_text string, eval_score double, cmi double, dialogue_context string"
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).filter("archetype_id is not null")
-    return rows.withColumnRenamed("archetype_id", "archetype").withColumnRenamed("eval_score", "score").withColumn("seq", F.xxhash64("archetype", "topic", "speaker_text"))
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("block")
+    lines = spark.read.text(path).select(F.from_json("value", schema).alias("example"), at, F.monotonically_increasing_id().alias("line"))
+    kept = cut(lines.filter("example.archetype_id is not null"), "examples")
+    counts = kept.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block of a file
+    ahead = counts.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("block").orderBy("line"))
+    rows = kept.join(ahead, "block").select("example.*", (F.col("ahead") + place).alias("seq"))
+    return rows.withColumnRenamed("archetype_id", "archetype").withColumnRenamed("eval_score", "score")
 
 
 def read_dialogues(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
