@@ -8,6 +8,7 @@ point become doubles in both.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -212,28 +213,55 @@ def novelty_inputs(analyzed: DataFrame, n: int = 4) -> DataFrame:
     return staged.withColumn("grams", F.when(F.size("content") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("content") - n + 1), gram)))).drop("content")
 
 
-def diversity(inputs: DataFrame, key: str, accepted: str | None = None, row: str | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+@dataclass(frozen=True)
+class Known:
+    """What earlier runs accepted: grams(gram), hashes(text_hash), patterns(pattern, n), and the number of texts."""
+
+    grams: DataFrame
+    hashes: DataFrame
+    patterns: DataFrame
+    total: int
+
+
+_BEFORE_ALL = -(1 << 63)
+
+
+def diversity(inputs: DataFrame, key: str, accepted: str | None = None, row: str | None = None, carried: tuple[str, ...] = (), known: Known | None = None) -> DataFrame:
     """One row for each of ``inputs``: key, is_copy, overlap, pattern, pattern_share, diversity: novelty against all earlier texts (order by ``key``).
 
-    With ``accepted``, a boolean column, it is novelty against those earlier texts where it holds.
+    With ``accepted``, a boolean column, it is novelty against those earlier
+    texts where it holds; texts of ``known`` are earlier than all of them.
 
     ``inputs`` is a written table with key, text_hash, pattern and grams.
     ``row`` tells rows apart where keys may repeat; rows of one key are not
-    earlier than each other. Keys are not null. Shingles and hashes are
-    compared by the earliest key that has them (``ranks.with_first``), places
-    come from counts of key ranges that grow in number with the rows, so no
-    hot shingle, copy or pattern meets one task.
+    earlier than each other. Keys are longs and not null. Shingles and hashes
+    are compared by the earliest key that has them (``ranks.with_first``),
+    places come from counts of key ranges that grow in number with the rows, so
+    no hot shingle, copy or pattern meets one task.
     """
     one = row or key
-    known = F.when(F.col(accepted), F.col(key)) if accepted else F.col(key)
+    own = F.when(F.col(accepted), F.col(key)) if accepted else F.col(key)
     ids = list(dict.fromkeys([one, key]))
-    shingles = inputs.select(*ids, known.alias("known"), F.explode("grams").alias("gram"))
+
+    def first(rows: DataFrame, of: str, earlier: DataFrame | None, name: str, value: Column | None = None) -> DataFrame:
+        """``with_first`` over these rows and those of earlier runs, which come before all."""
+        rows = rows.withColumn("old", F.lit(False))
+        if earlier is not None:
+            told = earlier.select(*[F.lit(_BEFORE_ALL).alias(c) for c in ids], (F.lit(_BEFORE_ALL) if value is None else value).alias("own"), of, F.lit(True).alias("old"))
+            rows = rows.unionByName(told.select(*rows.columns))
+        return with_first(rows, of, "own", name).filter("NOT old").drop("old")
+
+    shingles = inputs.select(*ids, own.alias("own"), F.explode("grams").alias("gram"))
     seen = F.coalesce(F.col("first") < F.col(key), F.lit(False)).cast("int")
-    overlap = with_first(shingles, "gram", "known", "first").groupBy(one).agg((F.sum(seen) / F.count(F.lit(1))).alias("overlap"))
-    hashed = inputs.select(*ids, "text_hash", known.alias("known"))
-    copies = with_first(hashed, "text_hash", "known", "first_copy").select(one, F.coalesce(F.col("first_copy") < F.col(key), F.lit(False)).alias("is_copy"))
+    overlap = first(shingles, "gram", known and known.grams, "first").groupBy(one).agg((F.sum(seen) / F.count(F.lit(1))).alias("overlap"))
+    hashed = inputs.select(*ids, "text_hash", own.alias("own"))
+    copies = first(hashed, "text_hash", known and known.hashes, "first_copy").select(one, F.coalesce(F.col("first_copy") < F.col(key), F.lit(False)).alias("is_copy"))
     light = in_ranges(inputs.select(*ids, *carried, "text_hash", "pattern", *([accepted] if accepted else [])), key)
     ranks = place_in_order(place_in_order(light, [], key, "before_all", accepted), ["pattern"], key, "before_same", accepted).drop("__range")
+    if known:
+        patterns = inputs.select(*ids, "pattern", F.lit(None).cast("long").alias("own"))
+        counted = first(patterns, "pattern", known.patterns, "earlier", F.col("n").cast("long")).select(one, F.coalesce("earlier", F.lit(0)).alias("earlier"))
+        ranks = ranks.join(counted, one).withColumns({"before_all": F.col("before_all") + known.total, "before_same": F.col("before_same") + F.col("earlier")}).drop("earlier")
     out = ranks.join(copies, one).join(overlap, one, "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
     return apply_steps(out, DIVERSITY)
 

@@ -93,8 +93,8 @@ def verdicts(df: DataFrame, pair, given: R.Rules = R.DEFAULT, more: dict[str, st
     return _judged(scores, S.diversity(scores.select("row", "seq", *_NOVELTY), "seq", row="row"), list(more or {}))
 
 
-def accepted_verdicts(df: DataFrame, pair, passes: str = "decision = 'pass'") -> DataFrame:
-    """The evaluator where diversity looks only at earlier texts that passed themselves; plus ``accepted``.
+def accepted_verdicts(df: DataFrame, pair, passes: str = "decision = 'pass'", known: S.Known | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The evaluator where diversity looks only at earlier texts that passed themselves, and at those of ``known``; plus ``accepted``.
 
     Whether a text passes depends on earlier texts only, so the recurrence has
     one solution. It is found by rounds over all rows: each judges by what the
@@ -103,10 +103,11 @@ def accepted_verdicts(df: DataFrame, pair, passes: str = "decision = 'pass'") ->
     a few).
     """
     scores = _scores(df, pair)
+    more = list(carried)  # of the inputs of diversity
     state = cut(scores.select("row", F.lit(True).alias("accepted")), "accepted")
     while True:
         inputs = cut(scores.select("row", "seq", *_NOVELTY).join(state, "row"), "novelty")
-        judged = cut(_judged(scores, S.diversity(inputs, "seq", "accepted", "row"), []).withColumn("accepted", F.expr(passes)), "judged")
+        judged = cut(_judged(scores, S.diversity(inputs, "seq", "accepted", "row", known=known), more).withColumn("accepted", F.expr(passes)), "judged")
         if judged.join(state.withColumnRenamed("accepted", "before"), "row").filter("accepted <> before").isEmpty():
             return judged
         state = judged.select("row", "accepted")
