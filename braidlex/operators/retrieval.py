@@ -41,11 +41,13 @@ def provider_chain(snippets: DataFrame, limit: int, chain: DataFrame, fallback:
     return once.withColumn("rank", rank).filter(F.col("rank") <= limit).drop("priority")
 
 
-def ttl_cache(requests: DataFrame, keys: list[str], time: str, order: str, ttl_seconds: int, found: str | None = None) -> DataFrame:
+def ttl_cache(requests: DataFrame, keys: list[str], time: str, order: str, ttl_seconds: int, found: str | None = None, answered_by: str | None = None) -> DataFrame:
     """keys, ``order`` and ``hit``: a request misses where the last kept miss of its key is ``ttl_seconds`` old or more.
 
     A hit renews nothing. With ``found`` (a boolean column) a miss without a
-    result is not kept. Times are those of ``time``, ties in ``order``.
+    result is not kept. Times are those of ``time``, ties in ``order`` (a long).
+    ``answered_by`` names a further column: the ``order`` of the request whose
+    result answers this one, its own for a miss.
 
     This is a true recurrence: rows are dealt by key, sorted by Spark, and
     walked in order with the last kept miss as the only state, so a hot key
@@ -60,7 +62,7 @@ def ttl_cache(requests: DataFrame, keys: list[str], time: str, order: str, ttl_s
     ttl = ttl_seconds * 1_000_000
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, None
+        key, last, source = None, None, None
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -70,24 +72,42 @@ def ttl_cache(requests: DataFrame, keys: list[str], time: str, order: str, ttl_s
             edges = [0, *(np.flatnonzero(np.diff(hashed)) + 1).tolist(), n]
             times, stays = batch.column("__t").to_numpy(), batch.column("__kept").to_numpy(zero_copy_only=False)
             hit = np.zeros(n, bool)
+            own = batch.column(order).to_pylist() if answered_by else [None] * n
+            answer = list(own)
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if now[a] != key:
-                    key, last = now[a], None
+                    key, last, source = now[a], None, None
                 at = a
                 while at < b:
                     if last is not None:
                         stop = a + int(np.searchsorted(times[a:b], last + ttl, "left"))
                         hit[at:stop] = True
+                        answer[at : max(at, stop)] = [source] * (max(at, stop) - at)
                         at = max(at, stop)
                     misses = np.flatnonzero(stays[at:b])
                     if not len(misses):
                         break
                     at += int(misses[0])  # the first miss with a result is kept; those before it are misses too
-                    last = int(times[at])
+                    last, source = int(times[at]), own[at]
                     at += 1
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(hit)], names=[*columns, "hit"])
+            more = {answered_by: pa.array(answer)} if answered_by else {}
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(hit), *more.values()], names=[*columns, "hit", *more])
 
-    return walked.mapInArrow(rows_of, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", hit boolean")
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", hit boolean" + (f", `{answered_by}` {kinds[order]}" if answered_by else "")
+    return walked.mapInArrow(rows_of, schema)
+
+
+def cached_values(requests: DataFrame, results: DataFrame, keys: list[str], time: str, order: str, ttl_seconds: int, found: str | None = None) -> DataFrame:
+    """The requests of ``ttl_cache`` with the result that answers them.
+
+    An as-of join: ``results`` has what was fetched (``order``, and any other
+    columns) at misses; a hit gets the row of its key's last kept miss. The
+    join is on the unique ``order``, so a hot key is spread over all tasks. A
+    request whose fetch gave nothing has nulls.
+    """
+    walked = ttl_cache(requests, keys, time, order, ttl_seconds, found, "answered_by")
+    told = results.withColumnRenamed(order, "answered_by")
+    return walked.join(told, "answered_by", "left").select(*keys, order, "hit", "answered_by", *[c for c in results.columns if c != order])
 
 
 #: Our own frames of a block of snippets, by language.

@@ -148,6 +148,20 @@ def _speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.synthesize(pieces, partial(providers.fake_voice, rate=RATE), RATE).withColumn("pause_ms", F.lit(400))
 
 
+def _picky_voice(text: str, rate: int):
+    """The fake voice, which cannot ask."""
+    if "?" in text:
+        raise ValueError("no voice for questions")
+    return providers.fake_voice(text, rate)
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, ok, seconds: a dialogue is kept where all its turns were spoken."""
+    pieces = spread(conversations(spark, sf_dir)).select("conv_id", "turn", V.speech_pieces(F.col("text")).alias("pieces"))
+    spoken = providers.synthesize(pieces, partial(_picky_voice, rate=RATE), RATE, attempts=1)
+    return spoken.groupBy("conv_id").agg(F.every(F.col("error").isNull()).alias("ok"), F.sum("seconds").alias("seconds"))
+
+
 def _turn_prompts(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     """Prompts of all turns with every block that the table can give."""
     frame = D.FRAMES[language]
@@ -229,8 +243,8 @@ def queries() -> dict:
         "au11_resample": lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", V.resample(F.col("embedding").cast("array<double>"), 1.5).alias("x")).select("vec_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + x), 6).alias("total")),
         "au12_durations": lambda s, d: V.assembled(conversations(s, d).select("conv_id", "turn", (F.length("text") * 800).cast("long").alias("n_samples"), (F.lit(300) + F.pmod(F.col("turn") * 37, F.lit(500))).alias("pause_ms"))),
         "au12_assemble": lambda s, d: audio.assemble(_speech(s, d), RATE).select("conv_id", "seconds", F.length("wav").alias("n_bytes")),
-        "au13_all_turns": lambda s, d: scored_turns(s, d).groupBy("conv_id").agg(F.every(F.col("score") >= 8.5).alias("kept")),
-        "au14_manifest": lambda s, d: config.manifest(scored_turns(s, d).groupBy("conv_id").agg(F.every(F.col("score") >= 8.5).alias("ok"), F.sum(F.col("score")).alias("seconds"))).select("total", "success", "failed", "seconds"),
+        "au13_all_turns": lambda s, d: _outcomes(s, d).select("conv_id", F.col("ok").alias("kept")),
+        "au14_manifest": lambda s, d: config.manifest(_outcomes(s, d)).select("total", "success", "failed", "seconds"),
         "io11_list_pairs": lambda s, d: s.createDataFrame([(p,) for p in config.list_pairs()], "pair string"),
     }
 
@@ -399,7 +413,8 @@ SELECT conv_id, md5(CAST(to_json(struct_pack(dialogue_id := 'DLG_' || substr(md5
         "au11_resample": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), i AS (SELECT vec_id, x, unnest(range(0, floor(len(x) / 1.5)::BIGINT)) AS k FROM e), p AS (SELECT *, k * 1.5::DOUBLE AS place, floor(k * 1.5)::BIGINT AS lo FROM i)\n"
         "SELECT vec_id, count(*)::INT AS n, round(sum(CASE WHEN lo + 1 < len(x) THEN x[lo + 1] * (1.0 - (place - lo)) + x[lo + 2] * (place - lo) ELSE x[lo + 1] END), 6) AS total FROM p GROUP BY vec_id",
         "au12_durations": "WITH t AS (SELECT conv_id, length(text) * 800 + CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 THEN 0 ELSE 16000 * (300 + turn * 37 % 500) // 1000 END AS n FROM conversations) SELECT conv_id, sum(n)::BIGINT AS n_samples, round(sum(n) / 16000::DOUBLE, 3) AS seconds, count(*) AS n_turns FROM t GROUP BY ALL",
-        "au13_all_turns": f"WITH {TURNS_SQL} SELECT conv_id, bool_and(score >= 8.5) AS kept FROM t GROUP BY ALL",
-        "au14_manifest": f"WITH {TURNS_SQL}, g AS (SELECT conv_id, bool_and(score >= 8.5) AS ok, sum(score) AS seconds FROM t GROUP BY ALL) SELECT count(*) AS total, sum(ok::INT)::BIGINT AS success, sum((NOT ok)::INT)::BIGINT AS failed, round(sum(CASE WHEN ok THEN seconds END), 3) AS seconds FROM g",
+        "au13_all_turns": "SELECT conv_id, bool_and(NOT contains(coalesce(text, ''), '?')) AS kept FROM conversations GROUP BY conv_id",
+        "au14_manifest": f"WITH g AS (SELECT conv_id, bool_and(NOT contains(coalesce(text, ''), '?')) AS ok, sum(round(n / {RATE}::DOUBLE, 3)) AS seconds FROM {said.replace('SELECT conv_id, turn,', 'SELECT conv_id, turn, text,', 1)} GROUP BY conv_id) "
+        "SELECT count(*) AS total, sum(ok::INT)::BIGINT AS success, sum((NOT ok)::INT)::BIGINT AS failed, round(sum(CASE WHEN ok THEN seconds END), 3) AS seconds FROM g",
         "io11_list_pairs": "SELECT * FROM (VALUES " + ", ".join(f"('{p}')" for p in config.list_pairs()) + ") v(pair)",
     }

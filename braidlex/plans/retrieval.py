@@ -120,6 +120,10 @@ def queries() -> dict:
         "tr10_query": lambda s, d: _table(s, d, "nation").select("n_nationkey", responses.search_query(F.lit("{topic} today"), F.col("n_name")).alias("query"), responses.arxiv_query(F.array("n_name", F.lit("x"))).alias("categories")),
         "tr12_provider_chain": lambda s, d: chain(s, d, 8).select("topic", "provider", "pos", "title", "rank"),
         "tr15_ttl_cache": lambda s, d: R.ttl_cache(_table(s, d, "events"), ["user_id", "event_type"], "ts", "event_id", 86400).select("user_id", "event_type", "event_id", "hit"),
+        "tr15_cached_value": lambda s, d: R.cached_values(
+            _table(s, d, "events").withColumn("found", F.col("event_id") % 3 != 0), _table(s, d, "events").filter("event_id % 3 <> 0").select("event_id", "value", F.concat(F.lit("about "), "props").alias("content")),
+            ["user_id", "event_type"], "ts", "event_id", 86400, "found",
+        ).select("user_id", "event_type", "event_id", "hit", "answered_by", "value", F.md5("content").alias("content_md5")),
         "tr15_empty_results": lambda s, d: R.ttl_cache(_table(s, d, "events").withColumn("found", F.col("event_id") % 3 != 0), ["user_id", "event_type"], "ts", "event_id", 86400, "found").select("user_id", "event_type", "event_id", "hit"),
         "tr16_format": lambda s, d: R.format_snippets(chain(s, d, 3).select(F.col("topic").alias("k"), "rank", F.trim("title").alias("content"), F.col("provider").alias("source")), "k"),
         "tr16_format_zh": lambda s, d: R.format_snippets(chain(s, d, 3).select(F.col("topic").alias("k"), "rank", F.trim("title").alias("content"), F.when(F.col("rank") > 1, F.col("provider")).alias("source")), "k", R.FRAMES["zh"]),
@@ -144,11 +148,12 @@ ranked AS (SELECT topic, provider, pos, title, row_number() OVER (PARTITION BY t
         return f"""WITH {chained(3)} SELECT topic AS k, '{head}' || string_agg(rank || '. ' || trim(title) || CASE WHEN coalesce({source}, '') <> '' THEN chr(10) || '   (' || {source} || ')' ELSE '' END, chr(10) || chr(10) ORDER BY rank) || '{tail}' AS block
 FROM ranked GROUP BY topic"""
 
-    def cache(kept: str) -> str:
+    def cache(kept: str, source: bool = False) -> str:
         return f"""WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, ts, epoch_us(ts) AS t, {kept} AS found, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
-f AS (SELECT user_id, event_type, event_id, n, CASE WHEN found THEN t END AS last, false AS hit FROM e WHERE n = 1
-  UNION ALL SELECT e.user_id, e.event_type, e.event_id, e.n, CASE WHEN coalesce(e.t - f.last < 86400000000, false) OR NOT e.found THEN f.last ELSE e.t END, coalesce(e.t - f.last < 86400000000, false)
-  FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.n = f.n + 1) SELECT user_id, event_type, event_id, hit FROM f"""
+f AS (SELECT user_id, event_type, event_id, n, CASE WHEN found THEN t END AS last, false AS hit, event_id AS answered_by, CASE WHEN found THEN event_id END AS source FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_type, e.event_id, e.n, CASE WHEN coalesce(e.t - f.last < 86400000000, false) OR NOT e.found THEN f.last ELSE e.t END, coalesce(e.t - f.last < 86400000000, false),
+    CASE WHEN coalesce(e.t - f.last < 86400000000, false) THEN f.source ELSE e.event_id END, CASE WHEN coalesce(e.t - f.last < 86400000000, false) OR NOT e.found THEN f.source ELSE e.event_id END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.n = f.n + 1) {"SELECT f.user_id, f.event_type, f.event_id, hit, answered_by, r.value, md5('about ' || r.props) AS content_md5 FROM f LEFT JOIN (SELECT * FROM events WHERE event_id % 3 <> 0) r ON r.event_id = answered_by" if source else "SELECT user_id, event_type, event_id, hit FROM f"}"""
 
     paper = "'Paper ' || item_id || '  on x'"
     cleaned = trim("replace(regexp_replace(coalesce(text, ''), '<[^>]+>', '', 'g'), chr(10), ' ')")
@@ -174,6 +179,7 @@ f AS (SELECT user_id, event_type, event_id, n, CASE WHEN found THEN t END AS las
         "tr12_provider_chain": f"WITH {chained(8)} SELECT * FROM ranked",
         "tr15_ttl_cache": cache("true"),
         "tr15_empty_results": cache("event_id % 3 <> 0"),
+        "tr15_cached_value": cache("event_id % 3 <> 0", source=True),
         "tr16_format": block("provider", R.FRAMES["en"]),
         "tr16_format_zh": block("CASE WHEN rank > 1 THEN provider END", R.FRAMES["zh"]),
     }
