@@ -103,6 +103,33 @@ def requests(spark: SparkSession) -> DataFrame:
 REQUESTS_SQL = "req AS (SELECT i AS req, 'ARC_0' || (i % 70 + 1) AS archetype, (['click', 'purchase', 'none', 'view'])[i % 4 + 1] AS topic FROM range(200) r(i))"
 
 
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as people of a region: one of ours with the nation's name."""
+    c, n = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    own = F.get(F.array(*map(F.lit, REGIONS)), F.pmod("c_custkey", F.lit(len(REGIONS))).cast("int"))
+    return c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("id"), F.trim(F.concat(own, F.lit(" "), F.when(F.pmod("c_custkey", F.lit(2)) == 0, F.initcap("n_name")).otherwise(""))).alias("region"))
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as descriptions of a person: one of ours before each text."""
+    k = F.pmod("doc_id", F.lit(len(PERSONA_TEXTS))).cast("int")
+    text, job = (F.get(F.array(*[F.lit(p[i]) for p in PERSONA_TEXTS]), k) for i in (0, 1))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.concat(text, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"), job.alias("job"))
+
+
+REGIONS_SQL = "(SELECT c_custkey AS id, trim(([" + ", ".join(map(_q, REGIONS)) + f"])[c_custkey % {len(REGIONS)} + 1] || ' ' || CASE WHEN c_custkey % 2 = 0 THEN list_reduce(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || ' ' || b) ELSE '' END) AS region FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+PEOPLE_SQL = "(SELECT doc_id AS id, ([" + ", ".join(_q(p[0]) for p in PERSONA_TEXTS) + f"])[doc_id % {len(PERSONA_TEXTS)} + 1] || ' ' || coalesce(text, '') AS text, ([" + ", ".join(_q(p[1]) for p in PERSONA_TEXTS) + f"])[doc_id % {len(PERSONA_TEXTS)} + 1] AS job FROM documents)"
+
+
+def _pair_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder for each nation that has customers, with a language.yaml (a dimension: 25 small files), and what is found there."""
+    c, n = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    names = n.join(c, n.n_nationkey == c.c_nationkey, "left_semi").select(F.lower(F.regexp_replace("n_name", " ", "_")).alias("pair"))
+    root = f"{run_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    config.write_files(spark, {f"{root}/{r.pair}_en/language.yaml": f"l1_code: {r.pair[:2]}\nl2_code: en\n" for r in names.collect()} | {f"{root}/no_pair/notes.txt": "x"})
+    return config.pair_folders(spark, root)
+
+
 def voice_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(v, g, a, list(ls), c) for v, g, a, ls, c in V.VOICES], "voice string, gender string, age string, languages array<string>, accent string")
 
@@ -191,7 +218,8 @@ def _system(language: str) -> Column:
 def queries() -> dict:
     dims = S.dimensions
     rows = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("row"))
-    replies = lambda s: s.createDataFrame(list(enumerate(REPLIES)), "id long, raw string")
+    reply = F.get(F.array(*map(F.lit, REPLIES)), F.pmod(F.col("conv_id") * 5 + F.col("turn"), F.lit(len(REPLIES))).cast("int"))
+    replies = lambda s, d: conversations(s, d).select("conv_id", "turn", F.concat(reply, F.lit(" "), F.coalesce("text", F.lit(""))).alias("raw"))
     acc = lambda s, d, **k: D.accommodation(scored_turns(s, d), **k)
     return {
         "sa_profiles": lambda s, d: S.sample(rows(s, d), dims(s)).select(*_PROFILE),
@@ -217,9 +245,9 @@ def queries() -> dict:
         "dg15_turn_prompt_zh": lambda s, d: _turn_prompts(s, d, "zh"),
         "dg14_turn_instruction_zh": lambda s, d: _instructions(s, d, "zh"),
         "dg16_system_prompt": lambda s, d: S.sample(rows(s, d), dims(s)).select("row", _system("en").alias("prompt")),
-        "dg17_clean_reply": lambda s, d: D.clean_reply(replies(s), "raw", "reply").select("id", "reply"),
+        "dg17_clean_reply": lambda s, d: D.clean_reply(replies(s, d), "raw", "reply").select("conv_id", "turn", "reply"),
         "dg17_clean_turns": lambda s, d: D.clean_reply(raw_replies(s, d), "raw", "reply").select("conv_id", "turn", "reply"),
-        "dg18_clean_reply_old": lambda s, d: D.clean_reply_old(replies(s), "raw", "reply").select("id", "reply"),
+        "dg18_clean_reply_old": lambda s, d: D.clean_reply_old(replies(s, d), "raw", "reply").select("conv_id", "turn", "reply"),
         "dg18_clean_turns_old": lambda s, d: D.clean_reply_old(raw_replies(s, d), "raw", "reply").select("conv_id", "turn", "reply"),
         "dg19_speaker_record": lambda s, d: S.sample(rows(s, d).withColumn("draw", F.concat_ws(":", "row", F.lit("b"))), dims(s), row="draw").select("row", _speaker(S.draw("tendency", 42, F.col("draw"))).alias("speaker")),
         "dg20_dialogue_json": lambda s, d: _dialogue_records(s, d),
@@ -231,21 +259,21 @@ def queries() -> dict:
         "eb2_bank_order": lambda s, d: _bank_read_back(s, d).select("seq", "archetype", F.md5("speaker_text").alias("text_md5"), "score"),
         "eb3_retrieve": lambda s, d: D.retrieve_examples(requests(s), bank(s, d), 3),
         "eb7_total": lambda s, d: D.admit_examples(scored_turns(s, d), 9.0).agg(F.count(F.lit(1)).alias("n")),
-        "vo1_accent": lambda s, d: s.createDataFrame(list(enumerate(REGIONS)), "id long, region string").select("id", V.accent(F.col("region")).alias("accent")),
-        "vo2_gender_age": lambda s, d: s.createDataFrame([(i, *r) for i, r in enumerate(PERSONA_TEXTS)], "id long, text string, job string").select("id", V.gender(F.col("text")).alias("gender"), V.age_group(F.col("text"), F.col("job")).alias("age")),
+        "vo1_accent": lambda s, d: regions(s, d).select("id", V.accent(F.col("region")).alias("accent")),
+        "vo2_gender_age": lambda s, d: people(s, d).select("id", V.gender(F.col("text")).alias("gender"), V.age_group(F.col("text"), F.col("job")).alias("age")),
         "vo6_best_voice": lambda s, d: V.best_voice(speakers(s, d).select("id", "languages", F.col("gender_a").alias("gender"), F.col("age_a").alias("age"), F.col("accent_a").alias("accent")), voice_table(s)).select("id", "voice", F.col("voice_score").cast("int").alias("voice_score")),
         "vo7_voice_pair": lambda s, d: V.voice_pairs(speakers(s, d), voice_table(s)),
-        "vo8_by_language": lambda s, d: voice_table(s).select(F.explode("languages").alias("language"), "voice"),
+        "vo8_by_language": lambda s, d: speakers(s, d).select(F.explode("languages").alias("language"), F.col("id").alias("voice")),
         "au1_speech_pieces": lambda s, d: conversations(s, d).select("conv_id", "turn", V.speech_pieces(F.col("text")).alias("p")).select("conv_id", "turn", F.size("p").alias("n_pieces"), F.md5(F.array_join("p", "\n")).alias("pieces_md5")),
         "au2_synthesize": lambda s, d: _speech(s, d).select("conv_id", "turn", "seconds", F.length("wav").alias("n_bytes"), "error"),
         "au4_turn_file": lambda s, d: conversations(s, d).select("conv_id", "turn", V.turn_file(F.col("turn"), F.col("role")).alias("file")),
-        "au7_silence": lambda s, d: s.range(0, 900, 50).select(F.col("id").alias("ms"), V.silence_samples(16000, F.col("id")).alias("n")),
+        "au7_silence": lambda s, d: conversations(s, d).select("conv_id", "turn", V.silence_samples(16000, 300 + F.pmod(F.col("conv_id") * 37 + F.col("turn") * 91, F.lit(501))).alias("n")),
         "au11_resample": lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", V.resample(F.col("embedding").cast("array<double>"), 1.5).alias("x")).select("vec_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + x), 6).alias("total")),
         "au12_durations": lambda s, d: V.assembled(conversations(s, d).select("conv_id", "turn", (F.length("text") * 800).cast("long").alias("n_samples"), (F.lit(300) + F.pmod(F.col("turn") * 37, F.lit(500))).alias("pause_ms"))),
         "au12_assemble": lambda s, d: audio.assemble(_speech(s, d), RATE).select("conv_id", "seconds", F.length("wav").alias("n_bytes")),
         "au13_all_turns": lambda s, d: _outcomes(s, d).select("conv_id", F.col("ok").alias("kept")),
         "au14_manifest": lambda s, d: config.manifest(_outcomes(s, d)).select("total", "success", "failed", "seconds"),
-        "io11_list_pairs": lambda s, d: s.createDataFrame([(p,) for p in config.list_pairs()], "pair string"),
+        "io11_list_pairs": lambda s, d: _pair_folders(s, d),
     }
 
 
@@ -296,11 +324,11 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT req, {tier} AS tier, rank, seq FROM req JOIN (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rank, count(*) OVER (PARTITION BY {keys}) AS have FROM bank) x USING ({keys}) WHERE have >= {least} AND rank <= 3"
         for tier, keys, least, order in ((1, "archetype, topic", 3, "score DESC, seq"), (2, "archetype", 3, "score DESC, seq"), (3, "topic", 1, "score DESC, seq"), (4, "archetype, topic", 1, "seq"))
     )
-    replies = _values(tuple(enumerate(REPLIES)), "id, raw")
-    clean = f"WITH {D.clean_reply_sql(replies, 'raw')} SELECT id, t AS reply FROM cl"
-    old = f"WITH {D.clean_reply_old_sql(replies, 'raw')} SELECT id, t AS reply FROM co"
+    replies = "(SELECT conv_id, turn, ([" + ", ".join(map(_q, REPLIES)) + f"])[(conv_id * 5 + turn) % {len(REPLIES)} + 1] || ' ' || coalesce(text, '') AS raw FROM conversations)"
+    clean = f"WITH {D.clean_reply_sql(replies, 'raw')} SELECT conv_id, turn, t AS reply FROM cl"
+    old = f"WITH {D.clean_reply_old_sql(replies, 'raw')} SELECT conv_id, turn, t AS reply FROM co"
     voices = f"WITH {_VOICE_SQL},\n{_SPEAKERS_SQL},\n{_voice_sql('sp', 'a', 42, 'true', 'va')}"
-    people = _values(tuple((i, *r) for i, r in enumerate(PERSONA_TEXTS)), "id, text, job")
+    people = PEOPLE_SQL
     fem, mal = _contains_sum("lower(text)", V.FEMALE), _contains_sum("lower(text)", V.MALE)
     both = "lower(text || ' ' || job)"
     level = f"({S.LEVEL_SQL})"
@@ -403,18 +431,18 @@ SELECT conv_id, md5(CAST(to_json(struct_pack(dialogue_id := 'DLG_' || substr(md5
         "eb2_bank_order": f"WITH {TURNS_SQL} SELECT row_number() OVER (ORDER BY conv_id, turn) AS seq, 'ARC_0' || (conv_id % 6 + 1) AS archetype, md5(coalesce(text, '')) AS text_md5, score FROM t WHERE score >= 9.0",
         "eb3_retrieve": f"WITH {BANK_SQL},\n{REQUESTS_SQL},\nf AS ({tiers}) SELECT req, tier, rank, seq FROM f QUALIFY tier = min(tier) OVER (PARTITION BY req)",
         "eb7_total": f"WITH {TURNS_SQL} SELECT count(*) AS n FROM t WHERE score >= 9.0",
-        "vo1_accent": f"SELECT id, {_accent_sql('region')} AS accent FROM {_values(tuple(enumerate(REGIONS)), 'id, region')}",
+        "vo1_accent": f"SELECT id, {_accent_sql('region')} AS accent FROM {REGIONS_SQL}",
         "vo2_gender_age": f"SELECT id, CASE WHEN {fem} > {mal} THEN 'female' WHEN {mal} > {fem} THEN 'male' ELSE 'unknown' END AS gender, CASE WHEN {_contains_sum(both, V.YOUNG)} > 0 THEN 'young' WHEN {_contains_sum(both, V.SENIOR)} > 0 THEN 'senior' ELSE 'middle' END AS age FROM {people}",
         "vo6_best_voice": voices + " SELECT id, va_voice AS voice, va_score::INT AS voice_score FROM va",
         "vo7_voice_pair": voices + f",\n{_voice_sql('va', 'b', 43, 'voice <> va_voice', 'vb')} SELECT id, va_voice AS voice_a, vb_voice AS voice_b FROM vb".replace("shares,\n", "shares,\n"),
-        "vo8_by_language": f"WITH {_VOICE_SQL} SELECT unnest(languages) AS language, voice FROM vo",
+        "vo8_by_language": f"WITH {_SPEAKERS_SQL} SELECT unnest(languages) AS language, id AS voice FROM sp",
         "au4_turn_file": "SELECT conv_id, turn, 'turn_' || turn || '_' || role || '.wav' AS file FROM conversations",
-        "au7_silence": "SELECT i AS ms, (16000 * i // 1000)::BIGINT AS n FROM range(0, 900, 50) r(i)",
+        "au7_silence": "SELECT conv_id, turn, (16000 * (300 + (conv_id * 37 + turn * 91) % 501) // 1000)::BIGINT AS n FROM conversations",
         "au11_resample": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), i AS (SELECT vec_id, x, unnest(range(0, floor(len(x) / 1.5)::BIGINT)) AS k FROM e), p AS (SELECT *, k * 1.5::DOUBLE AS place, floor(k * 1.5)::BIGINT AS lo FROM i)\n"
         "SELECT vec_id, count(*)::INT AS n, round(sum(CASE WHEN lo + 1 < len(x) THEN x[lo + 1] * (1.0 - (place - lo)) + x[lo + 2] * (place - lo) ELSE x[lo + 1] END), 6) AS total FROM p GROUP BY vec_id",
         "au12_durations": "WITH t AS (SELECT conv_id, length(text) * 800 + CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 THEN 0 ELSE 16000 * (300 + turn * 37 % 500) // 1000 END AS n FROM conversations) SELECT conv_id, sum(n)::BIGINT AS n_samples, round(sum(n) / 16000::DOUBLE, 3) AS seconds, count(*) AS n_turns FROM t GROUP BY ALL",
         "au13_all_turns": "SELECT conv_id, bool_and(NOT contains(coalesce(text, ''), '?')) AS kept FROM conversations GROUP BY conv_id",
         "au14_manifest": f"WITH g AS (SELECT conv_id, bool_and(NOT contains(coalesce(text, ''), '?')) AS ok, sum(round(n / {RATE}::DOUBLE, 3)) AS seconds FROM {said.replace('SELECT conv_id, turn,', 'SELECT conv_id, turn, text,', 1)} GROUP BY conv_id) "
         "SELECT count(*) AS total, sum(ok::INT)::BIGINT AS success, sum((NOT ok)::INT)::BIGINT AS failed, round(sum(CASE WHEN ok THEN seconds END), 3) AS seconds FROM g",
-        "io11_list_pairs": "SELECT * FROM (VALUES " + ", ".join(f"('{p}')" for p in config.list_pairs()) + ") v(pair)",
+        "io11_list_pairs": "SELECT DISTINCT replace(lower(n_name), ' ', '_') || '_en' AS pair FROM nation JOIN customer ON n_nationkey = c_nationkey",
     }

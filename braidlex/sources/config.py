@@ -84,6 +84,16 @@ def pair_folders(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -2).alias("pair")).distinct().orderBy("pair")
 
 
+def write_files(spark: SparkSession, files: dict[str, str]) -> None:
+    """Small configuration files, by path, through Hadoop's file system, so any store will do."""
+    jvm = spark.sparkContext._jvm
+    for name, text in files.items():
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        out.write(text.encode())
+        out.close()
+
+
 def _exists(spark: SparkSession, pattern: str) -> bool:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
     return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
