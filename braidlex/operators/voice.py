@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidlex.plans.tables import cut
+
 # Region keys in order, and the keywords from which gender and age are inferred.
 REGION_ACCENT = (
     ("中国大陆", "mainland"), ("mainland", "mainland"), ("北京", "mainland"), ("上海", "mainland"), ("香港", "hongkong"), ("hongkong", "hongkong"), ("hong kong", "hongkong"), ("台湾", "taiwan"),
@@ -45,47 +49,119 @@ def age_group(text: Column, profession: Column) -> Column:
     return F.when(_hits(low, YOUNG) > 0, "young").when(_hits(low, SENIOR) > 0, "senior").otherwise("middle")
 
 
-#: Voices that a catalogue may hold; it travels as one row.
-MAX_VOICES = 10_000
+#: Voices of a catalogue that travels as one row; signatures in one piece of an index, and voices in one tile of a class.
+MAX_VOICES, SIGNATURES, VOICE_TILE = 10_000, 2000, 5000
 _TRAITS = ("voice", "gender", "age", "languages", "accent")
+_SIGNATURE = ("gender", "age", "languages", "accent")
+
+
+def _is_short(voices: DataFrame) -> bool:
+    return voices.limit(MAX_VOICES + 1).count() <= MAX_VOICES
 
 
 def _catalogue(voices: DataFrame) -> DataFrame:
-    """All voices in one row."""
-    found = voices.limit(MAX_VOICES + 1).count()
-    if found > MAX_VOICES:
-        raise ValueError(f"more than {MAX_VOICES} voices")
+    """All voices of a short catalogue in one row."""
     return voices.agg(F.collect_list(F.struct(*_TRAITS)).alias("__voices"))
 
 
+def _rank(side: dict[str, Column], v: Column) -> tuple[Column, Column]:
+    """Whether a language is shared, and the score."""
+    shares = F.arrays_overlap(side["languages"], v["languages"])
+    score = (
+        F.when(F.array_contains(v["languages"], F.get(side["languages"], F.lit(0))), 16).when(shares, 4).otherwise(0)
+        + F.when((side["gender"] != "unknown") & (side["gender"] == v["gender"]), 4).otherwise(0)
+        + F.when(side["age"] == v["age"], 2).otherwise(0)
+        + F.when((side["accent"] != "") & (side["accent"] == v["accent"]), 1).otherwise(0)
+    )
+    return shares, score
+
+
+def _tie(seed: int, id_: Column, voice: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}|"), id_.cast("string"), F.lit("|"), voice))
+
+
 def _best(voices: Column, side: dict[str, Column], seed: int) -> Column:
     """struct(shares, score, tie, voice) of the best of an array of voices; null where there is none."""
 
     def rank(v: Column) -> Column:
-        shares = F.arrays_overlap(side["languages"], v["languages"])
-        score = (
-            F.when(F.array_contains(v["languages"], F.get(side["languages"], F.lit(0))), 16).when(shares, 4).otherwise(0)
-            + F.when((side["gender"] != "unknown") & (side["gender"] == v["gender"]), 4).otherwise(0)
-            + F.when(side["age"] == v["age"], 2).otherwise(0)
-            + F.when((side["accent"] != "") & (side["accent"] == v["accent"]), 1).otherwise(0)
-        )
-        tie = F.md5(F.concat(F.lit(f"{seed}|"), side["id"].cast("string"), F.lit("|"), v["voice"]))
-        return F.struct(shares.alias("shares"), score.alias("score"), tie.alias("tie"), v["voice"].alias("voice"))
+        shares, score = _rank(side, v)
+        return F.struct(shares.alias("shares"), score.alias("score"), _tie(seed, side["id"], v["voice"]).alias("tie"), v["voice"].alias("voice"))
 
     return F.array_max(F.transform(voices, rank))
 
 
+@dataclass(frozen=True)
+class Index:
+    """A long catalogue by signature (the traits without the voice): pieces of signatures, and the voices of each in tiles."""
+
+    pieces: DataFrame  # piece, signatures
+    n_pieces: int
+    tiles: DataFrame  # class, names
+
+
+def voice_index(voices: DataFrame) -> Index:
+    counted = voices.groupBy(*_SIGNATURE).agg(F.count(F.lit(1)).alias("n")).withColumn("class", F.monotonically_increasing_id())
+    classes = cut(counted, "voice_classes")
+    n_pieces = max(1, -(-classes.count() // SIGNATURES))
+    piece = F.pmod(F.xxhash64("class"), F.lit(n_pieces)).cast("int").alias("piece")
+    pieces = cut(classes.groupBy(piece).agg(F.collect_list(F.struct("class", "n", *_SIGNATURE)).alias("signatures")), "signatures")
+    same = F.lit(True)
+    for trait in _SIGNATURE:
+        same = same & voices[trait].eqNullSafe(classes[trait])
+    placed = voices.join(classes, same).select("class", voices["voice"], F.pmod(F.xxhash64(voices["voice"]), F.ceil(F.col("n") / VOICE_TILE)).alias("tile"))
+    return Index(pieces, n_pieces, cut(placed.groupBy("class", "tile").agg(F.collect_list("voice").alias("names")), "voice_tiles"))
+
+
+def _from_index(speakers: DataFrame, index: Index, seed: int, exclude: str | None = None) -> DataFrame:
+    """speakers(__row, id, languages, gender, age, accent) to __row, __voice, __score.
+
+    Distinct speaker signatures meet the pieces of signatures; the best class
+    stays, and the next best where the best holds one voice alone, which may be
+    the excluded one. Then only the voices of those classes are compared by the
+    tie, tile by tile.
+    """
+    distinct = cut(speakers.select(*_SIGNATURE).distinct().withColumn("__key", F.monotonically_increasing_id()), "speaker_signatures")
+    side = {name: F.col(name) for name in _SIGNATURE}
+
+    def ranked(v: Column) -> Column:
+        shares, score = _rank(side, v)
+        return F.struct(F.struct(shares.alias("shares"), score.alias("score")).alias("rank"), v["n"].alias("n"), v["class"].alias("class"))
+
+    met = distinct.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(index.n_pieces - 1)))).join(index.pieces, "piece")
+    found = met.select("__key", F.transform("signatures", ranked).alias("found"))
+    # of each piece, the classes of its two best ranks
+    tops = found.withColumn("tops", F.slice(F.sort_array(F.array_distinct(F.transform("found", lambda c: c["rank"])), asc=False), 1, 2))
+    kept = tops.select("__key", F.inline(F.filter("found", lambda c: F.array_contains(F.col("tops"), c["rank"]))))
+    by_rank = Window.partitionBy("__key").orderBy(F.desc("rank"))
+    placed = kept.withColumns({"place": F.dense_rank().over(by_rank), "held": F.sum("n").over(Window.partitionBy("__key", "rank"))})
+    best = placed.filter("place <= 2").withColumn("alone", F.min(F.when(F.col("place") == 1, F.col("held"))).over(Window.partitionBy("__key")) == 1)
+    winners = best.filter("place = 1 OR alone").select("__key", "class", "rank")
+    same = F.lit(True)
+    for trait in _SIGNATURE:
+        same = same & speakers[trait].eqNullSafe(distinct[trait])
+    keyed = speakers.join(distinct, same).select(speakers["__row"], speakers["id"], "__key", *([speakers[exclude]] if exclude else []))
+    tiles = keyed.join(winners, "__key").join(index.tiles, "class")
+    names = F.filter("names", lambda n: n != F.col(exclude)) if exclude else F.col("names")
+    one = F.array_max(F.transform(names, lambda n: F.struct(_tie(seed, F.col("id"), n).alias("tie"), n.alias("voice"))))
+    top = F.max(F.when(one.isNotNull(), F.struct("rank", one.alias("one")))).alias("top")
+    return tiles.groupBy("__row").agg(top).select("__row", F.col("top.one.voice").alias("__voice"), F.col("top.rank.score").alias("__score"))
+
+
 def best_voice(speakers: DataFrame, voices: DataFrame, seed: int = 42) -> DataFrame:
     """speakers(id, languages, gender, age, accent) plus voice and voice_score: shared language first, ties by a hash.
 
-    Candidates share a language; where there is none, all voices are. The
-    catalogue is one row of at most MAX_VOICES voices, so speakers are ranked in
-    one projection, without a shuffle, and equal rows stay apart. An empty
-    catalogue gives null.
+    Candidates share a language; where there is none, all voices are. A
+    catalogue of at most MAX_VOICES voices is one row, so speakers are ranked
+    in one projection, without a shuffle; a longer one is an index by
+    signature. Equal rows stay apart. An empty catalogue gives null.
     """
-    best = _best(F.col("__voices"), {n: F.col(n) for n in ("id", "languages", "gender", "age", "accent")}, seed)
-    ranked = speakers.crossJoin(F.broadcast(_catalogue(voices))).withColumn("__best", best)
-    return ranked.select(*speakers.columns, F.col("__best.voice").alias("voice"), F.col("__best.score").alias("voice_score"))
+    if _is_short(voices):
+        best = _best(F.col("__voices"), {n: F.col(n) for n in ("id", "languages", "gender", "age", "accent")}, seed)
+        ranked = speakers.crossJoin(F.broadcast(_catalogue(voices))).withColumn("__best", best)
+        return ranked.select(*speakers.columns, F.col("__best.voice").alias("voice"), F.col("__best.score").alias("voice_score"))
+    rows = cut(speakers.withColumn("__row", F.monotonically_increasing_id()), "speakers")
+    found = _from_index(rows, voice_index(voices), seed)
+    return rows.join(found, "__row", "left").select(*speakers.columns, F.col("__voice").alias("voice"), F.col("__score").alias("voice_score"))
 
 
 def voice_pairs(dialogues: DataFrame, voices: DataFrame, strict: bool = True) -> DataFrame:
@@ -98,12 +174,21 @@ def voice_pairs(dialogues: DataFrame, voices: DataFrame, strict: bool = True) ->
     def side(s: str) -> dict[str, Column]:
         return {"id": F.col("id"), "languages": F.col("languages"), **{n: F.col(f"{n}_{s}") for n in ("gender", "age", "accent")}}
 
-    first = dialogues.crossJoin(F.broadcast(_catalogue(voices))).withColumn("voice_a", _best(F.col("__voices"), side("a"), 42)["voice"])
-    others = F.filter("__voices", lambda v: v["voice"] != F.col("voice_a"))
-    second = _best(others, side("b"), 43)["voice"]
+    if _is_short(voices):
+        first = dialogues.crossJoin(F.broadcast(_catalogue(voices))).withColumn("voice_a", _best(F.col("__voices"), side("a"), 42)["voice"])
+        others = F.filter("__voices", lambda v: v["voice"] != F.col("voice_a"))
+        out = first.withColumn("voice_b", _best(others, side("b"), 43)["voice"])
+    else:
+        index = voice_index(voices)
+        rows = cut(dialogues.withColumn("__row", F.monotonically_increasing_id()), "dialogues")
+        a = _from_index(rows.select("__row", *[c.alias(n) for n, c in side("a").items()]), index, 42).select("__row", F.col("__voice").alias("voice_a"))
+        with_a = cut(rows.join(a, "__row", "left"), "first_voices")
+        b = _from_index(with_a.select("__row", "voice_a", *[c.alias(n) for n, c in side("b").items()]), index, 43, "voice_a").select("__row", F.col("__voice").alias("voice_b"))
+        out = with_a.join(b, "__row", "left")
+    second = F.col("voice_b")
     if strict:
         second = F.coalesce(second, F.raise_error(F.concat(F.lit("no second voice for dialogue "), F.coalesce(F.col("id").cast("string"), F.lit("null")))).cast("string"))
-    return first.select("id", "voice_a", second.alias("voice_b"))
+    return out.select("id", "voice_a", second.alias("voice_b"))
 
 
 def speech_pieces(text: Column) -> Column:
