@@ -87,23 +87,23 @@ def dimensions(spark: SparkSession) -> dict[str, DataFrame]:
 def sample(rows: DataFrame, dims: dict[str, DataFrame], seed: int = 42, row: str = "row") -> DataFrame:
     """A profile for each row id: persona, archetype, topic, relationship, formality, dialogue type, words, CMI, level.
 
-    All dimensions are read from configuration (tens of rows), so the joins
-    need no shuffle of the rows.
+    Dimensions are usually tens of rows from a configuration; Spark knows their
+    sizes and broadcasts those below its threshold, so the rows are not
+    shuffled. A pool of any size can stand in for them.
     """
     u = lambda stage: draw(stage, seed, F.col(row))
-    small = F.broadcast
     arch = dims["persona_archetype"].join(dims["archetypes"], "archetype", "left").select("persona", "archetype", F.coalesce("weight", F.lit(0.15)).alias("weight"))
     topic = dims["persona_topic"].join(dims["topics"], "topic", "left").select("persona", "topic", F.coalesce("weight", F.lit(0.1)).alias("weight"))
     relation = dims["persona_relationship"].withColumn("weight", F.lit(1.0))
-    out = rows.crossJoin(small(choices(dims["personas"], [], "persona", "weight"))).withColumn("persona", pick("persona_choices", "persona", u("persona"))).drop("persona_choices")
+    out = rows.crossJoin((choices(dims["personas"], [], "persona", "weight"))).withColumn("persona", pick("persona_choices", "persona", u("persona"))).drop("persona_choices")
     for table, value in ((arch, "archetype"), (topic, "topic"), (relation, "relationship")):
-        out = out.join(small(choices(table, ["persona"], value, "weight")), "persona").withColumn(value, pick(f"{value}_choices", value, u(value))).drop(f"{value}_choices")
-    out = out.crossJoin(small(choices(dims["dialogue_types"], [], "dialogue_type", "weight"))).withColumn("dialogue_type", pick("dialogue_type_choices", "dialogue_type", u("type"))).drop("dialogue_type_choices")
-    out = out.join(small(dims["personas"].drop("weight")), "persona").join(small(dims["relationships"]), "relationship").join(small(dims["formality"]), "formality")
-    out = out.join(small(dims["archetypes"].drop("weight")), "archetype").join(small(dims["topics"].select("topic", "shift")), "topic")
+        out = out.join((choices(table, ["persona"], value, "weight")), "persona").withColumn(value, pick(f"{value}_choices", value, u(value))).drop(f"{value}_choices")
+    out = out.crossJoin((choices(dims["dialogue_types"], [], "dialogue_type", "weight"))).withColumn("dialogue_type", pick("dialogue_type_choices", "dialogue_type", u("type"))).drop("dialogue_type_choices")
+    out = out.join((dims["personas"].drop("weight")), "persona").join((dims["relationships"]), "relationship").join((dims["formality"]), "formality")
+    out = out.join((dims["archetypes"].drop("weight")), "archetype").join((dims["topics"].select("topic", "shift")), "topic")
     words = dims["domain_words"]
     exact, general = words.withColumnRenamed("key", "profession").withColumnRenamed("words", "own_words"), words.filter("key = 'general'").select("topic", F.col("words").alias("general_words"))
-    out = out.join(small(exact), ["topic", "profession"], "left").join(small(general), "topic", "left")
+    out = out.join((exact), ["topic", "profession"], "left").join((general), "topic", "left")
     cmi = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("cmi_lo") + F.col("cmi_hi")) / 2 + F.col("formality_shift") + F.col("shift")))
     return out.withColumns({"domain_words": F.coalesce("own_words", "general_words", F.lit("")), "effective_cmi": F.round(cmi, 6)}).withColumn("level", level(F.col("effective_cmi"))).drop("own_words", "general_words")
 

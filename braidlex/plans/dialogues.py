@@ -212,7 +212,9 @@ PERSONS = {"close_friends": "a good friend", "teacher_student": "a teacher", "st
 def _system(language: str) -> Column:
     place = D.situation(F.col("dialogue_type"), F.col("relationship"), F.col("topic"), PERSONS, D.FRAMES[language])
     role = F.concat(F.lit("A "), "profession", F.lit(" from "), "region", F.lit("."))
-    return D.system_prompt(role, F.concat(F.lit("English: "), "proficiency"), F.col("archetype"), D.domain_context(F.col("topic"), F.col("domain_words")), place, F.col("formality"), S.level_text(F.col("level"), "Chinese", "English"))
+    names = {"l1_name": "Chinese", "l2_name": "English"}
+    behaviour = D.told(F.col("archetype"), D.BEHAVIOURS, "ARC_01", domain=D.domain_context(F.col("topic"), F.col("domain_words")), **names)
+    return D.system_prompt(role, D.told(F.col("proficiency"), D.PROFICIENCIES, **names), behaviour, F.lit(""), place, F.col("formality"), S.level_text(F.col("level"), "Chinese", "English"))
 
 
 def queries() -> dict:
@@ -345,6 +347,19 @@ def oracle_sql() -> dict[str, str]:
     person = "CASE relationship " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PERSONS.items()) + " ELSE relationship END"
     place = f"CASE dialogue_type WHEN 'monologue' THEN 'talking alone about ' || topic WHEN 'dyadic' THEN 'talking with ' || {person} || ' about ' || topic ELSE 'talking with several ' || {person} || ' about ' || topic END"
     domain = "CASE WHEN domain_words <> '' THEN 'On ' || topic || ', words like ' || array_to_string(string_split(domain_words, ',')[1:5], ', ') || ' come naturally.' ELSE 'On ' || topic || ', a foreign word slips in now and then.' END"
+    of_pair = {"l1_name": "'Chinese'", "l2_name": "'English'"}
+
+    def told_sql(key: str, templates: dict[str, str], default: str, **values: str) -> str:
+        def one(template: str) -> str:
+            text = _q(template)
+            for name, value in values.items():
+                text = f"replace({text}, '{{{name}}}', {value})"
+            return text
+
+        return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {one(t)}" for k, t in templates.items()) + f" ELSE {one(templates[default]) if default else _q('')} END"
+
+    behaves = told_sql("archetype", D.BEHAVIOURS, "ARC_01", domain=domain, **of_pair)
+    proficient = told_sql("proficiency", D.PROFICIENCIES, "", **of_pair)
     names = ("persona", "age_group", "region", "profession", "proficiency", "archetype", "cmi_lo", "cmi_hi", "topic", "relationship", "formality", "dialogue_type", "domain_words")
     quoted = " || ',' || ".join(f"'\"{n}\":' || {n}" if n.startswith("cmi") else f"'\"{n}\":\"' || {n} || '\"'" for n in names)
 
@@ -405,7 +420,7 @@ SELECT conv_id, md5(CAST(to_json(struct_pack(dialogue_id := 'DLG_' || substr(md5
         "dg15_turn_prompt": prompts("en"),
         "dg15_turn_prompt_zh": prompts("zh"),
         "dg14_turn_instruction_zh": instructions("zh"),
-        "dg16_system_prompt": f"WITH {sa} SELECT row, 'A ' || profession || ' from ' || region || '.' || chr(10) || 'English: ' || proficiency || chr(10) || archetype || chr(10) || {domain} || chr(10) || {place} || chr(10) || formality || chr(10) || {spoken} AS prompt FROM sa",
+        "dg16_system_prompt": f"WITH {sa} SELECT row, 'A ' || profession || ' from ' || region || '.' || chr(10) || {proficient} || chr(10) || {behaves} || chr(10) || {place} || chr(10) || formality || chr(10) || {spoken} AS prompt FROM sa",
         "sa_profiles": f"WITH {sa} SELECT {', '.join(c for c in _PROFILE if c != 'level')}, {S.LEVEL_SQL} AS level FROM sa",
         "sa1_weighted_choice": f"WITH {sa} SELECT persona, count(*) AS n FROM sa GROUP BY ALL",
         "sa3_archetype_given_persona": f"WITH {sa} SELECT persona, archetype, count(*) AS n FROM sa GROUP BY ALL",
