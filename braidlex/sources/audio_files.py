@@ -20,6 +20,7 @@ that all executors share: a mounted path, or a URI that pyarrow knows.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -54,6 +55,8 @@ class Written(WriterCommitMessage):
 class WavWriter(DataSourceWriter):
     def __init__(self, folder: str, overwrite: bool) -> None:
         self.folder, self.job, self.overwrite = folder, uuid.uuid4().hex, overwrite
+        system, path = opened(folder)
+        system.create_dir(self._temporary(path), recursive=True)
 
     def _temporary(self, path: str) -> str:
         return f"{path}/_temporary/{self.job}"
@@ -62,6 +65,7 @@ class WavWriter(DataSourceWriter):
         """In a task: its files under a folder of its own, so a task that is run again writes others."""
         system, path = opened(self.folder)
         own = f"{self._temporary(path)}/{uuid.uuid4().hex}"
+        system.create_dir(own, recursive=False)  # fails where the job is over: a task that outlives it leaves nothing
         places, failed, seconds = {}, 0, 0.0
         for row in rows:
             if row["error"] is not None or row["wav"] is None:
@@ -72,7 +76,9 @@ class WavWriter(DataSourceWriter):
                 raise ValueError(f"{place!r} is no place in the folder")
             if place in places:
                 raise ValueError(f"two rows for {place!r}")
-            system.create_dir(f"{own}/{place}".rsplit("/", 1)[0], recursive=True)
+            levels = place.split("/")[:-1]
+            for n in range(len(levels)):
+                system.create_dir("/".join([own, *levels[: n + 1]]), recursive=False)
             with system.open_output_stream(f"{own}/{place}") as out:
                 out.write(bytes(row["wav"]))
             places[place] = len(row["wav"])
@@ -111,7 +117,21 @@ class WavWriter(DataSourceWriter):
         for held in (self._temporary(path), f"{path}/_temporary"):
             there = system.get_file_info(held).type != pafs.FileType.NotFound
             if there and (held != f"{path}/_temporary" or not system.get_file_info(pafs.FileSelector(held))):
-                system.delete_dir(held)  # the common folder only where no other job is at work
+                _removed(system, held)  # the common folder only where no other job is at work
+
+
+def _removed(system: pafs.FileSystem, folder: str, attempts: int = 5) -> None:
+    """Remove a folder into which a task may still be writing its last file."""
+    for attempt in range(attempts):
+        try:
+            system.delete_dir(folder)
+            return
+        except FileNotFoundError:
+            return
+        except OSError:
+            if attempt == attempts - 1:
+                raise
+            time.sleep(0.2 * 2**attempt)
 
 
 #: A part's list of files and their sizes.
