@@ -28,7 +28,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-def fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fixture(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(FIXTURE)), "doc_id long, text string")
+
+
+def by_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents for the pairs told apart by script: one of our sentences before each text."""
     sentence = F.get(F.array(*map(F.lit, FIXTURE)), F.pmod("doc_id", F.lit(len(FIXTURE))).cast("int"))
     return documents(spark, sf_dir).select("doc_id", F.concat(sentence, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
@@ -234,8 +238,8 @@ def _sql(ctes: str, columns: list[str], source: str) -> str:
 
 def queries() -> dict:
     out = {
-        "ta1_char_class": lambda s, d: A.analyze(fixture(s, d), ZH).select(F.explode_outer("toks").alias("tok"), "tags").filter("tok is not null").groupBy(F.substring("tok", 1, 1).alias("ch")).agg(F.count(F.lit(1)).alias("n")),
-        "ta2_tokenize_unicode": lambda s, d: A.analyze(fixture(s, d), ZH).select("doc_id", F.posexplode_outer("toks").alias("pos", "tok"), "tags").filter("tok is not null").select("doc_id", "pos", "tok", F.substring(F.col("tags"), F.col("pos") + 1, F.lit(1)).alias("tag")),
+        "ta1_char_class": lambda s, d: A.analyze(by_script(s, d), ZH).select(F.explode_outer("toks").alias("tok"), "tags").filter("tok is not null").groupBy(F.substring("tok", 1, 1).alias("ch")).agg(F.count(F.lit(1)).alias("n")),
+        "ta2_tokenize_unicode": lambda s, d: A.analyze(by_script(s, d), ZH).select("doc_id", F.posexplode_outer("toks").alias("pos", "tok"), "tags").filter("tok is not null").select("doc_id", "pos", "tok", F.substring(F.col("tags"), F.col("pos") + 1, F.lit(1)).alias("tag")),
         "ta3_tokenize_lexicon": lambda s, d: A.analyze(documents(s, d), FR).select("doc_id", "n_tokens", F.md5("tags").alias("tags_md5"), F.md5(F.array_join("toks", " ")).alias("tokens_md5")),
         "ta3_ambiguous": lambda s, d: _digest(A.clear_mixing(A.analyze(documents(s, d), FR), FR), ["n_ambiguous", "cmi_clear"]),
         "ta3_lexicon_table": lambda s, d: lexicon.analyze(documents(s, d), FR, corpus_lexicon(s, d), limit=LISTED_WORDS).select("doc_id", "n1", "n2", "n_switches", F.md5("tags").alias("tags_md5")),
@@ -247,12 +251,12 @@ def queries() -> dict:
         "ta9_cmi": lambda s, d: _digest(A.analyze(documents(s, d), FR), ["n1", "n2", "cmi"]),
         "ta10_matrix_language": lambda s, d: A.analyze(documents(s, d), FR).groupBy("matrix").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_content").alias("n_content")),
         "ta11_analyze": lambda s, d: _digest(A.analyze(documents(s, d), FR), _ANALYSIS),
-        "ta11_analyze_fixture": lambda s, d: _digest(A.analyze(fixture(s, d), ZH), _ANALYSIS),
+        "ta11_analyze_fixture": lambda s, d: _digest(A.analyze(by_script(s, d), ZH), _ANALYSIS),
         "q_garbage_pages": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.coalesce("html", F.lit("")).rlike(S.GARBAGE).alias("is_garbage")),
         "q_motivation_distribution": lambda s, d: A.analyze(documents(s, d), FR).select(F.explode_outer("motives").alias("motivation")).filter("motivation is not null").groupBy("motivation").agg(F.count(F.lit(1)).alias("n")),
         "q_diversity": lambda s, d: _digest(novelty(documents(s, d), FR), _DIVERSITY),
         "q_verdict": lambda s, d: _digest(verdicts(documents(s, d), FR), _VERDICT),
-        "q_verdict_fixture": lambda s, d: _digest(verdicts(fixture(s, d), ZH), _VERDICT),
+        "q_verdict_fixture": lambda s, d: _digest(verdicts(by_script(s, d), ZH), _VERDICT),
         "q_accept": lambda s, d: _digest(accepted_verdicts(documents(s, d), FR), [*_VERDICT, "accepted"]),
         "q_decide": lambda s, d: verdicts(documents(s, d), FR).groupBy("archetype", "decision").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("final_score"), 6).alias("avg_score")),
         "q_summary": lambda s, d: summaries(documents(s, d), FR).select("doc_id", F.md5("summary").alias("summary_md5"), F.length("summary").alias("n_chars")),
@@ -261,7 +265,7 @@ def queries() -> dict:
     }
     for name, columns in _SCORES.items():
         out[name] = lambda s, d, c=columns: _digest(scored(documents(s, d), FR), c)
-        out[f"{name}_fixture"] = lambda s, d, c=columns: _digest(scored(fixture(s, d), ZH), c)
+        out[f"{name}_fixture"] = lambda s, d, c=columns: _digest(scored(by_script(s, d), ZH), c)
     return out
 
 
