@@ -58,6 +58,12 @@ def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW_SQL = "(SELECT conv_id, turn, ([{0}])[(conv_id + turn) % {2} + 1] || coalesce(text, '') || ([{1}])[(conv_id + turn) % {2} + 1] AS raw FROM conversations)".format(*(", ".join(_q(w[i]) for w in WRAPPINGS) for i in (0, 1)), len(WRAPPINGS))
 
 
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns behind one of our raw replies."""
+    reply = F.get(F.array(*map(F.lit, REPLIES)), F.pmod(F.col("conv_id") * 5 + F.col("turn"), F.lit(len(REPLIES))).cast("int"))
+    return conversations(spark, sf_dir).select("conv_id", "turn", F.concat(reply, F.lit(" "), F.coalesce("text", F.lit(""))).alias("raw"))
+
+
 def scored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with the mixing index and a score from it; written once, as several windows read them."""
     an = A.analyze(spread(conversations(spark, sf_dir)), FR)
@@ -220,8 +226,6 @@ def _system(language: str) -> Column:
 def queries() -> dict:
     dims = S.dimensions
     rows = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("row"))
-    reply = F.get(F.array(*map(F.lit, REPLIES)), F.pmod(F.col("conv_id") * 5 + F.col("turn"), F.lit(len(REPLIES))).cast("int"))
-    replies = lambda s, d: conversations(s, d).select("conv_id", "turn", F.concat(reply, F.lit(" "), F.coalesce("text", F.lit(""))).alias("raw"))
     acc = lambda s, d, **k: D.accommodation(scored_turns(s, d), **k)
     return {
         "sa_profiles": lambda s, d: S.sample(rows(s, d), dims(s)).select(*_PROFILE),
