@@ -2,7 +2,8 @@
 
 A draw is the first 32 bits of an MD5 of seed, row and stage, so any engine
 gives the same profile for a row, whatever the partitioning. Candidates with
-cumulative weights are one array a persona; a pick is a filter over it.
+cumulative weights are one array a persona; a pick is a filter over it. For
+long pools ``sample`` can draw from alias tables instead (``operators.alias``).
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from braidlex.operators.alias import alias_draw, alias_table
+
 # Archetype weights and ranges, topics, dialogue types, shifts, levels.
 ARCHETYPES = (
     ("ARC_01", 0.30, 0.05, 0.25), ("ARC_02", 0.25, 0.25, 0.45), ("ARC_03", 0.12, 0.45, 0.70), ("ARC_04", 0.13, 0.15, 0.40), ("ARC_05", 0.12, 0.01, 0.10), ("ARC_06", 0.08, 0.10, 0.50),
@@ -84,21 +87,31 @@ def dimensions(spark: SparkSession) -> dict[str, DataFrame]:
     }
 
 
-def sample(rows: DataFrame, dims: dict[str, DataFrame], seed: int = 42, row: str = "row") -> DataFrame:
+def sample(rows: DataFrame, dims: dict[str, DataFrame], seed: int = 42, row: str = "row", tables: bool = False) -> DataFrame:
     """A profile for each row id: persona, archetype, topic, relationship, formality, dialogue type, words, CMI, level.
 
     Dimensions are usually tens of rows from a configuration; Spark knows their
     sizes and broadcasts those below its threshold, so the rows are not
-    shuffled. A pool of any size can stand in for them.
+    shuffled. A pool of any size can stand in for them; with ``tables`` a draw
+    is a lookup in an alias table, whatever the length of the pool (other draws
+    by the same weights).
     """
     u = lambda stage: draw(stage, seed, F.col(row))
     arch = dims["persona_archetype"].join(dims["archetypes"], "archetype", "left").select("persona", "archetype", F.coalesce("weight", F.lit(0.15)).alias("weight"))
     topic = dims["persona_topic"].join(dims["topics"], "topic", "left").select("persona", "topic", F.coalesce("weight", F.lit(0.1)).alias("weight"))
     relation = dims["persona_relationship"].withColumn("weight", F.lit(1.0))
-    out = rows.crossJoin((choices(dims["personas"], [], "persona", "weight"))).withColumn("persona", pick("persona_choices", "persona", u("persona"))).drop("persona_choices")
+
+    def drawn(out: DataFrame, table: DataFrame, by: list[str], value: str, stage: str) -> DataFrame:
+        if tables:
+            return alias_draw(out, alias_table(table, by, value, "weight"), by, value, stage, seed, row)
+        own = choices(table, by, value, "weight")
+        joined = out.join(own, by) if by else out.crossJoin(own)
+        return joined.withColumn(value, pick(f"{value}_choices", value, u(stage))).drop(f"{value}_choices")
+
+    out = drawn(rows, dims["personas"], [], "persona", "persona")
     for table, value in ((arch, "archetype"), (topic, "topic"), (relation, "relationship")):
-        out = out.join((choices(table, ["persona"], value, "weight")), "persona").withColumn(value, pick(f"{value}_choices", value, u(value))).drop(f"{value}_choices")
-    out = out.crossJoin((choices(dims["dialogue_types"], [], "dialogue_type", "weight"))).withColumn("dialogue_type", pick("dialogue_type_choices", "dialogue_type", u("type"))).drop("dialogue_type_choices")
+        out = drawn(out, table, ["persona"], value, value)
+    out = drawn(out, dims["dialogue_types"], [], "dialogue_type", "type")
     out = out.join((dims["personas"].drop("weight")), "persona").join((dims["relationships"]), "relationship").join((dims["formality"]), "formality")
     out = out.join((dims["archetypes"].drop("weight")), "archetype").join((dims["topics"].select("topic", "shift")), "topic")
     words = dims["domain_words"]

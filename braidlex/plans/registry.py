@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidlex.plans import dialogues, evaluation, generation, retrieval
+from braidlex.plans import dialogues, evaluation, generation, pools, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (evaluation, dialogues, generation, retrieval)
+PARTS = (evaluation, dialogues, generation, pools, retrieval)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
