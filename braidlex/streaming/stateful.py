@@ -87,9 +87,3 @@ def gram_novelty(grams: DataFrame) -> DataFrame:
         yield pd.DataFrame(rows, columns=["gram", "doc_id", "seen"])
 
     return grams.groupBy("gram").applyInPandasWithState(of_group, "gram long, doc_id long, seen boolean", "first long", "append", GroupStateTimeout.NoTimeout)
-
-
-def append_examples(turns: DataFrame, path: str, checkpoint: str, least: float = 8.0):
-    """Append each batch's good turns to the example bank."""
-    good = turns.filter(F.col("score") >= least)
-    return good.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").json(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
