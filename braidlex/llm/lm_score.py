@@ -94,12 +94,22 @@ def _wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct values, where each starts in the sorted array, and the order that sorts (numpy's ``unique`` takes 64-bit values by a far slower hash table)."""
+    order_of = np.argsort(h)
+    ordered = h[order_of]
+    new = np.ones(len(h), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    starts = np.flatnonzero(new)
+    return ordered[starts], starts, order_of
+
+
 def _requests(order: int, buckets: int):
     def of_chunk(key: tuple, table: pa.Table) -> pa.Table:
         _, _, grams = _chunk_ngrams(table, order)
         copies = table.column("copies").to_numpy()
-        h, at = np.unique(np.concatenate([g[0] for g in grams]), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([copies[g[2]] for g in grams])).astype(np.int64)
+        h, starts, order_of = _distinct(np.concatenate([g[0] for g in grams]))
+        n = np.add.reduceat(np.concatenate([copies[g[2]] for g in grams])[order_of], starts) if len(h) else np.zeros(0, np.int64)
         bucket = _bucket_of(h, buckets)
         edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(h))
         out = [(int(bucket[a]), pack(h[a:b]), _small(n[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -116,8 +126,10 @@ def _answers(table: pa.Table) -> pa.Table:
     """Total counts of one bucket, for each chunk in the order of its request."""
     hashes = [unpack(x) for x in table.column("grams").to_pylist()]
     counts = [_wide(x) for x in table.column("counts").to_pylist()]
-    _, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)[at]
+    h, starts, order_of = _distinct(np.concatenate(hashes))
+    sums = np.add.reduceat(np.concatenate(counts)[order_of], starts)
+    totals = np.empty(len(order_of), np.int64)
+    totals[order_of] = np.repeat(sums, np.diff(starts, append=len(order_of)))
     edges = np.cumsum([0, *map(len, hashes)])
     return pa.table({
         "chunk": table.column("chunk"), "bucket": table.column("bucket"),
@@ -125,15 +137,24 @@ def _answers(table: pa.Table) -> pa.Table:
     })
 
 
-def _own(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Occurrences of each n-gram in its own document."""
-    order = np.lexsort((doc, h))
+def _places(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each n-gram among the sorted distinct ones, and its occurrences in its own document.
+
+    Within an order, ``doc`` rises with the position. n-grams are sorted once; then
+    place and position in one number are, so that those of a document stand together.
+    """
+    _, starts, order_of = _distinct(h)
+    at = np.empty(len(h), np.int64)
+    at[order_of] = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(h)))
+    bits = max(1, len(h).bit_length())
+    both = np.sort(at << bits | np.arange(len(h)))
+    position = both & ((1 << bits) - 1)
     new = np.ones(len(h), bool)
-    new[1:] = (np.diff(h[order]) != 0) | (np.diff(doc[order]) != 0)
-    group = np.cumsum(new) - 1
-    out = np.empty(len(h), np.int64)
-    out[order] = np.bincount(group)[group] if len(h) else 0
-    return out
+    new[1:] = (np.diff(both >> bits) != 0) | (np.diff(doc[position]) != 0)
+    first = np.flatnonzero(new)
+    own = np.empty(len(h), np.int64)
+    own[position] = np.repeat(np.diff(first, append=len(h)), np.diff(first, append=len(h)))
+    return at, own
 
 
 def _scores(order: int, total_words: int):
@@ -144,11 +165,13 @@ def _scores(order: int, total_words: int):
         if n_words:
             by_bucket = answers.sort_by("bucket").column("totals").to_pylist()
             totals = np.concatenate([_wide(x) for x in by_bucket])
-            known = np.unique(np.concatenate([g[0] for g in grams]))
+            h, doc = (np.concatenate([g[k] for g in grams]) for k in (0, 2))
+            at, own = _places(h, doc)
+            left = np.split(totals[at] - own, np.cumsum([len(g[0]) for g in grams])[:-1])
             elsewhere = []
-            for h, end, doc in grams:
+            for (_, end, _), counts in zip(grams, left, strict=True):
                 full = np.zeros(n_words, np.int64)
-                full[end] = totals[np.searchsorted(known, h)] - _own(h, doc)
+                full[end] = counts
                 elsewhere.append(full)
             score = np.log(np.maximum(elsewhere[0], 0.5) / total_words)
             for n in range(2, order + 1):
