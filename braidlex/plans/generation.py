@@ -140,7 +140,8 @@ def generate(
     out = spoken.select(
         "conv_id", F.col("number").alias("turn"), "speaker", "turn.attempt", "turn.text", "turn.score", "turn.decision", F.round("turn.cmi", 3).alias("cmi"), "turn.switches", "prompt_md5"
     )
-    totals = out.groupBy("conv_id").agg(F.count(F.lit(1)).alias("total_turns"), F.round(F.avg("score"), 2).alias("avg_score"))
+    in_turn = F.sort_array(F.collect_list(F.struct("turn", "score")))
+    totals = out.groupBy("conv_id").agg(F.count(F.lit(1)).alias("total_turns"), in_turn.alias("turns")).withColumn("avg_score", D.mean_score(F.col("turns.score"))).drop("turns")
     counters = state.select("conv_id", "calls", "retries", "failed").join(totals, "conv_id", "left").withColumn("total_turns", F.coalesce("total_turns", F.lit(0)))
     return out, counters.select("conv_id", "total_turns", "avg_score", "calls", "retries", "failed")
 
