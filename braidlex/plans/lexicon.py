@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlex.functions.lang import LanguagePair, tokens
+from braidlex.functions.lang import LanguagePair, dealt, tokens
 from braidlex.operators import analysis as A
 from braidlex.plans.ranks import joined_to
 from braidlex.plans.tables import cut
@@ -40,6 +40,6 @@ def analyze(df: DataFrame, pair: LanguagePair, words: DataFrame, text: str = "te
     known = listed(met.select("word"), limit)
     if known:
         return A.analyze(rows.drop("__row"), pair.replaced(lexicon=known))
-    of_row = joined_to(own, met, "word").groupBy("__row").agg(F.collect_list("word").alias("__words"))
-    whole = rows.join(of_row, "__row", "left").withColumn("__words", F.coalesce("__words", F.array().cast("array<string>")))
+    of_row = joined_to(own, met, "word").groupBy("__row").agg(F.collect_list("word").alias("__listed")).select("__row", dealt(F.col("__listed")).alias("__words"))
+    whole = rows.join(of_row, "__row", "left")  # null where a text has none of the words
     return A.analyze(whole, outside, text, "__words").drop("__row", "__words")
